@@ -5,12 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat_format, url_filter, warc
+from palimpsest.llm import chat_format, decontaminate, line_rules, pii, url_filter, warc
 from palimpsest.llm.common import pick, table
 
 BLOCK, ALLOW = ["net/", "example.com/de/"], ["example.net/en/", "org/fr/"]
 
 
+#: Surrogates are drawn under this key; a deployment sets its own.
+SECRET = "demonstration key"
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_rules.apply_rules(pick(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return rows.select("doc_id", *counts, "base_failed", "kept", "removed_chars")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_entities(pick(table(spark, sf_dir, "documents"), "doc_id", "text"), SECRET)
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.read(warc.write(table(spark, sf_dir, "pages"), min_payload_bytes=0))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -86,6 +104,9 @@ FROM e GROUP BY conv_id
 
 def queries() -> dict:
     return {
+        "op3_decontaminate": op3_decontaminate,
+        "op9_line_rules": op9_line_rules,
+        "op10_pii": op10_pii,
         "op6_warc": op6_warc,
         "op7_chat_format": op7_chat_format,
         "op8_url_filter": op8_url_filter,
