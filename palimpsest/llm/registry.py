@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat_format, decontaminate, line_rules, pii, url_filter, warc
-from palimpsest.llm.common import pick, table
+from palimpsest.llm import chat_format, decontaminate, line_rules, ngram_join, pack, pii, secret_scan, toxicity, url_filter, warc
+from palimpsest.llm.common import pick, ship, table
 
 BLOCK, ALLOW = ["net/", "example.com/de/"], ["example.net/en/", "org/fr/"]
 
@@ -15,6 +15,29 @@ BLOCK, ALLOW = ["net/", "example.com/de/"], ["example.net/en/", "org/fr/"]
 SECRET = "demonstration key"
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
+def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return secret_scan.digest(docs, secret_scan.learn(docs))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -102,8 +125,20 @@ FROM e GROUP BY conv_id
 """
 
 
+def _shipped(query):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    return {
+    found = {
+        "op1_ngram_join": op1_ngram_join,
+        "op2_pack": op2_pack,
+        "op4_secret_scan": op4_secret_scan,
+        "op5_toxicity": op5_toxicity,
         "op3_decontaminate": op3_decontaminate,
         "op9_line_rules": op9_line_rules,
         "op10_pii": op10_pii,
@@ -111,6 +146,7 @@ def queries() -> dict:
         "op7_chat_format": op7_chat_format,
         "op8_url_filter": op8_url_filter,
     }
+    return {name: _shipped(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
