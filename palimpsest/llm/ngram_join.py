@@ -8,9 +8,10 @@ shared shingles; only counts that reach the bound which the two sizes set are li
 1. Equal sets are one node. Each node keeps the columns of its size-derived prefix, the first
    `n - ceil(0.8 n) + 1` in a global order in which frequent shingles come last: two linked nodes
    share one of these columns. (Which order it is doesn't matter for the result.)
-2. Blocks. Instead of all pairs in a column, each node is multiplied with the column's pivot, the
-   node with most frequent shingles, so a column of m nodes costs m - 1 products. A full product
-   counts the overlap; pairs below the bound are no links.
+2. Blocks. A column is cut into overlapping classes of size, as linked sets differ by a quarter at
+   most. Instead of all pairs in a block, each node is multiplied with the block's pivot, the node
+   with most frequent shingles, so a block of m nodes costs m - 1 products. A full product counts
+   the overlap; pairs below the bound are no links.
 3. What a pivot p leaves open are pairs (x, y) of its column of which one is not linked to p. They
    differ from p by known sets D(x), D(y), and as |A & B| follows from |D(x) & D(y)|, these sets
    are the rows of a smaller product with a size-derived bound of its own. Their prefixes are the
@@ -31,6 +32,8 @@ empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+import gc
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -251,10 +254,24 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.select("node", "second", "text").mapInPandas(make, "node bigint, hashes binary")
 
 
+def some(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """rows whose node is among ids[column]; ids are broadcast only while they are few."""
+    wanted = ids.select(F.col(column).alias("node")).distinct()
+    small = wanted.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    return rows.join(F.broadcast(wanted) if small else wanted, "node", "left_semi")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps: it does when the driver's JVM finds
+    that nothing refers to them, which may otherwise take half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def multiply(pairs: DataFrame, sets: DataFrame, with_columns: bool) -> DataFrame:
     """pairs (node, pivot) with is_link and, for the next round, the prefix of the difference."""
-    own = sets.select("node", F.col("hashes").alias("a"))
-    other = sets.select(F.col("node").alias("pivot"), F.col("hashes").alias("b"))
+    own = some(sets, pairs, "node").select("node", F.col("hashes").alias("a"))
+    other = some(sets, pairs, "pivot").select(F.col("node").alias("pivot"), F.col("hashes").alias("b"))
     rows = pairs.join(own, "node").join(other, "pivot").select("node", "pivot", "a", "b")
 
     def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -278,41 +295,61 @@ def multiply(pairs: DataFrame, sets: DataFrame, with_columns: bool) -> DataFrame
     return rows.mapInPandas(product, "node bigint, pivot bigint, is_link boolean, columns array<bigint>")
 
 
+def shared(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Of cells (node, *keys, is_open, ...): the blocks with two nodes and an open one, with pivot,
+    the greatest open node."""
+    block = Window.partitionBy(*keys)
+    lead = F.max(F.when(F.col("is_open"), F.col("node"))).over(block)
+    held = cells.withColumns({"pivot": lead, "_low": F.min("node").over(block), "_high": F.max("node").over(block)})
+    return held.filter("pivot IS NOT NULL AND _low <> _high").drop("_low", "_high")
+
+
+def size_blocks(cells: DataFrame) -> DataFrame:
+    """First-round blocks. A node is open in the class of its size and stands in the next class
+    too, not open, for partners there; sizes of linked sets are a class apart at most."""
+    met = materialize(shared(cells, ["column"]).drop("pivot"), "met")
+    size = F.floor(F.log("n") / math.log(1.26)).cast("int")
+    spread = met.withColumn("size", size).withColumn("step", F.explode(F.array(F.lit(0), F.lit(1))))
+    spread = spread.select("node", "column", (F.col("size") + F.col("step")).alias("size"), (F.col("step") == 0).alias("is_open"))
+    return shared(spread, ["column", "size"]).select("node", F.xxhash64("column", "size").alias("column"), "is_open", "pivot")
+
+
 def links(docs: DataFrame, rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(node, pivot) of links that connect what any links connect. rows: NODE rows."""
-    cells = rows.filter("columns IS NOT NULL").select("node", F.explode("columns").alias("column"), F.lit(True).alias("is_open"))
-    places = rows.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("second").alias("second"))
+    spark = docs.sparkSession
+    cells = rows.filter("columns IS NOT NULL").select("node", "n", F.explode("columns").alias("column"), F.lit(True).alias("is_open"))
+    known = rows.filter("node IS NOT NULL AND doc_id IS NOT NULL")
+    places = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("second").alias("second"))
+    repeats = not known.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").isEmpty()
     sets, found = None, []
     for round_ in range(rounds + 1):
-        column = Window.partitionBy("column")
-        # A column is open when two nodes meet in it and one of them is not linked to the pivot before.
-        lead = F.max(F.when(F.col("is_open"), F.col("node"))).over(column)
-        held = cells.select("node", "column", "is_open", lead.alias("pivot"), F.min("node").over(column).alias("low"), F.max("node").over(column).alias("high"))
-        held = held.filter("pivot IS NOT NULL AND low <> high")
-        if round_ < rounds:
-            pairs = materialize(held.filter("node <> pivot").select("node", "pivot").distinct(), "pairs")
-        else:
+        last = round_ == rounds
+        held = size_blocks(cells) if round_ == 0 else shared(cells, ["column"])
+        if last:
             rest = materialize(held.select("node", "column", "is_open"), "rest")
             other = rest.select(F.col("node").alias("pivot"), "column", F.col("is_open").alias("other_open"))
-            meet = rest.join(other, "column").filter("node < pivot AND (is_open OR other_open)")
-            pairs = materialize(meet.select("node", "pivot").distinct(), "pairs")
+            held = rest.join(other, "column").filter("node < pivot AND (is_open OR other_open)")
+        pairs = materialize(held.filter("node <> pivot").select("node", "pivot").distinct(), "pairs")
+        del held
+        release(spark)
         if pairs.isEmpty():
             break
         if sets is None:
             used = pairs.select("node").union(pairs.select("pivot")).distinct()
-            sets = materialize(sets_of(docs, places.join(used, "node").select("doc_id", "node", "second")).dropDuplicates(["node"]), "sets")
-        last = round_ == rounds
+            sets = sets_of(docs, places.join(used, "node").select("doc_id", "node", "second"))
+            sets = materialize(sets.dropDuplicates(["node"]) if repeats else sets, "sets")
+            release(spark)
         done = materialize(multiply(pairs, sets, not last), "products")
+        release(spark)
         found.append(done.filter("is_link").select("node", "pivot"))
         if last:
             break
         open_pivots = done.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"), F.count_if(~F.col("is_link")).alias("open")).filter("open > 0 AND m > 1").select("pivot")
         cells = done.join(open_pivots, "pivot").select("node", (~F.col("is_link")).alias("is_open"), F.explode("columns").alias("column"))
-    spark = docs.sparkSession
-    empty = spark.createDataFrame([], "node bigint, pivot bigint")
+    out = spark.createDataFrame([], "node bigint, pivot bigint")
     for part in found:
-        empty = empty.union(part)
-    return empty
+        out = out.union(part)
+    return out
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
