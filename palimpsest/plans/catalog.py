@@ -1,11 +1,763 @@
-"""Registered queries of the evidence-memory operators and their SQL twins."""
+"""Registered queries of the evidence-memory operators and their SQL twins.
+
+Each query is a thin use of the operators on tables derived from the test data; each twin says the
+same in DuckDB SQL.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from palimpsest.functions.text import fact_tokens, normalized, stable_hash
+from palimpsest.functions.text import node_tokens as node_tokens_of
+from palimpsest.operators import analytics, context, evaluation, graph, linking, replay, retrieval
+from palimpsest.operators.view import Clock, Projection, bitemporal_matrix
+from palimpsest.plans import memory_sql as sql
+from palimpsest.sources import derived, event_log
+from palimpsest.sources.derived import T96, T97, T98, table
+from palimpsest.sources.storage import materialize, ship, with_positions
+
+Query = Callable[[SparkSession, str], DataFrame]
+CLOCK = Clock(T98, T98)
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def register(oracle: str | None = None):
+    def keep(f: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        _QUERIES[f.__name__] = run
+        if oracle:
+            _SQL[f.__name__] = oracle
+        return f
 
-def queries() -> dict:
-    return {}
+    return keep
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def memory(spark: SparkSession, sf_dir: str) -> Projection:
+    """The derived projection, straight from its tables (positions by time and revision)."""
+    facts = derived.facts(spark, sf_dir).withColumn("position", F.lit(0).cast("long"))
+    revision = F.when(F.col("label").endswith(" v2"), 1).otherwise(0).cast("long")
+    nodes = derived.node_events(spark, sf_dir).withColumn("position", revision)
+    gone = derived.retraction_events(spark, sf_dir).withColumnRenamed("ord", "position")
+    return Projection(nodes, facts, replay.supersessions_of(facts), replay.last_retractions(gone), None)
+
+
+def joined(c: str) -> F.Column:
+    return F.array_join(c, ",").alias(c)
+
+
+# ---- views
+
+FACT_COLUMNS = "id, source, relation, target, valid_from, valid_until, recorded_at, confidence, supersedes"
+
+
+def _fact_columns(df: DataFrame) -> DataFrame:
+    return df.select(*[c.strip() for c in FACT_COLUMNS.split(",")])
+
+
+@register(f"{sql.BASE} SELECT {FACT_COLUMNS} FROM facts")
+def memory_facts(spark, sf_dir):
+    return _fact_columns(derived.facts(spark, sf_dir))
+
+
+@register(f"{sql.BASE}, {sql.active(T98, T98)} SELECT {FACT_COLUMNS} FROM active")
+def active_facts(spark, sf_dir):
+    return _fact_columns(memory(spark, sf_dir).active_facts(CLOCK))
+
+
+@register(f"{sql.view(T98, T98)} SELECT {FACT_COLUMNS} FROM view_facts")
+def memory_view_facts(spark, sf_dir):
+    return _fact_columns(memory(spark, sf_dir).view(T98, T98).facts)
+
+
+@register(f"{sql.view(T96, T96)} SELECT {FACT_COLUMNS} FROM view_facts")
+def memory_view_facts_past(spark, sf_dir):
+    return _fact_columns(memory(spark, sf_dir).view(T96, T96).facts)
+
+
+@register(f"{sql.view(T98, T98)} SELECT id, kind, label, repository, branch, recorded_at FROM nodes")
+def memory_view_nodes(spark, sf_dir):
+    return memory(spark, sf_dir).view(T98, T98).nodes.select("id", "kind", "label", "repository", "branch", "recorded_at")
+
+
+@register(f"{sql.BASE}, {sql.nodes(T96)} SELECT id, label, recorded_at FROM nodes")
+def node_asof(spark, sf_dir):
+    return memory(spark, sf_dir).visible_nodes(T96).select("id", "label", "recorded_at")
+
+
+_CLOCKS = {"now": (T98, T98), "past": (T96, T96), "hindsight": (T96, T98), "forecast": (T98, T96)}
+
+
+@register(
+    sql.BASE
+    + "".join(f", {sql.active(v, k, 'a_' + n)}" for n, (v, k) in _CLOCKS.items())
+    + " "
+    + " UNION ALL ".join(f"SELECT '{n}' AS clock, relation, count(*) AS n, sum(confidence)::BIGINT AS confidence FROM a_{n} GROUP BY relation" for n in _CLOCKS)
+)
+def bitemporal_clocks(spark, sf_dir):
+    clocks = spark.createDataFrame([(n, v, k) for n, (v, k) in _CLOCKS.items()], "clock string, valid_at bigint, known_at bigint")
+    return bitemporal_matrix(memory(spark, sf_dir), clocks).groupBy("clock", "relation").agg(F.count(F.lit(1)).alias("n"), F.sum("confidence").alias("confidence"))
+
+
+@register(f"{sql.BASE} SELECT fact_id, valid_until, recorded_at FROM retractions")
+def last_retraction_wins(spark, sf_dir):
+    return memory(spark, sf_dir).retractions
+
+
+@register(f"{sql.BASE} SELECT prior, replacement FROM supersessions")
+def superseded_by(spark, sf_dir):
+    return memory(spark, sf_dir).superseded_by
+
+
+@register(f"{sql.BASE} SELECT f.id, p.id AS prior_id, p.target AS prior_target, f.target, f.valid_from, f.recorded_at FROM facts f JOIN facts p ON p.id = f.supersedes")
+def supersession_chain(spark, sf_dir):
+    p = memory(spark, sf_dir)
+    prior = p.facts.select(F.col("id").alias("prior_id"), F.col("target").alias("prior_target"))
+    return p.facts.join(prior, F.col("supersedes") == F.col("prior_id")).select("id", "prior_id", "prior_target", "target", "valid_from", "recorded_at")
+
+
+# ---- log and replay
+
+_LOG = """WITH log AS (
+  SELECT event_id AS global_position, 'event:' || event_id AS id, 'user:' || user_id AS stream_id,
+         row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS stream_version, event_type, epoch_us(ts) AS recorded_at FROM events
+)"""
+
+
+def user_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    version = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    return e.select(
+        F.col("event_id").cast("long").alias("global_position"),
+        F.concat(F.lit("event:"), F.col("event_id").cast("string")).alias("id"),
+        F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("stream_id"),
+        version.cast("long").alias("stream_version"),
+        "event_type",
+        derived.micros(F.col("ts")).alias("recorded_at"),
+    )
+
+
+@register("SELECT 'event:' || event_id AS id, row_number() OVER (ORDER BY event_id) - 1 AS global_position FROM events")
+def event_log_positions(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id")
+    return with_positions(e, ["event_id"], "global_position").select(F.concat(F.lit("event:"), F.col("event_id").cast("string")).alias("id"), "global_position")
+
+
+@register(f"{_LOG} SELECT * FROM log WHERE stream_id = 'user:7' AND stream_version > 2")
+def load_stream_after(spark, sf_dir):
+    return user_log(spark, sf_dir).filter("stream_id = 'user:7' AND stream_version > 2").orderBy("stream_version")
+
+
+@register(f"{_LOG} SELECT * FROM log WHERE global_position > 100 ORDER BY global_position LIMIT 50")
+def load_all_after_limit(spark, sf_dir):
+    return user_log(spark, sf_dir).filter("global_position > 100").orderBy("global_position").limit(50)
+
+
+@register(f"{_LOG} SELECT stream_id, max(stream_version) AS stream_version, count(*) AS n FROM log GROUP BY stream_id")
+def stream_versions(spark, sf_dir):
+    return user_log(spark, sf_dir).groupBy("stream_id").agg(F.max("stream_version").alias("stream_version"), F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    f"{_LOG} SELECT stream_id, count(*) AS event_count, min(stream_version) AS first_stream_version, max(stream_version) AS last_stream_version,"
+    " min(global_position) AS first_global_position, max(global_position) AS last_global_position FROM log GROUP BY stream_id"
+)
+def append_receipt(spark, sf_dir):
+    span = [f(c).alias(f"{n}_{c}") for c in ("stream_version", "global_position") for n, f in (("first", F.min), ("last", F.max))]
+    return user_log(spark, sf_dir).groupBy("stream_id").agg(F.count(F.lit(1)).alias("event_count"), *span)
+
+
+#: The corrupted log: one event missing, one id used twice.
+@register(
+    _LOG
+    + """, bad AS (
+  SELECT CASE WHEN global_position = 700 THEN 'event:600' ELSE id END AS id, stream_id, stream_version, global_position FROM log WHERE global_position <> 500
+), v AS (
+  SELECT global_position, 1 AS priority, 'DuplicateEvent' AS error FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY global_position) AS n FROM bad) WHERE n > 1
+  UNION ALL SELECT global_position, 2, 'InvalidReplay' FROM (SELECT *, lag(global_position, 1, -1) OVER (ORDER BY global_position) AS p FROM bad) WHERE global_position <> p + 1
+  UNION ALL SELECT global_position, 3, 'InvalidReplay' FROM (SELECT *, lag(stream_version, 1, -1) OVER (PARTITION BY stream_id ORDER BY global_position) AS p FROM bad) WHERE stream_version <> p + 1
+) SELECT * FROM v"""
+)
+def replay_violations(spark, sf_dir):
+    bad = user_log(spark, sf_dir).filter("global_position <> 500").withColumn("id", F.when(F.col("global_position") == 700, "event:600").otherwise(F.col("id")))
+    return replay.order_violations(materialize(bad, "log")).select("global_position", "priority", "error")
+
+
+def memory_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived log with positions; one stream for each stream_id."""
+    rows = derived.memory_events(spark, sf_dir)
+    placed = with_positions(rows, ["phase", "recorded_at", "key", "ord"], "global_position")
+    version = F.row_number().over(Window.partitionBy("stream_id").orderBy("global_position")) - 1
+    return placed.withColumn("stream_version", version.cast("long"))
+
+
+@register(f"{sql.view(T98, T98)} SELECT {FACT_COLUMNS} FROM view_facts")
+def replayed_view_facts(spark, sf_dir):
+    done = replay.replay(materialize(memory_log(spark, sf_dir), "memory-log"), strict=True)
+    return _fact_columns(done.projection.view(T98, T98).facts)
+
+
+@register(f"{sql.view(T98, T98)} SELECT id, kind, label, repository, branch, recorded_at FROM nodes")
+def replayed_view_nodes(spark, sf_dir):
+    done = replay.replay(materialize(memory_log(spark, sf_dir), "memory-log"), strict=False)
+    return done.projection.view(T98, T98).nodes.select("id", "kind", "label", "repository", "branch", "recorded_at")
+
+
+@register(f"{sql.view(T98, T98)} SELECT {FACT_COLUMNS} FROM view_facts")
+def snapshot_resume(spark, sf_dir):
+    """A snapshot in the middle of the log and the tail after it give what the whole log gives."""
+    log = materialize(memory_log(spark, sf_dir), "memory-log")
+    middle = log.count() // 2
+    head = replay.replay(log.filter(F.col("global_position") < middle), strict=False)
+    state = replay.Snapshot(head.cursor, head.projection)
+    done = replay.resume(state, log.filter(F.col("global_position") >= middle), strict=True)
+    return _fact_columns(done.projection.view(T98, T98).facts)
+
+
+#: Dangling log: nodes of nations above 19 never come, and facts of nation 3 come twice.
+_MISSING = f"""{sql.BASE}, known AS (SELECT DISTINCT id FROM revisions WHERE NOT (id LIKE 'nation:2_'))
+SELECT id AS fact, 'MissingEntity' AS error, CASE WHEN source NOT IN (SELECT id FROM known) THEN 7 ELSE 8 END AS priority FROM facts
+WHERE source NOT IN (SELECT id FROM known) OR target NOT IN (SELECT id FROM known)"""
+
+
+@register(_MISSING)
+def replay_missing_entities(spark, sf_dir):
+    log = materialize(memory_log(spark, sf_dir).filter("NOT coalesce(payload.node.id LIKE 'nation:2_', false)"), "memory-log")
+    found = replay.payload_violations(log).filter("error = 'MissingEntity'").groupBy("global_position", "error").agg(F.min("priority").alias("priority"))
+    return found.join(log.select("global_position", F.col("payload.fact.id").alias("fact")), "global_position").select("fact", "error", "priority")
+
+
+@register("SELECT event_id // 64 AS batch, min(event_id) AS first_position, max(event_id) AS last_position, count(*) AS n FROM events GROUP BY 1")
+def subscription_batches(spark, sf_dir):
+    batch = F.expr("global_position div 64").alias("batch")
+    ends = [F.min("global_position").alias("first_position"), F.max("global_position").alias("last_position"), F.count(F.lit(1)).alias("n")]
+    return user_log(spark, sf_dir).groupBy(batch).agg(*ends)
+
+
+# ---- graph
+
+
+@register(f"{sql.view(T98, T98)} SELECT id, label, kind, CASE WHEN repository IS NULL THEN NULL ELSE repository END AS repository, CASE WHEN ck IS NULL THEN NULL ELSE 'CRM-' || ck END AS crm FROM nodes")
+def graph_nodes(spark, sf_dir):
+    vertices, _ = graph.project_graph(memory(spark, sf_dir).view(T98, T98))
+    return vertices.select("id", "label", "kind", F.col("attributes")["memory.repository"].alias("repository"), F.col("attributes")["memory.external_id.crm"].alias("crm"))
+
+
+_LEVEL = "CASE WHEN confidence >= 9500 THEN 'exact' WHEN confidence >= 8000 THEN 'high' WHEN confidence >= 5000 THEN 'medium' ELSE 'low' END"
+
+
+@register(
+    f"{sql.view(T98, T98)} SELECT id AS fact_id, source, target, relation AS kind, {_LEVEL} AS level, id AS detail, valid_from::VARCHAR AS valid_from, supersedes FROM view_facts"
+)
+def graph_edges(spark, sf_dir):
+    _, edges = graph.project_graph(memory(spark, sf_dir).view(T98, T98))
+    a = F.col("attributes")
+    return edges.select(a["fact_id"].alias("fact_id"), "source", "target", "kind", F.col("provenance.confidence").alias("level"), F.col("provenance.detail").alias("detail"), a["valid_from"].alias("valid_from"), a["supersedes"].alias("supersedes"))
+
+
+@register(f"{sql.view(T98, T98)} SELECT {_LEVEL} AS level, count(*) AS n FROM view_facts GROUP BY 1")
+def edge_confidence_level(spark, sf_dir):
+    return memory(spark, sf_dir).view(T98, T98).facts.groupBy(graph.confidence_level(F.col("confidence")).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(f"{sql.BASE} SELECT source AS entity, id AS fact FROM facts UNION ALL SELECT target, id FROM facts WHERE source <> target")
+def incidence(spark, sf_dir):
+    return memory(spark, sf_dir).incidence()
+
+
+@register(
+    f"{sql.view(T98, T98)} SELECT entity, count(*) AS degree FROM (SELECT source AS entity FROM view_facts UNION ALL SELECT target FROM view_facts WHERE source <> target) GROUP BY entity"
+)
+def degree(spark, sf_dir):
+    p = memory(spark, sf_dir)
+    return p.incidence(p.view(T98, T98).facts).groupBy("entity").agg(F.count(F.lit(1)).alias("degree"))
+
+
+@register(f"{sql.view(T98, T98)} SELECT id FROM nodes WHERE id NOT IN (SELECT source FROM view_facts) AND id NOT IN (SELECT target FROM view_facts)")
+def orphans(spark, sf_dir):
+    return graph.orphans(memory(spark, sf_dir).view(T98, T98)).select("id")
+
+
+def _kept_view(spark, sf_dir):
+    """The view of now, written once: traversals read it again for each hop."""
+    view = memory(spark, sf_dir).view(T98, T98)
+    return type(view)(materialize(view.nodes, "view-nodes"), materialize(view.facts, "view-facts"))
+
+
+@register(
+    f"""{sql.view(T98, T98)}, e AS (SELECT source AS a, target AS b FROM view_facts WHERE relation = 'located_in' UNION SELECT target, source FROM view_facts WHERE relation = 'located_in'),
+walk(entity, depth) AS (SELECT 'customer:7', 0 UNION SELECT b, depth + 1 FROM walk JOIN e ON a = entity WHERE depth < 2)
+SELECT entity, min(depth) AS depth FROM walk GROUP BY entity"""
+)
+def bfs_undirected_depth2(spark, sf_dir):
+    facts = _kept_view(spark, sf_dir).facts.filter("relation = 'located_in'")
+    roots = spark.createDataFrame([(0, "customer:7")], "request bigint, entity string")
+    return graph.spread(roots, graph.both_ways(facts), 2).select("entity", "depth")
+
+
+@register(
+    f"""{sql.view(T98, T98)}, e AS (SELECT DISTINCT source AS a, target AS b FROM view_facts), r AS (SELECT 'supplier:' || s_suppkey AS id FROM supplier),
+walk(root, entity) AS (SELECT id, id FROM r UNION SELECT root, b FROM walk JOIN e ON a = entity)
+SELECT root AS entity, count(*) - 1 AS n FROM walk GROUP BY root"""
+)
+def reachable_counts(spark, sf_dir):
+    view = _kept_view(spark, sf_dir)
+    roots = table(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("entity"))
+    return graph.reachable_counts(view.facts, roots)
+
+
+# ---- analytics
+
+HYPOTHESIS = {"source": "customer:1", "relation": "located_in", "target": "nation:24", "confidence": 8000, "supersedes": "fact:c:2"}
+_FOUND = """found AS (
+  SELECT id AS fact, target, least(confidence, 8000) AS strength_bps,
+         CASE WHEN lower(relation) = 'contradicts' AND ((source = 'customer:1' AND target = 'nation:24') OR (source = 'nation:24' AND target = 'customer:1')) THEN 'explicit contradicts relation'
+              WHEN id = 'fact:c:2' THEN 'hypothesis explicitly supersedes this fact' ELSE 'same source and relation assert a different target' END AS reason
+  FROM view_facts
+  WHERE (source = 'customer:1' AND relation = 'located_in' AND target <> 'nation:24') OR id = 'fact:c:2'
+     OR (lower(relation) = 'contradicts' AND ((source = 'customer:1' AND target = 'nation:24') OR (source = 'nation:24' AND target = 'customer:1')))
+)"""
+_CASCADE = f"""{sql.view(T98, T98)}, {_FOUND}, e AS (SELECT DISTINCT source AS a, target AS b FROM view_facts),
+walk(entity, depth) AS (SELECT DISTINCT target, 0 FROM found UNION SELECT b, depth + 1 FROM walk JOIN e ON a = entity WHERE depth < 3),
+cascade AS (SELECT entity, min(depth) AS depth FROM walk GROUP BY entity)"""
+
+
+@register(f"{sql.view(T98, T98)}, {_FOUND} SELECT fact, strength_bps, reason FROM found")
+def belief_contradictions(spark, sf_dir):
+    return analytics.contradictions(memory(spark, sf_dir).view(T98, T98), HYPOTHESIS).drop("target")
+
+
+@register(f"{_CASCADE} SELECT entity, depth, 10000 - 8000 // (depth + 2) AS revised_confidence_bps FROM cascade")
+def belief_cascade(spark, sf_dir):
+    return analytics.belief_revision(memory(spark, sf_dir), HYPOTHESIS, CLOCK, 3)[1]
+
+
+@register(f"{_CASCADE} SELECT entity FROM cascade JOIN nodes ON id = entity WHERE lower(kind) = 'decision'")
+def invalidated_decisions(spark, sf_dir):
+    return analytics.belief_revision(memory(spark, sf_dir), HYPOTHESIS, CLOCK, 3)[2]
+
+
+_DRIFT = f"""{sql.BASE}, k AS (
+  SELECT *, lag(id) OVER w AS pid, lag(target) OVER w AS ptarget, lag(confidence) OVER w AS pconf FROM facts WHERE recorded_at <= {T98}
+  WINDOW w AS (PARTITION BY source, relation ORDER BY recorded_at, id)
+), snaps AS (
+  SELECT source, relation, id AS fact, target, recorded_at, confidence AS confidence_bps,
+         CASE WHEN pid IS NULL THEN 'initial' WHEN supersedes IS NOT DISTINCT FROM pid OR target <> ptarget THEN 'corrected'
+              WHEN confidence > pconf THEN 'reinforced' WHEN confidence < pconf THEN 'weakened' ELSE 'refined' END AS change
+  FROM k
+)"""
+
+
+@register(f"{_DRIFT} SELECT * FROM snaps")
+def drift_snapshots(spark, sf_dir):
+    return analytics.drift(memory(spark, sf_dir), T98)[0]
+
+
+@register(
+    f"""{_DRIFT}, s AS (SELECT source, relation, count(*) AS n, count(*) FILTER (change = 'corrected') AS correction_count FROM snaps GROUP BY ALL),
+t AS (SELECT *, CASE WHEN n <= 1 THEN 10000 ELSE 10000 - least(10000, (6000 * correction_count + 1000 * (n - 1 - correction_count)) // (n - 1)) END AS stability_bps FROM s)
+SELECT *, correction_count >= 2 OR stability_bps < 6000 AS likely_to_change FROM t"""
+)
+def drift_summary(spark, sf_dir):
+    return analytics.drift(memory(spark, sf_dir), T98)[1]
+
+
+MINIMUM, FLOOR, UNSTABLE, STALE = 2, 3000, 3, 365 * derived.DAY
+_SUPPORT = "support AS (SELECT target AS entity, count(*) AS supports FROM view_facts WHERE lower(relation) IN ('supports', 'supported_by', 'caused_by') GROUP BY target)"
+_NODE_GAPS = f"""node_gaps AS (
+  SELECT id AS entity, NULL::VARCHAR AS fact, CASE WHEN lower(kind) = 'decision' THEN 'unjustified_decision' ELSE 'single_source_inference' END AS kind,
+         CASE WHEN lower(kind) = 'decision' THEN 10000 ELSE least(10000, ({MINIMUM} - coalesce(supports, 0)) * 10000 // {MINIMUM}) END AS severity_bps
+  FROM nodes LEFT JOIN support ON entity = id
+  WHERE (lower(kind) = 'decision' AND coalesce(supports, 0) = 0) OR (lower(kind) = 'inference' AND coalesce(supports, 0) < {MINIMUM})
+)"""
+_FACT_GAPS = f"""weak_gaps AS (SELECT target AS entity, id AS fact, 'low_confidence_foundation' AS kind, 10000 - confidence AS severity_bps FROM view_facts WHERE confidence < {FLOOR}),
+stale_gaps AS (SELECT target AS entity, id AS fact, 'stale_evidence' AS kind, least(10000, greatest(1000, (({T98} - recorded_at)::HUGEINT * 5000) // {STALE}))::BIGINT AS severity_bps FROM view_facts WHERE {T98} - recorded_at >= {STALE})"""
+_UNSTABLE = f"""unstable AS (
+  SELECT source AS entity, arg_max(id, (recorded_at, id)) AS fact, 'unstable_knowledge' AS kind, least(10000, 2000 * count(*)) AS severity_bps
+  FROM facts WHERE recorded_at <= {T98} GROUP BY source, relation HAVING count(*) >= {UNSTABLE} AND count(supersedes) + 1 >= {UNSTABLE}
+)"""
+_GAPS = f"""{sql.view(T98, T98)}, {_SUPPORT}, {_NODE_GAPS}, {_FACT_GAPS}, {_UNSTABLE},
+gaps AS (SELECT * FROM node_gaps UNION ALL SELECT * FROM weak_gaps UNION ALL SELECT * FROM stale_gaps UNION ALL SELECT * FROM unstable)"""
+
+
+@register(f"{_GAPS} SELECT entity, fact, kind, severity_bps FROM node_gaps")
+def support_gaps(spark, sf_dir):
+    return analytics.node_gaps(memory(spark, sf_dir).view(T98, T98), MINIMUM)
+
+
+@register(f"{_GAPS} SELECT * FROM weak_gaps UNION ALL SELECT * FROM stale_gaps")
+def confidence_and_stale_gaps(spark, sf_dir):
+    return analytics.fact_gaps(memory(spark, sf_dir).view(T98, T98), CLOCK, FLOOR, STALE)
+
+
+@register(f"{_GAPS} SELECT * FROM unstable")
+def unstable_gaps(spark, sf_dir):
+    return analytics.unstable_gaps(memory(spark, sf_dir), T98, UNSTABLE)
+
+
+@register(
+    f"""{_GAPS}, e AS (SELECT DISTINCT source AS a, target AS b FROM view_facts), roots AS (SELECT DISTINCT entity AS id FROM gaps WHERE entity IN (SELECT id FROM nodes)),
+walk(root, entity) AS (SELECT id, id FROM roots UNION SELECT root, b FROM walk JOIN e ON a = entity),
+reach AS (SELECT root, count(*) - 1 AS downstream_entities FROM walk GROUP BY root)
+SELECT entity, fact, kind, severity_bps, coalesce(downstream_entities, 0) AS downstream_entities FROM gaps LEFT JOIN reach ON root = entity
+ORDER BY severity_bps DESC, downstream_entities DESC, entity, list_position(['unjustified_decision', 'single_source_inference', 'low_confidence_foundation', 'unstable_knowledge', 'stale_evidence'], kind), fact NULLS FIRST
+LIMIT 100"""
+)
+def gap_report(spark, sf_dir):
+    return analytics.reasoning_gaps(memory(spark, sf_dir), CLOCK, MINIMUM, FLOOR, UNSTABLE, STALE, 100)[0].select("entity", "fact", "kind", "severity_bps", "downstream_entities")
+
+
+@register(
+    f"""{_GAPS}, c AS (SELECT (SELECT count(*) FROM gaps) AS total_gaps, (SELECT count(*) FROM nodes) AS analyzed_entities, (SELECT count(*) FROM view_facts) AS analyzed_facts)
+SELECT 10000 - least(10000, total_gaps * 10000 // analyzed_entities) AS health_bps, analyzed_entities, analyzed_facts, total_gaps FROM c"""
+)
+def gap_health(spark, sf_dir):
+    view, gaps = analytics.all_gaps(memory(spark, sf_dir), CLOCK, MINIMUM, FLOOR, UNSTABLE, STALE)
+    return analytics.gap_health(view, gaps)
+
+
+_ACTIONS = f"""{sql.view(T98, T98)}, dups AS (
+  SELECT 'supersede_duplicate' AS kind, list(id ORDER BY confidence DESC, recorded_at DESC, id) AS ids, [source, target] AS ents FROM view_facts GROUP BY source, relation, target HAVING count(*) > 1
+), lonely AS (
+  SELECT 'review_orphan' AS kind, []::VARCHAR[] AS ids, [id] AS ents FROM nodes WHERE id NOT IN (SELECT source FROM view_facts) AND id NOT IN (SELECT target FROM view_facts)
+), chains AS (
+  SELECT 'compact_revision_chain' AS kind, list(id ORDER BY recorded_at, id) AS ids, [source] AS ents FROM facts WHERE recorded_at <= {T98} GROUP BY source, relation HAVING count(supersedes) >= 3
+), actions AS (
+  SELECT kind, ids[1] AS keep, ids, ents FROM dups UNION ALL SELECT kind, NULL, ids, ents FROM lonely UNION ALL SELECT kind, ids[-1], ids, ents FROM chains
+), top AS (
+  SELECT * FROM actions ORDER BY list_position(['supersede_duplicate', 'review_orphan', 'compact_revision_chain'], kind), ents, ids LIMIT 120
+)"""
+_SHOWN = "kind, keep, array_to_string(ids, ',') AS affected_facts, array_to_string(ents, ',') AS affected_entities"
+
+
+def _actions(df: DataFrame) -> DataFrame:
+    return df.select("kind", "keep", joined("affected_facts"), joined("affected_entities"))
+
+
+@register(f"{_ACTIONS} SELECT {_SHOWN} FROM actions WHERE kind = 'supersede_duplicate'")
+def duplicate_actions(spark, sf_dir):
+    return _actions(analytics.duplicate_actions(memory(spark, sf_dir).view(T98, T98)))
+
+
+@register(f"{_ACTIONS} SELECT {_SHOWN} FROM actions WHERE kind = 'compact_revision_chain'")
+def revision_chain_actions(spark, sf_dir):
+    return _actions(analytics.revision_chain_actions(memory(spark, sf_dir), T98))
+
+
+@register(f"{_ACTIONS} SELECT {_SHOWN} FROM top")
+def consolidation_plan(spark, sf_dir):
+    return _actions(analytics.consolidation_plan(memory(spark, sf_dir), CLOCK, 120)[0])
+
+
+@register(f"{_ACTIONS} SELECT coalesce(sum(CASE WHEN kind = 'review_orphan' THEN 0 ELSE len(ids) - 1 END), 0)::BIGINT AS projected_savings FROM top")
+def projected_savings(spark, sf_dir):
+    return analytics.consolidation_plan(memory(spark, sf_dir), CLOCK, 120)[1].select("projected_savings")
+
+
+# ---- context
+
+
+@register(f"{sql.view(T98, T98)} SELECT id, {sql.node_tokens()} AS tokens FROM nodes")
+def node_tokens(spark, sf_dir):
+    return memory(spark, sf_dir).visible_nodes(T98).select("id", node_tokens_of().alias("tokens"))
+
+
+@register(f"{sql.BASE} SELECT id, {sql.fact_tokens()} AS tokens FROM facts")
+def fact_token_counts(spark, sf_dir):
+    return derived.facts(spark, sf_dir).select("id", fact_tokens().alias("tokens"))
+
+
+REQUEST = context.ContextRequest(("customer:4", "customer:8"), T98, T98, 2000, max_depth=2, relations=("located_in", "supports", "supported_by"))
+SCOPED = context.ContextRequest(("customer:3",), T98, T98, 2000, max_depth=2, relations=("supports", "supported_by", "located_in"), branches=("main",))
+_CONTEXT = f"""{sql.view(T98, T98)}, ok AS (SELECT * FROM view_facts WHERE relation IN ('located_in', 'supports', 'supported_by')),
+e AS (SELECT source AS a, target AS b FROM ok UNION SELECT target, source FROM ok),
+walk(entity, depth) AS (SELECT * FROM (VALUES ('customer:4', 0), ('customer:8', 0)) UNION SELECT b, depth + 1 FROM walk JOIN e ON a = entity WHERE depth < 2),
+reach AS (SELECT entity, min(depth) AS depth FROM walk GROUP BY entity),
+candidates AS (SELECT ok.*, least(r1.depth, r2.depth) AS distance FROM ok JOIN reach r1 ON r1.entity = source JOIN reach r2 ON r2.entity = target),
+nt AS (SELECT id AS nid, {sql.node_tokens()} AS nt FROM nodes),
+ranked AS (SELECT *, {sql.fact_tokens()} AS ft, row_number() OVER (ORDER BY distance, confidence DESC, recorded_at DESC, id) AS n FROM candidates),
+priced AS (SELECT n, id, source, target, ft, a.nt AS snt, b.nt AS tnt FROM ranked JOIN nt a ON a.nid = source JOIN nt b ON b.nid = target),
+pack(n, used, taken, facts, omitted) AS (
+  SELECT 0::BIGINT, (SELECT sum(nt) FROM nt WHERE nid IN ('customer:4', 'customer:8'))::BIGINT, ['customer:4', 'customer:8'], []::VARCHAR[], 0::BIGINT
+  UNION ALL
+  SELECT q.n, CASE WHEN fits THEN used + price ELSE used END, CASE WHEN fits THEN list_distinct(list_concat(taken, [q.source, q.target])) ELSE taken END,
+         CASE WHEN fits THEN list_append(facts, q.id) ELSE facts END, CASE WHEN fits THEN omitted ELSE omitted + 1 END
+  FROM (SELECT p.*, pack.used, pack.taken, pack.facts, pack.omitted,
+               p.ft + CASE WHEN list_contains(pack.taken, p.source) THEN 0 ELSE p.snt END + CASE WHEN list_contains(pack.taken, p.target) THEN 0 ELSE p.tnt END AS price,
+               pack.used + p.ft + CASE WHEN list_contains(pack.taken, p.source) THEN 0 ELSE p.snt END + CASE WHEN list_contains(pack.taken, p.target) THEN 0 ELSE p.tnt END <= 2000 AS fits
+        FROM pack JOIN priced p ON p.n = pack.n + 1) q
+), final AS (SELECT * FROM pack ORDER BY n DESC LIMIT 1)"""
+
+
+@register(f"{_CONTEXT} SELECT id, distance FROM candidates")
+def context_candidates(spark, sf_dir):
+    view = _kept_view(spark, sf_dir)
+    seeds = spark.createDataFrame([(0, s) for s in REQUEST.seeds], "request bigint, entity string")
+    return context.neighbourhood(view, seeds, REQUEST).candidates.select("id", "distance")
+
+
+@register(
+    f"""{sql.view(T98, T98)}, ok AS (SELECT * FROM view_facts WHERE relation IN ('located_in', 'supports', 'supported_by')),
+open AS (SELECT id FROM nodes WHERE branch = 'main'), e AS (SELECT source AS a, target AS b FROM ok UNION SELECT target, source FROM ok),
+walk(entity, depth) AS (SELECT 'customer:3', 0 UNION SELECT b, depth + 1 FROM walk JOIN e ON a = entity WHERE depth < 2 AND b IN (SELECT id FROM open)),
+reach AS (SELECT DISTINCT entity FROM walk)
+SELECT count(DISTINCT id) AS excluded FROM ok WHERE (source IN (FROM reach) AND target NOT IN (FROM open)) OR (target IN (FROM reach) AND source NOT IN (FROM open))"""
+)
+def context_excluded(spark, sf_dir):
+    view = _kept_view(spark, sf_dir)
+    seeds = spark.createDataFrame([(0, "customer:3")], "request bigint, entity string")
+    return context.neighbourhood(view, seeds, SCOPED).excluded.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("excluded"))
+
+
+@register(f"{_CONTEXT} SELECT unnest(facts) AS id, 'fact' AS kind FROM final UNION ALL SELECT unnest(taken), 'node' FROM final")
+def context_pack(spark, sf_dir):
+    bundle = context.compile_context(memory(spark, sf_dir), REQUEST)
+    return bundle.facts.select("id", F.lit("fact").alias("kind")).unionByName(bundle.nodes.select("id", F.lit("node").alias("kind")))
+
+
+@register(
+    f"{_CONTEXT} SELECT used AS estimated_tokens, len(facts) + omitted AS examined_facts, len(taken) AS selected_nodes, len(facts) AS selected_facts, omitted AS omitted_by_budget, 0 AS excluded_by_scope FROM final"
+)
+def context_receipt(spark, sf_dir):
+    receipt = context.compile_context(memory(spark, sf_dir), REQUEST).receipt
+    return receipt.select("estimated_tokens", "examined_facts", "selected_nodes", "selected_facts", "omitted_by_budget", "excluded_by_scope")
+
+
+# ---- retrieval
+
+
+def part_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three providers over customers: hits with ties, repeats and two channels."""
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    entity = F.concat(F.lit("customer:"), F.col("c_custkey").cast("string"))
+    hit = lambda name, channel, score: c.select(F.lit(name).alias("provider"), entity.alias("entity"), F.lit(channel).alias("channel"), score.cast("long").alias("score"))
+    k = F.col("c_custkey")
+    return hit("words", "lexical", k * 7 % 101).unionByName(hit("words", "literal", k * 5 % 101)).unionByName(hit("vectors", "semantic", k * 13 % 97)).unionByName(hit("mixed", "hybrid", k % 10))
+
+
+_HITS = """WITH hits AS (
+  SELECT 'words' AS provider, 'customer:' || c_custkey AS entity, 'lexical' AS channel, c_custkey * 7 % 101 AS score FROM customer
+  UNION ALL SELECT 'words', 'customer:' || c_custkey, 'literal', c_custkey * 5 % 101 FROM customer
+  UNION ALL SELECT 'vectors', 'customer:' || c_custkey, 'semantic', c_custkey * 13 % 97 FROM customer
+  UNION ALL SELECT 'mixed', 'customer:' || c_custkey, 'hybrid', c_custkey % 10 FROM customer
+), o AS (SELECT *, list_position(['literal', 'lexical', 'semantic', 'hybrid'], channel) AS ch FROM hits),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY provider, entity ORDER BY score DESC, ch) AS n FROM o) WHERE n = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY score DESC, entity, ch) AS rank FROM b),
+f AS (SELECT entity, provider, rank, 1000000000 // (60 + rank) AS contribution FROM r WHERE rank <= 40),
+s AS (SELECT entity, sum(contribution)::BIGINT AS fused_score, string_agg(provider || ':' || rank, ',' ORDER BY provider) AS sources FROM f GROUP BY entity)
+SELECT entity, fused_score, sources FROM s ORDER BY fused_score DESC, entity LIMIT 40"""
+
+
+@register(_HITS)
+def rrf_fusion(spark, sf_dir):
+    shown = F.array_join(F.transform("sources", lambda s: F.concat_ws(":", s["provider"], s["rank"].cast("string"))), ",")
+    return retrieval.fuse(part_hits(spark, sf_dir), 40).select("entity", "fused_score", shown.alias("sources"))
+
+
+#: Queries: every hundredth vector against all.
+@register(
+    """WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 100 = 0), s AS (
+  SELECT query_id, vec_id AS id, round(list_dot_product(v::DOUBLE[], embedding::DOUBLE[]) / sqrt(list_dot_product(v::DOUBLE[], v::DOUBLE[]) * list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * 1000000)::BIGINT AS score
+  FROM q, embeddings
+) SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM s) WHERE n <= 5"""
+)
+def semantic_topk(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = e.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("asked"))
+    # A fixed query set against all rows: queries are few and their number is checked.
+    if asked.count() > 100_000:
+        raise ValueError("too many queries to broadcast")
+    scored = e.join(F.broadcast(asked)).select("query_id", "id", F.round(retrieval.cosine(F.col("asked"), F.col("vector")) * 1_000_000).cast("long").alias("score"))
+    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return scored.withColumn("n", F.row_number().over(place)).filter("n <= 5").drop("n")
+
+
+# ---- linking
+
+
+def customer_mentions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """One input a customer with two mentions: its label in its scope, and its external id."""
+    c = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select("c_custkey", "c_name", "c_mktsegment")
+    k, none = F.col("c_custkey"), F.lit(None).cast("string")
+    kind = derived._of(derived.KIND, F.col("c_mktsegment"))
+    input_id = F.concat(F.lit("doc:"), k.cast("string"))
+    inputs = c.select(
+        input_id.alias("input_id"), F.lit("crm").alias("source"), F.concat("c_name", F.lit(" wrote")).alias("content"), F.col("c_mktsegment").alias("repository"), F.lit("main").alias("branch"),
+        F.lit(T97).cast("long").alias("occurred_at"), F.lit(T98).cast("long").alias("recorded_at"), F.lit("agent").alias("agent_id"), F.lit("s1").alias("session_id"), none.alias("locator"), none.alias("digest"),
+    )
+    empty = F.create_map().cast("map<string,string>")
+    hint = F.array().cast("array<struct<entity_id:string,confidence:int,source:string>>")
+    span = F.lit(None).cast("struct<start:int,end:int>")
+    mention = lambda n, label, kind_, attributes, aliases, conf: c.select(
+        input_id.alias("input_id"), F.lit(n).alias("ordinal"), F.lit(f"m{n}").alias("local_id"), kind_.alias("kind"), label.alias("label"), F.lit(conf).alias("confidence"), none.alias("stable_id"),
+        aliases.alias("aliases"), attributes.alias("attributes"), hint.alias("hints"), span.alias("span"),
+    )
+    no_alias = F.array().cast("array<string>")
+    external = F.create_map(F.lit("external_id.crm"), F.concat(F.lit("crm-"), k.cast("string")))
+    mentions = (
+        mention(0, F.upper(F.replace("c_name", F.lit("#"), F.lit("  "))), kind, empty, no_alias, 10_000)
+        .unionByName(mention(1, F.lit("someone"), kind, external, no_alias, 9_900))
+        .unionByName(mention(2, F.concat(F.lit("Stranger "), k.cast("string")), F.lit("Person"), empty, F.array(F.concat(F.lit("S"), k.cast("string"))), 9_000))
+    )
+    return inputs, mentions
+
+
+_LINKS = f"""{sql.BASE}, {sql.nodes(T98)}, m AS (
+  SELECT c_custkey AS k, 'doc:' || c_custkey AS input_id, c_mktsegment AS repo, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'decision' WHEN 'BUILDING' THEN 'inference' WHEN 'FURNITURE' THEN 'observation' WHEN 'HOUSEHOLD' THEN 'task' WHEN 'MACHINERY' THEN 'file' END AS kind,
+         trim(lower(regexp_replace(c_name, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))) AS key FROM customer WHERE c_custkey % 3 = 0
+), n AS (SELECT id, kind, repository, branch, ck, trim(lower(regexp_replace(label, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))) AS key FROM nodes),
+c AS (
+  SELECT input_id, 'm0' AS local_id, id AS entity_id, least(10000, greatest(0, 9000 + CASE WHEN repository = repo THEN 400 WHEN repository IS NULL THEN -300 ELSE -2000 END + CASE WHEN branch = 'main' THEN 200 WHEN branch IS NULL THEN -100 ELSE -700 END)) AS score,
+         CASE WHEN repository = repo OR branch = 'main' THEN 'scoped_label' ELSE 'label' END AS method FROM m JOIN n ON n.kind = m.kind AND n.key = m.key
+  UNION ALL
+  SELECT input_id, 'm1', id, least(9900, least(10000, 9700 + CASE WHEN repository = repo THEN 400 WHEN repository IS NULL THEN -300 ELSE -2000 END + CASE WHEN branch = 'main' THEN 200 WHEN branch IS NULL THEN -100 ELSE -700 END)), 'external_id' FROM m JOIN n ON n.kind = m.kind AND n.ck = m.k
+)"""
+
+
+@register(f"{_LINKS} SELECT * FROM c")
+def link_candidates(spark, sf_dir):
+    inputs, mentions = customer_mentions(spark, sf_dir)
+    return linking.Catalog.from_view(memory(spark, sf_dir).view(T98, T98)).candidates(mentions, inputs)
+
+
+@register(
+    f"""{_LINKS}, a AS (SELECT input_id, unnest(['m0', 'm1', 'm2']) AS local_id FROM m),
+d AS (SELECT a.input_id, a.local_id, c.entity_id, c.score, c.method FROM a LEFT JOIN c USING (input_id, local_id))
+SELECT input_id, local_id, CASE WHEN score >= 8000 THEN entity_id END AS entity_id, CASE WHEN score >= 8000 THEN score ELSE 0 END AS score, CASE WHEN score >= 8000 THEN method ELSE 'unresolved' END AS method FROM d"""
+)
+def link_decisions(spark, sf_dir):
+    inputs, mentions = customer_mentions(spark, sf_dir)
+    catalog = linking.Catalog.from_view(memory(spark, sf_dir).view(T98, T98))
+    return catalog.link(mentions, inputs, linking.LinkPolicy(create_unmatched=False))[0].drop("ordinal")
+
+
+@register("SELECT doc_id, trim(lower(regexp_replace(text, '[^\\p{L}\\p{N}\\p{M}]+', ' ', 'g'))) AS normal FROM documents")
+def normalized_keys(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", normalized(F.col("text")).alias("normal"))
+
+
+@register(
+    """WITH p AS (SELECT c_custkey, encode(c_name) AS b FROM customer), q AS (
+  SELECT c_custkey, list_concat(list_transform(range(8), lambda i: ((octet_length(b) >> (8 * i)) & 255)::INTEGER), list_transform(range(1, octet_length(b) + 1), lambda i: ('0x' || hex(b)[2 * i - 1:2 * i])::INTEGER)) AS bytes FROM p
+) SELECT c_custkey, printf('%016x', list_reduce(list_concat([14695981039346656037::HUGEINT], list_transform(bytes, lambda x: x::HUGEINT)), lambda a, x: ((xor(a, x) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT))) AS hash FROM q"""
+)
+def stable_hashes(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", stable_hash(F.col("c_name")).alias("hash"))
+
+
+class CustomerProvider:
+    """Extraction output made from customer_mentions, with one relation between two mentions."""
+
+    name = "customers"
+
+    def __init__(self, mentions: DataFrame):
+        self.mentions = mentions
+
+    def extract(self, inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        none = F.lit(None).cast("long")
+        relations = inputs.select(
+            "input_id", F.lit(0).alias("ordinal"), F.lit("r0").alias("local_id"), F.lit("m0").alias("source"), F.lit("knows").alias("relation"), F.lit("m2").alias("target"), F.lit(9_500).alias("confidence"),
+            none.alias("valid_from"), none.alias("valid_until"), F.lit(None).cast("struct<start:int,end:int>").alias("span"),
+        )
+        return self.mentions, relations
+
+
+@register(
+    f"""{_LINKS}, k AS (SELECT DISTINCT input_id, max(score) AS score FROM c WHERE local_id = 'm0' GROUP BY input_id)
+SELECT input_id, 'node_upserted' AS event_type, 9000 AS confidence, 1 AS n FROM m
+UNION ALL SELECT m.input_id, 'fact_recorded', CASE WHEN k.score >= 8000 THEN least(9000, k.score) ELSE 9000 END, 1 FROM m LEFT JOIN k USING (input_id)
+UNION ALL SELECT m.input_id, 'node_upserted', 10000, 1 FROM m LEFT JOIN k USING (input_id) WHERE coalesce(k.score, 0) < 8000"""
+)
+def extraction_events(spark, sf_dir):
+    """Kinds of planned events by input; a node's confidence is that of its mention."""
+    inputs, mentions = customer_mentions(spark, sf_dir)
+    catalog = linking.Catalog.from_view(memory(spark, sf_dir).view(T98, T98))
+    done = linking.plan(CustomerProvider(mentions), inputs, catalog)
+    score = done.links.filter("method = 'created'").select("input_id", F.col("entity_id").alias("node_id"), "score")
+    rows = done.events.withColumn("node_id", F.col("payload.node.id")).join(score, ["input_id", "node_id"], "left")
+    return rows.select("input_id", "event_type", F.coalesce("payload.fact.confidence", "score").alias("confidence"), F.lit(1).alias("n"))
+
+
+# ---- evaluation
+
+
+def benchmark_cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each benchmark item asks with its first words for itself, in groups of ten items."""
+    b = table(spark, sf_dir, "benchmark")
+    group = F.expr("item_id div 10").cast("string")
+    documents = b.select(group.alias("group_id"), F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("id"), "text")
+    words = F.slice(F.split("text", " "), 1, 4)
+    cases = b.select(
+        F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("id"), group.alias("group_id"), F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("category"), F.array_join(words, " ").alias("query"),
+        F.array(F.concat(F.lit("b"), F.col("item_id").cast("string"))).alias("relevant_ids"),
+    )
+    return documents, cases
+
+
+_LITERAL = """WITH d AS (SELECT (item_id // 10)::VARCHAR AS group_id, 'b' || item_id AS id, item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}\\p{M}]+'), lambda t: strlen(t) > 1)) AS t FROM benchmark),
+q AS (SELECT 'q' || item_id AS case_id, (item_id // 10)::VARCHAR AS group_id, item_id, list_distinct(list_filter(string_split_regex(lower(array_to_string(string_split(text, ' ')[1:4], ' ')), '[^\\p{L}\\p{N}\\p{M}]+'), lambda t: strlen(t) > 1)) AS w FROM benchmark),
+s AS (SELECT case_id, q.item_id, id, len(list_intersect(t, w)) AS score FROM q JOIN d USING (group_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, id) AS place FROM s)"""
+
+
+@register(f"{_LITERAL} SELECT case_id, string_agg(id, ',' ORDER BY place) AS ranked_ids FROM r WHERE place <= 5 GROUP BY case_id")
+def literal_ranking(spark, sf_dir):
+    documents, cases = benchmark_cases(spark, sf_dir)
+    return evaluation.literal_predictions(cases, documents, 5).select("case_id", joined("ranked_ids"))
+
+
+@register(
+    f"""{_LITERAL}, hit AS (SELECT case_id, CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category, min(place) FILTER (id = 'b' || item_id AND place <= 5) AS p FROM r GROUP BY case_id, item_id),
+x AS (SELECT *, unnest([1, 5]) AS cutoff FROM hit)
+SELECT category, cutoff, count(*) AS cases, round(avg((coalesce(p, 99) <= cutoff)::INT), 9) AS hit, round(avg((coalesce(p, 99) <= cutoff)::INT), 9) AS recall,
+       round(avg(CASE WHEN coalesce(p, 99) <= cutoff THEN 1 / log2(p + 1) ELSE 0 END), 9) AS ndcg, round(avg(coalesce(1.0 / p, 0)), 9) AS mrr
+FROM x GROUP BY GROUPING SETS ((cutoff), (category, cutoff))"""
+)
+def retrieval_metrics(spark, sf_dir):
+    documents, cases = benchmark_cases(spark, sf_dir)
+    predictions = materialize(evaluation.literal_predictions(cases, documents, 5), "predictions")
+    metrics = evaluation.evaluate(cases, predictions, [1, 5])
+    return metrics.select("category", "cutoff", "cases", *[F.round(c, 9).alias(c) for c in ("hit", "recall", "ndcg", "mrr")])
+
+
+@register(
+    """SELECT conv_id::VARCHAR AS group_id, conv_id || '::session::s0' AS id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id"""
+)
+def dialog_documents(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    turns = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
+    none = F.lit(None).cast("string")
+    rows = c.groupBy("conv_id").agg(F.array(turns).alias("haystack_sessions"))
+    rows = rows.select(
+        F.col("conv_id").cast("string").alias("question_id"), F.lit("single").alias("question_type"), none.alias("question"), F.array(F.lit("s0")).alias("haystack_session_ids"), "haystack_sessions",
+        F.array(F.lit("s0")).alias("answer_session_ids"),
+    )
+    return evaluation.sessions(rows)[0]
+
+
+@register(
+    """WITH a AS (SELECT 'l' || l_orderkey || '-' || l_linenumber AS id, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_extendedprice) AS n FROM lineitem)
+SELECT 'DuplicateEvent' AS error, id AS detail FROM a GROUP BY id HAVING count(*) > 1"""
+)
+def restore_problems(spark, sf_dir):
+    """A log whose ids repeat (order lines) in one stream, otherwise contiguous."""
+    l = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("l"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("id"), "l_extendedprice", "l_quantity")
+    placed = with_positions(l, ["id", "l_extendedprice", "l_quantity"], "global_position")
+    return event_log.position_problems(placed.select("id", "global_position", F.lit("lines").alias("stream_id"), F.col("global_position").alias("stream_version")))
+
+
