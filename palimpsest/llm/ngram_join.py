@@ -10,9 +10,12 @@ shared shingles; only counts that reach the bound which the two sizes set are li
    share one of these columns. (Which order it is doesn't matter for the result.)
 2. Blocks. A column is cut into overlapping classes of size, as linked sets differ by a quarter at
    most. Instead of all pairs in a block, each node is multiplied with the block's pivot, the node
-   with most frequent shingles, so a block of m nodes costs m - 1 products. A full product counts
-   the overlap; pairs below the bound are no links.
-3. What a pivot p leaves open are pairs (x, y) of its column of which one is not linked to p. They
+   with most frequent shingles, so a block of m nodes costs m - 1 products. Most pairs met by
+   chance: the product of their prefixes alone bounds the overlap from above (what both have in
+   common so far, and what is left of the shorter rest), and pairs below the bound are discarded.
+   A full product counts the overlap of the others.
+3. What a pivot p leaves open are pairs (x, y) of a block of its of three or more nodes of which one
+   is not linked to p. They
    differ from p by known sets D(x), D(y), and as |A & B| follows from |D(x) & D(y)|, these sets
    are the rows of a smaller product with a size-derived bound of its own. Their prefixes are the
    columns of the next round, until no column is left; after `rounds` rounds the pairs of the
@@ -269,21 +272,22 @@ def release(spark: SparkSession) -> None:
 
 
 def multiply(pairs: DataFrame, sets: DataFrame, with_columns: bool) -> DataFrame:
-    """pairs (node, pivot) with is_link and, for the next round, the prefix of the difference."""
+    """pairs (node, pivot, is_wide) with is_link and, for the next round, the prefix of the difference
+    of wide ones."""
     own = some(sets, pairs, "node").select("node", F.col("hashes").alias("a"))
     other = some(sets, pairs, "pivot").select(F.col("node").alias("pivot"), F.col("hashes").alias("b"))
-    rows = pairs.join(own, "node").join(other, "pivot").select("node", "pivot", "a", "b")
+    rows = pairs.join(own, "node").join(other, "pivot").select("node", "pivot", "is_wide", "a", "b")
 
     def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for node, pivot, a, b in zip(batch["node"], batch["pivot"], batch["a"], batch["b"], strict=True):
+            for node, pivot, wide, a, b in zip(batch["node"], batch["pivot"], batch["is_wide"], batch["a"], batch["b"], strict=True):
                 x, p = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
                 at = np.searchsorted(p, x)
                 both = p[np.minimum(at, len(p) - 1)] == x
                 shared = int(both.sum())
                 link, columns = linked(len(x), len(p), shared), None
-                if with_columns:
+                if with_columns and wide:
                     lost = np.ones(len(p), bool)
                     lost[at[both]] = False
                     apart = np.concatenate([x[~both], p[lost]])
@@ -297,24 +301,61 @@ def multiply(pairs: DataFrame, sets: DataFrame, with_columns: bool) -> DataFrame
 
 def shared(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Of cells (node, *keys, is_open, ...): the blocks with two nodes and an open one, with pivot,
-    the greatest open node."""
+    the greatest open node, and is_wide, where the block has more than the two."""
     block = Window.partitionBy(*keys)
     lead = F.max(F.when(F.col("is_open"), F.col("node"))).over(block)
-    held = cells.withColumns({"pivot": lead, "_low": F.min("node").over(block), "_high": F.max("node").over(block)})
+    held = cells.withColumns({"pivot": lead, "_low": F.min("node").over(block), "_high": F.max("node").over(block), "is_wide": F.count(F.lit(1)).over(block) > 2})
     return held.filter("pivot IS NOT NULL AND _low <> _high").drop("_low", "_high")
 
 
 def size_blocks(cells: DataFrame) -> DataFrame:
     """First-round blocks. A node is open in the class of its size and stands in the next class
     too, not open, for partners there; sizes of linked sets are a class apart at most."""
-    met = materialize(shared(cells, ["column"]).drop("pivot"), "met")
+    met = materialize(shared(cells, ["column"]).drop("pivot", "is_wide"), "met")
     size = F.floor(F.log("n") / math.log(1.26)).cast("int")
     spread = met.withColumn("size", size).withColumn("step", F.explode(F.array(F.lit(0), F.lit(1))))
     spread = spread.select("node", "column", (F.col("size") + F.col("step")).alias("size"), (F.col("step") == 0).alias("is_open"))
-    return shared(spread, ["column", "size"]).select("node", F.xxhash64("column", "size").alias("column"), "is_open", "pivot")
+    return shared(spread, ["column", "size"]).select("node", F.xxhash64("column", "size").alias("column"), "is_open", "pivot", "is_wide")
 
 
-def links(docs: DataFrame, rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def may_link(a: np.ndarray, n: int, b: np.ndarray, m: int, frequent: np.ndarray) -> bool:
+    """False where the prefixes a and b (in global order) of sets of n and m prove that they can't
+    be linked: common columns up to where the shorter-reaching prefix ends, and the smaller rest."""
+
+    def often(x: np.ndarray) -> np.ndarray:
+        return np.isin(x, frequent, assume_unique=True)
+
+    fa, fb = often(a), often(b)
+    last = min((bool(fa[-1]), a[-1]), (bool(fb[-1]), b[-1]))
+    upto = lambda x, f: x[(f < last[0]) | ((f == last[0]) & (x <= last[1]))]
+    a, b = upto(a, fa), upto(b, fb)
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return linked(n, m, common + min(n - len(a), m - len(b)))
+
+
+def discard(pairs: DataFrame, rows: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """pairs (node, pivot, is_wide) without those that are not wide and that may_link() excludes."""
+    known = pairs.sparkSession.sparkContext.broadcast(frequent)
+    narrow = pairs.filter("NOT is_wide")
+    both = narrow.select("node").union(narrow.select("pivot"))
+    prefixes = some(rows.filter("columns IS NOT NULL").select("node", "n", "columns"), both, "node").dropDuplicates(["node"])
+    prefixes = materialize(prefixes, "prefixes")
+    own = prefixes.select("node", F.col("n").alias("an"), F.col("columns").alias("a"))
+    other = some(prefixes, narrow, "pivot").select(F.col("node").alias("pivot"), F.col("n").alias("bn"), F.col("columns").alias("b"))
+    met = narrow.join(own, "node").join(other, "pivot").select("node", "pivot", "is_wide", "an", "a", "bn", "b")
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            good = [
+                may_link(np.asarray(a, np.int64).view(np.uint64), n, np.asarray(b, np.int64).view(np.uint64), m, known.value)
+                for a, n, b, m in zip(batch["a"], batch["an"], batch["b"], batch["bn"], strict=True)
+            ]
+            yield batch.loc[good, ["node", "pivot", "is_wide"]]
+
+    return pairs.filter("is_wide").unionByName(met.mapInPandas(keep, "node bigint, pivot bigint, is_wide boolean"))
+
+
+def links(docs: DataFrame, rows: DataFrame, frequent: np.ndarray, rounds: int = ROUNDS) -> DataFrame:
     """(node, pivot) of links that connect what any links connect. rows: NODE rows."""
     spark = docs.sparkSession
     cells = rows.filter("columns IS NOT NULL").select("node", "n", F.explode("columns").alias("column"), F.lit(True).alias("is_open"))
@@ -328,10 +369,13 @@ def links(docs: DataFrame, rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         if last:
             rest = materialize(held.select("node", "column", "is_open"), "rest")
             other = rest.select(F.col("node").alias("pivot"), "column", F.col("is_open").alias("other_open"))
-            held = rest.join(other, "column").filter("node < pivot AND (is_open OR other_open)")
-        pairs = materialize(held.filter("node <> pivot").select("node", "pivot").distinct(), "pairs")
+            held = rest.join(other, "column").filter("node < pivot AND (is_open OR other_open)").withColumn("is_wide", F.lit(False))
+        pairs = materialize(held.filter("node <> pivot").groupBy("node", "pivot").agg(F.max("is_wide").alias("is_wide")), "pairs")
         del held
         release(spark)
+        if round_ == 0:
+            pairs = materialize(discard(pairs, rows, frequent), "pairs")
+            release(spark)
         if pairs.isEmpty():
             break
         if sets is None:
@@ -344,8 +388,8 @@ def links(docs: DataFrame, rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         found.append(done.filter("is_link").select("node", "pivot"))
         if last:
             break
-        open_pivots = done.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"), F.count_if(~F.col("is_link")).alias("open")).filter("open > 0 AND m > 1").select("pivot")
-        cells = done.join(open_pivots, "pivot").select("node", (~F.col("is_link")).alias("is_open"), F.explode("columns").alias("column"))
+        open_pivots = done.filter("columns IS NOT NULL").groupBy("pivot").agg(F.count(F.lit(1)).alias("m"), F.count_if(~F.col("is_link")).alias("open")).filter("open > 0 AND m > 1").select("pivot")
+        cells = done.filter("columns IS NOT NULL").join(open_pivots, "pivot").select("node", (~F.col("is_link")).alias("is_open"), F.explode("columns").alias("column"))
     out = spark.createDataFrame([], "node bigint, pivot bigint")
     for part in found:
         out = out.union(part)
@@ -373,9 +417,10 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, rounds: int = ROUNDS, bits: int = NODE_BITS) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
-    rows = nodes(docs, frequent_shingles(docs), bits)
+    frequent = frequent_shingles(docs)
+    rows = nodes(docs, frequent, bits)
     ids = rows.filter("doc_id IS NOT NULL AND node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
-    labels = components(docs.sparkSession, links(docs, rows, rounds))
+    labels = components(docs.sparkSession, links(docs, rows, frequent, rounds))
     grouped = ids.join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     least = grouped.groupBy("label").agg(F.min("first").alias("component"))
     of_node = materialize(grouped.join(least, "label").select("node", "component"), "components")

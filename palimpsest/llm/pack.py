@@ -27,11 +27,11 @@ from __future__ import annotations
 import json
 import os
 import random
-import re
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -48,16 +48,24 @@ ISLANDS = 2
 EPOCHS = 2
 #: Bins with more free tokens than this share of the capacity are packed again across blocks.
 SLACK = 1 / 64
-MAX_CACHED_WORDS = 400_000
-_ODD = re.compile("[\x1c-\x1fΣ]")
+#: A worker forgets what it has learned beyond so many words (about 400 bytes each).
+MAX_CACHED_WORDS = 600_000
+#: Marks that end a word.
+MARKS = ".,;:!?"
+#: In texts with these the parts of a text could depend on each other.
+ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "Σ")
 PIECE = "uid bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
 class _Words(dict):
-    """Numbers words as they come."""
+    """Numbers words as they come, and keeps the new ones aside."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
 
     def __missing__(self, word: str) -> int:
         self[word] = number = len(self)
+        self.new.append(word)
         return number
 
 
@@ -85,19 +93,31 @@ class WordEncoder:
         return cls._cached[path]
 
     def reset(self) -> None:
-        self.words, self.known = _Words(), 0
+        """Forget all words. A word is a stem and a mark behind it, both numbered among the stems;
+        number 0 is the empty one."""
+        self.words, self.stems = _Words(), _Words()
+        self.word_parts = np.zeros((0, 2), np.int32)
         self.sizes, self.starts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        for mark in ("", *MARKS):
+            self.stems[mark]
+        self._learn_stems()
+
+    def _learn_stems(self) -> None:
+        new, self.stems.new = self.stems.new, []
+        ids = [e.ids for e in self.bare.encode_batch_fast(new, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
 
     def learn(self) -> None:
-        """Encode the words seen since the last call."""
-        if self.known < len(self.words):
-            new = list(self.words)[self.known :]
-            ids = [e.ids for e in self.bare.encode_batch_fast(new, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))])
-            self.known = len(self.words)
+        """Encode what was seen since the last call. A mark behind letters is a piece of its own."""
+        new, self.words.new = self.words.new, []
+        if new:
+            number, none = self.stems.__getitem__, 0
+            parts = [(number(w[:-1]), number(w[-1])) if w[-1] in MARKS and w[:-1].isalpha() else (number(w), none) for w in new]
+            self._learn_stems()
+            self.word_parts = np.concatenate([self.word_parts, np.array(parts, np.int32)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.words) > MAX_CACHED_WORDS:
@@ -105,20 +125,21 @@ class WordEncoder:
         number, coded = self.words.__getitem__, []
         for text in texts:
             lowered = (text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)).lower()
-            if _ODD.search(text) or ("<|" in lowered and any(s in lowered for s in self.special)):
+            if any(c in text for c in ODD) or ("<|" in lowered and any(s in lowered for s in self.special)):
                 coded.append(self.whole.encode(text, add_special_tokens=False).ids)
             else:
                 words = lowered.split()
-                coded.append(np.fromiter(map(number, words), np.int64, len(words)))
+                coded.append(np.fromiter(map(number, words), np.int32, len(words)))
         self.learn()
         out = []
         for code in coded:
             if isinstance(code, list):
                 out.append(np.array(code, np.uint32))
                 continue
-            sizes = self.sizes[code]
+            parts = self.word_parts[code].ravel()
+            sizes = self.sizes[parts]
             ends = np.cumsum(sizes)
-            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[code] - (ends - sizes), sizes)
+            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[parts] - (ends - sizes), sizes)
             out.append(self.flat[at])
         return out
 

@@ -260,8 +260,10 @@ def learn(docs: DataFrame, text: str = "text", max_sample: int = MAX_SAMPLE) ->
             rows = [(features, tags) for body in batch.body for features, tags in tagged(body, [(a, b) for _, a, b in base_spans(body)])]
             yield pd.DataFrame(rows, columns=["features", "tags"])
 
-    body = F.col(f"`{text}`").alias("body")
-    some = docs.select(body).filter(F.col("body").rlike("[0-9]")).orderBy(F.xxhash64("body"), "body").limit(max_sample)
+    bodies = docs.select(F.col(f"`{text}`").alias("body")).filter(F.col("body").rlike("[0-9]")).withColumn("hash", F.xxhash64("body"))
+    # Only hashes travel to one place; the texts below the greatest of them follow from where they are.
+    bound = bodies.select("hash").distinct().orderBy("hash").limit(max_sample).agg(F.max("hash")).first()[0]
+    some = bodies.filter(F.col("hash") <= F.lit(bound)).dropDuplicates(["hash"]).select("body")
     schema = "features array<array<string>>, tags array<int>"
     rows = some.mapInPandas(sequences, schema).orderBy(F.xxhash64("features")).limit(2 * max_sample).collect()
     found = [([list(f) for f in r["features"]], list(r["tags"])) for r in rows if len(r["tags"]) <= 200]
