@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import toxicity
 
-DIR = "/root/testdata/sf0.01"
+DIR = "/root/testdata/sf0.1"
 DOCS, LABELS = "doc_id bigint, text string", "doc_id bigint, toxic int"
 
 
@@ -26,7 +26,7 @@ def test_held_out_accuracy(scored):
     test = scored[scored.held_out & scored.toxic.notna()]
     good, bad = test[test.toxic == 0].score, test[test.toxic == 1].score
     auc = sum((bad > g).mean() + (bad == g).mean() / 2 for g in good) / len(good)
-    assert auc >= 0.95 and (good >= 0.5).mean() <= 0.03 and (bad >= 0.5).mean() >= 0.8
+    assert auc >= 0.95 and (good >= 0.5).mean() <= 0.01 and (bad >= 0.5).mean() >= 0.8
 
 
 def test_held_out_labels_are_not_learnt(spark):
