@@ -12,6 +12,7 @@ import uuid
 from dataclasses import dataclass
 from enum import Enum
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,12 +78,16 @@ class EventLog:
         found = []
         for name in self._names("manifests"):
             stream = self._fs.open(self._fs_path(f"{self.path}/manifests/{name}"))
-            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-            stream.close()
             try:
-                found.append(json.loads(text))
+                found.append(json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
             except ValueError as error:
                 raise Corruption(f"manifest {name} is damaged") from error
+            except Py4JJavaError as error:
+                if "ChecksumException" not in str(error.java_exception):
+                    raise
+                raise Corruption(f"manifest {name} does not match its checksum") from error
+            finally:
+                stream.close()
         if [m["number"] for m in found] != list(range(len(found))):
             raise Corruption("manifests are not contiguous")
         return found
