@@ -49,6 +49,7 @@ from palimpsest.llm.common import materialize, pick
 
 WORDS = 5
 ROUNDS = 4
+SLICES = 4
 #: The frequent shingles that every task knows, at most (8 bytes each); the rest go by hash alone.
 MAX_FREQUENT = 1 << 17
 #: A task reports a shingle that so many of its documents have.
@@ -123,8 +124,8 @@ def _sets(parts: list[bytes]) -> list[np.ndarray]:
         if b - a >= WORDS:
             sets.append(np.unique(long[a : b - WORDS + 1]))
         elif b > a:
-            whole = (_PLACE[: b - a] * words[a:b]).sum(dtype=np.uint64) + _PLACE[WORDS] * np.uint64(b - a)
-            sets.append(_mix(np.array([whole], np.uint64)))
+            whole = (_PLACE[: b - a] * words[a:b]).sum(dtype=np.uint64, keepdims=True)
+            sets.append(_mix(whole + _PLACE[WORDS:] * np.array([b - a], np.uint64)))
         else:
             sets.append(np.zeros(0, np.uint64))
     return sets
@@ -232,8 +233,8 @@ def nodes(docs: DataFrame, frequent: np.ndarray, bits: int = NODE_BITS) -> DataF
 
     rows = materialize(pick(docs, "doc_id", "text").mapInPandas(make, NODE), "nodes")
     collided = rows.groupBy("node").agg(F.min("second").alias("s1"), F.max("second").alias("s2")).filter("s1 <> s2")
-    collided = materialize(collided.select("node", F.lit(True).alias("collided")), "collided")
-    if collided.isEmpty():
+    collided = collided.select("node", F.lit(True).alias("collided"))
+    if not collided.count():
         return rows
     apart = F.shiftrightunsigned(F.xxhash64("node", "second"), 64 - NODE_BITS)
     top = F.shiftleft(F.shiftrightunsigned("node", NODE_BITS), NODE_BITS)
@@ -299,6 +300,18 @@ def multiply(pairs: DataFrame, sets: DataFrame, with_columns: bool) -> DataFrame
     return rows.mapInPandas(product, "node bigint, pivot bigint, is_link boolean, columns array<bigint>")
 
 
+def sliced_products(pairs: DataFrame, sets: DataFrame, with_columns: bool) -> DataFrame:
+    """multiply() in `SLICES` parts of the pivots, one after the other, so that the shuffle files of
+    one part only stand on the disks at a time."""
+    part = F.pmod(F.xxhash64("pivot"), F.lit(SLICES))
+    out = None
+    for number in range(SLICES):
+        done = materialize(multiply(pairs.filter(part == number), sets, with_columns), "products")
+        out = done if out is None else out.unionByName(done)
+        release(pairs.sparkSession)
+    return out
+
+
 def shared(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Of cells (node, *keys, is_open, ...): the blocks with two nodes and an open one, with pivot,
     the greatest open node, and is_wide, where the block has more than the two."""
@@ -383,8 +396,7 @@ def links(docs: DataFrame, rows: DataFrame, frequent: np.ndarray, rounds: int =
             sets = sets_of(docs, places.join(used, "node").select("doc_id", "node", "second"))
             sets = materialize(sets.dropDuplicates(["node"]) if repeats else sets, "sets")
             release(spark)
-        done = materialize(multiply(pairs, sets, not last), "products")
-        release(spark)
+        done = sliced_products(pairs, sets, not last)
         found.append(done.filter("is_link").select("node", "pivot"))
         if last:
             break
@@ -399,20 +411,19 @@ def links(docs: DataFrame, rows: DataFrame, frequent: np.ndarray, rounds: int =
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, label): the least node that edges (node, pivot) reach, for every node with an edge.
 
-    Each round every root goes to its least neighbour, twice; edges between what became one vanish."""
+    Each round every root goes to its least neighbour, twice; edges between what became one vanish.
+    Labels follow the rounds' steps once, at the end."""
     edges = materialize(edges.filter("node <> pivot").distinct(), "edges")
-    labels = materialize(edges.select("node").union(edges.select("pivot")).distinct().select("node", F.col("node").alias("label")), "labels")
+    labels = edges.select("node").union(edges.select("pivot")).distinct().select("node", F.col("node").alias("label"))
     while not edges.isEmpty():
         both = edges.union(edges.select("pivot", "node"))
         least = both.groupBy("node").agg(F.min("pivot").alias("to")).withColumn("to", F.least("node", "to"))
         hop = least.alias("a").join(least.select(F.col("node").alias("n2"), F.col("to").alias("to2")), F.col("to") == F.col("n2"), "left")
         step = materialize(hop.select("node", F.coalesce("to2", "to").alias("to")), "steps")
-        labels = materialize(
-            labels.join(step.select(F.col("node").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels"
-        )
+        labels = labels.join(step.select(F.col("node").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
         moved = edges.join(step.select("node", F.col("to").alias("u")), "node").join(step.select(F.col("node").alias("pivot"), F.col("to").alias("v")), "pivot")
         edges = materialize(moved.filter("u <> v").select(F.least("u", "v").alias("node"), F.greatest("u", "v").alias("pivot")).distinct(), "edges")
-    return labels
+    return materialize(labels, "labels")
 
 
 def join(docs: DataFrame, rounds: int = ROUNDS, bits: int = NODE_BITS) -> DataFrame:
