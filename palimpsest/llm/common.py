@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: So many rows at most go to a Python worker at once.
+BATCH_ROWS = 2_000
 #: White space of the word rule `[^\x20\x09-\x0D]+`, as a Java and Python character class body.
 SPACE = r"\x20\x09-\x0D"
 
@@ -19,11 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it. (On a cluster whose
-    machines don't have that folder, submit the package with --py-files.)"""
+    machines don't have that folder, submit the package with --py-files.) Batches are held to
+    BATCH_ROWS, as a batch of whole texts is in memory several times over."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -197,7 +197,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
                 for hashes in shingle_sets(batch.text.iloc[at : at + 512].tolist()):
                     held.append(hashes)
                     n += len(hashes)
-                if n > 6_000_000:
+                if n > 3_000_000:
                     yield counted()
                     held, n = [], 0
         yield counted()
