@@ -14,7 +14,9 @@ data keeps one surrogate through the corpus (coreference) and no one without the
 
 Collision check: over all distinct values of the corpus, no two may share a surrogate and no
 surrogate may equal a real value; values that do are drawn again with the next counter until none
-is left. Only distinct values and distinct entity lists travel; a text without entities is never
+is left. Forms of few surrogates grow with the counter, so that this ends however many values there
+are: names by a syllable a draw, e-mail domains by a longer keyed label; telephone numbers by a digit
+and IPv4 addresses into 2001:db8::/32 only after `ROOMY_DRAWS` draws in their own form. Only distinct values and distinct entity lists travel; a text without entities is never
 shuffled.
 
 Edge cases: null and empty texts have no entities and stay as they are. Repeated rows get equal
@@ -32,6 +34,8 @@ from palimpsest.llm.common import materialize
 #: Distinct entity lists are broadcast up to so many (a few hundred bytes each), else joined by shuffle.
 MAX_BROADCAST_LISTS = 20_000
 MAX_DRAWS = 32
+#: Telephone numbers and IPv4 addresses keep their form for so many draws.
+ROOMY_DRAWS = 8
 #: Titles with their gender, and given and family names by script.
 MALE_TITLES, FEMALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н"), ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа")
 NAMES = {
@@ -93,13 +97,14 @@ def reshape(key: Column, text: Column) -> Column:
     return F.array_join(F.transform(letters_of(text), one), "")
 
 
-def email_surrogate(key: Column, value: Column) -> Column:
+def email_surrogate(key: Column, value: Column, attempt: Column) -> Column:
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     labels = F.split(domain, r"\.")
     n = F.size(labels)
     front = F.when(n > 2, reshape(F.reverse(key), F.concat(F.array_join(F.slice(labels, 1, n - 2), "."), F.lit(".")))).otherwise("")
     end = F.when(F.element_at(labels, -1).isin("org", "net"), F.element_at(labels, -1)).otherwise("com")
-    return F.concat(reshape(key, local), F.lit("@"), front, F.lit("example."), end)
+    label = F.when(attempt > 0, F.concat(F.lit("x"), F.left(F.sha2(key, 256), F.least(2 * attempt, F.lit(62))), F.lit("."))).otherwise("")
+    return F.concat(reshape(key, local), F.lit("@"), front, label, F.lit("example."), end)
 
 
 def new_digits(key: Column, digits: Column, keep: Column) -> Column:
@@ -125,7 +130,7 @@ def card_digits(key: Column, digits: Column) -> Column:
 
 
 def weave(value: Column, digits: Column) -> Column:
-    """The value with its digits replaced in order, all other characters kept."""
+    """The value with its digits replaced in order, all other characters kept; digits beyond its own follow."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("k"))
 
     def step(a: Column, c: Column) -> Column:
@@ -135,15 +140,21 @@ def weave(value: Column, digits: Column) -> Column:
             (a["k"] + is_digit.cast("int")).alias("k"),
         )
 
-    return F.aggregate(letters_of(value), start, step, lambda a: a["out"])
+    return F.aggregate(letters_of(value), start, step, lambda a: F.concat(a["out"], F.substr(digits, a["k"], F.length(digits))))
 
 
-def ip_surrogate(key: Column) -> Column:
+def phone_digits(key: Column, digits: Column, attempt: Column) -> Column:
+    country = F.greatest(F.length(digits) - 10, F.lit(0))
+    return new_digits(key, F.concat(digits, F.repeat(F.lit("0"), F.greatest(attempt - ROOMY_DRAWS, F.lit(0)))), country)
+
+
+def ip_surrogate(key: Column, attempt: Column) -> Column:
     parts = [F.lit(240) + draw(key, F.lit(0), 15), *[draw(key, F.lit(i), 256) for i in (1, 2, 3)]]
-    return F.concat_ws(".", *[p.cast("string") for p in parts])
+    groups = [F.substr(key, F.lit(4 * i + 1), F.lit(4)) for i in range(6)]
+    return F.when(attempt > ROOMY_DRAWS, F.concat_ws(":", F.lit("2001:db8"), *groups)).otherwise(F.concat_ws(".", *[p.cast("string") for p in parts]))
 
 
-def name_surrogate(key: Column, value: Column) -> Column:
+def name_surrogate(key: Column, value: Column, attempt: Column) -> Column:
     title, rest = F.substring_index(value, " ", 1), F.regexp_replace(value, "^\\S+ ", "")
     male = F.regexp_replace(title, r"\.", "").isin(*MALE_TITLES)
     cyrillic = rest.rlike(r"\p{IsCyrillic}")
@@ -156,7 +167,10 @@ def name_surrogate(key: Column, value: Column) -> Column:
     ending = F.when(cyrillic, F.element_at(russian, draw(key, F.lit(2), 6) + 1)).otherwise(
         F.concat(F.element_at(syllables, draw(key, F.lit(2), 12) + 1), F.element_at(syllables, draw(key, F.lit(3), 12) + 1))
     )
-    name = F.when(rest.contains(" "), F.concat(given, F.lit(" "), family, ending)).otherwise(F.concat(family, ending))
+    more = lambda parts, n: F.transform(F.sequence(F.lit(1), attempt), lambda i: F.element_at(parts, draw(key, i + 3, n) + 1))
+    grown = F.when(attempt > 0, F.array_join(F.when(cyrillic, more(russian, 6)).otherwise(more(syllables, 12)), "")).otherwise("")
+    family = F.concat(family, grown, ending)
+    name = F.when(rest.contains(" "), F.concat(given, F.lit(" "), family)).otherwise(family)
     shown = F.when((rest == F.upper(rest)) & (F.length(rest) > 1), F.upper(name)).otherwise(name)
     return F.concat(title, F.lit(" "), shown)
 
@@ -164,13 +178,12 @@ def name_surrogate(key: Column, value: Column) -> Column:
 def surrogate(secret: str, kind: Column, value: Column, attempt: Column) -> Column:
     """The replacement of a normal form."""
     key = keyed(secret, kind, value, attempt)
-    country = F.greatest(F.length(value) - 10, F.lit(0))
     return (
-        F.when(kind == "email", email_surrogate(key, value))
-        .when(kind == "ip", ip_surrogate(key))
+        F.when(kind == "email", email_surrogate(key, value, attempt))
+        .when(kind == "ip", ip_surrogate(key, attempt))
         .when(kind == "card", card_digits(key, value))
-        .when(kind == "phone", new_digits(key, value, country))
-        .otherwise(name_surrogate(key, value))
+        .when(kind == "phone", phone_digits(key, value, attempt))
+        .otherwise(name_surrogate(key, value, attempt))
     )
 
 

@@ -73,6 +73,26 @@ def test_collisions_are_drawn_again(spark, monkeypatch):
     assert len({r.text for r in rows}) == len(values) and not {r.text for r in rows} & set(values)
 
 
+@pytest.mark.parametrize(
+    "values, form",
+    [
+        ([f"г-н {a}{b}ов" for a in ("Бел", "Вол", "Гор", "Дам", "Жук", "Зим") for b in ("ан", "ен", "ин", "он", "ун", "ын", "ар", "ер", "ир", "ор")], r"г-н [А-ЯЁ][а-яё]+"),
+        ([f"{'abcdefghij'[i % 10]}@site{i}.com" for i in range(100)], r"[a-z]@(x[0-9a-f]+\.)?example\.com"),
+    ],
+)
+def test_a_form_of_few_surrogates_grows(spark, values, form):
+    shown = [r.text for r in replaced(spark, values)]
+    assert len(set(shown)) == len(values) and not set(shown) & set(values)
+    assert all(re.fullmatch(form, x) for x in shown)
+
+
+def test_numbers_grow_after_their_own_form_is_used_up(spark):
+    late = F.lit(pii.ROOMY_DRAWS + 2)
+    row = spark.range(1).select(pii.surrogate(KEY, F.lit("phone"), F.lit("5551234"), late).alias("d"), pii.surrogate(KEY, F.lit("ip"), F.lit("10.1.2.3"), late).alias("ip"))
+    row = row.withColumn("shown", pii.weave(F.lit("555-1234"), F.col("d"))).first()
+    assert re.fullmatch(r"\d{3}-\d{6}", row.shown) and re.fullmatch(r"2001:db8(:[0-9a-f]{4}){6}", row.ip)
+
+
 def test_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, 5), (2, "", 5), (None, "a@b.com", 5), (3, "clean", 5), (3, "clean", 5), (4, "word " * 100_000 + "a@b.com", 5)], SCHEMA + ", n_entities int")
     docs = docs.withColumn("value", F.lit("clash")).withColumn("kind", F.lit("clash"))
