@@ -6,10 +6,12 @@ span. The place of the text inside the span comes from rendering the same turn w
 probe. A template whose longer output doesn't start with the shorter one rewrites history; such a
 conversation is marked and gets no loss mask.
 
-A conversation of any length streams through its task in turn order. It is rendered in parts of at
-most `window` turns, each with the last turn before it as context, so work grows with the number
-of turns and a part is the most that is held. (A digest over a conversation is a chain, so one
-conversation stays in one task.)
+The true prefixes are rendered, from the first turn on: a template may depend on any of them. One
+conversation is held and its work grows with the square of its turns. Only a template declared
+memoryless (what a turn appends depends on that turn alone, as in `instruct`) streams: it is rendered
+in parts of at most `window` turns, each with the last turn before it as context, so work grows with
+the number of turns and a part is the most that is held. (A digest over a conversation is a chain, so
+one conversation stays in one task.)
 
 Edge cases: null text is empty, null role is empty; turns go by (turn, role, text), nulls first,
 and repeated rows are turns of their own. A null conv_id is a conversation of its own. An empty
@@ -97,9 +99,11 @@ def locate(render: Callable[[Turns], str], context: Turns, turns: Turns) -> tupl
     return before[origin:], spans, rewrites
 
 
-def format_conversations(turns: DataFrame, render: Callable[[Turns], str] = instruct, window: int = 64) -> DataFrame:
-    """Rows of PART: a conversation's parts, in order, in one partition. The loss mask is the text
-    spans of the turns with role assistant."""
+def format_conversations(turns: DataFrame, render: Callable[[Turns], str] = instruct, window: int = 64, memoryless: bool | None = None) -> DataFrame:
+    """Rows of PART: a conversation's parts, in order, in one partition; one part only, unless the
+    template is memoryless (None: it is, if it is `instruct`). The loss mask is the text spans of the
+    turns with role assistant, and void where any part of the conversation has rewrites."""
+    whole = not (render is instruct if memoryless is None else memoryless)
     rows = pick(turns, "conv_id", "turn", "role", "text")
     rows = rows.withColumns({"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit(""))})
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
@@ -126,7 +130,7 @@ def format_conversations(turns: DataFrame, render: Callable[[Turns], str] = inst
                     flush()
                     conv, part, context, began = c, 0, [], True
                 held.append((role, text))
-                if len(held) >= window:
+                if not whole and len(held) >= window:
                     flush()
             yield taken()
         flush()
@@ -137,13 +141,15 @@ def format_conversations(turns: DataFrame, render: Callable[[Turns], str] = inst
 
 def read_back(parts: DataFrame, parse: Callable[[str], Turns] = parse_instruct) -> DataFrame:
     """One row a conversation from the output of format_conversations: digests of what the
-    formatted text says, and of the text under the loss mask."""
+    formatted text says, and of the text under the loss mask (none where any part has rewrites)."""
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         conv, state, done = None, None, []
 
         def close() -> None:
             if state:
+                if state["rewrites"]:
+                    state["loss_n"], state["loss"] = 0, hashlib.sha256()
                 done.append((conv, state["n"], state["turns"].hexdigest(), state["loss_n"], state["loss"].hexdigest(), state["chars"], state["rewrites"]))
 
         for batch in batches:

@@ -70,3 +70,32 @@ def test_read_back(spark, window):
 
 def test_empty_table(spark):
     assert c.read_back(c.format_conversations(spark.createDataFrame([], SCHEMA))).collect() == []
+
+
+LONG = [("user" if i % 2 == 0 else "assistant", f"turn {i}") for i in range(100)]
+
+
+@pytest.mark.parametrize(
+    "render, rewritten",
+    [
+        # A begin mark on the first turn only and numbered turns; turn 0 changes when turn 70 comes.
+        (lambda turns: "".join(("<begin>" if i == 0 else "") + f"{i}:{r}:{t};" for i, (r, t) in enumerate(turns)), False),
+        (lambda turns: "".join(f"{r}:{'gone' if i == 0 and len(turns) > 70 else t};" for i, (r, t) in enumerate(turns)), True),
+    ],
+)
+def test_long_conversations_are_rendered_from_their_true_prefixes(spark, render, rewritten):
+    turns = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(LONG)], SCHEMA)
+    parts = c.format_conversations(turns, render)
+    rows = sorted(parts.collect(), key=lambda x: x.part)
+    assert "".join(x.formatted for x in rows) == render(LONG) and all(x.rewrites == rewritten for x in rows)
+    if not rewritten:
+        assert [x.formatted[s.text_start : s.text_end] for x in rows for s in x.turns] == [t for _, t in LONG]
+    read = c.read_back(parts, lambda text: LONG).first()
+    assert read.rewrites == rewritten and read.loss_chars == (0 if rewritten else sum(len(t) for r, t in LONG if r == "assistant"))
+
+
+def test_rewrites_void_the_mask_of_earlier_parts(spark):
+    said = ("assistant", "said")
+    made = [(1, 0, "said", [("assistant", 0, 4, 0, 4)], False), (1, 1, "said", [("assistant", 0, 4, 0, 4)], True)]
+    read = c.read_back(spark.createDataFrame(made, c.PART).coalesce(1), lambda text: [said]).first()
+    assert (read.n_turns, read.loss_chars, read.loss_sha256, read.rewrites) == (2, 0, hashlib.sha256().hexdigest(), True)
