@@ -49,6 +49,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What tells rows apart by identifier and text: columns that with_row_key adds.
+ROW_KEY = ("_key_id", "_key_1", "_key_2")
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """docs with ROW_KEY: doc_id and 128 bits of the text's hash."""
+    return docs.withColumns(dict(zip(ROW_KEY, (F.col("doc_id"), F.xxhash64("text"), F.xxhash64(F.lit(1), "text")), strict=True)))
+
+
+def without(docs: DataFrame, bad: DataFrame, max_broadcast: int) -> DataFrame:
+    """The rows of docs whose ROW_KEY is not among bad's (24 bytes each), nulls being equal."""
+    small = bad.limit(max_broadcast + 1).count() <= max_broadcast
+    other = bad.select(*[F.col(k).alias(f"{k}_bad") for k in ROW_KEY])
+    same = F.lit(True)
+    for k in ROW_KEY:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_bad"))
+    return with_row_key(docs).join(F.broadcast(other) if small else other, same, "left_anti").drop(*ROW_KEY)
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; any further columns are ignored, whatever their names."""
     return df.select(*[F.col(f"`{n}`") for n in names])

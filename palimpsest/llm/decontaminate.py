@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import materialize
+from palimpsest.llm.common import ROW_KEY, materialize, with_row_key, without
 
 #: 1 counts, 0 is ignored.
 MASKS = ("1101101", "11010011", "1110111")
@@ -80,28 +80,33 @@ def best_stretch(doc: Column, item: Column, shift: Column) -> Column:
     return F.aggregate(item, F.struct(*zero), step, found)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH) -> DataFrame:
-    """One row for each contaminated document and item: doc_id, item_id, n_match, doc_start and
-    doc_stop (tokens of the longest agreeing stretch)."""
+def alignments(docs: DataFrame, benchmark: DataFrame, min_match: int, keys: tuple[str, ...]) -> DataFrame:
+    """keys, item_id, shift and best (a best_stretch) of each hit with enough agreeing tokens."""
     items = benchmark.select(F.col("item_id"), tokens(F.col("text")).alias("words"))
     seeds = with_seeds(items).groupBy("seed").agg(F.collect_list(F.struct("item_id", F.col("at").alias("item_at"), F.col("words").alias("item_words"))).alias("places"))
     seeds = materialize(seeds, "benchmark-seeds")
     small = seeds.limit(MAX_BROADCAST_SEEDS + 1).count() <= MAX_BROADCAST_SEEDS
-    windows = with_seeds(docs.select(F.col("doc_id"), tokens(F.col("text")).alias("words")))
+    windows = with_seeds(docs.select(*keys, tokens(F.col("text")).alias("words")))
     hits = windows.join(F.broadcast(seeds) if small else seeds, "seed")
-    hits = hits.select("doc_id", "words", "at", F.explode("places").alias("place"))
+    hits = hits.select(*keys, "words", "at", F.explode("places").alias("place"))
     shift = F.col("at") - F.col("place.item_at")
     aligned = hits.select(
-        "doc_id",
+        *keys,
         F.col("place.item_id").alias("item_id"),
         F.size("place.item_words").alias("item_size"),
         shift.alias("shift"),
         best_stretch(F.col("words"), F.col("place.item_words"), shift).alias("best"),
     )
     enough = F.least(F.lit(min_match), F.ceil(F.col("item_size") * 0.8).cast("int"))
+    return aligned.filter(F.col("best.n") >= enough)
+
+
+def find(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH) -> DataFrame:
+    """One row for each contaminated document and item: doc_id, item_id, n_match, doc_start and
+    doc_stop (tokens of the longest agreeing stretch)."""
     best = F.max(F.struct(F.col("best.n").alias("n"), (-F.col("shift") - F.col("best.start")).alias("start"), (F.col("shift") + F.col("best.stop")).alias("stop")))
     return (
-        aligned.filter(F.col("best.n") >= enough)
+        alignments(docs, benchmark, min_match, ("doc_id",))
         .groupBy("doc_id", "item_id")
         .agg(best.alias("b"))
         .select("doc_id", "item_id", F.col("b.n").alias("n_match"), (-F.col("b.start")).alias("doc_start"), F.col("b.stop").alias("doc_stop"))
@@ -114,3 +119,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH) ->
     bad = materialize(find(docs, benchmark, min_match).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
     small = bad.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
     return docs.join(F.broadcast(bad) if small else bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH) -> DataFrame:
+    """The documents without those whose own text holds a benchmark passage: rows that share a doc_id,
+    or have none, are judged one by one."""
+    bad = alignments(with_row_key(docs), benchmark, min_match, ROW_KEY).select(*ROW_KEY).distinct()
+    return without(docs, materialize(bad, "contaminated"), MAX_BROADCAST_IDS)

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import materialize, pick
+from palimpsest.llm.common import ROW_KEY, materialize, pick, with_row_key
 
 WORDS = 5
 ROUNDS = 4
@@ -228,8 +228,9 @@ def nodes(docs: DataFrame, frequent: np.ndarray, bits: int = NODE_BITS) -> DataF
                         ordered = np.concatenate([hashes[~often], hashes[often]])
                         columns = ordered[: prefix_length(len(hashes))].view(np.int64)
                     rows.append((doc_id, len(hashes), node, second, columns))
-                frame = pd.DataFrame(rows, columns=["doc_id", "n", "node", "second", "columns"])
-                yield frame.astype({"doc_id": "Int64", "node": "Int64", "second": "Int64"})
+                # As objects: beside a null, pandas would make floats of the numbers and round them.
+                frame = pd.DataFrame(rows, columns=["doc_id", "n", "node", "second", "columns"], dtype=object)
+                yield frame.astype({"doc_id": "Int64", "n": "int64", "node": "Int64", "second": "Int64"})
 
     rows = materialize(pick(docs, "doc_id", "text").mapInPandas(make, NODE), "nodes")
     collided = rows.groupBy("node").agg(F.min("second").alias("s1"), F.max("second").alias("s2")).filter("s1 <> s2")
@@ -426,13 +427,18 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return materialize(labels, "labels")
 
 
-def join(docs: DataFrame, rounds: int = ROUNDS, bits: int = NODE_BITS) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs."""
+def labelled(docs: DataFrame, rounds: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """NODE rows, and for each node of a doc_id: node, first (its least doc_id), label (of its component)."""
     frequent = frequent_shingles(docs)
     rows = nodes(docs, frequent, bits)
     ids = rows.filter("doc_id IS NOT NULL AND node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
     labels = components(docs.sparkSession, links(docs, rows, frequent, rounds))
-    grouped = ids.join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
+    return rows, ids.join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
+
+
+def join(docs: DataFrame, rounds: int = ROUNDS, bits: int = NODE_BITS) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs."""
+    rows, grouped = labelled(docs, rounds, bits)
     least = grouped.groupBy("label").agg(F.min("first").alias("component"))
     of_node = materialize(grouped.join(least, "label").select("node", "component"), "components")
     return rows.select("doc_id", "n", "node").join(of_node, "node", "left").select(
@@ -442,16 +448,39 @@ def join(docs: DataFrame, rounds: int = ROUNDS, bits: int = NODE_BITS) -> DataFr
     )
 
 
+def with_second(docs: DataFrame) -> DataFrame:
+    """docs with _second, the digest of the row's shingles (null if it has none)."""
+    keyed = with_row_key(docs)
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                part = batch.iloc[at : at + 512]
+                second = [_second_of(h.tobytes()) if len(h) else None for h in shingle_sets(part.text.tolist())]
+                yield part[list(ROW_KEY)].assign(_second=pd.array(second, "Int64"))
+
+    digests = pick(keyed, "text", *ROW_KEY).mapInPandas(make, ", ".join(f"{k} bigint" for k in (*ROW_KEY, "_second"))).distinct()
+    return keyed.join(digests, list(ROW_KEY)).select(*docs.columns, "_second")
+
+
 def keep_one(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """One document of each component stays, the one with the least doc_id (of the rows of that
-    doc_id one); rows with a null doc_id all stay."""
-    found = materialize(join(docs, rounds), "joined").filter("doc_id IS NOT NULL")
-    by_id = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("least"))
-    gone = materialize(by_id.filter("least <> doc_id").select("doc_id"), "gone")
+    """One row of each component stays, one with the least doc_id. Rows of one doc_id are judged each
+    by its own text; of those with equal shingles, or none, one stays. Rows with a null doc_id all stay."""
+    rows, grouped = labelled(docs, rounds, NODE_BITS)
+    keepers = grouped.groupBy("label").agg(F.min(F.struct("first", "node")).alias("k")).select("k.first", "k.node")
+    found = rows.filter("doc_id IS NOT NULL").select("doc_id", "node", "second").join(keepers, "node", "left")
+    stays = F.col("node").isNull() | F.coalesce(F.col("doc_id") == F.col("first"), F.lit(False))
+    found = materialize(found.select("doc_id", "second", stays.alias("stays")), "joined")
+    by_id = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or("stays").alias("stays"))
+    gone = materialize(by_id.filter("NOT stays").select("doc_id"), "gone")
     small = gone.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
     kept = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = materialize(by_id.filter("n > 1 AND least = doc_id").select("doc_id"), "repeated")
+    repeated = materialize(by_id.filter("n > 1 AND stays").select("doc_id"), "repeated")
     if repeated.isEmpty():
         return kept
-    several = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    several = with_second(kept.join(repeated, "doc_id", "left_semi").select(*docs.columns))
+    good = found.filter("stays").select("doc_id", F.col("second").alias("_second")).distinct()
+    good = good.select(F.col("doc_id").alias("_id"), F.col("_second").alias("_good"))
+    several = several.join(good, (F.col("doc_id") == F.col("_id")) & F.col("_second").eqNullSafe(F.col("_good")), "left_semi")
+    several = several.dropDuplicates(["doc_id", "_second"]).select(*docs.columns)
     return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(several)

@@ -117,15 +117,16 @@ def features(text: str, matcher) -> list[float]:
     ]
 
 
-def with_features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
-    """doc_id and features for each row."""
+def with_features(docs: DataFrame, lexicon: dict[str, float], carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, features and the columns (of longs) to carry for each row."""
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = build_matcher(lexicon)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "features": [features(t or "", matcher) for t in batch.text]})
+            made = {"doc_id": batch.doc_id.astype("Int64"), "features": [features(t or "", matcher) for t in batch.text]}
+            yield pd.DataFrame(made | {c: batch[c].astype("Int64") for c in carry})
 
-    return pick(docs, "doc_id", "text").mapInPandas(score, "doc_id bigint, features array<double>")
+    return pick(docs, "doc_id", "text", *carry).mapInPandas(score, ", ".join(["doc_id bigint, features array<double>", *(f"{c} bigint" for c in carry)]))
 
 
 def held_out() -> F.Column:
@@ -153,14 +154,14 @@ def learn_lexicon(labelled: DataFrame, max_words: int = MAX_LEARNED_WORDS) -> di
     return {w: 2.0 for w in INSULTS} | learned
 
 
-def score(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE, trees: int = 20, depth: int = 4, seed: int = 7) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of docs."""
+def score(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE, trees: int = 20, depth: int = 4, seed: int = 7, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted and the columns (of longs) to carry for each row of docs."""
     labelled = sample(docs, labels, max_sample)
     kinds = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows = pick(docs, "doc_id", "text")
+    rows = pick(docs, "doc_id", "text", *carry)
     if set(kinds) != {0, 1}:
         share = float(sum(n for k, n in kinds.items() if k == 1)) / max(1, sum(kinds.values()))
-        return rows.select("doc_id", held_out().alias("held_out"), F.lit(share).alias("score"), F.lit(int(share >= 0.5)).alias("predicted"))
+        return rows.select("doc_id", held_out().alias("held_out"), F.lit(share).alias("score"), F.lit(int(share >= 0.5)).alias("predicted"), *carry)
     lexicon = learn_lexicon(labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0))
     train = materialize(with_features(labelled, lexicon).join(labelled.select("doc_id", "toxic").distinct(), "doc_id"), "toxicity-train")
     train = train.select("doc_id", array_to_vector("features").alias("features"), F.col("toxic").cast("double").alias("label"))
@@ -168,6 +169,6 @@ def score(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE, tree
     trees = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.25, seed=seed, maxBins=48).fit(train.filter(fold != 0).repartition(4))
     raw = lambda df: trees.transform(df).withColumn("raw", vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction")
     calibrated = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score").fit(raw(train.filter(fold == 0)).select("raw", "label"))
-    scored = with_features(rows, lexicon).withColumn("features", array_to_vector("features"))
+    scored = with_features(rows, lexicon, carry).withColumn("features", array_to_vector("features"))
     scored = calibrated.transform(raw(scored)).withColumn("score", F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0)))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *carry)

@@ -105,6 +105,23 @@ def test_keep_one_leaves_the_least_of_each_component(spark):
     assert kept.count(None) == 2
 
 
+def test_keep_one_judges_rows_of_one_doc_id_by_their_texts(spark):
+    words = lambda x: " ".join(f"{x}{i}" for i in range(20))
+    rows = [(3, words("a")), (5, words("a")), (5, words("b")), (7, words("c")), (7, words("d")), (7, words("d").upper()), (8, None), (8, " "), (8, words("e")), (9, words("e")), (2, words("f")), (2, words("f") + " more")]
+    kept = sorted((r.doc_id, (r.text or "").lower().strip()) for r in ngram_join.keep_one(spark.createDataFrame(rows, SCHEMA)).collect())
+    kept = [(i, t if not t.startswith("f0 ") else "f") for i, t in kept]
+    assert kept == [(2, "f"), (3, words("a")), (5, words("b")), (7, words("c")), (7, words("d")), (8, ""), (8, words("e"))]
+
+
+def test_an_empty_text_beside_it_leaves_a_node_as_it_is(spark):
+    import numpy as np
+
+    text = " ".join(f"e{i}" for i in range(20))
+    rows = ngram_join.nodes(spark.createDataFrame([(1, None), (2, text)], SCHEMA).coalesce(1), np.array([], np.uint64)).collect()
+    alone = ngram_join.nodes(spark.createDataFrame([(2, text)], SCHEMA), np.array([], np.uint64)).first()
+    assert [(r.node, r.second) for r in rows if r.doc_id == 2] == [(alone.node, alone.second)]
+
+
 def test_discard_bound_keeps_every_linked_pair():
     import numpy as np
 

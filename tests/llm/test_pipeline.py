@@ -62,6 +62,20 @@ def test_all_that_stays_is_packed(spark, stages):
     assert sorted(map(str, corpus_pipeline.run(spark, DIR).drop("sequence_id", "offset").collect())) == sorted(map(str, stages[5].drop("sequence_id", "offset").collect()))
 
 
+def test_rows_are_judged_by_their_own_text(spark, monkeypatch):
+    """Of a doc_id, or of none, only the rows that are toxic or contaminated themselves go."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text")
+    item = spark.read.parquet(f"{DIR}/benchmark.parquet").first().text
+    verdict = lambda docs, labels, carry=(): docs.selectExpr("doc_id", "int(text = 'foul') AS predicted", *carry)
+    monkeypatch.setattr(toxicity, "score", verdict)
+    scored = [(None, "foul"), (None, "fine"), (-5, "foul"), (-5, "fine"), (-6, None)]
+    kept = corpus_pipeline.toxicity_stage(spark, spark.createDataFrame(scored, docs.schema), DIR)
+    assert sorted(map(str, texts(kept))) == sorted(map(str, [(None, "fine"), (-5, "fine"), (-6, None)]))
+    leaked = [(None, item), (None, "clean words"), (-5, item), (-5, "clean words"), (-6, None)]
+    kept = corpus_pipeline.benchmark_stage(spark, spark.createDataFrame(leaked, docs.schema), DIR)
+    assert sorted(map(str, texts(kept))) == sorted(map(str, [(None, "clean words"), (-5, "clean words"), (-6, None)]))
+
+
 def test_empty_table(spark, tmp_path):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
