@@ -6,11 +6,12 @@ data keeps one surrogate through the corpus (coreference) and no one without the
 
 * e-mail: letters and digits of the local part change class by class, the domain moves under a
   reserved name with the same number of labels in front;
-* telephone: the digits after the country code change, separators and length stay;
+* telephone: the digits after the country code change, separators and length stay; numbers behind a
+  plus, national ones behind a zero, three separated groups and 555-1234 are known;
 * card: the digits change, grouping stays, and the check digit stays right or wrong as it was;
 * IPv4: a dotted quad of the never-routed block 240.0.0.0/4;
 * name: a given and a family name of the same script and, by the title, the same gender, in the
-  same letter case.
+  same letter case; a title's dot and the letter case don't tell persons apart.
 
 Collision check: over all distinct values of the corpus, no two may share a surrogate and no
 surrogate may equal a real value; values that do are drawn again with the next counter until none
@@ -49,10 +50,16 @@ NAMES = {
 EMAIL = r"(?<![A-Za-z0-9\p{L}._%+-])[A-Za-z0-9\p{L}][A-Za-z0-9\p{L}._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 CARD = r"(?<![\d.])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?!\d)"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"
-PHONE = r"(?<![\d.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}[ .-]\d{3,4}(?!\d)"
+#: Behind a plus (7 to 15 digits in all, 11 with codes 1 and 7); national ones behind a zero of 9 to 12 digits in groups (no
+#: dates), or an area code and a block; three groups; an exchange and four digits.
+_NEXT = r"(?:(?: \(|\) ?|[ .-]\(?)?\d)"
+_INTERNATIONAL = rf"\+[17]{_NEXT}{{10}}|\+[2-689]{_NEXT}{{6,14}}"
+_NATIONAL = r"(?!\d\d[.-]\d\d[.-]\d{4})(?=\d{2,5}[ .-]\d)0[1-9](?:[ .-]?\d){7,10}|\(0[1-9]\d{0,3}\)[ /]?\d{5,8}|0[1-9]\d{0,3}/\d{6,8}"
+_GROUPS = r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}[ .-]\d{3,4}|(?<!-)[2-9]\d\d-\d{4}(?!-\d)"
+PHONE = rf"(?<![\d.])(?:{_INTERNATIONAL}|{_NATIONAL}|{_GROUPS})(?!\d)"
 NAME = rf"(?<![\p{{L}}])(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.? \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+)?"
 #: What a text with an entity has; searched first, as most texts have none.
-HINT = rf"@|[0-9][0-9.() -]{{5,}}[0-9]|(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.? \p{{Lu}}"
+HINT = rf"@|[0-9][0-9.()/ -]{{5,}}[0-9]|(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.? \p{{Lu}}"
 ANY = f"{EMAIL}|{IP}|{CARD}|{PHONE}|{NAME}"
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
@@ -68,8 +75,25 @@ def kind_of(value: Column) -> Column:
 
 
 def normal(kind: Column, value: Column) -> Column:
-    """Equal for spellings of one value."""
-    return F.when(kind == "email", F.lower(value)).when(kind.isin("card", "phone"), F.regexp_replace(value, r"\D", "")).otherwise(value)
+    """Equal for spellings of one value. Telephone numbers known to be international begin with a plus."""
+    digits = F.regexp_replace(value, r"\D", "")
+    abroad = value.startswith("+") | ((F.length(digits) > 10) & ~digits.startswith("0"))
+    name = F.concat(F.regexp_replace(title_of(value), r"\.$", ""), F.lit(" "), F.lower(rest_of(value)))
+    return (
+        F.when(kind == "email", F.lower(value))
+        .when(kind == "phone", F.concat(F.when(abroad, "+").otherwise(""), digits))
+        .when(kind == "card", digits)
+        .when(kind == "name", name)
+        .otherwise(value)
+    )
+
+
+def title_of(name: Column) -> Column:
+    return F.substring_index(name, " ", 1)
+
+
+def rest_of(name: Column) -> Column:
+    return F.regexp_replace(name, "^\\S+ ", "")
 
 
 def draw(key: Column, k: Column, n: int | Column) -> Column:
@@ -143,9 +167,11 @@ def weave(value: Column, digits: Column) -> Column:
     return F.aggregate(letters_of(value), start, step, lambda a: F.concat(a["out"], F.substr(digits, a["k"], F.length(digits))))
 
 
-def phone_digits(key: Column, digits: Column, attempt: Column) -> Column:
-    country = F.greatest(F.length(digits) - 10, F.lit(0))
-    return new_digits(key, F.concat(digits, F.repeat(F.lit("0"), F.greatest(attempt - ROOMY_DRAWS, F.lit(0)))), country)
+def phone_surrogate(key: Column, value: Column, attempt: Column) -> Column:
+    plus, digits = F.when(value.startswith("+"), "+").otherwise(""), F.regexp_replace(value, r"\D", "")
+    code = F.when(digits.rlike("^[17]"), 1).when(digits.rlike("^(?:2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"), 2).otherwise(3)
+    country = F.when(plus == "+", code).otherwise(F.greatest(F.length(digits) - 10, F.lit(0)))
+    return F.concat(plus, new_digits(key, F.concat(digits, F.repeat(F.lit("0"), F.greatest(attempt - ROOMY_DRAWS, F.lit(0)))), country))
 
 
 def ip_surrogate(key: Column, attempt: Column) -> Column:
@@ -155,8 +181,9 @@ def ip_surrogate(key: Column, attempt: Column) -> Column:
 
 
 def name_surrogate(key: Column, value: Column, attempt: Column) -> Column:
-    title, rest = F.substring_index(value, " ", 1), F.regexp_replace(value, "^\\S+ ", "")
-    male = F.regexp_replace(title, r"\.", "").isin(*MALE_TITLES)
+    """In normal form too; shown_name() gives it the value's."""
+    title, rest = title_of(value), rest_of(value)
+    male = title.isin(*MALE_TITLES)
     cyrillic = rest.rlike(r"\p{IsCyrillic}")
     of = lambda script, sort, k: F.element_at(F.array(*map(F.lit, NAMES[script, sort])), draw(key, F.lit(k), len(NAMES[script, sort])) + 1)
     given = F.when(cyrillic, F.when(male, of("cyrillic", "m", 0)).otherwise(of("cyrillic", "f", 0))).otherwise(F.when(male, of("latin", "m", 0)).otherwise(of("latin", "f", 0)))
@@ -171,8 +198,13 @@ def name_surrogate(key: Column, value: Column, attempt: Column) -> Column:
     grown = F.when(attempt > 0, F.array_join(F.when(cyrillic, more(russian, 6)).otherwise(more(syllables, 12)), "")).otherwise("")
     family = F.concat(family, grown, ending)
     name = F.when(rest.contains(" "), F.concat(given, F.lit(" "), family)).otherwise(family)
-    shown = F.when((rest == F.upper(rest)) & (F.length(rest) > 1), F.upper(name)).otherwise(name)
-    return F.concat(title, F.lit(" "), shown)
+    return F.concat(title, F.lit(" "), F.lower(name))
+
+
+def shown_name(value: Column, surrogate: Column) -> Column:
+    rest, name = rest_of(value), rest_of(surrogate)
+    shown = F.when((rest == F.upper(rest)) & (F.length(rest) > 1), F.upper(name)).otherwise(F.initcap(name))
+    return F.concat(title_of(value), F.lit(" "), shown)
 
 
 def surrogate(secret: str, kind: Column, value: Column, attempt: Column) -> Column:
@@ -182,7 +214,7 @@ def surrogate(secret: str, kind: Column, value: Column, attempt: Column) -> Colu
         F.when(kind == "email", email_surrogate(key, value, attempt))
         .when(kind == "ip", ip_surrogate(key, attempt))
         .when(kind == "card", card_digits(key, value))
-        .when(kind == "phone", phone_digits(key, value, attempt))
+        .when(kind == "phone", phone_surrogate(key, value, attempt))
         .otherwise(name_surrogate(key, value, attempt))
     )
 
@@ -215,7 +247,9 @@ def replace_entities(docs: DataFrame, secret: str, text: str = "text") -> DataFr
     entities = lists.select("_found", F.posexplode("_found").alias("pos", "value"))
     entities = entities.withColumns({"kind": kind, "normal": normal(kind, F.col("value"))})
     table = dictionary(materialize(entities.select("kind", "normal").distinct(), "entities"), secret)
-    shown = F.when(F.col("kind").isin("card", "phone"), weave(F.col("value"), F.col("surrogate"))).otherwise(F.col("surrogate"))
+    value, made = F.col("value"), F.col("surrogate")
+    woven = weave(value, F.regexp_replace(made, r"\D", ""))
+    shown = F.when(F.col("kind").isin("card", "phone"), woven).when(F.col("kind") == "name", shown_name(value, made)).otherwise(made)
     replaced = (
         entities.join(table, ["kind", "normal"])
         .withColumn("shown", shown)

@@ -61,6 +61,24 @@ def test_coreference_and_distinctness(spark):
     assert len(set(shown)) == len(values) and not set(shown) & set(values)
 
 
+def test_telephone_forms(spark):
+    values = ["+49 30 1234567", "030 1234567", "06 12 34 56 78", "+33612345678", "+4915112345678", "555-1234", "(030) 1234567", "030/1234567", "+380 44 123 45 67", "+1 (212) 555-0147"]
+    kept = ["+49 ", "", "", "+33", "+49", "", "", "", "+380 ", "+1 ("]
+    rows = replaced(spark, [f"call {v}, please" for v in values])
+    for row, value, start in zip(rows, values, kept, strict=True):
+        form = re.escape(start) + re.sub(r"\d", r"\\d", re.escape(value[len(start) :]))
+        assert row.kinds == "phone" and row.n_entities == 1 and re.fullmatch(f"call {form}, please", row.text) and value not in row.text
+    texts = ["on 2021-05-06 at 12:30", "from 1990 to 2024", "1,234,567 of 0.12345678", "07/2023"]
+    assert [r.text for r in replaced(spark, texts)] == texts
+
+
+def test_names_and_numbers_corefer_in_every_form(spark):
+    rows = replaced(spark, ["Mr Smith", "Mr. Smith", "Mr SMITH", "Mr. Smyth", "+1 (212) 555-0147", "+12125550147"])
+    name = rows[0].text.removeprefix("Mr ")
+    assert [r.text for r in rows[1:3]] == [f"Mr. {name}", f"Mr {name.upper()}"] and name.istitle() and rows[3].text != f"Mr. {name}"
+    assert re.sub(r"\D", "", rows[4].text) == re.sub(r"\D", "", rows[5].text)
+
+
 def test_key_decides(spark):
     text = ["a@b.com 10.1.2.3"]
     assert replaced(spark, text)[0].text == replaced(spark, text)[0].text != replaced(spark, text, "other")[0].text
