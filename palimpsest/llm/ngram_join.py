@@ -1,84 +1,74 @@
 """N-gram Jaccard join: the documents that the links `100 * |A & B| >= 80 * |A | B|` between their
 sets of five-word shingles connect, by a blocked sparse matrix product.
 
-Rows are documents, columns shingle hashes. The product of the matrix with its transpose counts
-shared shingles; only counts that reach the bound which the two sizes set are links,
-`|A & B| >= 4 (|A| + |B|) / 9`. Not all of it is multiplied:
-
-1. Equal sets are one node. Each node keeps the columns of its size-derived prefix, the first
-   `n - ceil(0.8 n) + 1` in a global order in which frequent shingles come last: two linked nodes
-   share one of these columns. (Which order it is doesn't matter for the result.)
-2. Blocks. A column is cut into overlapping classes of size, as linked sets differ by a quarter at
-   most. Instead of all pairs in a block, each node is multiplied with the block's pivot, the node
-   with most frequent shingles, so a block of m nodes costs m - 1 products. Most pairs met by
-   chance: the product of their prefixes alone bounds the overlap from above (what both have in
-   common so far, and what is left of the shorter rest), and pairs below the bound are discarded.
-   A full product counts the overlap of the others.
-3. What a pivot p leaves open are pairs (x, y) of a block of its of three or more nodes of which one
-   is not linked to p. They
-   differ from p by known sets D(x), D(y), and as |A & B| follows from |D(x) & D(y)|, these sets
-   are the rows of a smaller product with a size-derived bound of its own. Their prefixes are the
-   columns of the next round, until no column is left; after `rounds` rounds the pairs of the
-   remaining columns are multiplied one by one, so nothing is cut off.
-4. Links are contracted into components by rounds of taking the least neighbour.
-
-A large group of copies is one node, a large group of near copies costs a few products for each
-member, and no step lists the pairs of a group. Shingles are compared by 64-bit hashes of their
-words' bytes; nodes by a hash of their set, checked against a second one, by which the few sets that
-collide are told apart.
+Rows are documents, columns shingles. The product of the matrix with its transpose counts shared
+shingles; a link is a count that reaches the bound which the two sizes set,
+`|A & B| >= 4 (|A| + |B|) / 9`.
+
+1. Equal sets are one row. Counts over blocks of columns discard rows: a row with more columns of
+   its own than any link allows (`n - ceil(0.8 n) + 1`) has no link. `HEAD` of the columns is counted
+   for all rows, which discards most; the rest only for those that are left.
+2. Of a row that is left, the least common columns of its size-derived prefix are kept: two linked
+   rows share one of them. The rows that meet in a column, and are of like size, are a block. Instead
+   of all pairs in a block, each row is multiplied with the block's pivot, the row that shares most of
+   its columns, so a block of m rows costs m - 1 counts.
+3. The counts come from blocks of rows by blocks of columns, sets being sent once a block and not once
+   a pair. Overlaps of the first columns are summed for all pairs; pairs that the columns still to come
+   can't lift to the bound are discarded; the others get the rest added.
+4. What a pivot p leaves open are pairs (x, y) of a block of three or more rows of which one is not
+   linked to p. They differ from p by known sets D(x), D(y), and as |A & B| follows from
+   |D(x) & D(y)|, these sets are the rows of a smaller product with a size-derived bound of its own.
+   Their prefixes are the columns of the next round. A pivot is settled with every row of its block,
+   so blocks get smaller, and rounds go on until none has two rows.
+5. Links are contracted into components by rounds of taking the least neighbour.
+
+A large group of copies is one row, a large group of near copies costs a few counts for each member,
+and no step lists the pairs of a group. A column of many rows is counted where it is met and sends
+one entry a task; keys of so many rows that one task would feel it (`hot`, at most `MAX_HOT` of them)
+are joined by broadcast; the members of a pivot are dealt over blocks of `MEMBERS`. Shingles are
+compared by 64-bit hashes of their words' xxh3 hashes, sets by 128 bits.
 
 Edge cases: a text without words (or null) has the empty set, n_shingles 0, and is linked with
 nothing; with fewer than five words the whole sequence is its one shingle. Repeated rows and equal
 texts are linked. A null doc_id has a null component_id and links nobody. An empty table gives an
-empty result. Extra columns are ignored.
+empty result. Long texts are cut into words a piece at a time. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import gc
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import ROW_KEY, materialize, pick, with_row_key
 
 WORDS = 5
-ROUNDS = 4
-SLICES = 4
-#: The frequent shingles that every task knows, at most (8 bytes each); the rest go by hash alone.
-MAX_FREQUENT = 1 << 17
-#: A task reports a shingle that so many of its documents have.
-LOCALLY_FREQUENT = 4
-#: Identifiers of documents in any pair are broadcast up to so many (16 bytes each), else joined by shuffle.
-MAX_BROADCAST_IDS = 2_000_000
-CHUNK = 1 << 20
-
-# ---- shingle hashes of many texts at once
-
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE[65:91] = _BYTE[97:123]
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_PLACE = _rng.integers(1, 2**63, WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_POWERS = {"n": 0}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2^64."""
-    if _POWERS["n"] < n:
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            factors = np.full(n, base, np.uint64)
-            factors[0] = 1
-            _POWERS[name] = np.multiply.accumulate(factors)
-        _POWERS["n"] = n
-    return _POWERS["up"], _POWERS["down"]
+#: The columns counted for all rows, in sixteenths of the hash range (above the fifth that a row may differ by).
+HEAD = 5
+#: Entries of a block, about: 16 bytes each, some copies of them in a task's memory.
+BLOCK_ENTRIES = 1_500_000
+#: Entries that a task holds while it counts columns.
+TASK_ENTRIES = 600_000
+#: Rows that a block holds of a pivot, at most.
+MEMBERS = 256
+#: Keys of more than HOT_ROWS rows, and of a MAX_HOT-th of all, are hot: MAX_HOT at most (some 60 bytes each).
+HOT_ROWS, MAX_HOT = 20_000, 50_000
+#: Identifiers are broadcast up to so many (some 40 bytes each), else joined by shuffle.
+MAX_BROADCAST_IDS = 300_000
+#: Bytes of a text that are cut into words at once.
+PIECE = 1 << 22
+
+# ---- shingle hashes
+
+_LOWER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
+_GAP = re.compile(rb"[\x20\x09-\x0d]")
+_PLACE = np.random.default_rng(20240229).integers(1, 2**63, WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -87,48 +77,36 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
-    out: list[np.ndarray] = []
-    at = 0
-    while at < len(texts):
-        parts, size = [], 0
-        while at < len(texts) and (not parts or size < CHUNK):
-            parts.append((texts[at] or "").encode("utf-8", "surrogatepass"))
-            size += len(parts[-1]) + 1
-            at += 1
-        out += _sets(parts)
-    return out
-
-
-def _sets(parts: list[bytes]) -> list[np.ndarray]:
-    data = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
-    up, down = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    solid = np.zeros(len(data) + 2, np.int8)
-    solid[1:-1] = ~_SPACE[data]
-    edges = np.diff(solid)
-    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    words = _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    long = np.zeros(0, np.uint64)
-    if len(words) >= WORDS:
-        n = len(words) - WORDS + 1
-        long = _PLACE[0] * words[:n]
-        for k in range(1, WORDS):
-            long = long + _PLACE[k] * words[k : k + n]
-        long = _mix(long)
-    limits = np.searchsorted(starts, np.cumsum([0, *(len(p) + 1 for p in parts)]))
-    sets = []
-    for a, b in zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True):
-        if b - a >= WORDS:
-            sets.append(np.unique(long[a : b - WORDS + 1]))
-        elif b > a:
-            whole = (_PLACE[: b - a] * words[a:b]).sum(dtype=np.uint64, keepdims=True)
-            sets.append(_mix(whole + _PLACE[WORDS:] * np.array([b - a], np.uint64)))
-        else:
-            sets.append(np.zeros(0, np.uint64))
-    return sets
+def word_hashes(text: str) -> np.ndarray:
+    data, at, parts = text.encode("utf-8", "surrogatepass").translate(_LOWER), 0, []
+    while at < len(data):
+        gap = _GAP.search(data, at + PIECE) if at + PIECE < len(data) else None
+        end = gap.start() if gap else len(data)
+        words = data[at:end].split()
+        parts.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
+        at = end
+    return np.concatenate(parts) if len(parts) != 1 else parts[0]
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """The sorted distinct shingle hashes of a text."""
+    words = word_hashes(text) if text else np.zeros(0, np.uint64)
+    n = len(words) - WORDS + 1
+    if n < 1:
+        if not len(words):
+            return words
+        whole = (_PLACE[: len(words)] * words).sum(dtype=np.uint64, keepdims=True)
+        return _mix(whole + _PLACE[WORDS:] * np.array([len(words)], np.uint64))
+    hashes = _PLACE[0] * words[:n]
+    for k in range(1, WORDS):
+        hashes += _PLACE[k] * words[k : k + n]
+    return np.unique(_mix(hashes))
+
+
+def _set_key(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two signed numbers."""
+    both = xxhash.xxh3_128_intdigest(hashes.tobytes())
+    return (both & (1 << 64) - 1) - (1 << 63), (both >> 64) - (1 << 63)
 
 
 # ---- bounds
@@ -139,12 +117,12 @@ def prefix_length(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
-def linked(n: int, m: int, shared: int) -> bool:
-    return 9 * shared >= 4 * (n + m)
+def prefix_of(n: Column) -> Column:
+    return n - F.floor((4 * n + 4) / 5) + 1
 
 
 def difference_prefix(a: int, n: int, p: int, is_linked: bool) -> int:
-    """How many of the a elements in which a node of size n differs from its pivot (size p) must
+    """How many of the a elements in which a row of size n differs from its pivot (size p) must
     be columns, so that every link of the pivot's open pairs shares one.
 
     For a partner of size m that differs by e, a link needs at least (9 (a + e) - n - m) / 18
@@ -158,255 +136,413 @@ def difference_prefix(a: int, n: int, p: int, is_linked: bool) -> int:
     return max(0, a - int(need.min()) + 1)
 
 
-# ---- stages
-
-NODE = "doc_id bigint, n bigint, node bigint, second bigint, columns array<bigint>"
+# ---- joins on keys that may be hot
 
 
-NODE_BITS = 58
+def is_small(ids: DataFrame) -> bool:
+    return ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
 
 
-def _node_of(hashes: np.ndarray, frequent: np.ndarray, bits: int = NODE_BITS) -> tuple[int, int, np.ndarray]:
-    """(node, second hash, which hashes are frequent). The node's top bits are the share of frequent
-    shingles, so that the greatest node of a column is the one nearest to what the others share."""
-    data = hashes.tobytes()
-    at = np.searchsorted(frequent, hashes)
-    often = frequent[np.minimum(at, len(frequent) - 1)] == hashes if len(frequent) else np.zeros(len(hashes), bool)
-    share = int(31 * int(often.sum()) / max(1, len(hashes)))
-    return (share << NODE_BITS) | (xxhash.xxh3_64_intdigest(data) >> (64 - bits)), _second_of(data), often
+def with_few(rows: DataFrame, ids: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    return rows.join(F.broadcast(ids) if is_small(ids) else ids, keys, how)
 
 
-def _second_of(data: bytes) -> int:
-    return xxhash.xxh64_intdigest(data, seed=1) - (1 << 63)
+def join_by_size(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
+    """rows joined with groups, which have one row a key and the key's number of rows as `size`. Hot
+    keys are few by their definition and go by broadcast, so that none of them fills a task. Both
+    sides are read twice."""
+    least = max(HOT_ROWS, (groups.agg(F.sum(size)).first()[0] or 0) // MAX_HOT)
+    hot = groups.filter(F.col(size) > least)
+    if hot.isEmpty():
+        return rows.join(groups, keys, how)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.filter(F.col(size) <= least), keys, how)
+    return cold.unionByName(rows.join(F.broadcast(hot), keys).select(*cold.columns))
 
 
-def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """The shingles of most documents, by counts over all of them (those that a task sees in few
-    documents are not reported by it)."""
+# ---- rows of the matrix
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n = [], 0
 
-        def counted() -> pd.DataFrame:
-            values, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            many = counts >= LOCALLY_FREQUENT
-            return pd.DataFrame({"shingle": values[many].view(np.int64), "n": counts[many].astype(np.int64)})
+def sets_in(docs: DataFrame) -> DataFrame:
+    """doc_id, n, k1, k2 (the set's key, null for the empty set) for each row, and head: its hashes in
+    the first columns, once a set and task."""
+    schema = "doc_id bigint, has_id boolean, n bigint, k1 bigint, k2 bigint, n_head int, head binary"
+    limit = np.uint64(HEAD << 60)
 
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set = set()
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                for hashes in shingle_sets(batch.text.iloc[at : at + 512].tolist()):
-                    held.append(hashes)
-                    n += len(hashes)
-                if n > 3_000_000:
-                    yield counted()
-                    held, n = [], 0
-        yield counted()
+            rows = []
+            for doc_id, has_id, text in zip(batch.doc_id, batch.has_id, batch.text, strict=True):
+                hashes, head = shingle_set(text), None
+                if not len(hashes):
+                    rows.append((doc_id, has_id, 0, None, None, 0, None))
+                    continue
+                key, n_head = _set_key(hashes), int(np.searchsorted(hashes, limit))
+                if key not in seen and has_id:
+                    if len(seen) > 500_000:
+                        seen.clear()
+                    seen.add(key)
+                    head = hashes[:n_head].tobytes()
+                rows.append((doc_id, has_id, len(hashes), *key, n_head, head))
+            # As objects: beside a null, pandas would make floats of the numbers and round them.
+            frame = pd.DataFrame(rows, columns=["doc_id", "has_id", "n", "k1", "k2", "n_head", "head"], dtype=object)
+            yield frame.astype({"doc_id": "int64", "has_id": "bool", "n": "int64", "k1": "Int64", "k2": "Int64", "n_head": "int64"})
+
+    told = pick(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("has_id"), "text")
+    made = told.mapInPandas(make, schema).withColumn("doc_id", F.when(F.col("has_id"), F.col("doc_id"))).drop("has_id")
+    return materialize(made, "sets-in")
+
+
+def _cuts(sorted_values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(sorted_values) else np.zeros(0, np.int64)
+
+
+def _runs(sorted_values: np.ndarray) -> list[tuple[int, int]]:
+    """Where runs of equal values begin and end."""
+    cuts = _cuts(sorted_values).tolist()
+    return list(zip(cuts, [*cuts[1:], len(sorted_values)], strict=False))
+
+
+def _sum_by(keys: np.ndarray, values: np.ndarray) -> pd.DataFrame:
+    order = np.argsort(keys, kind="stable")
+    at = _cuts(keys[order])
+    return pd.DataFrame({"key": keys[order][at], "shared": np.add.reduceat(values[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)})
+
+
+def shared_counts(rows: DataFrame, entries: int, sixteenths: int) -> DataFrame:
+    """key, shared: how many of its columns (in the first sixteenths of the range) each row shares
+    with another. rows: key, hashes. Within a block a column is known by 32 bits, so a count may be
+    too high, never too low."""
+    bits = max(0, math.ceil(math.log2(max(1, entries / (sixteenths * BLOCK_ENTRIES)))))
+    shift = 60 - bits
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Columns that two rows at hand share are counted here; one entry of each goes to its block
+        (marked as counted), beside the entries of columns met once."""
+        keys, parts, held = [], [], 0
+
+        def sent() -> Iterator[pd.DataFrame]:
+            hashes = np.concatenate(parts)
+            own = np.repeat(np.array(keys, np.int64), [len(p) for p in parts])
+            order = np.lexsort((own, hashes))
+            hashes, own = hashes[order], own[order]
+            once = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (own[1:] != own[:-1])])
+            hashes, own = hashes[once], own[once]
+            at = _cuts(hashes)
+            sizes = np.diff(np.append(at, len(hashes)))
+            many = np.repeat(sizes > 1, sizes)
+            counts = _sum_by(own[many], np.ones(int(many.sum()), np.int64))
+            if len(counts):
+                # A group of its own, not one for all tasks.
+                block = -1 - (int(np.bitwise_xor.reduce(counts.key.to_numpy())) & (1 << 62) - 1)
+                yield pd.DataFrame({"block": [block], "keys": [counts.key.to_numpy().tobytes()], "values": [counts.shared.to_numpy(np.uint32).tobytes()], "counted": [b""]})
+            hashes, own, counted = hashes[at], own[at], (sizes > 1).astype(np.uint8)
+            block = (hashes >> np.uint64(shift)).astype(np.int64)
+            short = (hashes >> np.uint64(max(0, shift - 32))).astype(np.uint32)
+            pieces = [(int(block[a]), own[a:b].tobytes(), short[a:b].tobytes(), counted[a:b].tobytes()) for a, b in _runs(block)]
+            yield pd.DataFrame(pieces, columns=["block", "keys", "values", "counted"])
 
-    found = pick(docs, "text").mapInPandas(count, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "shingle").limit(MAX_FREQUENT).select("shingle").toPandas()
-    return np.sort(top.shingle.to_numpy(np.int64).view(np.uint64))
-
-
-def nodes(docs: DataFrame, frequent: np.ndarray, bits: int = NODE_BITS) -> DataFrame:
-    """A NODE row for each document. A task gives the columns of a set once."""
-    known = docs.sparkSession.sparkContext.broadcast(frequent)
-
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frequent, seen = known.value, set()
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part, rows = batch.iloc[at : at + 512], []
-                for doc_id, hashes in zip(part.doc_id, shingle_sets(part.text.tolist()), strict=True):
-                    doc_id = None if pd.isna(doc_id) else int(doc_id)
-                    if not len(hashes):
-                        rows.append((doc_id, 0, None, None, None))
-                        continue
-                    node, second, often = _node_of(hashes, frequent, bits)
-                    columns = None
-                    if (node, second) not in seen and doc_id is not None:
-                        seen.add((node, second))
-                        ordered = np.concatenate([hashes[~often], hashes[often]])
-                        columns = ordered[: prefix_length(len(hashes))].view(np.int64)
-                    rows.append((doc_id, len(hashes), node, second, columns))
-                # As objects: beside a null, pandas would make floats of the numbers and round them.
-                frame = pd.DataFrame(rows, columns=["doc_id", "n", "node", "second", "columns"], dtype=object)
-                yield frame.astype({"doc_id": "Int64", "n": "int64", "node": "Int64", "second": "Int64"})
-
-    rows = materialize(pick(docs, "doc_id", "text").mapInPandas(make, NODE), "nodes")
-    collided = rows.groupBy("node").agg(F.min("second").alias("s1"), F.max("second").alias("s2")).filter("s1 <> s2")
-    collided = collided.select("node", F.lit(True).alias("collided"))
-    if not collided.count():
-        return rows
-    apart = F.shiftrightunsigned(F.xxhash64("node", "second"), 64 - NODE_BITS)
-    top = F.shiftleft(F.shiftrightunsigned("node", NODE_BITS), NODE_BITS)
-    renamed = rows.join(collided, "node", "left").withColumn("node", F.when(F.col("collided"), top.bitwiseOR(apart)).otherwise(F.col("node")))
-    return materialize(renamed.select(*rows.columns), "nodes")
-
-
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, hashes: sorted uint64 bytes) for the wanted (doc_id, node, second)."""
-    small = wanted.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    rows = pick(docs, "doc_id", "text").join(F.broadcast(wanted) if small else wanted, "doc_id")
+            for key, data in zip(batch["key"], batch["hashes"], strict=True):
+                if data:
+                    keys.append(key)
+                    parts.append(np.frombuffer(data, np.uint64))
+                    held += len(parts[-1])
+                if held > TASK_ENTRIES:
+                    yield from sent()
+                    keys, parts, held = [], [], 0
+        if held:
+            yield from sent()
+
+    def count(frame: pd.DataFrame) -> pd.DataFrame:
+        keys = np.concatenate([np.frombuffer(x, np.int64) for x in frame["keys"]])
+        values = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["values"]])
+        if frame["block"].iloc[0] < 0:
+            return _sum_by(keys, values)
+        counted = np.concatenate([np.frombuffer(x, np.uint8) for x in frame["counted"]])
+        order = np.lexsort((keys, values))
+        keys, values, counted = keys[order], values[order], counted[order]
+        at = _cuts(values)
+        sizes = np.diff(np.append(at, len(values)))
+        # The same row may come from two tasks: a column is shared if two keys or a counted entry meet there.
+        other = (np.minimum.reduceat(keys, at) != np.maximum.reduceat(keys, at)) | (np.maximum.reduceat(counted, at) > 0)
+        fresh = np.repeat(other, sizes) & (counted == 0)
+        fresh &= np.concatenate([[True], (keys[1:] != keys[:-1]) | (values[1:] != values[:-1]) | (counted[:-1] > 0)])
+        return _sum_by(keys[fresh], np.ones(int(fresh.sum()), np.int64))
+
+    packed = rows.select("key", "hashes").mapInPandas(local, "block bigint, keys binary, values binary, counted binary")
+    found = packed.groupBy("block").applyInPandas(count, "key bigint, shared bigint")
+    return found.groupBy("key").agg(F.sum("shared").alias("shared"))
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, repeats: bool) -> DataFrame:
+    """node, n, hashes (sorted, uint64) for the wanted (node, first, k1, k2). repeats: rows may be
+    repeated."""
+    rows = pick(docs, "doc_id", "text").join(F.broadcast(wanted) if is_small(wanted) else wanted, F.col("doc_id") == F.col("first"))
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.iloc[at : at + 512]
-                data = [h.tobytes() for h in shingle_sets(part.text.tolist())]
+            found = []
+            for node, k1, k2, text in zip(batch.node, batch.k1, batch.k2, batch.text, strict=True):
+                hashes = shingle_set(text)
                 # One doc_id may stand on several texts; only the wanted one counts.
-                yield pd.DataFrame([(n, d) for n, s, d in zip(part.node, part.second, data, strict=True) if s == _second_of(d)], columns=["node", "hashes"])
+                if len(hashes) and _set_key(hashes) == (k1, k2):
+                    found.append((node, len(hashes), hashes.tobytes()))
+            yield pd.DataFrame(found, columns=["node", "n", "hashes"])
 
-    return rows.select("node", "second", "text").mapInPandas(make, "node bigint, hashes binary")
+    sets = rows.select("node", "k1", "k2", "text").mapInPandas(make, "node bigint, n bigint, hashes binary")
+    return sets.dropDuplicates(["node"]) if repeats else sets
 
 
-def some(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """rows whose node is among ids[column]; ids are broadcast only while they are few."""
-    wanted = ids.select(F.col(column).alias("node")).distinct()
-    small = wanted.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    return rows.join(F.broadcast(wanted) if small else wanted, "node", "left_semi")
+def frequent_columns(sets: DataFrame, entries: int) -> np.ndarray:
+    """The columns of more than HOT_ROWS / 20 rows (and of a MAX_HOT-th of the entries), with their
+    counts (as far as a task met them twice): two rows of uint64, MAX_HOT columns at most."""
 
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps: it does when the driver's JVM finds
-    that nothing refers to them, which may otherwise take half an hour."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
+        def counted() -> pd.DataFrame:
+            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            return pd.DataFrame({"column": values[counts > 1].view(np.int64), "n": counts[counts > 1].astype(np.int64)})
 
-def multiply(pairs: DataFrame, sets: DataFrame, with_columns: bool) -> DataFrame:
-    """pairs (node, pivot, is_wide) with is_link and, for the next round, the prefix of the difference
-    of wide ones."""
-    own = some(sets, pairs, "node").select("node", F.col("hashes").alias("a"))
-    other = some(sets, pairs, "pivot").select(F.col("node").alias("pivot"), F.col("hashes").alias("b"))
-    rows = pairs.join(own, "node").join(other, "pivot").select("node", "pivot", "is_wide", "a", "b")
+        for batch in batches:
+            for data in batch["hashes"]:
+                held.append(np.frombuffer(data, np.uint64))
+                n += len(held[-1])
+                if n > TASK_ENTRIES:
+                    yield counted()
+                    held, n = [], 0
+        if held:
+            yield counted()
+
+    found = sets.select("hashes").mapInPandas(count, "column bigint, n bigint").groupBy("column").agg(F.sum("n").alias("n"))
+    least = max(HOT_ROWS // 20, entries // MAX_HOT)
+    top = found.filter(F.col("n") > least).orderBy(F.desc("n"), "column").limit(MAX_HOT).toPandas().sort_values("column", key=lambda c: c.to_numpy(np.int64).view(np.uint64))
+    return np.stack([top.column.to_numpy(np.int64).view(np.uint64), top.n.to_numpy(np.int64).view(np.uint64)])
+
+
+def _among(hashes: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which hashes are in the sorted known, and where."""
+    at = np.searchsorted(known, hashes)
+    if not len(known):
+        return np.zeros(len(hashes), bool), at
+    at = np.minimum(at, len(known) - 1)
+    return known[at] == hashes, at
+
+
+def with_commonness(sets: DataFrame) -> DataFrame:
+    """sets (node, n, hashes) that share enough columns with others to be linked, with often: for
+    each hash, by how many of the sets it is met (uint32, 1 is none but this)."""
+    spark = sets.sparkSession
+    entries = sets.agg(F.sum("n")).first()[0] or 0
+    frequent = spark.sparkContext.broadcast(frequent_columns(sets, entries))
+    bits = min(31, max(0, math.ceil(math.log2(max(1, entries / BLOCK_ENTRIES)))))
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nodes, parts, held = [], [], 0
+
+        def sent() -> pd.DataFrame:
+            hashes = np.concatenate(parts)
+            own = np.repeat(np.array(nodes, np.int64), [len(p) for p in parts])
+            block = hashes >> np.uint64(32) >> np.uint64(32 - bits)
+            order = np.argsort(block, kind="stable")
+            hashes, own, block = hashes[order], own[order], block[order]
+            return pd.DataFrame([(int(block[a]), own[a:b].tobytes(), hashes[a:b].tobytes()) for a, b in _runs(block)], columns=["block", "nodes", "hashes"])
 
-    def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for node, pivot, wide, a, b in zip(batch["node"], batch["pivot"], batch["is_wide"], batch["a"], batch["b"], strict=True):
-                x, p = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                at = np.searchsorted(p, x)
-                both = p[np.minimum(at, len(p) - 1)] == x
-                shared = int(both.sum())
-                link, columns = linked(len(x), len(p), shared), None
-                if with_columns and wide:
-                    lost = np.ones(len(p), bool)
-                    lost[at[both]] = False
-                    apart = np.concatenate([x[~both], p[lost]])
-                    keep = difference_prefix(len(apart), len(x), len(p), link)
-                    columns = _mix(apart[:keep] ^ _mix(np.array([pivot], np.int64).view(np.uint64))).view(np.int64)
-                out.append((node, pivot, link, columns))
-            yield pd.DataFrame(out, columns=["node", "pivot", "is_link", "columns"])
-
-    return rows.mapInPandas(product, "node bigint, pivot bigint, is_link boolean, columns array<bigint>")
-
-
-def sliced_products(pairs: DataFrame, sets: DataFrame, with_columns: bool) -> DataFrame:
-    """multiply() in `SLICES` parts of the pivots, one after the other, so that the shuffle files of
-    one part only stand on the disks at a time."""
-    part = F.pmod(F.xxhash64("pivot"), F.lit(SLICES))
-    out = None
-    for number in range(SLICES):
-        done = materialize(multiply(pairs.filter(part == number), sets, with_columns), "products")
-        out = done if out is None else out.unionByName(done)
-        release(pairs.sparkSession)
-    return out
-
-
-def shared(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Of cells (node, *keys, is_open, ...): the blocks with two nodes and an open one, with pivot,
-    the greatest open node, and is_wide, where the block has more than the two."""
-    block = Window.partitionBy(*keys)
-    lead = F.max(F.when(F.col("is_open"), F.col("node"))).over(block)
-    held = cells.withColumns({"pivot": lead, "_low": F.min("node").over(block), "_high": F.max("node").over(block), "is_wide": F.count(F.lit(1)).over(block) > 2})
-    return held.filter("pivot IS NOT NULL AND _low <> _high").drop("_low", "_high")
-
-
-def size_blocks(cells: DataFrame) -> DataFrame:
-    """First-round blocks. A node is open in the class of its size and stands in the next class
+            for node, data in zip(batch.node, batch.hashes, strict=True):
+                hashes = np.frombuffer(data, np.uint64)
+                rare = hashes[~_among(hashes, frequent.value[0])[0]]
+                nodes.append(node)
+                parts.append(rare)
+                held += len(rare)
+                if held > TASK_ENTRIES:
+                    yield sent()
+                    nodes, parts, held = [], [], 0
+        if held:
+            yield sent()
+
+    def count(frame: pd.DataFrame) -> pd.DataFrame:
+        own = np.concatenate([np.frombuffer(x, np.int64) for x in frame["nodes"]])
+        hashes = np.concatenate([np.frombuffer(x, np.uint64) for x in frame["hashes"]])
+        order = np.argsort(hashes, kind="stable")
+        own, hashes = own[order], hashes[order]
+        at = _cuts(hashes)
+        sizes = np.diff(np.append(at, len(hashes)))
+        often = np.repeat(sizes, sizes)
+        keep = often > 1
+        own, hashes, often = own[keep], hashes[keep], often[keep].astype(np.uint32)
+        order = np.argsort(own, kind="stable")
+        own, hashes, often = own[order], hashes[order], often[order]
+        found = [(int(own[a]), hashes[a:b].tobytes(), often[a:b].tobytes()) for a, b in _runs(own)]
+        return pd.DataFrame(found, columns=["node", "shared", "counts"])
+
+    packed = sets.select("node", "hashes").mapInPandas(spread, "block bigint, nodes binary, hashes binary")
+    met = packed.groupBy("block").applyInPandas(count, "node bigint, shared binary, counts binary")
+    met = met.groupBy("node").agg(F.collect_list(F.struct("shared", "counts")).alias("met"))
+
+    def put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for node, n, data, met in zip(batch["node"], batch["n"], batch["hashes"], batch["met"], strict=True):
+                hashes, often = np.frombuffer(data, np.uint64), np.ones(n, np.uint32)
+                is_frequent, at = _among(hashes, frequent.value[0])
+                often[is_frequent] = np.minimum(frequent.value[1][at[is_frequent]], np.uint64(2**31))
+                for piece in met if met is not None else ():
+                    where = np.searchsorted(hashes, np.frombuffer(piece["shared"], np.uint64))
+                    often[where] = np.frombuffer(piece["counts"], np.uint32)
+                own = int((often == 1).sum())
+                if own < prefix_length(n):
+                    # The top bits are the share of common columns: the greatest node of a block is
+                    # the one nearest to what the others share.
+                    rank = (31 * (n - own) // n << 58) | node
+                    order = np.lexsort((hashes, often))[own : prefix_length(n)]
+                    quarter = int(np.searchsorted(hashes, np.uint64(1 << 62)))
+                    rows.append((node, rank, n, quarter, data, often.tobytes(), hashes[order].view(np.int64)))
+            yield pd.DataFrame(rows, columns=["id", "node", "n", "n_first", "hashes", "often", "columns"])
+
+    schema = "id bigint, node bigint, n bigint, n_first bigint, hashes binary, often binary, columns array<bigint>"
+    return sets.join(met, "node", "left").select("node", "n", "hashes", "met").mapInPandas(put_together, schema)
+
+
+# ---- blocks, pivots and products
+
+
+def pairs_of(cells: DataFrame) -> DataFrame:
+    """Of cells (node, n, column, is_open): the pairs (node, n, pivot, m, is_wide) of a row and the
+    pivot, the greatest open row, of a column with two rows and an open one. is_wide: the column has
+    more than the two."""
+    groups = cells.groupBy("column").agg(
+        F.max(F.when(F.col("is_open"), F.struct("node", "n"))).alias("pivot"),
+        F.min("node").alias("low"),
+        F.max("node").alias("high"),
+        F.count(F.lit(1)).alias("size"),
+    )
+    groups = materialize(groups.filter("pivot IS NOT NULL AND low <> high").select("column", "pivot", "size"), "blocks")
+    met = join_by_size(cells, groups, ["column"], "size").filter("node <> pivot.node")
+    met = met.groupBy("node", "n", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("m")).agg(F.max(F.col("size") > 2).alias("is_wide"))
+    return materialize(met, "pairs")
+
+
+def size_cells(rows: DataFrame) -> DataFrame:
+    """First-round cells. A row is open in the class of its size and stands in the next class
     too, not open, for partners there; sizes of linked sets are a class apart at most."""
-    met = materialize(shared(cells, ["column"]).drop("pivot", "is_wide"), "met")
     size = F.floor(F.log("n") / math.log(1.26)).cast("int")
-    spread = met.withColumn("size", size).withColumn("step", F.explode(F.array(F.lit(0), F.lit(1))))
-    spread = spread.select("node", "column", (F.col("size") + F.col("step")).alias("size"), (F.col("step") == 0).alias("is_open"))
-    return shared(spread, ["column", "size"]).select("node", F.xxhash64("column", "size").alias("column"), "is_open", "pivot", "is_wide")
-
-
-def may_link(a: np.ndarray, n: int, b: np.ndarray, m: int, frequent: np.ndarray) -> bool:
-    """False where the prefixes a and b (in global order) of sets of n and m prove that they can't
-    be linked: common columns up to where the shorter-reaching prefix ends, and the smaller rest."""
-
-    def often(x: np.ndarray) -> np.ndarray:
-        return np.isin(x, frequent, assume_unique=True)
-
-    fa, fb = often(a), often(b)
-    last = min((bool(fa[-1]), a[-1]), (bool(fb[-1]), b[-1]))
-    upto = lambda x, f: x[(f < last[0]) | ((f == last[0]) & (x <= last[1]))]
-    a, b = upto(a, fa), upto(b, fb)
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return linked(n, m, common + min(n - len(a), m - len(b)))
-
-
-def discard(pairs: DataFrame, rows: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """pairs (node, pivot, is_wide) without those that are not wide and that may_link() excludes."""
-    known = pairs.sparkSession.sparkContext.broadcast(frequent)
-    narrow = pairs.filter("NOT is_wide")
-    both = narrow.select("node").union(narrow.select("pivot"))
-    prefixes = some(rows.filter("columns IS NOT NULL").select("node", "n", "columns"), both, "node").dropDuplicates(["node"])
-    prefixes = materialize(prefixes, "prefixes")
-    own = prefixes.select("node", F.col("n").alias("an"), F.col("columns").alias("a"))
-    other = some(prefixes, narrow, "pivot").select(F.col("node").alias("pivot"), F.col("n").alias("bn"), F.col("columns").alias("b"))
-    met = narrow.join(own, "node").join(other, "pivot").select("node", "pivot", "is_wide", "an", "a", "bn", "b")
-
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            good = [
-                may_link(np.asarray(a, np.int64).view(np.uint64), n, np.asarray(b, np.int64).view(np.uint64), m, known.value)
-                for a, n, b, m in zip(batch["a"], batch["an"], batch["b"], batch["bn"], strict=True)
-            ]
-            yield batch.loc[good, ["node", "pivot", "is_wide"]]
-
-    return pairs.filter("is_wide").unionByName(met.mapInPandas(keep, "node bigint, pivot bigint, is_wide boolean"))
-
-
-def links(docs: DataFrame, rows: DataFrame, frequent: np.ndarray, rounds: int = ROUNDS) -> DataFrame:
-    """(node, pivot) of links that connect what any links connect. rows: NODE rows."""
-    spark = docs.sparkSession
-    cells = rows.filter("columns IS NOT NULL").select("node", "n", F.explode("columns").alias("column"), F.lit(True).alias("is_open"))
-    known = rows.filter("node IS NOT NULL AND doc_id IS NOT NULL")
-    places = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("second").alias("second"))
-    repeats = not known.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").isEmpty()
-    sets, found = None, []
-    for round_ in range(rounds + 1):
-        last = round_ == rounds
-        held = size_blocks(cells) if round_ == 0 else shared(cells, ["column"])
-        if last:
-            rest = materialize(held.select("node", "column", "is_open"), "rest")
-            other = rest.select(F.col("node").alias("pivot"), "column", F.col("is_open").alias("other_open"))
-            held = rest.join(other, "column").filter("node < pivot AND (is_open OR other_open)").withColumn("is_wide", F.lit(False))
-        pairs = materialize(held.filter("node <> pivot").groupBy("node", "pivot").agg(F.max("is_wide").alias("is_wide")), "pairs")
-        del held
-        release(spark)
-        if round_ == 0:
-            pairs = materialize(discard(pairs, rows, frequent), "pairs")
-            release(spark)
+    spread = rows.select("node", "n", F.explode("columns").alias("column")).withColumn("step", F.explode(F.array(F.lit(0), F.lit(1))))
+    return spread.select("node", "n", F.xxhash64("column", size + F.col("step")).alias("column"), (F.col("step") == 0).alias("is_open"))
+
+
+def dealt(pairs: DataFrame) -> DataFrame:
+    """pairs with `part`: the block of rows in which they are multiplied, of about BLOCK_ENTRIES."""
+    members = pairs.groupBy("pivot", "m").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("entries"))
+    members = materialize(members.withColumn("salts", F.ceil(F.col("size") / MEMBERS)), "pivots")
+    total = members.agg(F.sum(F.col("entries") + F.col("m") * F.col("salts"))).first()[0] or 0
+    parts = max(1, math.ceil(total / BLOCK_ENTRIES))
+    joined = join_by_size(pairs, members.select("pivot", "size", "salts"), ["pivot"], "size")
+    salt = F.pmod(F.xxhash64("node"), F.col("salts"))
+    part = F.pmod(F.xxhash64("pivot", salt), F.lit(parts))
+    return materialize(joined.select(*pairs.columns, part.alias("part")), "dealt")
+
+
+def multiplied(pairs: DataFrame, rows: DataFrame, work, schema: str, *columns: Column) -> DataFrame:
+    """work(pairs, sets) on each part, where sets has node and the columns of the rows in its pairs."""
+    need = pairs.select("part", "node").union(pairs.select("part", "pivot")).distinct()
+    sets = with_few(rows, materialize(need, "need"), ["node"]).select("part", "node", *columns)
+    return pairs.groupBy("part").cogroup(sets.groupBy("part")).applyInPandas(work, schema)
+
+
+def overlaps(pairs: pd.DataFrame, sets: pd.DataFrame) -> np.ndarray:
+    """The product of the block: for each pair, the columns that its two sets share."""
+    lengths = np.array([len(x) // 8 for x in sets["hashes"]], np.int64)
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    hashes = np.frombuffer(b"".join(sets["hashes"]), np.uint64)
+    values, code = np.unique(hashes, return_inverse=True)
+    cells = np.repeat(np.arange(len(lengths)), lengths) * len(values) + code
+    place = pd.Index(sets["node"])
+    left, right = place.get_indexer(pairs["node"]), place.get_indexer(pairs["pivot"])
+    shared = np.zeros(len(pairs), np.int64)
+    upto = np.cumsum(lengths[left])
+    at = 0
+    while at < len(pairs):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BLOCK_ENTRIES)))
+        n = lengths[left[at:end]]
+        where = np.repeat(starts[left[at:end]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        wanted = np.repeat(right[at:end], n) * len(values) + code[where]
+        hit = np.minimum(np.searchsorted(cells, wanted), max(0, len(cells) - 1))
+        found = cells[hit] == wanted if len(cells) else np.zeros(0, bool)
+        shared[at:end] = np.bincount(np.repeat(np.arange(end - at), n), found, minlength=end - at)
+        at = end
+    return shared
+
+
+PAIR = "node bigint, n bigint, pivot bigint, m bigint, is_wide boolean, part bigint, shared bigint"
+
+
+def product(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """pairs with is_link: overlaps summed over the blocks of columns. Pairs that the bound discards
+    on the way are not in it, unless they are wide."""
+
+    def first(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        shared = overlaps(pairs, sets)
+        rest = pd.Series(sets["rest"].to_numpy(), sets["node"].to_numpy())
+        most = shared + np.minimum(rest.loc[pairs["node"]].to_numpy(), rest.loc[pairs["pivot"]].to_numpy())
+        live = pairs["is_wide"].to_numpy(bool) | (9 * most >= 4 * (pairs["n"] + pairs["m"]).to_numpy())
+        return pairs.assign(shared=shared)[live]
+
+    def others(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        return pairs.assign(shared=pairs["shared"] + overlaps(pairs, sets))
+
+    head = F.substring("hashes", F.lit(1), F.col("n_first") * 8).alias("hashes")
+    tail = F.substring("hashes", F.col("n_first") * 8 + 1, (F.col("n") - F.col("n_first")) * 8).alias("hashes")
+    live = materialize(multiplied(pairs, rows, first, PAIR, head, (F.col("n") - F.col("n_first")).alias("rest")), "live")
+    counted = multiplied(live, rows, others, PAIR, tail)
+    is_link = F.col("shared") * 9 >= (F.col("n") + F.col("m")) * 4
+    return materialize(counted.withColumn("is_link", is_link), "products")
+
+
+def difference_cells(done: DataFrame, rows: DataFrame) -> DataFrame:
+    """The cells of the next round: prefixes of the differences of wide pairs to pivots that leave
+    any pair open. Columns that one set alone has come first and, as no other row meets them, fall out;
+    then the less common ones; those that the pivot has and the row lacks are last."""
+    wide = done.filter("is_wide")
+    open_pivots = wide.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"), F.count_if(~F.col("is_link")).alias("open"))
+    open_pivots = materialize(open_pivots.filter("open > 0 AND size > 1"), "open-pivots")
+    if open_pivots.isEmpty():
+        return rows.select("node", "n", F.lit(0).alias("column"), F.lit(True).alias("is_open")).limit(0)
+
+    def differ(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        known = {node: (np.frombuffer(h, np.uint64), np.frombuffer(o, np.uint32)) for node, h, o in zip(sets["node"], sets["hashes"], sets["often"], strict=True)}
+        out = []
+        for node, n, pivot, m, is_link in zip(pairs["node"], pairs["n"], pairs["pivot"], pairs["m"], pairs["is_link"], strict=True):
+            (x, often), (p, _) = known[node], known[pivot]
+            both, at = _among(x, p)
+            lost = np.ones(len(p), bool)
+            lost[at[both]] = False
+            gained = np.lexsort((x[~both], often[~both]))
+            apart = np.concatenate([x[~both][gained], p[lost]])
+            own = int((often[~both] == 1).sum())
+            keep = apart[own : difference_prefix(len(apart), n, m, is_link)]
+            if len(keep):
+                salt = _mix(np.array([pivot], np.int64).view(np.uint64))
+                out.append((node, n, not is_link, _mix(keep ^ salt).view(np.int64)))
+        return pd.DataFrame(out, columns=["node", "n", "is_open", "columns"])
+
+    pairs = join_by_size(wide.select("node", "n", "pivot", "m", "is_link", "part"), open_pivots.select("pivot", "size"), ["pivot"], "size").drop("size")
+    cells = multiplied(pairs, rows, differ, "node bigint, n bigint, is_open boolean, columns array<bigint>", F.col("hashes"), F.col("often"))
+    return cells.select("node", "n", F.explode("columns").alias("column"), "is_open")
+
+
+def links(rows: DataFrame) -> DataFrame:
+    """(node, pivot) of links that connect what any links connect."""
+    cells, out = materialize(size_cells(rows), "cells"), rows.sparkSession.createDataFrame([], "node bigint, pivot bigint")
+    while True:
+        pairs = pairs_of(cells)
         if pairs.isEmpty():
-            break
-        if sets is None:
-            used = pairs.select("node").union(pairs.select("pivot")).distinct()
-            sets = sets_of(docs, places.join(used, "node").select("doc_id", "node", "second"))
-            sets = materialize(sets.dropDuplicates(["node"]) if repeats else sets, "sets")
-            release(spark)
-        done = sliced_products(pairs, sets, not last)
-        found.append(done.filter("is_link").select("node", "pivot"))
-        if last:
-            break
-        open_pivots = done.filter("columns IS NOT NULL").groupBy("pivot").agg(F.count(F.lit(1)).alias("m"), F.count_if(~F.col("is_link")).alias("open")).filter("open > 0 AND m > 1").select("pivot")
-        cells = done.filter("columns IS NOT NULL").join(open_pivots, "pivot").select("node", (~F.col("is_link")).alias("is_open"), F.explode("columns").alias("column"))
-    out = spark.createDataFrame([], "node bigint, pivot bigint")
-    for part in found:
-        out = out.union(part)
-    return out
+            return out
+        done = product(dealt(pairs), rows)
+        out = out.union(done.filter("is_link").select("node", "pivot"))
+        cells = materialize(difference_cells(done, rows), "cells")
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -427,60 +563,70 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return materialize(labels, "labels")
 
 
-def labelled(docs: DataFrame, rounds: int, bits: int) -> tuple[DataFrame, DataFrame]:
-    """NODE rows, and for each node of a doc_id: node, first (its least doc_id), label (of its component)."""
-    frequent = frequent_shingles(docs)
-    rows = nodes(docs, frequent, bits)
-    ids = rows.filter("doc_id IS NOT NULL AND node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
-    labels = components(docs.sparkSession, links(docs, rows, frequent, rounds))
-    return rows, ids.join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
-
-
-def join(docs: DataFrame, rounds: int = ROUNDS, bits: int = NODE_BITS) -> DataFrame:
+def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of sets_in(), and each distinct set of a doc_id: k1, k2, size (its rows), first (its
+    least doc_id) and label (of its component, null without links)."""
+    rows = sets_in(docs)
+    known = rows.filter("doc_id IS NOT NULL AND k1 IS NOT NULL")
+    distinct = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("n_head").alias("n_head"))
+    distinct = materialize(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-sets")
+    entries = distinct.agg(F.sum("n_head")).first()[0] or 0
+    heads = known.filter("head IS NOT NULL").select(F.col("k1").alias("key"), F.col("head").alias("hashes"))
+    counts = shared_counts(heads, entries, HEAD).select(F.col("key").alias("k1"), "shared")
+    left = distinct.join(counts, "k1", "left").filter(F.col("n_head") - F.coalesce("shared", F.lit(0)) < prefix_of(F.col("n")))
+    left = materialize(left.select(F.col("id").alias("node"), "first", "k1", "k2"), "left")
+    repeats = not known.groupBy("doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").isEmpty()
+    matrix = materialize(with_commonness(materialize(sets_of(docs, left, repeats), "sets")), "matrix")
+    labels = components(docs.sparkSession, links(matrix))
+    labels = labels.join(matrix.select("node", "id"), "node").select("id", "label")
+    return rows, distinct.join(labels, "id", "left").select("k1", "k2", "size", "first", "label")
+
+
+def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
-    rows, grouped = labelled(docs, rounds, bits)
-    least = grouped.groupBy("label").agg(F.min("first").alias("component"))
-    of_node = materialize(grouped.join(least, "label").select("node", "component"), "components")
-    return rows.select("doc_id", "n", "node").join(of_node, "node", "left").select(
+    rows, grouped = labelled(docs)
+    grouped = materialize(grouped.filter("size > 1 OR label IS NOT NULL"), "groups")
+    least = grouped.groupBy("label").agg(F.min("first").alias("least")).filter("label IS NOT NULL")
+    of_set = grouped.join(least, "label", "left").select("k1", "k2", "size", F.coalesce("least", "first").alias("component"))
+    found = join_by_size(rows.select("doc_id", "n", "k1", "k2"), materialize(of_set, "components"), ["k1", "k2"], "size", "left")
+    return found.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
     )
 
 
-def with_second(docs: DataFrame) -> DataFrame:
-    """docs with _second, the digest of the row's shingles (null if it has none)."""
+def with_set_key(docs: DataFrame) -> DataFrame:
+    """docs with _k1 and _k2, the key of the row's shingles (null if it has none)."""
     keyed = with_row_key(docs)
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.iloc[at : at + 512]
-                second = [_second_of(h.tobytes()) if len(h) else None for h in shingle_sets(part.text.tolist())]
-                yield part[list(ROW_KEY)].assign(_second=pd.array(second, "Int64"))
+            keys = [_set_key(h) if len(h) else (None, None) for h in map(shingle_set, batch.text)]
+            yield batch[list(ROW_KEY)].assign(_k1=pd.array([a for a, _ in keys], "Int64"), _k2=pd.array([b for _, b in keys], "Int64"))
 
-    digests = pick(keyed, "text", *ROW_KEY).mapInPandas(make, ", ".join(f"{k} bigint" for k in (*ROW_KEY, "_second"))).distinct()
-    return keyed.join(digests, list(ROW_KEY)).select(*docs.columns, "_second")
+    digests = pick(keyed, "text", *ROW_KEY).mapInPandas(make, ", ".join(f"{k} bigint" for k in (*ROW_KEY, "_k1", "_k2"))).distinct()
+    return keyed.join(digests, list(ROW_KEY)).select(*docs.columns, "_k1", "_k2")
 
 
-def keep_one(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component stays, one with the least doc_id. Rows of one doc_id are judged each
     by its own text; of those with equal shingles, or none, one stays. Rows with a null doc_id all stay."""
-    rows, grouped = labelled(docs, rounds, NODE_BITS)
-    keepers = grouped.groupBy("label").agg(F.min(F.struct("first", "node")).alias("k")).select("k.first", "k.node")
-    found = rows.filter("doc_id IS NOT NULL").select("doc_id", "node", "second").join(keepers, "node", "left")
-    stays = F.col("node").isNull() | F.coalesce(F.col("doc_id") == F.col("first"), F.lit(False))
-    found = materialize(found.select("doc_id", "second", stays.alias("stays")), "joined")
-    by_id = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or("stays").alias("stays"))
-    gone = materialize(by_id.filter("NOT stays").select("doc_id"), "gone")
-    small = gone.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
+    rows, grouped = labelled(docs)
+    grouped = materialize(grouped.filter("size > 1 OR label IS NOT NULL"), "groups")
+    keepers = grouped.filter("label IS NOT NULL").groupBy("label").agg(F.min(F.struct("first", "k1", "k2")).alias("keeper"))
+    is_keeper = F.coalesce(F.col("keeper") == F.struct("first", "k1", "k2"), F.lit(True))
+    judged = materialize(grouped.join(keepers, "label", "left").select("k1", "k2", "size", "first", is_keeper.alias("is_keeper")), "keepers")
+    found = join_by_size(rows.filter("doc_id IS NOT NULL").select("doc_id", "k1", "k2"), judged, ["k1", "k2"], "size", "left")
+    stays = F.col("first").isNull() | (F.col("is_keeper") & (F.col("doc_id") == F.col("first")))
+    found = materialize(found.select("doc_id", "k1", "k2", stays.alias("stays")), "joined")
+    by_id = materialize(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or("stays").alias("stays")), "by-id")
+    kept = with_few(docs, by_id.filter("NOT stays").select("doc_id"), ["doc_id"], "left_anti").select(*docs.columns)
     repeated = materialize(by_id.filter("n > 1 AND stays").select("doc_id"), "repeated")
     if repeated.isEmpty():
         return kept
-    several = with_second(kept.join(repeated, "doc_id", "left_semi").select(*docs.columns))
-    good = found.filter("stays").select("doc_id", F.col("second").alias("_second")).distinct()
-    good = good.select(F.col("doc_id").alias("_id"), F.col("_second").alias("_good"))
-    several = several.join(good, (F.col("doc_id") == F.col("_id")) & F.col("_second").eqNullSafe(F.col("_good")), "left_semi")
-    several = several.dropDuplicates(["doc_id", "_second"]).select(*docs.columns)
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(several)
+    several = with_set_key(with_few(kept, repeated, ["doc_id"], "left_semi").select(*docs.columns))
+    good = found.filter("stays").select(F.col("doc_id").alias("_id"), F.col("k1").alias("_good1"), F.col("k2").alias("_good2")).distinct()
+    same = (F.col("doc_id") == F.col("_id")) & F.col("_k1").eqNullSafe(F.col("_good1")) & F.col("_k2").eqNullSafe(F.col("_good2"))
+    several = several.join(good, same, "left_semi").dropDuplicates(["doc_id", "_k1", "_k2"]).select(*docs.columns)
+    return with_few(kept, repeated, ["doc_id"], "left_anti").select(*docs.columns).unionByName(several)

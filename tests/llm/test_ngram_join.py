@@ -57,11 +57,45 @@ def corpus(seed, n=220):
     return [(i, " ".join(t).upper() if r.random() < 0.1 else r.choice((" ", "\n", " \t")).join(t)) for i, t in enumerate(texts[:n])]
 
 
-@pytest.mark.parametrize("seed, rounds, bits", [(1, 4, 58), (2, 0, 58), (3, 1, 58), (4, 4, 5)])
-def test_same_components_as_all_pairs(spark, seed, rounds, bits):
+@pytest.mark.parametrize("seed, sizes", [(1, {}), (2, {"BLOCK_ENTRIES": 500, "TASK_ENTRIES": 100}), (3, {"MEMBERS": 2, "HOT_ROWS": 3, "MAX_HOT": 1000}), (4, {"MAX_BROADCAST_IDS": 1})])
+def test_same_components_as_all_pairs(spark, monkeypatch, seed, sizes):
+    """Also with blocks, parts and hot keys of a few rows, as a large table has them."""
+    for name, value in sizes.items():
+        monkeypatch.setattr(ngram_join, name, value)
     rows = corpus(seed)
-    found = ngram_join.join(spark.createDataFrame(rows, SCHEMA), rounds, bits)
-    assert {tuple(r) for r in found.collect()} == brute_force(rows)
+    assert {tuple(r) for r in ngram_join.join(spark.createDataFrame(rows, SCHEMA)).collect()} == brute_force(rows)
+
+
+def thue_morse(first, length):
+    word = first
+    while len(word) < length:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_long_words_of_one_structure_stay_apart(spark):
+    """Words that are equal under any polynomial hash modulo 2^64."""
+    rows = [(1, thue_morse("a", 1024)), (2, thue_morse("b", 1024)), (3, thue_morse("a", 1024)), (4, "x" * 70_000), (5, "x" * 70_001)]
+    assert {tuple(r) for r in ngram_join.join(spark.createDataFrame(rows, SCHEMA)).collect()} == brute_force(rows)
+
+
+def test_long_texts_are_cut_at_gaps_only(monkeypatch):
+    text = " ".join(f"Word{i}" + "\t" * (i % 3) for i in range(500)) + " end"
+    whole = ngram_join.shingle_set(text)
+    monkeypatch.setattr(ngram_join, "PIECE", 7)
+    assert (ngram_join.shingle_set(text) == whole).all()
+
+
+def test_blocks_left_open_round_after_round(spark):
+    """Texts around one frame with parts shared by some of them: no pivot is linked to most."""
+    r = random.Random(21)
+    frame = [f"f{i}" for i in range(60)]
+    rests = [[f"r{k}_{i}" for i in range(4)] for k in range(6)]
+    rows = []
+    for i in range(160):
+        own = [w for k in sorted(r.sample(range(6), 2)) for w in rests[k]] + [f"own{i}"] * r.randrange(3)
+        rows.append((i, " ".join(frame[: r.choice((44, 52, 60))] + own)))
+    assert {tuple(x) for x in ngram_join.join(spark.createDataFrame(rows, SCHEMA)).collect()} == brute_force(rows)
 
 
 def test_many_texts_around_one_passage(spark):
@@ -113,28 +147,31 @@ def test_keep_one_judges_rows_of_one_doc_id_by_their_texts(spark):
     assert kept == [(2, "f"), (3, words("a")), (5, words("b")), (7, words("c")), (7, words("d")), (8, ""), (8, words("e"))]
 
 
-def test_an_empty_text_beside_it_leaves_a_node_as_it_is(spark):
-    import numpy as np
-
+def test_an_empty_text_beside_it_leaves_a_key_as_it_is(spark):
     text = " ".join(f"e{i}" for i in range(20))
-    rows = ngram_join.nodes(spark.createDataFrame([(1, None), (2, text)], SCHEMA).coalesce(1), np.array([], np.uint64)).collect()
-    alone = ngram_join.nodes(spark.createDataFrame([(2, text)], SCHEMA), np.array([], np.uint64)).first()
-    assert [(r.node, r.second) for r in rows if r.doc_id == 2] == [(alone.node, alone.second)]
+    large = 2**60 + 1
+    rows = ngram_join.sets_in(spark.createDataFrame([(1, None), (None, text), (large, text)], SCHEMA).coalesce(1)).collect()
+    alone = ngram_join.sets_in(spark.createDataFrame([(large, text)], SCHEMA)).first()
+    assert [(r.k1, r.k2) for r in rows if r.doc_id == large] == [(alone.k1, alone.k2)]
 
 
-def test_discard_bound_keeps_every_linked_pair():
+def test_counts_of_shared_columns_are_never_too_low(spark, monkeypatch):
     import numpy as np
 
+    monkeypatch.setattr(ngram_join, "TASK_ENTRIES", 40)
+    r = np.random.default_rng(3)
+    sets = {k: np.unique(r.integers(0, 60, 12, dtype=np.uint64) << np.uint64(54)) for k in range(40)}
+    rows = spark.createDataFrame([(k, bytes(h.tobytes())) for k, h in [*sets.items(), (3, sets[3])]], "key bigint, hashes binary").repartition(3)
+    found = {x.key: x.shared for x in ngram_join.shared_counts(rows, 100, 16).collect()}
+    for k, own in sets.items():
+        others = np.concatenate([h for j, h in sets.items() if j != k])
+        assert found.get(k, 0) >= np.isin(own, others).sum()
+
+
+def test_prefixes_of_linked_sets_meet():
     r = random.Random(12)
-    frequent = np.arange(0, 40, dtype=np.uint64)
     for _ in range(4000):
-        pool = sorted(r.sample(range(120), r.randrange(6, 60)))
-        a = set(pool)
-        b = set(x for x in pool if r.random() < r.choice((0.7, 0.9, 0.95))) | set(r.sample(range(120), r.randrange(4)))
-        if not b:
-            continue
-        order = lambda s: sorted(s, key=lambda x: (x < 40, x))
-        prefix = lambda s: np.array(order(s)[: ngram_join.prefix_length(len(s))], np.uint64)
-        if ngram_join.linked(len(a), len(b), len(a & b)):
-            assert ngram_join.may_link(prefix(a), len(a), prefix(b), len(b), frequent)
-            assert set(prefix(a).tolist()) & set(prefix(b).tolist())
+        a = set(r.sample(range(120), r.randrange(6, 60)))
+        b = {x for x in a if r.random() < r.choice((0.7, 0.9, 0.95))} | set(r.sample(range(120), r.randrange(4)))
+        if b and 9 * len(a & b) >= 4 * (len(a) + len(b)):
+            assert set(sorted(a)[: ngram_join.prefix_length(len(a))]) & set(sorted(b)[: ngram_join.prefix_length(len(b))])
