@@ -4,13 +4,13 @@ grouping genetic algorithm on islands.
 Every document becomes pieces: only documents longer than the capacity are cut, into full pieces
 and one shorter last piece. Full pieces are sequences of their own. The others are dealt by hash
 into blocks of about `BLOCK` pieces. Several islands work on each block: a population of packings
-starts from best fit over orders of the pieces; crossover takes whole well-filled bins of one
+starts from best fits of the pieces in shuffled orders; crossover takes whole well-filled bins of one
 parent into the other, drops the bins there that hold the same pieces, and puts the displaced
-pieces back by best fit; fitness is the number of bins, then the sum of squared fills. Between
-epochs each island sends its best packing to the next (elite migration, by a Spark shuffle). A
-block is done when its number of bins equals the lower bound. Bins left badly filled in the best
-packings are then packed again across blocks, in groups of about `BLOCK` pieces, starting from
-what they were, so no pass can make it worse.
+pieces back by best fit; fitness is the number of bins, then the sum of squared fills, which drives
+what room is left into few bins. Between epochs each island sends its best packing to the next (elite
+migration, by a Spark shuffle). An island stops early only when all its bins but one are full. Bins
+left badly filled in the best packings are then packed again across blocks, in groups of about
+`BLOCK` pieces, starting from what they were, so no pass can make it worse.
 
 Tokens come from the given tokenizer file. Its normalisation (NFC, white space, lower case) is
 applied here, and each distinct word between white space is encoded once per worker (its pieces
@@ -46,6 +46,8 @@ END_ID = 1
 BLOCK = 4096
 ISLANDS = 2
 EPOCHS = 2
+#: Packings on an island, and crossovers there in an epoch.
+POPULATION, GENERATIONS = 4, 8
 #: Bins with more free tokens than this share of the capacity are packed again across blocks.
 SLACK = 1 / 64
 #: A worker forgets what it has learned beyond so many words (about 400 bytes each).
@@ -202,28 +204,31 @@ def crossover(giver: Bins, taker: Bins, sizes: list[int], capacity: int, r: rand
     return best_fit(sizes, sorted(displaced, key=lambda i: -sizes[i]), capacity, chosen + kept[: len(kept) - spare])
 
 
-def evolve(sizes: list[int], capacity: int, start: list[Bins], seed: int, population: int = 4, generations: int = 10) -> Bins:
-    """The best packing found; stops at the lower bound."""
-    r, bound = random.Random(seed), -(-sum(sizes) // capacity)
-    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    people = list(start)
+def is_perfect(bins: Bins, sizes: list[int], capacity: int) -> bool:
+    """All bins but one are full: no packing is fitter."""
+    full, rest = divmod(sum(sizes), capacity)
+    return fitness(bins, sizes) == (full + (rest > 0), -(full * capacity**2 + rest**2))
+
+
+def evolve(sizes: list[int], capacity: int, start: list[Bins], seed: int, population: int = POPULATION, generations: int = GENERATIONS) -> Bins:
+    """The fittest packing after so many crossovers; it stops before only where none can be fitter.
+    Those who are not given are best fits of shuffled pieces, not of sorted ones, which are all alike."""
+    r = random.Random(seed)
+    order, people = list(range(len(sizes))), list(start)
     while len(people) < population:
-        if people and min(map(len, people)) <= bound:
-            break
-        #: The first follows the lengths; the others follow them roughly.
-        spread = capacity // 16 if people else 0
-        people.append(best_fit(sizes, sorted(order, key=lambda i: -sizes[i] + r.randint(0, spread)), capacity))
-    people.sort(key=lambda p: fitness(p, sizes))
-    for _ in range(generations):
-        if len(people[0]) <= bound or len(people) < 2:
+        r.shuffle(order)
+        people.append(best_fit(sizes, order, capacity))
+    people = sorted(((fitness(p, sizes), n, p) for n, p in enumerate(people)), key=lambda x: x[:2])
+    for n in range(len(people), len(people) + generations):
+        if len(people) < 2 or is_perfect(people[0][2], sizes, capacity):
             break
         giver, taker = r.sample(people, 2)
-        child = crossover(giver, taker, sizes, capacity, r)
-        if child not in people:
-            people.append(child)
-        people.sort(key=lambda p: fitness(p, sizes))
-        del people[population:]
-    return people[0]
+        child = crossover(giver[2], taker[2], sizes, capacity, r)
+        fit = fitness(child, sizes)
+        if fit not in [p[0] for p in people]:
+            insort(people, (fit, n, child), key=lambda x: x[:2])
+            del people[population:]
+    return people[0][2]
 
 
 def _bins_of(numbers: pd.Series) -> Bins:

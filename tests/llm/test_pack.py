@@ -97,9 +97,38 @@ def test_crossover_keeps_every_piece_once_and_fits():
         assert all(sum(sizes[i] for i in b) <= 64 for b in child)
 
 
-def test_evolution_beats_best_fit_in_the_order_given():
-    r = random.Random(3)
-    sizes = [r.choice((17, 22, 24, 31, 34, 38, 41)) for _ in range(240)]
-    best = pack.evolve(sizes, 64, [], 1, population=8, generations=60)
-    assert len(best) <= len(pack.best_fit(sizes, list(range(240)), 64))
-    assert sorted(i for b in best for i in b) == list(range(240))
+def triplets(n, capacity, seed):
+    """Pieces of a packing without any room: three to a bin, each above a quarter of it."""
+    r, sizes = random.Random(seed), []
+    for _ in range(n):
+        first = r.randint(38 * capacity // 100, 49 * capacity // 100)
+        second = r.randint(capacity // 4, (capacity - first) // 2)
+        sizes += [first, second, capacity - first - second]
+    r.shuffle(sizes)
+    return sizes
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_crossover_finds_what_best_fit_misses(seed):
+    """20 bins are enough; best fit of sorted pieces and the whole starting population need more than
+    evolution does."""
+    sizes = triplets(20, 1000, seed)
+    order = list(range(60))
+    falling = len(pack.best_fit(sizes, sorted(order, key=lambda i: -sizes[i]), 1000))
+    start = pack.evolve(sizes, 1000, [], seed, population=20, generations=0)
+    best = pack.evolve(sizes, 1000, [], seed, population=20, generations=1500)
+    assert sorted(i for b in best for i in b) == order and all(sum(sizes[i] for i in b) <= 1000 for b in best)
+    assert 20 <= len(best) < min(len(start), falling)
+
+
+def test_crossover_gathers_the_room_that_is_left():
+    r = random.Random(6)
+    sizes = [min(4095, max(1, int(r.lognormvariate(5.5, 1.2)))) for _ in range(1500)]
+    start, best = (pack.evolve(sizes, 4096, [], 1, generations=n) for n in (0, pack.GENERATIONS))
+    assert pack.fitness(best, sizes) < pack.fitness(start, sizes) and len(best) <= len(start)
+    assert not pack.is_perfect(start, sizes, 4096)
+
+
+def test_evolution_stops_at_a_perfect_packing():
+    assert pack.is_perfect([[0, 1], [2]], [30, 34, 5], 64) and not pack.is_perfect([[0], [1], [2]], [30, 34, 5], 64)
+    assert pack.evolve([30, 34, 5], 64, [[[0, 1], [2]]], 1) == [[0, 1], [2]]
