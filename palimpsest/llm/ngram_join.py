@@ -11,15 +11,15 @@ shingles; a link is a count that reaches the bound which the two sizes set,
 2. Of a row that is left, the least common columns of its size-derived prefix are kept: two linked
    rows share one of them. The rows that meet in a column, and are of like size, are a block. Instead
    of all pairs in a block, each row is multiplied with the block's pivot, the row that shares most of
-   its columns, so a block of m rows costs m - 1 counts.
+   its columns, so a block of m rows costs m - 1 counts (in later rounds with a bounded number of pivots).
 3. The counts come from blocks of rows by blocks of columns, sets being sent once a block and not once
    a pair. Overlaps of the first columns are summed for all pairs; pairs that the columns still to come
    can't lift to the bound are discarded; the others get the rest added.
 4. What a pivot p leaves open are pairs (x, y) of a block of three or more rows of which one is not
    linked to p. They differ from p by known sets D(x), D(y), and as |A & B| follows from
    |D(x) & D(y)|, these sets are the rows of a smaller product with a size-derived bound of its own.
-   Their prefixes are the columns of the next round. A pivot is settled with every row of its block,
-   so blocks get smaller, and rounds go on until none has two rows.
+   Their prefixes are the columns of the next round. Pivots are settled with every row of their
+   block, so blocks get smaller, and rounds go on until none leaves a pair open.
 5. Links are contracted into components by rounds of taking the least neighbour.
 
 A large group of copies is one row, a large group of near copies costs a few counts for each member,
@@ -36,6 +36,7 @@ empty result. Long texts are cut into words a piece at a time. Extra columns are
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -57,6 +58,8 @@ BLOCK_ENTRIES = 1_500_000
 TASK_ENTRIES = 600_000
 #: Rows that a block holds of a pivot, at most.
 MEMBERS = 256
+#: Pivots of a column after the first turn: of up to MEMBERS rows, of more.
+SLOTS, FEW = 64, 4
 #: Keys of more than HOT_ROWS rows, and of a MAX_HOT-th of all, are hot: MAX_HOT at most (some 60 bytes each).
 HOT_ROWS, MAX_HOT = 20_000, 50_000
 #: Identifiers are broadcast up to so many (some 40 bytes each), else joined by shuffle.
@@ -409,19 +412,29 @@ def with_commonness(sets: DataFrame) -> DataFrame:
 # ---- blocks, pivots and products
 
 
-def pairs_of(cells: DataFrame) -> DataFrame:
-    """Of cells (node, n, column, is_open): the pairs (node, n, pivot, m, is_wide) of a row and the
-    pivot, the greatest open row, of a column with two rows and an open one. is_wide: the column has
-    more than the two."""
-    groups = cells.groupBy("column").agg(
+def pairs_of(cells: DataFrame, turn: int) -> DataFrame:
+    """Of cells (node, n, column, is_open): the pairs (node, n, pivot, m, is_wide) of a row and a pivot
+    of a column with two rows and an open one. Pivots are open rows: in the first turn the greatest,
+    later the greatest of each of `SLOTS` slots, into which the column's rows fall by hash, or of them
+    the `FEW` greatest in a column of more than MEMBERS rows. is_wide: the pair's pivot is the column's
+    greatest, and there are pairs left in which this row, no pivot, may have a part."""
+    slot = F.pmod(F.xxhash64("column", "node", F.lit(turn)), F.lit(SLOTS if turn else 1))
+    parts = cells.groupBy("column", slot.alias("slot")).agg(
         F.max(F.when(F.col("is_open"), F.struct("node", "n"))).alias("pivot"),
         F.min("node").alias("low"),
         F.max("node").alias("high"),
         F.count(F.lit(1)).alias("size"),
+        F.count_if("is_open").alias("open"),
     )
-    groups = materialize(groups.filter("pivot IS NOT NULL AND low <> high").select("column", "pivot", "size"), "blocks")
-    met = join_by_size(cells, groups, ["column"], "size").filter("node <> pivot.node")
-    met = met.groupBy("node", "n", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("m")).agg(F.max(F.col("size") > 2).alias("is_wide"))
+    groups = parts.groupBy("column").agg(F.sort_array(F.collect_list("pivot"), asc=False).alias("pivots"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("size").alias("size"), F.sum("open").alias("open"))
+    groups = groups.filter("size(pivots) > 0 AND low <> high").withColumn("pivots", F.when(F.col("size") > MEMBERS, F.slice("pivots", 1, FEW)).otherwise(F.col("pivots")))
+    groups = materialize(groups.select("column", "pivots", "size", ((F.col("open") > F.size("pivots")) & (F.col("size") - F.size("pivots") > 1)).alias("is_left")), "blocks")
+    met = join_by_size(cells, groups, ["column"], "size")
+    met = met.withColumn("is_pivot", F.exists("pivots", lambda p: p["node"] == F.col("node"))).withColumn("pivot", F.explode("pivots"))
+    # Of two pivots each once.
+    met = met.filter("CASE WHEN is_pivot THEN node < pivot.node ELSE true END")
+    wide = F.col("is_left") & ~F.col("is_pivot") & (F.col("pivot.node") == F.get("pivots", 0)["node"])
+    met = met.groupBy("node", "n", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("m")).agg(F.max(wide).alias("is_wide"))
     return materialize(met, "pairs")
 
 
@@ -445,11 +458,15 @@ def dealt(pairs: DataFrame) -> DataFrame:
     return materialize(joined.select(*pairs.columns, part.alias("part")), "dealt")
 
 
-def multiplied(pairs: DataFrame, rows: DataFrame, work, schema: str, *columns: Column) -> DataFrame:
+def sets_by_part(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of each part's pairs, once a part."""
+    need = materialize(pairs.select("part", "node").union(pairs.select("part", "pivot")).distinct(), "need")
+    return materialize(with_few(rows, need, ["node"]).select("part", "node", "n", "n_first", "hashes", "often"), "parts")
+
+
+def multiplied(pairs: DataFrame, sets: DataFrame, work, schema: str, *columns: Column) -> DataFrame:
     """work(pairs, sets) on each part, where sets has node and the columns of the rows in its pairs."""
-    need = pairs.select("part", "node").union(pairs.select("part", "pivot")).distinct()
-    sets = with_few(rows, materialize(need, "need"), ["node"]).select("part", "node", *columns)
-    return pairs.groupBy("part").cogroup(sets.groupBy("part")).applyInPandas(work, schema)
+    return pairs.groupBy("part").cogroup(sets.select("part", "node", *columns).groupBy("part")).applyInPandas(work, schema)
 
 
 def overlaps(pairs: pd.DataFrame, sets: pd.DataFrame) -> np.ndarray:
@@ -479,7 +496,7 @@ def overlaps(pairs: pd.DataFrame, sets: pd.DataFrame) -> np.ndarray:
 PAIR = "node bigint, n bigint, pivot bigint, m bigint, is_wide boolean, part bigint, shared bigint"
 
 
-def product(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+def product(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs with is_link: overlaps summed over the blocks of columns. Pairs that the bound discards
     on the way are not in it, unless they are wide."""
 
@@ -495,13 +512,13 @@ def product(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
     head = F.substring("hashes", F.lit(1), F.col("n_first") * 8).alias("hashes")
     tail = F.substring("hashes", F.col("n_first") * 8 + 1, (F.col("n") - F.col("n_first")) * 8).alias("hashes")
-    live = materialize(multiplied(pairs, rows, first, PAIR, head, (F.col("n") - F.col("n_first")).alias("rest")), "live")
-    counted = multiplied(live, rows, others, PAIR, tail)
+    live = materialize(multiplied(pairs, sets, first, PAIR, head, (F.col("n") - F.col("n_first")).alias("rest")), "live")
+    counted = multiplied(live, sets, others, PAIR, tail)
     is_link = F.col("shared") * 9 >= (F.col("n") + F.col("m")) * 4
     return materialize(counted.withColumn("is_link", is_link), "products")
 
 
-def difference_cells(done: DataFrame, rows: DataFrame) -> DataFrame:
+def difference_cells(done: DataFrame, sets: DataFrame) -> DataFrame:
     """The cells of the next round: prefixes of the differences of wide pairs to pivots that leave
     any pair open. Columns that one set alone has come first and, as no other row meets them, fall out;
     then the less common ones; those that the pivot has and the row lacks are last."""
@@ -509,7 +526,7 @@ def difference_cells(done: DataFrame, rows: DataFrame) -> DataFrame:
     open_pivots = wide.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"), F.count_if(~F.col("is_link")).alias("open"))
     open_pivots = materialize(open_pivots.filter("open > 0 AND size > 1"), "open-pivots")
     if open_pivots.isEmpty():
-        return rows.select("node", "n", F.lit(0).alias("column"), F.lit(True).alias("is_open")).limit(0)
+        return done.select("node", "n", F.lit(0).cast("long").alias("column"), F.col("is_link").alias("is_open")).limit(0)
 
     def differ(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
         known = {node: (np.frombuffer(h, np.uint64), np.frombuffer(o, np.uint32)) for node, h, o in zip(sets["node"], sets["hashes"], sets["often"], strict=True)}
@@ -529,20 +546,24 @@ def difference_cells(done: DataFrame, rows: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["node", "n", "is_open", "columns"])
 
     pairs = join_by_size(wide.select("node", "n", "pivot", "m", "is_link", "part"), open_pivots.select("pivot", "size"), ["pivot"], "size").drop("size")
-    cells = multiplied(pairs, rows, differ, "node bigint, n bigint, is_open boolean, columns array<bigint>", F.col("hashes"), F.col("often"))
+    cells = multiplied(pairs, sets, differ, "node bigint, n bigint, is_open boolean, columns array<bigint>", F.col("hashes"), F.col("often"))
     return cells.select("node", "n", F.explode("columns").alias("column"), "is_open")
 
 
 def links(rows: DataFrame) -> DataFrame:
     """(node, pivot) of links that connect what any links connect."""
     cells, out = materialize(size_cells(rows), "cells"), rows.sparkSession.createDataFrame([], "node bigint, pivot bigint")
-    while True:
-        pairs = pairs_of(cells)
+    for turn in itertools.count():
+        pairs = pairs_of(cells, turn)
         if pairs.isEmpty():
             return out
-        done = product(dealt(pairs), rows)
+        pairs = dealt(pairs)
+        sets = sets_by_part(pairs, rows)
+        done = product(pairs, sets)
         out = out.union(done.filter("is_link").select("node", "pivot"))
-        cells = materialize(difference_cells(done, rows), "cells")
+        cells = materialize(difference_cells(done, sets), "cells")
+        if cells.isEmpty():
+            return out
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
