@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -103,37 +101,53 @@ class StaticKey:
     def current(self) -> tuple[str, bytes]:
         return self.key_id, self.key
 
-    def find(self, key_id: str) -> bytes | None:
-        return self.key if key_id == self.key_id else None
+    def known(self) -> dict[str, bytes]:
+        return {self.key_id: self.key}
+
+
+@dataclass(frozen=True)
+class KeyRing:
+    """Several keys: new rows are written under the current one, rows of the older ones stay readable."""
+
+    keys: tuple[StaticKey, ...]
+    current_id: str
+
+    def __post_init__(self) -> None:
+        if self.current_id not in self.known() or len(self.known()) < len(self.keys):
+            raise InvalidValue("key ids must be unique, and the current one among them")
+
+    def current(self) -> tuple[str, bytes]:
+        return self.current_id, self.known()[self.current_id]
+
+    def known(self) -> dict[str, bytes]:
+        return {k.key_id: k.key for k in self.keys}
 
 
 @dataclass(frozen=True)
 class EncryptedCodec:
-    """AES-GCM by Spark's own functions (JVM side). The envelope is the key id behind its length and
-    the ciphertext with nonce and tag; the key id and the context are authenticated with it."""
+    """AES-GCM by Spark's own functions (JVM side), a fresh random nonce a row. The envelope is the key id
+    behind its length and the ciphertext with nonce and tag; the key id and the context are authenticated
+    with it. Each row is read with the key that its envelope names."""
 
     inner: Codec
-    keys: StaticKey
+    keys: StaticKey | KeyRing
     context: bytes
     max_plaintext_bytes: int
-    nonce: Callable[[], bytes] | None = None
 
     def encode(self, value: Column) -> Column:
         key_id, key = self.keys.current()
         plain = self.inner.encode(value)
         sized = F.when(F.octet_length(plain) <= self.max_plaintext_bytes, plain).otherwise(F.raise_error(F.lit("plaintext exceeds the limit")).cast("binary"))
-        iv = F.lit(self.nonce()) if self.nonce else F.unhex(F.substring(F.sha2(F.concat(F.uuid().cast("binary"), F.lit(os.urandom(16))), 256), 1, 24))
-        body = F.aes_encrypt(sized, F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), iv, F.lit(self._about(key_id)))
-        return F.concat(F.lit(bytes([len(key_id)]) + key_id.encode()), body)
+        head = bytes([len(key_id)]) + key_id.encode()
+        body = F.aes_encrypt(sized, F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), F.lit(b"").cast("binary"), F.lit(head + self.context))
+        return F.concat(F.lit(head), body)
 
     def decode(self, data: Column) -> Column:
-        key_id, key = self.keys.current()
-        head = F.lit(bytes([len(key_id)]) + key_id.encode())
-        known = F.substring(data, 1, len(key_id) + 1) == head
-        body = F.substring(data, F.lit(len(key_id) + 2), F.octet_length(data))
-        small = F.octet_length(data) <= self.max_plaintext_bytes + 29 + len(key_id)
-        sound = F.when(known & small, body).otherwise(F.raise_error(F.lit("unknown key or too long")).cast("binary"))
-        return self.inner.decode(F.aes_decrypt(sound, F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), F.lit(self._about(key_id))))
-
-    def _about(self, key_id: str) -> bytes:
-        return bytes([len(key_id)]) + key_id.encode() + self.context
+        size = F.conv(F.hex(F.substring(data, 1, 1)), 16, 10).cast("int")
+        head = F.substring(data, F.lit(1), size + 1)
+        body = F.substring(data, size + 2, F.octet_length(data))
+        keys = F.create_map(*[F.lit(x) for pair in self.keys.known().items() for x in pair])
+        key = F.element_at(keys, F.substring(data, F.lit(2), size).cast("string"))
+        small = F.octet_length(data) <= self.max_plaintext_bytes + 29 + size
+        sound = F.when(key.isNotNull() & small, body).otherwise(F.raise_error(F.lit("unknown key or too long")).cast("binary"))
+        return self.inner.decode(F.aes_decrypt(sound, key, F.lit("GCM"), F.lit("DEFAULT"), F.concat(head, F.lit(self.context))))

@@ -1,8 +1,10 @@
 """The event log: immutable Parquet batches, each made visible by one manifest.
 
 A batch is written under a temporary name, then renamed; it counts once its manifest
-`manifests/NNN.json` exists. The manifest is created only if absent, so of two writers with the
-same expectation one wins (optimistic concurrency), and a batch without manifest is a partial tail.
+`manifests/NNN.json` exists. The manifest is renamed into place only if absent, so it is whole when it is
+seen, and of two writers with the same expectation one wins (optimistic concurrency); a batch without
+manifest is a partial tail. Every `CHECKPOINT_EVERY` manifests one file repeats all of them, so that a
+reader opens that file and the few manifests behind it.
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ from pyspark.sql import functions as F
 from palimpsest import schema
 from palimpsest.errors import Corruption, DuplicateEvent, ExternalModification, InvalidValue, VersionConflict
 from palimpsest.functions.text import is_bad_text
-from palimpsest.sources.storage import with_positions
+from palimpsest.sources.storage import content_digest, materialize, with_positions
+
+CHECKPOINT_EVERY = 32
 
 
 class ExpectedVersion:
@@ -66,6 +70,7 @@ class EventLog:
         log = EventLog(spark, path, options)
         log._fs.mkdirs(log._fs_path(f"{log.path}/manifests"))
         log._fs.mkdirs(log._fs_path(f"{log.path}/batches"))
+        log._fs.mkdirs(log._fs_path(f"{log.path}/checkpoints"))
         log._recover()
         return log
 
@@ -74,21 +79,44 @@ class EventLog:
     def _names(self, folder: str) -> list[str]:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._fs_path(f"{self.path}/{folder}")))
 
+    def _read(self, path: str) -> str:
+        stream = self._fs.open(self._fs_path(f"{self.path}/{path}"))
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        except Py4JJavaError as error:
+            if "ChecksumException" not in str(error.java_exception):
+                raise
+            raise Corruption(f"{path} does not match its checksum") from error
+        finally:
+            stream.close()
+
+    def _parsed(self, path: str) -> dict | list:
+        try:
+            return json.loads(self._read(path))
+        except ValueError as error:
+            raise Corruption(f"{path} is damaged") from error
+
+    def _place(self, path: str, text: str) -> None:
+        """The file appears whole, or not at all where there is one already."""
+        draft = self._fs_path(f"{self.path}/_tmp-{uuid.uuid4().hex}")
+        out = self._fs.create(draft)
+        out.write(bytearray(text.encode()))
+        out.close()
+        jvm = self.spark.sparkContext._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(draft, self._fs_path(f"{self.path}/{path}"), none)
+        except Exception:
+            self._fs.delete(draft, False)
+            raise
+
     def _manifests(self) -> list[dict]:
-        found = []
-        for name in self._names("manifests"):
-            stream = self._fs.open(self._fs_path(f"{self.path}/manifests/{name}"))
-            try:
-                found.append(json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
-            except ValueError as error:
-                raise Corruption(f"manifest {name} is damaged") from error
-            except Py4JJavaError as error:
-                if "ChecksumException" not in str(error.java_exception):
-                    raise
-                raise Corruption(f"manifest {name} does not match its checksum") from error
-            finally:
-                stream.close()
-        if [m["number"] for m in found] != list(range(len(found))):
+        names, known = self._names("manifests"), []
+        if checkpoints := self._names("checkpoints"):
+            known = self._parsed(f"checkpoints/{checkpoints[-1]}")
+        found = known + [self._parsed(f"manifests/{name}") for name in names[len(known) :]]
+        if [m["number"] for m in found] != list(range(len(names))) or [f"{m['number']:08d}.json" for m in found] != names:
             raise Corruption("manifests are not contiguous")
         return found
 
@@ -105,17 +133,25 @@ class EventLog:
             self._fs.delete(self._fs_path(f"{self.path}/batches/{extra}"), True)
 
     def verify(self) -> None:
+        """Every batch holds the rows that its manifest was made for, by number and content."""
         for m in self._manifests():
-            if self.spark.read.parquet(f"{self.path}/batches/{m['batch']}").count() != m["rows"]:
-                raise Corruption(f"batch {m['batch']} has another number of rows than its manifest says")
+            if content_digest(self._batches([m])) != m["digest"]:
+                raise Corruption(f"batch {m['batch']} does not hold what its manifest says")
 
     # ---- reads
 
-    def events(self) -> DataFrame:
-        batches = [f"{self.path}/batches/{m['batch']}" for m in self._manifests() if m["rows"]]
-        if not batches:
+    def _batches(self, manifests: list[dict]) -> DataFrame:
+        paths = [f"{self.path}/batches/{m['batch']}" for m in manifests]
+        if not paths:
             return self.spark.createDataFrame([], schema.STORED_EVENT)
-        return self.spark.read.schema(schema.STORED_EVENT).parquet(*batches)
+        return self.spark.read.schema(schema.STORED_EVENT).parquet(*paths)
+
+    def events(self) -> DataFrame:
+        return self._batches(self._manifests())
+
+    def batch_rows(self, first: int, last: int) -> DataFrame:
+        """The committed batches numbered first to last."""
+        return self._batches([m for m in self._manifests() if first <= m["number"] <= last])
 
     def load_stream(self, stream: str, after: int | None = None) -> DataFrame:
         """Events of one stream behind version `after`, in version order."""
@@ -150,34 +186,44 @@ class EventLog:
             raise VersionConflict(stream, None, last)
         if isinstance(expected, int) and last != expected:
             raise VersionConflict(stream, expected, last)
-        if events.isEmpty():
+        # Written once: what is checked is what is stored, whatever the plan of events reads.
+        draft = materialize(events.select(*[c.strip().split(" ")[0] for c in _columns(schema.EVENT)]), "append-draft")
+        span = draft.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).first()
+        n = span["n"]
+        if not n:
             return AppendReceipt()
-        bad = events.filter(is_bad_text(F.col("id")) | is_bad_text(F.col("event_type")) | (F.col("occurred_at") > F.col("recorded_at"))).limit(1).collect()
+        if n > self.options.max_batch_rows:
+            raise InvalidValue(f"a batch of {n} rows is larger than max_batch_rows")
+        bad = draft.filter(is_bad_text(F.col("id")) | is_bad_text(F.col("event_type")) | (F.col("occurred_at") > F.col("recorded_at"))).limit(1).collect()
         if bad:
             raise InvalidValue(f"event {bad[0]['id']}: text or times")
-        twice = events.groupBy("id").count().filter("count > 1").select("id").limit(1).collect()
-        known = events.select("id").join(self.events().select("id"), "id", "left_semi").limit(1).collect()
+        # Only batches whose ids may overlap with these are read, and of them the ids.
+        near = [m for m in manifests if m["first_id"] <= span["high"] and m["last_id"] >= span["low"]]
+        twice = draft.groupBy("id").count().filter("count > 1").select("id").limit(1).collect()
+        known = self._batches(near).select("id").join(draft.select("id"), "id", "left_semi").limit(1).collect() if near else []
         if twice or known:
             raise DuplicateEvent((twice or known)[0]["id"])
         base, version = sum(m["rows"] for m in manifests), -1 if last is None else last
-        rows = with_positions(events, list(order), "_at").withColumns(
+        rows = with_positions(draft, list(order), "_at").withColumns(
             {"stream_id": F.lit(stream), "stream_version": F.col("_at") + (version + 1), "global_position": F.col("_at") + base}
         )
-        batch = f"{len(manifests):08d}-{uuid.uuid4().hex}"
+        number = len(manifests)
+        batch = f"{number:08d}-{uuid.uuid4().hex}"
         rows.select(*[c.strip().split(" ")[0] for c in _columns(schema.STORED_EVENT)]).write.parquet(f"{self.path}/_tmp-{batch}")
-        n = self.spark.read.parquet(f"{self.path}/_tmp-{batch}").count()
-        if n > self.options.max_batch_rows:
+        if not self._fs.rename(self._fs_path(f"{self.path}/_tmp-{batch}"), self._fs_path(f"{self.path}/batches/{batch}")):
             self._fs.delete(self._fs_path(f"{self.path}/_tmp-{batch}"), True)
-            raise InvalidValue(f"a batch of {n} rows is larger than max_batch_rows")
-        self._fs.rename(self._fs_path(f"{self.path}/_tmp-{batch}"), self._fs_path(f"{self.path}/batches/{batch}"))
-        manifest = {"number": len(manifests), "stream": stream, "batch": batch, "rows": n, "last_stream_version": version + n, "last_global_position": base + n - 1}
+            raise ExternalModification(f"batch {batch} could not be put in place")
+        manifest = {
+            "number": number, "stream": stream, "batch": batch, "rows": n, "last_stream_version": version + n, "last_global_position": base + n - 1,
+            "first_id": span["low"], "last_id": span["high"], "digest": content_digest(self._batches([{"batch": batch}])),
+        }
         try:
-            out = self._fs.create(self._fs_path(f"{self.path}/manifests/{len(manifests):08d}.json"), False)
+            self._place(f"manifests/{number:08d}.json", json.dumps(manifest))
         except Exception as error:
             self._fs.delete(self._fs_path(f"{self.path}/batches/{batch}"), True)
             raise ExternalModification("another writer appended first") from error
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
+        if number % CHECKPOINT_EVERY == CHECKPOINT_EVERY - 1:
+            self._place(f"checkpoints/{number:08d}.json", json.dumps([*manifests, manifest]))
         return AppendReceipt(n, version + 1, version + n, base, base + n - 1)
 
 

@@ -5,25 +5,17 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 from palimpsest import schema
 from palimpsest.errors import Corruption, InvalidValue
 from palimpsest.operators.replay import Cursor, Snapshot, state_problems
 from palimpsest.operators.view import Projection
+from palimpsest.sources.storage import content_digest
 
 TABLES = {"node_revisions": schema.NODE_REVISION, "facts": schema.STORED_FACT, "supersessions": schema.SUPERSESSION, "retractions": schema.RETRACTION}
 
 
-def content_digest(df: DataFrame) -> str:
-    """Independent of the order of rows: count, and the sum of two row hashes (maps by sorted entries)."""
-    flat = df.select(*[F.array_sort(F.map_entries(c)).alias(c) if kind.startswith("map") else F.col(c) for c, kind in sorted(df.dtypes)])
-    row = F.to_json(F.struct(*flat.columns))
-    sums = [F.sum(F.xxhash64(F.lit(seed), row).cast("decimal(38,0)")).alias(f"h{seed}") for seed in (1, 2)]
-    return ":".join(str(x) for x in flat.agg(F.count(F.lit(1)), *sums).first())
-
-
 class SnapshotStore:
     """save() is idempotent for equal content and refuses other content at the same position;
     load_latest() takes the greatest position and checks what it reads."""

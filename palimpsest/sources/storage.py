@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.errors import InvalidValue
+
 
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it."""
@@ -19,9 +21,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a session without one (tests) gets a local folder."""
+    """spark.checkpoint.dir. Where it is unset, a local session gets a local folder; a cluster's machines
+    share no folder that this could choose, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise InvalidValue("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -46,3 +51,11 @@ def with_positions(df: DataFrame, order: list[str], name: str = "position", base
     before = F.aggregate(F.filter("_all", lambda x: x["_part"] < F.col("_part")), F.lit(0).cast("long"), lambda a, x: a + x["_n"])
     starts = counts.crossJoin(F.broadcast(lists)).select("_part", before.alias("_before"))
     return held.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + F.col("_row") + base).drop("_part", "_row", "_before")
+
+
+def content_digest(df: DataFrame) -> str:
+    """Independent of the order of rows: count, and the sum of two row hashes (maps by sorted entries)."""
+    flat = df.select(*[F.array_sort(F.map_entries(c)).alias(c) if kind.startswith("map") else F.col(c) for c, kind in sorted(df.dtypes)])
+    row = F.to_json(F.struct(*flat.columns))
+    sums = [F.sum(F.xxhash64(F.lit(seed), row).cast("decimal(38,0)")).alias(f"h{seed}") for seed in (1, 2)]
+    return ":".join(str(x) for x in flat.agg(F.count(F.lit(1)), *sums).first())

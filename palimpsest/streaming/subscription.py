@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from palimpsest import schema
 from palimpsest.errors import InvalidValue
-from palimpsest.operators.replay import Replay, Snapshot, resume
+from palimpsest.operators.replay import Cursor, Replay, Snapshot, resume
+from palimpsest.operators.view import Projection
 from palimpsest.sources.event_log import EventLog
+from palimpsest.sources.storage import materialize
 
 
 @dataclass
@@ -41,25 +42,42 @@ class CatchUpSubscription:
         self.checkpoint, self.delivered = position, None
 
 
-def event_stream(spark: SparkSession, log: EventLog, max_files: int = 100) -> DataFrame:
-    """The log's batches as a stream. Only batches with a manifest should be in the folder, so the
-    stream reads what open() has recovered."""
-    return spark.readStream.schema(schema.STORED_EVENT).option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", "true").parquet(f"{log.path}/batches")
+def manifest_stream(spark: SparkSession, log: EventLog, max_files: int = 100) -> DataFrame:
+    """The log's manifests as a stream (number): a batch is in it once it is committed, never before."""
+    lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(f"{log.path}/manifests")
+    return lines.select(F.get_json_object("value", "$.number").cast("long").alias("number"))
 
 
-def for_each_batch(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None], once: bool = True) -> StreamingQuery:
-    """At least once: a micro-batch is marked done after handle() returns."""
-    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+def for_each_batch(log: EventLog, checkpoint: str, handle: Callable[[DataFrame, int], None], once: bool = True) -> StreamingQuery:
+    """handle(events, micro-batch) for the committed batches, in Structured Streaming. At least once: a
+    micro-batch is marked done after handle() returns."""
+
+    def resolve(manifests: DataFrame, number: int) -> None:
+        span = manifests.agg(F.min("number"), F.max("number")).first()
+        if span[0] is not None:
+            handle(log.batch_rows(span[0], span[1]), number)
+
+    writer = manifest_stream(log.spark, log).writeStream.foreachBatch(resolve).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+#: After so many batches the state is written, so that plans don't grow with the number of batches.
+WRITE_EVERY = 8
+
+
 @dataclass
 class IncrementalProjection:
     """Keeps a projection up to date: each batch is validated against the cursor and added."""
 
     state: Snapshot | None = None
+    applied: int = 0
 
     def apply(self, events: DataFrame, strict: bool = True) -> Replay:
         done = resume(self.state, events, strict)
-        self.state = Snapshot(done.cursor, done.projection)
+        self.state, self.applied = Snapshot(done.cursor, done.projection), self.applied + 1
+        if self.applied % WRITE_EVERY == 0:
+            p = done.projection
+            kept = [materialize(df, "incremental-state") for df in (p.node_revisions, p.facts, p.supersessions, p.retractions)]
+            streams = materialize(done.cursor.stream_versions, "incremental-cursor")
+            self.state = Snapshot(Cursor(done.cursor.global_position, streams), Projection(*kept, p.last_position))
         return done

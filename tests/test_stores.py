@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from palimpsest import schema
 from palimpsest.errors import Corruption, DuplicateEvent, InvalidValue, VersionConflict
 from palimpsest.operators import replay
-from palimpsest.sources import codec
+from palimpsest.sources import codec, event_log
 from palimpsest.sources.event_log import EventLog, ExpectedVersion, LogOptions, RecoveryPolicy, position_problems
 from palimpsest.sources.snapshot import SnapshotStore
-from palimpsest.streaming.subscription import CatchUpSubscription, IncrementalProjection, event_stream, for_each_batch
+from palimpsest.streaming.subscription import WRITE_EVERY, CatchUpSubscription, IncrementalProjection, for_each_batch
 
 
 def batch(spark, *names):
@@ -54,6 +54,40 @@ def test_recovery(spark, tmp_path):
         (tmp_path / "log/manifests/.00000000.json.crc").unlink(missing_ok=True)
 
 
+def test_damage_and_checkpoints(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(event_log, "CHECKPOINT_EVERY", 2)
+    log = EventLog.open(spark, f"file://{tmp_path}/log")
+    for name in "abc":
+        log.append("s", ExpectedVersion.ANY, batch(spark, name))
+    assert [p.name for p in sorted((tmp_path / "log/checkpoints").glob("*.json"))] == ["00000001.json"]
+    again = EventLog.open(spark, log.path)
+    assert again.count() == 3 and again.stream_version("s") == 2
+    again.verify()
+    with pytest.raises(DuplicateEvent):
+        again.append("s", 2, batch(spark, "b"))
+    # As many rows as before, but others.
+    first = next((tmp_path / "log/batches").glob("00000000-*"))
+    again.events().filter("id = 'c'").coalesce(1).write.parquet(f"file://{tmp_path}/other")
+    for old in (*first.glob("*.parquet"), *first.glob(".*.crc")):
+        old.unlink()
+    next((tmp_path / "other").glob("*.parquet")).rename(first / "part.parquet")
+    with pytest.raises(Corruption):
+        again.verify()
+    with pytest.raises(Exception):
+        again._place("manifests/00000000.json", "{}")
+    assert json.loads((tmp_path / "log/manifests/00000000.json").read_text())["number"] == 0
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark):
+    from types import SimpleNamespace
+
+    from palimpsest.sources.storage import shared_dir
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(InvalidValue):
+        shared_dir(session)
+
+
 def test_subscription(spark, tmp_path):
     log = EventLog.open(spark, f"file://{tmp_path}/log")
     log.append("s", ExpectedVersion.ANY, batch(spark, *"abcde"))
@@ -77,9 +111,12 @@ def test_stream_and_increments(spark, tmp_path):
     log.append("s", ExpectedVersion.ANY, batch(spark, "a", "b"))
     log.append("s", ExpectedVersion.ANY, batch(spark, "c"))
     seen = []
-    for_each_batch(event_stream(spark, log), f"file://{tmp_path}/check", lambda df, _: seen.extend(r["id"] for r in df.select("id").collect())).awaitTermination(60)
+    # A batch that was never committed isn't delivered.
+    log.events().limit(1).write.parquet(f"file://{tmp_path}/log/batches/00000002-lost")
+    for _ in range(2):
+        for_each_batch(log, f"file://{tmp_path}/check", lambda df, _: seen.extend(r["id"] for r in df.select("id").collect())).awaitTermination(60)
     assert sorted(seen) == ["a", "b", "c"]
-    state = IncrementalProjection()
+    state = IncrementalProjection(applied=WRITE_EVERY - 1)
     state.apply(log.events().filter("global_position < 2"))
     done = state.apply(log.events().filter("global_position >= 2"))
     assert done.projection.equals(replay.replay(log.events()).projection)
@@ -120,6 +157,13 @@ def test_codecs(spark):
     for one in wrong:
         with pytest.raises(Exception):
             data.select(one.decode(F.col("d"))).collect()
+    ring = codec.KeyRing((codec.StaticKey("key-1", b"k" * 32), codec.StaticKey("key-2", b"n" * 16)), "key-2")
+    newer = codec.EncryptedCodec(packed, ring, b"context", 10_000)
+    both = data.unionByName(rows.select(newer.encode(F.col("v")).alias("d")))
+    assert sorted(r["b"]["n"] for r in both.select(newer.decode(F.col("d")).alias("b")).collect()) == [1, 1, 2, 2]
+    assert len({bytes(r["d"])[6:18] for r in rows.select(newer.encode(F.col("v")).alias("d")).collect()}) == 2
+    with pytest.raises(InvalidValue):
+        codec.KeyRing((codec.StaticKey("key-1", b"k" * 32),), "key-2")
     small = codec.Lz4Codec(json_codec, 10)
     with pytest.raises(Exception):
         rows.select(small.encode(F.col("v"))).collect()
