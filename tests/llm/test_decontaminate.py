@@ -39,7 +39,7 @@ def brute_force(docs, items, min_match=decontaminate.MIN_MATCH):
             item = cut(item_text)
             enough = min(min_match, -(-len(item) * 4 // 5))
             shifts = set()
-            for mask in MASKS:
+            for mask in MASKS if len(item) >= min(map(len, MASKS)) else ["1" * len(item)] if item else []:
                 ones = [k for k, c in enumerate(mask) if c == "1"]
                 places = defaultdict(list)
                 for at in range(len(item) - len(mask) + 1):
@@ -105,6 +105,26 @@ def test_empty_tables(spark):
 def test_beyond_the_broadcast_bound_results_are_the_same(spark, monkeypatch):
     docs, items = spark.createDataFrame([(1, PASSAGE), (2, "clean words only")], DOCS), spark.createDataFrame([(1, PASSAGE)], ITEMS)
     monkeypatch.setattr(decontaminate, "MAX_BROADCAST_SEEDS", 0)
-    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_IDS", 0)
+    for bound in ("MAX_BROADCAST_IDS", "MAX_BROADCAST_HITS", "MAX_BROADCAST_CHARS"):
+        monkeypatch.setattr(decontaminate, bound, 0)
     assert [r.doc_id for r in decontaminate.find(docs, items).collect()] == [1]
     assert [r.doc_id for r in decontaminate.clean(docs, items).collect()] == [2]
+
+
+def test_short_items_are_found_as_a_whole(spark):
+    docs = [(1, "say open the gate now"), (2, "open, the GATE"), (3, "open a gate"), (4, "gate"), (5, "the gate open the"), (6, "nothing")]
+    items = [(1, "Open the gate!"), (2, "gate"), (None, "nothing")]
+    got = decontaminate.find(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert {(x.doc_id, x.item_id): (x.n_match, x.doc_start, x.doc_stop) for x in got} == brute_force(docs, items)
+    assert (1, 1) in {(x.doc_id, x.item_id) for x in got} and (3, 1) not in {(x.doc_id, x.item_id) for x in got}
+
+
+def test_long_text_and_long_item(spark):
+    """An item of 20,000 words, in a text as long, in a part of it, and beside many short ones with one beginning."""
+    r = random.Random(2)
+    long = [f"w{r.randrange(3000)}" for _ in range(20_000)]
+    items = [(1, " ".join(long)), *((k, f"one beginning that all of these items share and then {k} {k + 1} {k + 2}") for k in range(2, 40))]
+    docs = [(1, " ".join(long)), (2, " ".join(long[5_000:5_200])), (3, "x y z " + " ".join(long[19_950:])), (4, "clean " * 20_000), (5, items[7][1])]
+    got = {(x.doc_id, x.item_id): x.n_match for x in decontaminate.find(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
+    assert {k: n for k, n in got.items() if k[1] == 1} == {(1, 1): 20_000, (2, 1): 200, (3, 1): 50}
+    assert got[5, 9] == len(items[7][1].split()) and 4 not in {d for d, _ in got}
