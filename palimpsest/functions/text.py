@@ -51,21 +51,37 @@ def token_set(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{IsAlphabetic}\p{N}]+"), lambda t: F.octet_length(t) > 1))
 
 
-def _matrix(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes as rows padded with zeros, and their lengths."""
+#: Bytes of a block of values that are hashed together, padding included.
+BLOCK_BYTES = 1 << 24
+
+
+def _blocks(values: list[bytes]):
+    """Blocks of values of like length: (which, their bytes by position). Padding is bounded, as values
+    come by length, so that a long one stands alone."""
     sizes = np.fromiter(map(len, values), np.int64, len(values))
-    width = int(sizes.max()) if len(sizes) else 0
-    flat = np.frombuffer(b"".join(v.ljust(width, b"\0") for v in values), np.uint8)
-    return flat.reshape(len(values), width), sizes
+    order = np.argsort(sizes, kind="stable")
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and sizes[order[end]] * (end + 1 - at) <= BLOCK_BYTES and sizes[order[end]] <= 2 * sizes[order[at]] + 64:
+            end += 1
+        which = order[at:end]
+        width = int(sizes[which[-1]])
+        flat = np.frombuffer(b"".join(values[i].ljust(width, b"\0") for i in which), np.uint8)
+        yield which, np.ascontiguousarray(flat.reshape(len(which), width).T), sizes[which]
+        at = end
 
 
 def fnv1a(values: list[bytes]) -> np.ndarray:
-    """64-bit FNV-1a of each value, one vector step for each byte position."""
-    rows, sizes = _matrix(values)
-    state = np.full(len(values), 0xCBF29CE484222325, np.uint64)
-    for i in range(rows.shape[1]):
-        state = np.where(i < sizes, (state ^ rows[:, i]) * np.uint64(0x100000001B3), state)
-    return state
+    """64-bit FNV-1a of each value, one vector step for each byte position of a block."""
+    out = np.full(len(values), 0xCBF29CE484222325, np.uint64)
+    for which, columns, sizes in _blocks(values):
+        state = out[which]
+        for i, column in enumerate(columns):
+            live = np.searchsorted(sizes, i, "right")
+            state[live:] = (state[live:] ^ column[live:]) * np.uint64(0x100000001B3)
+        out[which] = state
+    return out
 
 
 _CRC = np.arange(256, dtype=np.uint32)
@@ -75,11 +91,14 @@ for _ in range(8):
 
 def crc32c_of(values: list[bytes]) -> np.ndarray:
     """CRC-32 with the Castagnoli polynomial (Spark's crc32 uses another)."""
-    rows, sizes = _matrix(values)
-    state = np.full(len(values), 0xFFFFFFFF, np.uint32)
-    for i in range(rows.shape[1]):
-        state = np.where(i < sizes, _CRC[(state ^ rows[:, i]) & 0xFF] ^ (state >> np.uint32(8)), state)
-    return state ^ np.uint32(0xFFFFFFFF)
+    out = np.full(len(values), 0xFFFFFFFF, np.uint32)
+    for which, columns, sizes in _blocks(values):
+        state = out[which]
+        for i, column in enumerate(columns):
+            live = np.searchsorted(sizes, i, "right")
+            state[live:] = _CRC[(state[live:] ^ column[live:]) & 0xFF] ^ (state[live:] >> np.uint32(8))
+        out[which] = state
+    return out ^ np.uint32(0xFFFFFFFF)
 
 
 @F.pandas_udf(T.StringType())

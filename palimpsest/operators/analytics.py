@@ -30,6 +30,7 @@ def contradictions(view: View, hypothesis: dict) -> DataFrame:
     pair = (F.col("source") == h["source"]) & (F.col("target") == h["target"]) | (F.col("source") == h["target"]) & (F.col("target") == h["source"])
     explicit = (lower_ascii(F.col("relation")) == "contradicts") & pair
     corrected = F.coalesce(F.col("id") == h["supersedes"], F.lit(False))
+    # The wording of the reasons.
     reason = F.when(explicit, "explicit contradicts relation").when(corrected, "hypothesis explicitly supersedes this fact").otherwise("same source and relation assert a different target")
     return view.facts.filter(competing | explicit | corrected).select(
         F.col("id").alias("fact"), F.least(F.col("confidence"), F.lit(int(hypothesis["confidence"]))).alias("strength_bps"), reason.alias("reason"), "target"

@@ -62,9 +62,15 @@ def literal_predictions(cases: DataFrame, documents: DataFrame, limit: int) -> D
     """(case_id, ranked_ids): of the case's group the documents with most tokens of the query, then
     by id; documents that share none are ranked too. cases: (id, group_id, query); documents:
     (group_id, id, text)."""
-    docs = documents.select("group_id", F.col("id").alias("doc"), token_set(F.col("text")).alias("tokens"))
-    asked = cases.select(F.col("id").alias("case_id"), "group_id", token_set(F.col("query")).alias("wanted"))
-    scored = asked.join(docs, "group_id").select("case_id", "doc", F.size(F.array_intersect("tokens", "wanted")).alias("score"))
+    docs = documents.select("group_id", F.col("id").alias("doc"), F.explode(token_set(F.col("text"))).alias("token"))
+    asked = cases.select(F.col("id").alias("case_id"), "group_id", F.explode(token_set(F.col("query"))).alias("token"))
+    # Tokens meet tokens; a document that shares none is only looked at where the others are too few, and
+    # then among the first 2 * limit of its group.
+    scored = asked.join(docs, ["group_id", "token"]).groupBy("case_id", "doc").agg(F.count(F.lit(1)).alias("score"))
+    by_id = Window.partitionBy("group_id").orderBy("doc")
+    first = documents.select("group_id", F.col("id").alias("doc")).distinct().withColumn("place", F.row_number().over(by_id)).filter(F.col("place") <= 2 * limit)
+    rest = cases.select(F.col("id").alias("case_id"), "group_id").join(first, "group_id").select("case_id", "doc", F.lit(0).cast("long").alias("score"))
+    scored = scored.unionByName(rest).groupBy("case_id", "doc").agg(F.max("score").alias("score"))
     place = Window.partitionBy("case_id").orderBy(F.desc("score"), "doc")
     top = scored.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= limit)
     return top.groupBy("case_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "doc"))), lambda x: x["doc"]).alias("ranked_ids"))

@@ -132,7 +132,7 @@ class Catalog:
         decisions = materialize(rows.select("input_id", "ordinal", "local_id", entity.alias("entity_id"), score.cast("int").alias("score"), "method", stable.alias("by_stable_id")), "decisions")
         taken = decisions.filter("method = 'created' AND NOT by_stable_id").join(self.entities.select(F.col("id").alias("entity_id")), "entity_id", "left_semi").limit(1).collect()
         if taken:
-            raise ExtractionFailure(f"generated entity identifier collides with {taken[0]['entity_id']}")
+            raise ExtractionFailure(f"a new entity would take the id {taken[0]['entity_id']}, which is in use")
         return decisions.drop("by_stable_id"), found
 
 
@@ -195,7 +195,7 @@ def _merged(nodes: DataFrame) -> DataFrame:
         attributes = dict(first["attributes"])
         for row in frame.iloc[1:].to_dict("records"):
             if any(row[c] != first[c] for c in ("kind", "label", "repository", "branch")):
-                raise ValueError("two mentions generated conflicting entity payloads")
+                raise ValueError("mentions of one new entity differ in kind, label or scope")
             for key, value in sorted(dict(row["attributes"]).items()):
                 if key.startswith("alias."):
                     if value in [v for k, v in attributes.items() if k.startswith("alias.")]:
@@ -205,7 +205,7 @@ def _merged(nodes: DataFrame) -> DataFrame:
                         n += 1
                     attributes[f"alias.{n}"] = value
                 elif attributes.setdefault(key, value) != value:
-                    raise ValueError("two mentions generated conflicting entity attributes")
+                    raise ValueError("mentions of one new entity differ in an attribute")
         merged = first.to_dict() | {"attributes": attributes}
         return pd.DataFrame([merged])[["input_id", "id", "kind", "label", "repository", "branch", "attributes"]]
 
@@ -256,6 +256,7 @@ def plan(provider: ExtractionProvider, inputs: DataFrame, catalog: Catalog, poli
     ends = relations.join(end("source"), ["input_id", "source"]).join(end("target"), ["input_id", "target"])
     whole = F.col("source_id").isNotNull() & F.col("target_id").isNotNull()
     shown = lambda c: F.replace(F.initcap(F.replace(c, F.lit("_"), F.lit(" "))), F.lit(" "), F.lit(""))
+    # Fixed value: the wording of the reason.
     rejected = ends.filter(~whole).select(
         "input_id", F.col("local_id").alias("relation_id"), F.col("source").alias("source_mention"), F.col("target").alias("target_mention"),
         F.concat(F.lit("unresolved endpoints: source="), shown(F.col("source_method")), F.lit(", target="), shown(F.col("target_method"))).alias("reason"),

@@ -14,6 +14,8 @@ from palimpsest.schema import CHANNELS
 
 #: Reciprocal rank fusion in integers.
 SCALE, RANK_CONSTANT = 1_000_000_000, 60
+#: A provider's hits are ranked in so many shares first, of which each gives its best.
+SHARES = 256
 
 
 @dataclass(frozen=True)
@@ -50,13 +52,18 @@ def fuse(hits: DataFrame, limit: int, channels: tuple[str, ...] = (), by: tuple[
     """(entity, fused_score, sources) from hits (provider, entity, channel, score), best first.
 
     `by` names request columns: many queries are then fused at once. A provider's hits of an entity
-    count once, by its best; its first `limit` entities get ranks; each adds SCALE div (60 + rank)."""
+    count once, by its best; its first `limit` entities get ranks; each adds SCALE div (60 + rank). Hits
+    are cut to the best `limit` of their partition before a provider's meet in one place."""
     if channels:
         hits = hits.filter(F.col("channel").isin(*channels))
     best_first = [F.desc("score"), "entity", channel_order(F.col("channel"))]
-    own = Window.partitionBy(*by, "provider", "entity").orderBy(*best_first)
+    order = F.struct((-F.col("score")).alias("down"), channel_order(F.col("channel")).alias("way"))
+    best = hits.groupBy(*by, "provider", "entity").agg(F.min_by(F.struct("channel", "score"), order).alias("best")).select(*by, "provider", "entity", "best.*")
     ranked = Window.partitionBy(*by, "provider").orderBy(*best_first)
-    rows = hits.withColumn("_n", F.row_number().over(own)).filter("_n = 1").withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= limit)
+    some = Window.partitionBy(*by, "provider", "_share").orderBy(*best_first)
+    rows = best.withColumn("_share", F.pmod(F.xxhash64("entity"), F.lit(SHARES)))
+    rows = rows.withColumn("_n", F.row_number().over(some)).filter(F.col("_n") <= limit)
+    rows = rows.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= limit)
     rows = rows.withColumn("contribution", F.expr(f"{SCALE} div ({RANK_CONSTANT} + rank)"))
     source = F.struct("provider", "channel", "rank", "score", "contribution")
     fused = rows.groupBy(*by, "entity").agg(F.sum("contribution").alias("fused_score"), F.sort_array(F.collect_list(source)).alias("sources"))

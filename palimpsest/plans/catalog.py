@@ -6,19 +6,24 @@ same in DuckDB SQL.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import fact_tokens, normalized, stable_hash
+from palimpsest import schema
+from palimpsest.errors import MemoryError_
+from palimpsest.functions.text import crc32c, fact_tokens, normalized, stable_hash
 from palimpsest.functions.text import node_tokens as node_tokens_of
 from palimpsest.operators import analytics, context, evaluation, graph, linking, replay, retrieval
 from palimpsest.operators.view import Clock, Projection, bitemporal_matrix
 from palimpsest.plans import memory_sql as sql
-from palimpsest.sources import derived, event_log
+from palimpsest.sources import codec, derived, event_log
 from palimpsest.sources.derived import T96, T97, T98, table
-from palimpsest.sources.storage import materialize, ship, with_positions
+from palimpsest.sources.snapshot import SnapshotStore
+from palimpsest.sources.storage import materialize, shared_dir, ship, with_positions
+from palimpsest.streaming.subscription import CatchUpSubscription, IncrementalProjection, for_each_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
 CLOCK = Clock(T98, T98)
@@ -152,36 +157,6 @@ def user_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("SELECT 'event:' || event_id AS id, row_number() OVER (ORDER BY event_id) - 1 AS global_position FROM events")
-def event_log_positions(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id")
-    return with_positions(e, ["event_id"], "global_position").select(F.concat(F.lit("event:"), F.col("event_id").cast("string")).alias("id"), "global_position")
-
-
-@register(f"{_LOG} SELECT * FROM log WHERE stream_id = 'user:7' AND stream_version > 2")
-def load_stream_after(spark, sf_dir):
-    return user_log(spark, sf_dir).filter("stream_id = 'user:7' AND stream_version > 2").orderBy("stream_version")
-
-
-@register(f"{_LOG} SELECT * FROM log WHERE global_position > 100 ORDER BY global_position LIMIT 50")
-def load_all_after_limit(spark, sf_dir):
-    return user_log(spark, sf_dir).filter("global_position > 100").orderBy("global_position").limit(50)
-
-
-@register(f"{_LOG} SELECT stream_id, max(stream_version) AS stream_version, count(*) AS n FROM log GROUP BY stream_id")
-def stream_versions(spark, sf_dir):
-    return user_log(spark, sf_dir).groupBy("stream_id").agg(F.max("stream_version").alias("stream_version"), F.count(F.lit(1)).alias("n"))
-
-
-@register(
-    f"{_LOG} SELECT stream_id, count(*) AS event_count, min(stream_version) AS first_stream_version, max(stream_version) AS last_stream_version,"
-    " min(global_position) AS first_global_position, max(global_position) AS last_global_position FROM log GROUP BY stream_id"
-)
-def append_receipt(spark, sf_dir):
-    span = [f(c).alias(f"{n}_{c}") for c in ("stream_version", "global_position") for n, f in (("first", F.min), ("last", F.max))]
-    return user_log(spark, sf_dir).groupBy("stream_id").agg(F.count(F.lit(1)).alias("event_count"), *span)
-
-
 #: The corrupted log: one event missing, one id used twice.
 @register(
     _LOG
@@ -201,9 +176,7 @@ def replay_violations(spark, sf_dir):
 def memory_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived log with positions; one stream for each stream_id."""
     rows = derived.memory_events(spark, sf_dir)
-    placed = with_positions(rows, ["phase", "recorded_at", "key", "ord"], "global_position")
-    version = F.row_number().over(Window.partitionBy("stream_id").orderBy("global_position")) - 1
-    return placed.withColumn("stream_version", version.cast("long"))
+    return with_positions(rows, ["phase", "recorded_at", "key", "ord"], "global_position", group="stream_id", group_name="stream_version")
 
 
 @register(f"{sql.view(T98, T98)} SELECT {FACT_COLUMNS} FROM view_facts")
@@ -220,12 +193,13 @@ def replayed_view_nodes(spark, sf_dir):
 
 @register(f"{sql.view(T98, T98)} SELECT {FACT_COLUMNS} FROM view_facts")
 def snapshot_resume(spark, sf_dir):
-    """A snapshot in the middle of the log and the tail after it give what the whole log gives."""
+    """A snapshot in the middle of the log, saved and loaded, and the tail after it give what the whole log gives."""
     log = materialize(memory_log(spark, sf_dir), "memory-log")
     middle = log.count() // 2
     head = replay.replay(log.filter(F.col("global_position") < middle), strict=False)
-    state = replay.Snapshot(head.cursor, head.projection)
-    done = replay.resume(state, log.filter(F.col("global_position") >= middle), strict=True)
+    store = SnapshotStore(spark, store_path(spark, "snapshots"))
+    store.save(replay.Snapshot(head.cursor, head.projection))
+    done = replay.resume(store.load_latest(), log.filter(F.col("global_position") >= middle), strict=True)
     return _fact_columns(done.projection.view(T98, T98).facts)
 
 
@@ -242,11 +216,245 @@ def replay_missing_entities(spark, sf_dir):
     return found.join(log.select("global_position", F.col("payload.fact.id").alias("fact")), "global_position").select("fact", "error", "priority")
 
 
-@register("SELECT event_id // 64 AS batch, min(event_id) AS first_position, max(event_id) AS last_position, count(*) AS n FROM events GROUP BY 1")
+# ---- the store itself
+
+_STORE = """WITH e AS (SELECT *, CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN event_id % 2 ELSE 0 END AS half FROM events),
+log AS (
+  SELECT 'event:' || event_id AS id, 'type:' || event_type AS stream_id, half, event_type, epoch_us(ts) AS recorded_at,
+         row_number() OVER (ORDER BY event_type, half, epoch_us(ts), 'event:' || event_id) - 1 AS global_position,
+         row_number() OVER (PARTITION BY event_type ORDER BY half, epoch_us(ts), 'event:' || event_id) - 1 AS stream_version
+  FROM e
+)"""
+_STORES: dict[tuple[str, str], tuple[event_log.EventLog, list[tuple]]] = {}
+
+
+def store_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def event_batch(rows: DataFrame) -> DataFrame:
+    """Rows of the events table as events without payload."""
+    at, none = derived.micros(F.col("ts")), F.lit(None).cast("string")
+    return rows.select(
+        F.concat(F.lit("event:"), F.col("event_id").cast("string")).alias("id"), "event_type", at.alias("occurred_at"), at.alias("recorded_at"),
+        F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("agent_id"), F.lit("load-1").alias("session_id"), none.alias("correlation_id"), none.alias("causation_id"),
+        F.lit(None).cast(schema.PAYLOAD).alias("payload"),
+    )
+
+
+def event_store(spark: SparkSession, sf_dir: str) -> tuple[event_log.EventLog, list[tuple]]:
+    """The events table in an event log, a stream for each type (the first comes in two batches), and the
+    receipts. It is appended once a session and folder; the log is immutable."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        log, receipts = event_log.EventLog.open(spark, store_path(spark, "event-log")), []
+        e = table(spark, sf_dir, "events")
+        # One row for each type of event.
+        types = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").collect()]
+        for n, kind in enumerate(types):
+            own, expected = e.filter(F.col("event_type") == kind), event_log.ExpectedVersion.NO_STREAM
+            for part in [own.filter("event_id % 2 = 0"), own.filter("event_id % 2 = 1")] if n == 0 else [own]:
+                receipt = log.append(f"type:{kind}", expected, event_batch(part))
+                receipts.append((f"type:{kind}", receipt.event_count, receipt.first_stream_version, receipt.last_stream_version, receipt.first_global_position, receipt.last_global_position))
+                expected = receipt.last_stream_version
+        _STORES[key] = (log, receipts)
+    return _STORES[key]
+
+
+@register(f"{_STORE} SELECT id, stream_id, stream_version, global_position FROM log")
+def event_log_positions(spark, sf_dir):
+    return event_store(spark, sf_dir)[0].events().select("id", "stream_id", "stream_version", "global_position")
+
+
+@register(f"{_STORE} SELECT id, stream_version, global_position, recorded_at FROM log WHERE stream_id = 'type:click' AND stream_version > 2")
+def load_stream_after(spark, sf_dir):
+    return event_store(spark, sf_dir)[0].load_stream("type:click", 2).select("id", "stream_version", "global_position", "recorded_at")
+
+
+@register(f"{_STORE} SELECT id, stream_id, global_position FROM log WHERE global_position > 100 ORDER BY global_position LIMIT 50")
+def load_all_after_limit(spark, sf_dir):
+    return event_store(spark, sf_dir)[0].load_all(100, 50).select("id", "stream_id", "global_position")
+
+
+@register(f"{_STORE} SELECT stream_id, max(stream_version) AS stream_version, (SELECT count(*) FROM log) AS log_events FROM log GROUP BY stream_id UNION ALL SELECT 'type:none', NULL, (SELECT count(*) FROM log)")
+def stream_versions(spark, sf_dir):
+    log, receipts = event_store(spark, sf_dir)
+    names = sorted({r[0] for r in receipts}) + ["type:none"]
+    return spark.createDataFrame([(n, log.stream_version(n), log.count()) for n in names], "stream_id string, stream_version bigint, log_events bigint")
+
+
+@register(
+    f"{_STORE} SELECT stream_id, count(*) AS event_count, min(stream_version) AS first_stream_version, max(stream_version) AS last_stream_version,"
+    " min(global_position) AS first_global_position, max(global_position) AS last_global_position FROM log GROUP BY stream_id, half"
+)
+def append_receipt(spark, sf_dir):
+    columns = "stream_id string, event_count bigint, first_stream_version bigint, last_stream_version bigint, first_global_position bigint, last_global_position bigint"
+    return spark.createDataFrame(event_store(spark, sf_dir)[1], columns)
+
+
+def outcome(act: Callable[[], object]) -> str:
+    try:
+        act()
+    except MemoryError_ as error:
+        return error.kind
+    return "none"
+
+
+_ATTEMPTS = {
+    "stream exists": "VersionConflict", "older version": "VersionConflict", "known id": "DuplicateEvent", "id twice": "DuplicateEvent", "padded id": "InvalidValue",
+    "recorded before it occurred": "InvalidValue", "blank stream": "InvalidValue", "too large": "InvalidValue", "empty batch": "none",
+}
+
+
+@register("SELECT attempt, error, (SELECT count(*) FROM events) AS log_events FROM (VALUES " + ", ".join(f"('{a}', '{e}')" for a, e in _ATTEMPTS.items()) + ") AS t(attempt, error)")
+def append_conflicts(spark, sf_dir):
+    """Appends that must fail leave the log as it is."""
+    log = event_store(spark, sf_dir)[0]
+    known = log.events().select(*[f.name for f in event_batch(table(spark, sf_dir, "events")).schema]).orderBy("id").limit(2)
+    fresh = known.withColumn("id", F.concat(F.lit("new:"), F.col("id")))
+    small = event_log.EventLog.open(spark, log.path, event_log.LogOptions(max_batch_rows=1))
+    new, any_ = event_log.ExpectedVersion.NO_STREAM, event_log.ExpectedVersion.ANY
+    acts = {
+        "stream exists": lambda: log.append("type:click", new, fresh),
+        "older version": lambda: log.append("type:click", 0, fresh),
+        "known id": lambda: log.append("other", any_, known),
+        "id twice": lambda: log.append("other", any_, fresh.unionByName(fresh)),
+        "padded id": lambda: log.append("other", any_, fresh.withColumn("id", F.concat("id", F.lit(" ")))),
+        "recorded before it occurred": lambda: log.append("other", any_, fresh.withColumn("occurred_at", F.col("recorded_at") + 1)),
+        "blank stream": lambda: log.append(" ", any_, fresh),
+        "too large": lambda: small.append("other", any_, fresh),
+        "empty batch": lambda: log.append("other", new, fresh.limit(0)),
+    }
+    return spark.createDataFrame([(name, outcome(act), log.count()) for name, act in acts.items()], "attempt string, error string, log_events bigint")
+
+
+@register("SELECT * FROM (VALUES ('whole', 'none'), ('stray batch, strict', 'Corruption'), ('stray batch, truncated', 'none'), ('other content', 'Corruption'), ('missing batch', 'Corruption')) AS t(state, error)")
+def log_recovery(spark, sf_dir):
+    """What opening and verifying say of damaged logs."""
+    path, events = store_path(spark, "damaged-log"), event_batch(table(spark, sf_dir, "events")).orderBy("id").limit(20)
+    first = event_log.EventLog.open(spark, path)
+    first.append("s", event_log.ExpectedVersion.NO_STREAM, events)
+    truncate = event_log.LogOptions(event_log.RecoveryPolicy.TRUNCATE_PARTIAL_TAIL)
+    check = lambda options=event_log.LogOptions(): outcome(lambda: event_log.EventLog.open(spark, path, options).verify())
+    found = [("whole", check())]
+    first.events().write.parquet(f"{path}/batches/00000001-stray")
+    found += [("stray batch, strict", check()), ("stray batch, truncated", check(truncate))]
+    batch = first._manifests()[0]["batch"]
+    other = materialize(first.events().withColumn("event_type", F.upper("event_type")), "other-content")
+    other.write.mode("overwrite").parquet(f"{path}/batches/{batch}")
+    found.append(("other content", check()))
+    first._fs.delete(first._fs_path(f"{path}/batches/{batch}"), True)
+    found.append(("missing batch", check(truncate)))
+    return spark.createDataFrame(found, "state string, error string")
+
+
+_POLLS = "(SELECT (count(*) + 7) // 8 FROM events)"
+
+
+@register(f"{_STORE} SELECT global_position // {_POLLS} AS batch, min(global_position) AS first_position, max(global_position) AS last_position, count(*) AS n FROM log GROUP BY 1")
 def subscription_batches(spark, sf_dir):
-    batch = F.expr("global_position div 64").alias("batch")
-    ends = [F.min("global_position").alias("first_position"), F.max("global_position").alias("last_position"), F.count(F.lit(1)).alias("n")]
-    return user_log(spark, sf_dir).groupBy(batch).agg(*ends)
+    """Polls and acknowledgements until nothing is left; each batch is polled twice before it is acknowledged."""
+    log = event_store(spark, sf_dir)[0]
+    consumer, found = CatchUpSubscription(None, -(-log.count() // 8)), []
+    while True:
+        consumer.poll(log)
+        span = consumer.poll(log).agg(F.min("global_position"), F.max("global_position"), F.count(F.lit(1))).first()
+        if not span[2]:
+            return spark.createDataFrame(found, "batch bigint, first_position bigint, last_position bigint, n bigint")
+        consumer.acknowledge(span[1])
+        found.append((len(found), *span))
+
+
+@register(f"{_STORE} SELECT count(*) AS n, count(DISTINCT id) AS ids, max(global_position) AS last_position FROM log")
+def stream_delivery(spark, sf_dir):
+    """The log through Structured Streaming, by committed batches, twice over one checkpoint."""
+    log, target = event_store(spark, sf_dir)[0], store_path(spark, "delivered")
+    keep = lambda rows, _: rows.select("id", "global_position").write.mode("append").parquet(target)
+    checkpoint = store_path(spark, "stream-checkpoint")
+    for _ in range(2):
+        for_each_batch(log, checkpoint, keep).awaitTermination()
+    return spark.read.parquet(target).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"), F.max("global_position").alias("last_position"))
+
+
+@register(f"{sql.view(T98, T98)} SELECT {FACT_COLUMNS} FROM view_facts")
+def incremental_view_facts(spark, sf_dir):
+    log = materialize(memory_log(spark, sf_dir), "memory-log")
+    third, state = log.count() // 3, IncrementalProjection()
+    for low, high in ((0, third), (third, 2 * third), (2 * third, None)):
+        part = log.filter(F.col("global_position") >= low)
+        done = state.apply(part if high is None else part.filter(F.col("global_position") < high), strict=False)
+    return _fact_columns(done.projection.view(T98, T98).facts)
+
+
+@register(f"SELECT c_custkey, {sql.crc32c('encode(c_name)')} AS crc FROM customer")
+def checksums(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", crc32c(F.col("c_name").cast("binary")).alias("crc"))
+
+
+@register(
+    "SELECT codec, c_custkey, c_name, CASE codec WHEN 'json' THEN '7B' WHEN 'lz4' THEN '50414C5A4C5A3431' WHEN 'sealed' THEN CASE WHEN c_custkey % 2 = 0 THEN '056B65792D31' ELSE '056B65792D32' END END AS head"
+    " FROM customer, (VALUES ('json'), ('lz4'), ('sealed')) AS t(codec)"
+)
+def codec_roundtrip(spark, sf_dir):
+    """Through JSON, LZ4 and AES-GCM and back; even customers were sealed under an older key."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.struct("c_custkey", "c_name").alias("v"))
+    plain = codec.JsonCodec("c_custkey bigint, c_name string")
+    packed, old, new = codec.Lz4Codec(plain, 1 << 20), codec.StaticKey("key-1", b"1" * 32), codec.StaticKey("key-2", b"2" * 32)
+    before, now = (codec.EncryptedCodec(packed, codec.KeyRing((old, new), k), b"customers", 1 << 20) for k in ("key-1", "key-2"))
+    shown = lambda name, data, one, width: data.select(F.lit(name).alias("codec"), "c_custkey", one.decode(F.col("d"))["c_name"].alias("c_name"), F.hex(F.substring("d", 1, width)).alias("head"))
+    sealed = c.filter("c_custkey % 2 = 0").select("c_custkey", before.encode(F.col("v")).alias("d")).unionByName(c.filter("c_custkey % 2 = 1").select("c_custkey", now.encode(F.col("v")).alias("d")))
+    out = shown("sealed", sealed, now, 6)
+    for name, one, width in (("json", plain, 1), ("lz4", packed, 8)):
+        out = out.unionByName(shown(name, c.select("c_custkey", one.encode(F.col("v")).alias("d")), one, width))
+    return out
+
+
+#: Facts of every seventh order name another agent than their envelope; nation nodes come as another type.
+@register(
+    f"{sql.BASE} SELECT id, 'InvalidReplay' AS error, 5 AS priority FROM order_facts WHERE substr(id, 8)::BIGINT % 7 = 0"
+    " UNION ALL SELECT 'nation:' || n_nationkey, 'InvalidReplay', 4 FROM nation"
+)
+def envelope_violations(spark, sf_dir):
+    log = memory_log(spark, sf_dir)
+    key = F.substring("payload.fact.id", 8, 20).try_cast("bigint")
+    other = F.col("payload").withField("fact", F.col("payload.fact").withField("agent_id", F.lit("someone")))
+    log = log.withColumn("payload", F.when(F.col("payload.fact.id").startswith("fact:o:") & (key % 7 == 0), other).otherwise(F.col("payload")))
+    log = log.withColumn("event_type", F.when(F.col("payload.node.id").startswith("nation:"), "node_seen").otherwise(F.col("event_type")))
+    log = materialize(log, "memory-log")
+    names = log.select("global_position", F.coalesce("payload.fact.id", "payload.node.id").alias("id"))
+    return replay.payload_violations(log).join(names, "global_position").select("id", "error", "priority")
+
+
+@register(
+    f"{sql.BASE}, none AS (SELECT * FROM retractions WHERE false), {sql.active(T98, T98, retractions='none')}, {sql.nodes(T98)}"
+    f" SELECT {FACT_COLUMNS} FROM active WHERE source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes)"
+)
+def bulk_view_facts(spark, sf_dir):
+    """The view of a projection built from its parts: nodes and facts as they are, no log, no retractions."""
+    p = memory(spark, sf_dir)
+    columns = [c.strip().split(" ")[0] for c in event_log._columns(schema.NODE)]
+    nodes = materialize(p.visible_nodes(T98).select(*columns), "bulk-nodes")
+    facts = materialize(p.facts.filter(F.col("recorded_at") <= T98).drop("position"), "bulk-facts")
+    return _fact_columns(replay.from_parts(nodes, facts, T98).view(T98, T98).facts)
+
+
+@register(
+    f"""{sql.BASE} SELECT 'MissingEntity' AS error, 'nation:' || n_nationkey AS detail FROM nation WHERE n_nationkey >= 20
+UNION ALL SELECT 'ConflictingFact', prior FROM supersessions WHERE substr(replacement, 8)::BIGINT % 9 = 0
+UNION ALL SELECT 'InvalidValue', fact_id FROM retractions WHERE substr(fact_id, 8)::BIGINT % 33 = 0"""
+)
+def state_problems(spark, sf_dir):
+    """A state without some nodes, with shifted supersessions and with retractions from before their facts."""
+    p = memory(spark, sf_dir)
+    number = lambda c: F.substring(c, 8, 20).cast("bigint")
+    damaged = Projection(
+        p.node_revisions.filter("NOT id LIKE 'nation:2_'"),
+        p.facts,
+        p.supersessions.withColumn("valid_from", F.col("valid_from") + (number("replacement") % 9 == 0).cast("long")),
+        p.retractions.withColumn("valid_until", F.when(number("fact_id") % 33 == 0, F.lit(-(10**18))).otherwise(F.col("valid_until"))),
+        None,
+    )
+    return replay.state_problems(damaged)
 
 
 # ---- graph
@@ -579,20 +787,127 @@ def rrf_fusion(spark, sf_dir):
 def semantic_topk(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     asked = e.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("asked"))
-    # A fixed query set against all rows: queries are few and their number is checked.
-    if asked.count() > 100_000:
-        raise ValueError("too many queries to broadcast")
+    # A fixed query set against all rows, in blocks of bounded bytes: no more of them is in a task at once.
+    dimensions = e.select(F.max(F.size("vector"))).first()[0] or 1
+    blocks = max(1, -(-asked.count() * dimensions * 8 // MAX_QUERY_BYTES))
+    parts = [scored_by(e, asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)) for n in range(blocks)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+MAX_QUERY_BYTES = 64 << 20
+
+
+def scored_by(e: DataFrame, asked: DataFrame) -> DataFrame:
+    """The five nearest of e for each query; queries are few enough to broadcast."""
     scored = e.join(F.broadcast(asked)).select("query_id", "id", F.round(retrieval.cosine(F.col("asked"), F.col("vector")) * 1_000_000).cast("long").alias("score"))
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("n", F.row_number().over(place)).filter("n <= 5").drop("n")
 
 
+_TOKENS = "list_distinct(list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+'), lambda t: strlen(t) > 1))"
+_ASKED = "array_to_string(string_split((SELECT text FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark)), ' ')[1:6], ' ')"
+
+
+def first_words(spark: SparkSession, sf_dir: str) -> retrieval.RetrievalQuery:
+    """The first words of the first benchmark item."""
+    words = table(spark, sf_dir, "benchmark").orderBy("item_id").select(F.array_join(F.slice(F.split("text", " "), 1, 6), " ")).first()[0]
+    return retrieval.RetrievalQuery(words, 10)
+
+
+@register(
+    f"SELECT 'b' || item_id AS entity, 'literal' AS channel, len(list_intersect({_TOKENS.format('text')}, {_TOKENS.format(_ASKED)})) AS score FROM benchmark"
+    f" WHERE len(list_intersect({_TOKENS.format('text')}, {_TOKENS.format(_ASKED)})) > 0"
+)
+def literal_hits(spark, sf_dir):
+    texts = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("entity"), "text")
+    hits = retrieval.collect_hits([retrieval.LiteralProvider(texts)], first_words(spark, sf_dir))
+    return hits.select("entity", "channel", "score")
+
+
+_DOT = "list_dot_product({}::DOUBLE[], {}::DOUBLE[])"
+
+
+@register(
+    f"WITH q AS (SELECT embedding AS v FROM embeddings ORDER BY vec_id LIMIT 1) SELECT 'v' || vec_id AS entity, 'semantic' AS channel,"
+    f" round({_DOT.format('v', 'embedding')} / sqrt({_DOT.format('v', 'v')} * {_DOT.format('embedding', 'embedding')}) * 1000000)::BIGINT AS score FROM q, embeddings"
+)
+def semantic_hits(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.orderBy("vec_id").select("embedding").first()[0]
+    vectors = e.select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("entity"), F.col("embedding").alias("vector"))
+    return retrieval.collect_hits([retrieval.CosineProvider(vectors, list(asked))], retrieval.RetrievalQuery("near", 10)).select("entity", "channel", "score")
+
+
+@register(
+    """SELECT 'hit' AS kind, 'customer:' || c_custkey AS id FROM customer WHERE c_custkey IN (4, 8) UNION ALL SELECT 'node', 'customer:' || c_custkey FROM customer WHERE c_custkey IN (4, 8)
+UNION ALL SELECT 'fact', 'fact:c:' || c_custkey FROM customer WHERE c_custkey IN (4, 8) UNION ALL SELECT DISTINCT 'node', 'nation:' || c_nationkey FROM customer WHERE c_custkey IN (4, 8)"""
+)
+def retrieved_context(spark, sf_dir):
+    """Two customers found by their labels, and the nations in which they are."""
+    p = memory(spark, sf_dir)
+    labels = p.visible_nodes(T98).select(F.col("id").alias("entity"), F.col("label").alias("text"))
+    request = context.ContextRequest(("replaced",), T98, T98, 2000, max_depth=1, relations=("located_in",))
+    bundle = context.compile_with_retrieval(p, request, retrieval.RetrievalQuery("Customer 000000004 000000008", 2), [retrieval.LiteralProvider(labels)])
+    row = lambda df, kind, column: df.select(F.lit(kind).alias("kind"), F.col(column).alias("id"))
+    return row(bundle.retrieval, "hit", "entity").unionByName(row(bundle.nodes, "node", "id")).unionByName(row(bundle.facts, "fact", "id"))
+
+
+_CHECKS = {
+    "context without seeds": "InvalidValue", "context without budget": "InvalidValue", "context of negative depth": "InvalidValue", "context of an unknown seed": "MissingEntity",
+    "context of a small budget": "BudgetTooSmall", "padded query": "InvalidValue", "query without limit": "InvalidValue", "unknown channel": "InvalidValue", "channel included twice": "none",
+    "provider twice": "InvalidValue", "provider fails": "Retrieval", "cutoff zero": "InvalidValue", "prediction of an unknown case": "InvalidValue", "sound evaluation": "none",
+    "subscription without size": "InvalidValue", "acknowledged before a poll": "InvalidValue", "repeated log": "DuplicateEvent", "sound log": "none",
+}
+
+
+class FailingProvider:
+    name = "failing"
+
+    def retrieve(self, query: retrieval.RetrievalQuery) -> DataFrame:
+        raise OSError("unreachable")
+
+
+@register("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{e}')" for a, e in _CHECKS.items()) + ") AS t(asked, error)")
+def request_checks(spark, sf_dir):
+    """What requests that break a rule are answered with."""
+    p, query = memory(spark, sf_dir), retrieval.RetrievalQuery("words", 3)
+    request = lambda seeds=("customer:1",), budget=500, depth=1: context.ContextRequest(seeds, T98, T98, budget, max_depth=depth)
+    documents, cases = benchmark_cases(spark, sf_dir)
+    predicted = evaluation.literal_predictions(cases, documents, 2)
+    texts = retrieval.LiteralProvider(documents.select(F.col("id").alias("entity"), "text"))
+    log = user_log(spark, sf_dir).withColumn("payload", F.lit(None).cast(schema.PAYLOAD))
+    acts = {
+        "context without seeds": lambda: request(seeds=()),
+        "context without budget": lambda: request(budget=0),
+        "context of negative depth": lambda: request(depth=-1),
+        "context of an unknown seed": lambda: context.compile_context(p, request(("customer:none",))),
+        "context of a small budget": lambda: context.compile_context(p, request(budget=1, depth=0)),
+        "padded query": lambda: retrieval.RetrievalQuery(" words", 3),
+        "query without limit": lambda: retrieval.RetrievalQuery("words", 0),
+        "unknown channel": lambda: retrieval.RetrievalQuery("words", 3, ("smell",)),
+        "channel included twice": lambda: query.include("lexical").include("lexical"),
+        "provider twice": lambda: retrieval.collect_hits([texts, texts], query),
+        "provider fails": lambda: retrieval.collect_hits([texts, FailingProvider()], query),
+        "cutoff zero": lambda: evaluation.validate(cases, predicted, [0]),
+        "prediction of an unknown case": lambda: evaluation.validate(cases, predicted.withColumn("case_id", F.lit("none")).limit(1), [1]),
+        "sound evaluation": lambda: evaluation.validate(cases, predicted, [1]),
+        "subscription without size": lambda: CatchUpSubscription(None, 0),
+        "acknowledged before a poll": lambda: CatchUpSubscription(None, 1).acknowledge(0),
+        "repeated log": lambda: replay.raise_first(replay.order_violations(log.unionByName(log.filter("global_position = 0").withColumn("global_position", F.lit(1).cast("long"))))),
+        "sound log": lambda: replay.raise_first(replay.order_violations(log)),
+    }
+    return spark.createDataFrame([(name, outcome(act)) for name, act in acts.items()], "asked string, error string")
+
+
 # ---- linking
 
 
 def customer_mentions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """One input a customer with two mentions: its label in its scope, and its external id."""
-    c = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select("c_custkey", "c_name", "c_mktsegment")
+    """One input a customer with three mentions: its label in its scope, its external id, a stranger."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
     k, none = F.col("c_custkey"), F.lit(None).cast("string")
     kind = derived._of(derived.KIND, F.col("c_mktsegment"))
     input_id = F.concat(F.lit("doc:"), k.cast("string"))
@@ -619,7 +934,7 @@ def customer_mentions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
 
 _LINKS = f"""{sql.BASE}, {sql.nodes(T98)}, m AS (
   SELECT c_custkey AS k, 'doc:' || c_custkey AS input_id, c_mktsegment AS repo, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'decision' WHEN 'BUILDING' THEN 'inference' WHEN 'FURNITURE' THEN 'observation' WHEN 'HOUSEHOLD' THEN 'task' WHEN 'MACHINERY' THEN 'file' END AS kind,
-         trim(lower(regexp_replace(c_name, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))) AS key FROM customer WHERE c_custkey % 3 = 0
+         trim(lower(regexp_replace(c_name, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))) AS key FROM customer
 ), n AS (SELECT id, kind, repository, branch, ck, trim(lower(regexp_replace(label, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))) AS key FROM nodes),
 c AS (
   SELECT input_id, 'm0' AS local_id, id AS entity_id, least(10000, greatest(0, 9000 + CASE WHEN repository = repo THEN 400 WHEN repository IS NULL THEN -300 ELSE -2000 END + CASE WHEN branch = 'main' THEN 200 WHEN branch IS NULL THEN -100 ELSE -700 END)) AS score,
@@ -693,6 +1008,50 @@ def extraction_events(spark, sf_dir):
     return rows.select("input_id", "event_type", F.coalesce("payload.fact.confidence", "score").alias("confidence"), F.lit(1).alias("n"))
 
 
+_PLANNED = f"""{_LINKS}, k AS (SELECT input_id, max(score) AS score FROM c WHERE local_id = 'm0' GROUP BY input_id),
+p AS (
+  SELECT m.*, coalesce(k.score, 0) AS score, 'stranger ' || m.k AS stranger, {sql.stable_hash("c_name || ' wrote'")} AS print
+  FROM m LEFT JOIN k USING (input_id) JOIN customer ON c_custkey = m.k
+), i AS (
+  SELECT *, 'auto:person:' || {sql.stable_hash("repo", "'main'", "'person'", "stranger")} AS new_id,
+         CASE WHEN score >= 8000 THEN 'customer:' || k ELSE 'auto:' || kind || ':' || {sql.stable_hash("repo", "'main'", "kind", "key")} END AS known_id FROM p
+), f AS (SELECT *, 'fact:auto:' || {sql.stable_hash("'customers'", "'crm'", "print", "'r0'", "known_id", "'knows'", "new_id")} AS fact_id FROM i)"""
+
+
+def planned(spark: SparkSession, sf_dir: str) -> linking.Plan:
+    inputs, mentions = customer_mentions(spark, sf_dir)
+    return linking.plan(CustomerProvider(mentions), inputs, linking.Catalog.from_view(memory(spark, sf_dir).view(T98, T98)))
+
+
+@register(
+    f"""{_PLANNED} SELECT new_id AS id, 'event:auto:node:' || {sql.stable_hash("'customers'", "'crm'", "print", "new_id")} AS event_id, 'Stranger ' || k AS label, repo AS repository, 'main' AS branch,
+'alias.0=S' || k || ',extracted_by=customers,extraction_source=crm' AS attributes FROM i"""
+)
+def extraction_nodes(spark, sf_dir):
+    """The nodes made for strangers, with their ids, attributes and event ids."""
+    n = F.col("payload.node")
+    shown = F.array_join(F.sort_array(F.transform(F.map_entries(n["attributes"]), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")
+    rows = planned(spark, sf_dir).events.filter("event_type = 'node_upserted' AND payload.node.label LIKE 'Stranger %'")
+    return rows.select(n["id"].alias("id"), F.col("id").alias("event_id"), n["label"].alias("label"), n["repository"].alias("repository"), n["branch"].alias("branch"), shown.alias("attributes"))
+
+
+@register(
+    f"""{_PLANNED} SELECT fact_id AS id, 'event:auto:fact:' || {sql.stable_hash("'customers'", "'crm'", "print", "fact_id")} AS event_id, known_id AS source, 'knows' AS relation, new_id AS target,
+CASE WHEN score >= 8000 THEN least(9000, score) ELSE 9000 END AS confidence, {T97} AS valid_from, 'source:crm,extraction_provider:customers' AS evidence FROM f"""
+)
+def extraction_facts(spark, sf_dir):
+    """The facts of the plan, with their ids, ends, confidence, evidence and event ids."""
+    f = F.col("payload.fact")
+    shown = F.array_join(F.transform(f["evidence"], lambda e: F.concat_ws(":", e["kind"], e["source"])), ",")
+    rows = planned(spark, sf_dir).events.filter("event_type = 'fact_recorded'")
+    return rows.select(f["id"].alias("id"), F.col("id").alias("event_id"), f["source"].alias("source"), f["relation"].alias("relation"), f["target"].alias("target"), f["confidence"].alias("confidence"), f["valid_from"].alias("valid_from"), shown.alias("evidence"))
+
+
+@register(f"{_PLANNED} SELECT count(*) + count(*) FILTER (score < 8000) AS node_event_count, count(*) AS fact_event_count FROM p")
+def extraction_counts(spark, sf_dir):
+    return planned(spark, sf_dir).counts()
+
+
 # ---- evaluation
 
 
@@ -750,6 +1109,39 @@ def dialog_documents(spark, sf_dir):
     return evaluation.sessions(rows)[0]
 
 
+@register(
+    """SELECT conv_id || '::qa::0' AS id, conv_id::VARCHAR AS group_id, 'locomo_2' AS category, text AS query,
+       conv_id || '::dialog::D1:0' || CASE WHEN EXISTS (SELECT 1 FROM conversations o WHERE o.conv_id = c.conv_id AND o.turn = 1) THEN ',' || conv_id || '::dialog::D1:1' ELSE '' END AS relevant
+FROM conversations c WHERE turn = 0"""
+)
+def dialog_cases(spark, sf_dir):
+    """Each conversation as a dialog that is asked for its first two turns, and for one it doesn't have."""
+    c = table(spark, sf_dir, "conversations")
+    turn = F.struct("turn", F.struct(F.col("role").alias("speaker"), F.concat(F.lit("D1:"), F.col("turn").cast("string")).alias("dia_id"), "text").alias("t"))
+    rows = c.groupBy("conv_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list(turn)), lambda x: x["t"])).alias("turns"), F.min_by("text", "turn").alias("first"))
+    asked = F.array(F.struct(F.col("first").alias("question"), F.lit(2).cast("bigint").alias("category"), F.array(F.lit("D1:0; D1:1"), F.lit("D9:9")).alias("evidence")))
+    rows = rows.select(F.col("conv_id").cast("string").alias("sample_id"), asked.alias("qa"), F.create_map(F.lit("session_1"), F.col("turns"), F.lit("session_1_date_time"), F.lit("noon")).alias("conversation"))
+    return evaluation.dialogs(rows)[1].select("id", "group_id", "category", "query", F.array_join("relevant_ids", ",").alias("relevant"))
+
+
+@register(
+    """SELECT 'q' || item_id AS id, CASE item_id % 10 WHEN 0 THEN 'id twice' WHEN 1 THEN 'empty query' WHEN 2 THEN 'no relevant ids' WHEN 3 THEN 'unknown group' ELSE 'relevant id outside its group' END AS error
+FROM benchmark WHERE item_id % 10 <= 4 UNION ALL SELECT 'q' || item_id, 'relevant id outside its group' FROM benchmark WHERE item_id % 10 = 3"""
+)
+def prepared_problems(spark, sf_dir):
+    """What is wrong in cases that were damaged by their number."""
+    documents, cases = benchmark_cases(spark, sf_dir)
+    k = F.substring("id", 2, 20).cast("long") % 10
+    cases = cases.withColumns(
+        {
+            "query": F.when(k == 1, " ").otherwise(F.col("query")),
+            "relevant_ids": F.when(k == 2, F.array().cast("array<string>")).when(k == 4, F.array(F.lit("nothing"))).otherwise(F.col("relevant_ids")),
+            "group_id": F.when(k == 3, "elsewhere").otherwise(F.col("group_id")),
+        }
+    )
+    return evaluation.prepared_problems(documents, cases.unionByName(cases.filter(k == 0)))
+
+
 @register(
     """WITH a AS (SELECT 'l' || l_orderkey || '-' || l_linenumber AS id, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_extendedprice) AS n FROM lineitem)
 SELECT 'DuplicateEvent' AS error, id AS detail FROM a GROUP BY id HAVING count(*) > 1"""

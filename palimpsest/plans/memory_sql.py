@@ -52,12 +52,12 @@ NODES = f"""revisions AS (
 BASE = f"WITH RECURSIVE {FACTS}, {RETRACTIONS}, {NODES}, supersessions AS (SELECT supersedes AS prior, id AS replacement, valid_from, recorded_at FROM facts WHERE supersedes IS NOT NULL)"
 
 
-def active(valid_at: int | str, known_at: int | str, name: str = "active") -> str:
+def active(valid_at: int | str, known_at: int | str, name: str = "active", retractions: str = "retractions") -> str:
     return f"""{name} AS (
   SELECT f.* FROM facts f
   WHERE f.recorded_at <= {known_at} AND f.valid_from <= {valid_at} AND (f.valid_until IS NULL OR {valid_at} < f.valid_until)
     AND NOT EXISTS (SELECT 1 FROM supersessions s WHERE s.prior = f.id AND s.recorded_at <= {known_at} AND s.valid_from <= {valid_at})
-    AND NOT EXISTS (SELECT 1 FROM retractions r WHERE r.fact_id = f.id AND r.recorded_at <= {known_at} AND r.valid_until <= {valid_at})
+    AND NOT EXISTS (SELECT 1 FROM {retractions} r WHERE r.fact_id = f.id AND r.recorded_at <= {known_at} AND r.valid_until <= {valid_at})
 )"""
 
 
@@ -84,3 +84,24 @@ def fact_tokens(n: int = 4) -> str:
     t = lambda c: f"greatest(1, (strlen({c}) + {n - 1}) // {n})"
     origin = "CASE substr(id, 6, 1) WHEN 'o' THEN 'orders' WHEN 's' THEN 'supplier' WHEN 'n' THEN 'nation' WHEN 'm' THEN 'nation' ELSE 'customer' END"
     return f"{t('id')} + {t('source')} + {t('relation')} + {t('target')} + {t(chr(39) + 'record' + chr(39))} + {t(origin)} + {t('id')} + 16"
+
+
+def stable_hash(*parts: str) -> str:
+    """FNV-1a of the SQL texts, each behind its length in eight bytes."""
+    number = "lambda x: x::HUGEINT"
+    size = lambda p: f"list_transform(range(8), lambda i: ((octet_length(encode({p})) >> (8 * i)) & 255)::HUGEINT)"
+    body = lambda p: f"list_transform(range(1, octet_length(encode({p})) + 1), lambda i: ('0x' || hex(encode({p}))[2 * i - 1:2 * i])::HUGEINT)"
+    lists = ", ".join(f"{size(p)}, {body(p)}" for p in (f"coalesce({p}, '')" for p in parts))
+    both = f"list_concat([14695981039346656037::HUGEINT], flatten([{lists}]))"
+    return f"printf('%016x', list_reduce(list_transform({both}, {number}), lambda a, x: ((xor(a, x) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)))"
+
+
+def crc32c(data: str) -> str:
+    """CRC-32C of a blob, by the table of its polynomial."""
+    table = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0x82F63B78 if n & 1 else 0)
+        table.append(n)
+    body = f"list_transform(range(1, octet_length({data}) + 1), lambda i: ('0x' || hex({data})[2 * i - 1:2 * i])::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {body}), lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1]::BIGINT)), 4294967295)::BIGINT"

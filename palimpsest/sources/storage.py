@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.errors import InvalidValue
@@ -39,9 +39,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_positions(df: DataFrame, order: list[str], name: str = "position", base: int = 0) -> DataFrame:
+def with_positions(df: DataFrame, order: list[str], name: str = "position", base: int = 0, group: str | None = None, group_name: str = "group_position") -> DataFrame:
     """Contiguous positions in a total order, without one task for all rows: rows are range
-    partitioned and sorted, and each partition starts where the ones before it end."""
+    partitioned and sorted, and each partition starts where the ones before it end. With a group
+    column, also positions within each group, in the same order: a group may hold all rows."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     ranged = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     held = materialize(ranged, "ordered")
@@ -50,7 +51,15 @@ def with_positions(df: DataFrame, order: list[str], name: str = "position", base
     lists = counts.agg(F.sort_array(F.collect_list(F.struct("_part", "_n"))).alias("_all"))
     before = F.aggregate(F.filter("_all", lambda x: x["_part"] < F.col("_part")), F.lit(0).cast("long"), lambda a, x: a + x["_n"])
     starts = counts.crossJoin(F.broadcast(lists)).select("_part", before.alias("_before"))
-    return held.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + F.col("_row") + base).drop("_part", "_row", "_before")
+    rows = held.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + F.col("_row") + base)
+    if group:
+        # A window holds one partition's rows of a group, or a group's counts, one a partition.
+        own = Window.partitionBy("_part", group).orderBy("_row")
+        earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        sums = held.groupBy("_part", group).agg(F.count(F.lit(1)).alias("_n")).withColumn("_ahead", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+        rows = rows.withColumn("_own", F.row_number().over(own) - 1).join(sums, ["_part", group])
+        rows = rows.withColumn(group_name, F.col("_ahead") + F.col("_own")).drop("_own", "_ahead")
+    return rows.drop("_part", "_row", "_before")
 
 
 def content_digest(df: DataFrame) -> str:
