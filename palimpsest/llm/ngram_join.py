@@ -16,15 +16,16 @@ shingles; a link is a count that reaches the bound which the two sizes set,
    a pair. Overlaps of the first columns are summed for all pairs; pairs that the columns still to come
    can't lift to the bound are discarded; the others get the rest added.
 4. What a pivot p leaves open are pairs (x, y) of a block of three or more rows of which one is not
-   linked to p. They differ from p by known sets D(x), D(y), and as |A & B| follows from
+   in the component of p. They differ from p by known sets D(x), D(y), and as |A & B| follows from
    |D(x) & D(y)|, these sets are the rows of a smaller product with a size-derived bound of its own.
    Their prefixes are the columns of the next round. Pivots are settled with every row of their
    block, so blocks get smaller, and rounds go on until none leaves a pair open.
-5. Links are contracted into components by rounds of taking the least neighbour.
+5. Links are contracted into components by rounds of taking the least neighbour, after each round, as
+   pairs within a component need no count.
 
 A large group of copies is one row, a large group of near copies costs a few counts for each member,
 and no step lists the pairs of a group. A column of many rows is counted where it is met and sends
-one entry a task; keys of so many rows that one task would feel it (`hot`, at most `MAX_HOT` of them)
+one entry a task; keys of so many rows that one task would feel it (`join_by_size`, a bounded number)
 are joined by broadcast; the members of a pivot are dealt over blocks of `MEMBERS`. Shingles are
 compared by 64-bit hashes of their words' xxh3 hashes, sets by 128 bits.
 
@@ -47,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import ROW_KEY, materialize, pick, with_row_key
+from palimpsest.llm.common import MAX_HOT, ROW_KEY, join_by_size, materialize, pick, with_row_key
 
 WORDS = 5
 #: The columns counted for all rows, in sixteenths of the hash range (above the fifth that a row may differ by).
@@ -60,8 +61,8 @@ TASK_ENTRIES = 600_000
 MEMBERS = 256
 #: Pivots of a column after the first turn: of up to MEMBERS rows, of more.
 SLOTS, FEW = 64, 4
-#: Keys of more than HOT_ROWS rows, and of a MAX_HOT-th of all, are hot: MAX_HOT at most (some 60 bytes each).
-HOT_ROWS, MAX_HOT = 20_000, 50_000
+#: Columns of more rows, and of a MAX_HOT-th of the entries, are known to every task: MAX_HOT at most.
+FREQUENT_ROWS = 1_000
 #: Identifiers are broadcast up to so many (some 40 bytes each), else joined by shuffle.
 MAX_BROADCAST_IDS = 300_000
 #: Bytes of a text that are cut into words at once.
@@ -150,18 +151,6 @@ def with_few(rows: DataFrame, ids: DataFrame, keys: list[str], how: str = "inner
     return rows.join(F.broadcast(ids) if is_small(ids) else ids, keys, how)
 
 
-def join_by_size(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
-    """rows joined with groups, which have one row a key and the key's number of rows as `size`. Hot
-    keys are few by their definition and go by broadcast, so that none of them fills a task. Both
-    sides are read twice."""
-    least = max(HOT_ROWS, (groups.agg(F.sum(size)).first()[0] or 0) // MAX_HOT)
-    hot = groups.filter(F.col(size) > least)
-    if hot.isEmpty():
-        return rows.join(groups, keys, how)
-    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.filter(F.col(size) <= least), keys, how)
-    return cold.unionByName(rows.join(F.broadcast(hot), keys).select(*cold.columns))
-
-
 # ---- rows of the matrix
 
 
@@ -299,7 +288,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, repeats: bool) -> DataFrame:
 
 
 def frequent_columns(sets: DataFrame, entries: int) -> np.ndarray:
-    """The columns of more than HOT_ROWS / 20 rows (and of a MAX_HOT-th of the entries), with their
+    """The columns of more than FREQUENT_ROWS rows (and of a MAX_HOT-th of the entries), with their
     counts (as far as a task met them twice): two rows of uint64, MAX_HOT columns at most."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -320,7 +309,7 @@ def frequent_columns(sets: DataFrame, entries: int) -> np.ndarray:
             yield counted()
 
     found = sets.select("hashes").mapInPandas(count, "column bigint, n bigint").groupBy("column").agg(F.sum("n").alias("n"))
-    least = max(HOT_ROWS // 20, entries // MAX_HOT)
+    least = max(FREQUENT_ROWS, entries // MAX_HOT)
     top = found.filter(F.col("n") > least).orderBy(F.desc("n"), "column").limit(MAX_HOT).toPandas().sort_values("column", key=lambda c: c.to_numpy(np.int64).view(np.uint64))
     return np.stack([top.column.to_numpy(np.int64).view(np.uint64), top.n.to_numpy(np.int64).view(np.uint64)])
 
@@ -336,7 +325,8 @@ def _among(hashes: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def with_commonness(sets: DataFrame) -> DataFrame:
     """sets (node, n, hashes) that share enough columns with others to be linked, with often: for
-    each hash, by how many of the sets it is met (uint32, 1 is none but this)."""
+    each hash, by how many of the sets it is met (uint32, 1 is none but this), and reach: the size of
+    the largest set that a link could lead to, as what one set alone has is in no overlap."""
     spark = sets.sparkSession
     entries = sets.agg(F.sum("n")).first()[0] or 0
     frequent = spark.sparkContext.broadcast(frequent_columns(sets, entries))
@@ -402,10 +392,10 @@ def with_commonness(sets: DataFrame) -> DataFrame:
                     rank = (31 * (n - own) // n << 58) | node
                     order = np.lexsort((hashes, often))[own : prefix_length(n)]
                     quarter = int(np.searchsorted(hashes, np.uint64(1 << 62)))
-                    rows.append((node, rank, n, quarter, data, often.tobytes(), hashes[order].view(np.int64)))
-            yield pd.DataFrame(rows, columns=["id", "node", "n", "n_first", "hashes", "often", "columns"])
+                    rows.append((node, rank, n, 9 * (n - own) // 4 - n, quarter, data, often.tobytes(), hashes[order].view(np.int64)))
+            yield pd.DataFrame(rows, columns=["id", "node", "n", "reach", "n_first", "hashes", "often", "columns"])
 
-    schema = "id bigint, node bigint, n bigint, n_first bigint, hashes binary, often binary, columns array<bigint>"
+    schema = "id bigint, node bigint, n bigint, reach bigint, n_first bigint, hashes binary, often binary, columns array<bigint>"
     return sets.join(met, "node", "left").select("node", "n", "hashes", "met").mapInPandas(put_together, schema)
 
 
@@ -413,28 +403,40 @@ def with_commonness(sets: DataFrame) -> DataFrame:
 
 
 def pairs_of(cells: DataFrame, turn: int) -> DataFrame:
-    """Of cells (node, n, column, is_open): the pairs (node, n, pivot, m, is_wide) of a row and a pivot
-    of a column with two rows and an open one. Pivots are open rows: in the first turn the greatest,
+    """Of cells (node, n, reach, label, column, is_open): the pairs (node, n, pivot, m, is_wide) of a row
+    and a pivot of a column. A pair may be a link between components if its labels differ, one of its
+    rows is open, and neither size is beyond the other's reach; so one of them is central, its reach not
+    below its own size. Columns without such pairs fall out.
+
+    Pivots are the central rows, or the open ones where those are fewer: in the first turn the greatest,
     later the greatest of each of `SLOTS` slots, into which the column's rows fall by hash, or of them
     the `FEW` greatest in a column of more than MEMBERS rows. is_wide: the pair's pivot is the column's
     greatest, and there are pairs left in which this row, no pivot, may have a part."""
     slot = F.pmod(F.xxhash64("column", "node", F.lit(turn)), F.lit(SLOTS if turn else 1))
+    central, row = F.col("reach") >= F.col("n"), F.struct("node", "n", "reach", "label")
     parts = cells.groupBy("column", slot.alias("slot")).agg(
-        F.max(F.when(F.col("is_open"), F.struct("node", "n"))).alias("pivot"),
-        F.min("node").alias("low"),
-        F.max("node").alias("high"),
+        F.max(F.when(F.col("is_open"), row)).alias("open_row"),
+        F.max(F.when(central, row)).alias("central_row"),
+        F.min("label").alias("low"),
+        F.max("label").alias("high"),
         F.count(F.lit(1)).alias("size"),
         F.count_if("is_open").alias("open"),
+        F.count_if(central).alias("central"),
     )
-    groups = parts.groupBy("column").agg(F.sort_array(F.collect_list("pivot"), asc=False).alias("pivots"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("size").alias("size"), F.sum("open").alias("open"))
-    groups = groups.filter("size(pivots) > 0 AND low <> high").withColumn("pivots", F.when(F.col("size") > MEMBERS, F.slice("pivots", 1, FEW)).otherwise(F.col("pivots")))
-    groups = materialize(groups.select("column", "pivots", "size", ((F.col("open") > F.size("pivots")) & (F.col("size") - F.size("pivots") > 1)).alias("is_left")), "blocks")
+    listed = lambda c: F.sort_array(F.collect_list(c), asc=False).alias(c)
+    groups = parts.groupBy("column").agg(listed("open_row"), listed("central_row"), F.min("low").alias("low"), F.max("high").alias("high"), *[F.sum(c).alias(c) for c in ("size", "open", "central")])
+    groups = groups.filter("open > 0 AND central > 0 AND low <> high")
+    pivots = F.when(F.col("central") <= F.col("open"), F.col("central_row")).otherwise(F.col("open_row"))
+    groups = groups.withColumn("pivots", F.when(F.col("size") > MEMBERS, F.slice(pivots, 1, FEW)).otherwise(pivots))
+    left = (F.least("open", "central") > F.size("pivots")) & (F.col("size") - F.size("pivots") > 1)
+    groups = materialize(groups.select("column", "pivots", "size", left.alias("is_left")), "blocks")
     met = join_by_size(cells, groups, ["column"], "size")
     met = met.withColumn("is_pivot", F.exists("pivots", lambda p: p["node"] == F.col("node"))).withColumn("pivot", F.explode("pivots"))
-    # Of two pivots each once.
-    met = met.filter("CASE WHEN is_pivot THEN node < pivot.node ELSE true END")
     wide = F.col("is_left") & ~F.col("is_pivot") & (F.col("pivot.node") == F.get("pivots", 0)["node"])
-    met = met.groupBy("node", "n", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("m")).agg(F.max(wide).alias("is_wide"))
+    may_link = (F.col("label") != F.col("pivot.label")) & (F.col("pivot.n") <= F.col("reach")) & (F.col("n") <= F.col("pivot.reach"))
+    # Of two pivots each once.
+    met = met.withColumn("is_wide", wide).filter(F.col("is_wide") | (may_link & (~F.col("is_pivot") | (F.col("node") < F.col("pivot.node")))))
+    met = met.groupBy("node", "n", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("m")).agg(F.max("is_wide").alias("is_wide"))
     return materialize(met, "pairs")
 
 
@@ -442,8 +444,8 @@ def size_cells(rows: DataFrame) -> DataFrame:
     """First-round cells. A row is open in the class of its size and stands in the next class
     too, not open, for partners there; sizes of linked sets are a class apart at most."""
     size = F.floor(F.log("n") / math.log(1.26)).cast("int")
-    spread = rows.select("node", "n", F.explode("columns").alias("column")).withColumn("step", F.explode(F.array(F.lit(0), F.lit(1))))
-    return spread.select("node", "n", F.xxhash64("column", size + F.col("step")).alias("column"), (F.col("step") == 0).alias("is_open"))
+    spread = rows.select("node", "n", "reach", F.explode("columns").alias("column")).withColumn("step", F.explode(F.array(F.lit(0), F.lit(1))))
+    return spread.select("node", "n", "reach", F.col("node").alias("label"), F.xxhash64("column", size + F.col("step")).alias("column"), (F.col("step") == 0).alias("is_open"))
 
 
 def dealt(pairs: DataFrame) -> DataFrame:
@@ -518,20 +520,24 @@ def product(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(counted.withColumn("is_link", is_link), "products")
 
 
-def difference_cells(done: DataFrame, sets: DataFrame) -> DataFrame:
-    """The cells of the next round: prefixes of the differences of wide pairs to pivots that leave
-    any pair open. Columns that one set alone has come first and, as no other row meets them, fall out;
-    then the less common ones; those that the pivot has and the row lacks are last."""
-    wide = done.filter("is_wide")
-    open_pivots = wide.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"), F.count_if(~F.col("is_link")).alias("open"))
-    open_pivots = materialize(open_pivots.filter("open > 0 AND size > 1"), "open-pivots")
+def difference_cells(done: DataFrame, rows: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The cells of the next round: prefixes of the differences of wide pairs to pivots that leave any
+    pair open, which is one of two components where not both have the pivot's label. Columns that one
+    set alone has come first and, as no other row meets them, fall out; then the less common ones; those
+    that the pivot has and the row lacks are last."""
+    wide = with_few(done.filter("is_wide").select("node", "n", "pivot", "m", "part"), materialize(labels.join(rows.select("node", "reach"), "node"), "labels"), ["node"])
+    wide = wide.join(labels.select(F.col("node").alias("pivot"), F.col("label").alias("pivot_label")), "pivot")
+    wide = materialize(wide.withColumn("is_open", F.col("label") != F.col("pivot_label")).drop("pivot_label"), "wide")
+    open_pivots = wide.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"), F.count_if("is_open").alias("open"), F.min("label").alias("low"), F.max("label").alias("high"))
+    open_pivots = materialize(open_pivots.filter("open > 0 AND low <> high"), "open-pivots")
+    names = ["node", "n", "reach", "label", "column", "is_open"]
     if open_pivots.isEmpty():
-        return done.select("node", "n", F.lit(0).cast("long").alias("column"), F.col("is_link").alias("is_open")).limit(0)
+        return wide.withColumn("column", F.lit(0).cast("long")).select(*names).limit(0)
 
     def differ(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
         known = {node: (np.frombuffer(h, np.uint64), np.frombuffer(o, np.uint32)) for node, h, o in zip(sets["node"], sets["hashes"], sets["often"], strict=True)}
         out = []
-        for node, n, pivot, m, is_link in zip(pairs["node"], pairs["n"], pairs["pivot"], pairs["m"], pairs["is_link"], strict=True):
+        for node, n, reach, label, pivot, m, is_open in zip(*(pairs[c] for c in ("node", "n", "reach", "label", "pivot", "m", "is_open")), strict=True):
             (x, often), (p, _) = known[node], known[pivot]
             both, at = _among(x, p)
             lost = np.ones(len(p), bool)
@@ -539,31 +545,42 @@ def difference_cells(done: DataFrame, sets: DataFrame) -> DataFrame:
             gained = np.lexsort((x[~both], often[~both]))
             apart = np.concatenate([x[~both][gained], p[lost]])
             own = int((often[~both] == 1).sum())
-            keep = apart[own : difference_prefix(len(apart), n, m, is_link)]
+            keep = apart[own : difference_prefix(len(apart), n, m, not is_open)]
             if len(keep):
                 salt = _mix(np.array([pivot], np.int64).view(np.uint64))
-                out.append((node, n, not is_link, _mix(keep ^ salt).view(np.int64)))
-        return pd.DataFrame(out, columns=["node", "n", "is_open", "columns"])
+                out.append((node, n, reach, label, is_open, _mix(keep ^ salt).view(np.int64)))
+        return pd.DataFrame(out, columns=["node", "n", "reach", "label", "is_open", "columns"])
 
-    pairs = join_by_size(wide.select("node", "n", "pivot", "m", "is_link", "part"), open_pivots.select("pivot", "size"), ["pivot"], "size").drop("size")
-    cells = multiplied(pairs, sets, differ, "node bigint, n bigint, is_open boolean, columns array<bigint>", F.col("hashes"), F.col("often"))
-    return cells.select("node", "n", F.explode("columns").alias("column"), "is_open")
+    pairs = join_by_size(wide, open_pivots.select("pivot", "size"), ["pivot"], "size").drop("size")
+    schema = "node bigint, n bigint, reach bigint, label bigint, is_open boolean, columns array<bigint>"
+    cells = multiplied(pairs, sets, differ, schema, F.col("hashes"), F.col("often"))
+    return cells.withColumn("column", F.explode("columns")).select(*names)
 
 
-def links(rows: DataFrame) -> DataFrame:
-    """(node, pivot) of links that connect what any links connect."""
-    cells, out = materialize(size_cells(rows), "cells"), rows.sparkSession.createDataFrame([], "node bigint, pivot bigint")
+def linked_labels(rows: DataFrame) -> DataFrame:
+    """(node, label): rows that links connect have one label, the least node of the component."""
+    cells, labels = materialize(size_cells(rows), "cells"), rows.select("node", F.col("node").alias("label"))
     for turn in itertools.count():
         pairs = pairs_of(cells, turn)
         if pairs.isEmpty():
-            return out
+            return labels
         pairs = dealt(pairs)
         sets = sets_by_part(pairs, rows)
         done = product(pairs, sets)
-        out = out.union(done.filter("is_link").select("node", "pivot"))
-        cells = materialize(difference_cells(done, sets), "cells")
+        labels = relabelled(labels, done.filter("is_link").select("node", "pivot"))
+        cells = materialize(difference_cells(done, rows, sets, labels), "cells")
         if cells.isEmpty():
-            return out
+            return labels
+
+
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after links (node, pivot) were added."""
+    ends = links.join(labels.withColumnRenamed("label", "a"), "node").join(labels.select(F.col("node").alias("pivot"), F.col("label").alias("b")), "pivot")
+    edges = materialize(ends.filter("a <> b").select(F.col("a").alias("node"), F.col("b").alias("pivot")).distinct(), "new-links")
+    if edges.isEmpty():
+        return labels
+    merged = components(labels.sparkSession, edges).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return materialize(labels.join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -598,7 +615,7 @@ def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     left = materialize(left.select(F.col("id").alias("node"), "first", "k1", "k2"), "left")
     repeats = not known.groupBy("doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").isEmpty()
     matrix = materialize(with_commonness(materialize(sets_of(docs, left, repeats), "sets")), "matrix")
-    labels = components(docs.sparkSession, links(matrix))
+    labels = linked_labels(matrix)
     labels = labels.join(matrix.select("node", "id"), "node").select("id", "label")
     return rows, distinct.join(labels, "id", "left").select("k1", "k2", "size", "first", "label")
 
