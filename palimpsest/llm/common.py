@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: So many rows at most go to a Python worker at once.
 BATCH_ROWS = 2_000
+#: Keys of more than HOT_ROWS rows, and of a MAX_HOT-th of all, are hot: MAX_HOT at most (some 60 bytes each).
+HOT_ROWS, MAX_HOT = 20_000, 50_000
 #: White space of the word rule `[^\x20\x09-\x0D]+`, as a Java and Python character class body.
 SPACE = r"\x20\x09-\x0D"
 
@@ -33,9 +35,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. A session without one (tests) gets a local one."""
+    """The folder that all executors share. Where it is unset, a local session (tests) gets a local folder;
+    on a cluster there is none that this could choose, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -71,3 +76,15 @@ def without(docs: DataFrame, bad: DataFrame, max_broadcast: int) -> DataFrame:
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; any further columns are ignored, whatever their names."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def join_by_size(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
+    """rows joined with groups, which have one row a key and the key's number of rows as `size`. Hot
+    keys are few by their definition and go by broadcast, so that none of them fills a task. Both
+    sides are read twice."""
+    least = max(HOT_ROWS, (groups.agg(F.sum(size)).first()[0] or 0) // MAX_HOT)
+    hot = groups.filter(F.col(size) > least)
+    if hot.isEmpty():
+        return rows.join(groups, keys, how)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.filter(F.col(size) <= least), keys, how)
+    return cold.unionByName(rows.join(F.broadcast(hot), keys).select(*cold.columns))

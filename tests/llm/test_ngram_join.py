@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from palimpsest.llm import ngram_join
+from palimpsest.llm import common, ngram_join
 
 SCHEMA = "doc_id bigint, text string"
 
@@ -57,11 +57,11 @@ def corpus(seed, n=220):
     return [(i, " ".join(t).upper() if r.random() < 0.1 else r.choice((" ", "\n", " \t")).join(t)) for i, t in enumerate(texts[:n])]
 
 
-@pytest.mark.parametrize("seed, sizes", [(1, {}), (2, {"BLOCK_ENTRIES": 500, "TASK_ENTRIES": 100}), (3, {"MEMBERS": 2, "HOT_ROWS": 3, "MAX_HOT": 1000}), (4, {"MAX_BROADCAST_IDS": 1})])
+@pytest.mark.parametrize("seed, sizes", [(1, {}), (2, {"BLOCK_ENTRIES": 500, "TASK_ENTRIES": 100}), (3, {"MEMBERS": 2, "FREQUENT_ROWS": 3, "HOT_ROWS": 3}), (4, {"MAX_BROADCAST_IDS": 1})])
 def test_same_components_as_all_pairs(spark, monkeypatch, seed, sizes):
     """Also with blocks, parts and hot keys of a few rows, as a large table has them."""
     for name, value in sizes.items():
-        monkeypatch.setattr(ngram_join, name, value)
+        monkeypatch.setattr(common if name == "HOT_ROWS" else ngram_join, name, value)
     rows = corpus(seed)
     assert {tuple(r) for r in ngram_join.join(spark.createDataFrame(rows, SCHEMA)).collect()} == brute_force(rows)
 
