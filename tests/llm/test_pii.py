@@ -43,10 +43,62 @@ def test_card_checks_stay_right_or_wrong(spark):
     assert [luhn(re.sub(r"\D", "", r.text)) for r in rows] == [luhn("4111111111111111"), luhn("4111111111111112")]
 
 
-def test_gender_and_script_by_title(spark):
-    rows = replaced(spark, ["Mr Jan Vos", "Ms Jan Vos", "г-жа Анна Белова"])
-    given = [r.text.split()[1] for r in rows]
-    assert given[0] in pii.NAMES["latin", "m"] and given[1] in pii.NAMES["latin", "f"] and given[2] in pii.NAMES["cyrillic", "f"]
+def grew_from(name, names, script):
+    """A listed name, and nothing but syllables behind it."""
+    tails = [name.lower().removeprefix(x.lower()) for x in names if name.lower().startswith(x.lower())]
+    return any(re.fullmatch(f"(?:{'|'.join(pii.SYLLABLES[script])})*", t) for t in tails)
+
+
+def test_gender_and_script(spark):
+    rows = replaced(spark, ["Mr Jan Vos", "Ms Jan Vos", "г-жа Анна Белова", "thanks to Peter Vos", "thanks to Mary Vos", "MR JAN VOS"])
+    given = [r.text.split()[-2] for r in rows]
+    assert grew_from(given[0], pii.NAMES["latin", "m"], "latin") and grew_from(given[1], pii.NAMES["latin", "f"], "latin")
+    assert grew_from(given[2], pii.NAMES["cyrillic", "f"], "cyrillic")
+    assert grew_from(given[3], pii.NAMES["latin", "m"], "latin") and grew_from(given[4], pii.NAMES["latin", "f"], "latin")
+    assert len({r.text.split()[-1].lower() for r in rows if "г-жа" not in r.text}) == 1
+    assert rows[5].text == f"MR {rows[0].text[3:].upper()}"
+
+
+def test_a_person_is_one_through_title_given_and_bare_name(spark):
+    text = "Mr John Smith met Mrs. Smith. Smith, said Mr. SMITH, is no Smithson; John Smith agreed. Blacksmith Smiths."
+    row = replaced(spark, [text])[0]
+    given, family = re.match(r"Mr (\S+) (\S+) met", row.text).groups()
+    assert row.text == f"Mr {given} {family} met Mrs. {family}. {family}, said Mr. {family.upper()}, is no Smithson; {given} {family} agreed. Blacksmith Smiths."
+    assert row.n_entities == 4
+
+
+def test_many_names_stay_apart(spark):
+    """Far more names than there are listed ones, in both scripts, in one run."""
+    from pyspark.sql import functions as F
+
+    n = 20_000
+    spell = lambda letters: F.concat(*[F.substring(F.lit(letters), (F.floor(F.col("id") / 10**k) % 10 + 1).cast("int"), F.lit(1)) for k in range(5)])
+    latin, russian = F.concat(F.lit("Mr Q"), spell("abcdefghij")), F.concat(F.lit("г-н Щ"), spell("абвгдежзик"))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), latin.alias("text")).union(spark.range(n).select(F.col("id") + n, russian))
+    found = pii.replace_entities(docs, KEY).agg(F.countDistinct("text").alias("n"), F.count_if(~F.col("text").rlike(r"^(?:Mr [A-Z][a-z]{2,24}|г-н [А-ЯЁ][а-яё]{2,24})$")).alias("odd")).first()
+    assert (found.n, found.odd) == (2 * n, 0)
+
+
+def test_digest_is_an_hmac(spark):
+    import hashlib
+    import hmac
+
+    key = spark.range(1).select(pii.keyed(KEY, F.lit("ip"), F.lit("10.1.2.3"), F.lit(4)).alias("k")).first().k
+    expected = [hmac.new(hashlib.sha256(KEY.encode()).digest(), f"{n}\x1fip\x1f10.1.2.3\x1f4".encode(), "sha256").hexdigest() for n in (1, 2)]
+    assert key == "".join(expected)
+
+
+def test_detection_equals_plain_python(spark):
+    """The same patterns, searched by another engine in whole texts."""
+    import regex
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    own = [(-1, "Mr. O'Neil-Smith, Señora Paz; +49 30 1234567 or 030/1234567? a.b@c-d.org 4111-1111-1111-1111 10.0.0.1 MARIE CURIE Marie Curie")]
+    rows = docs.unionByName(spark.createDataFrame(own, SCHEMA))
+    pattern = regex.compile(pii.ANY.replace(r"\p{IsCyrillic}", r"\p{Cyrillic}"))
+    expected = {r.doc_id: len(pattern.findall(r.text or "")) for r in rows.collect()}
+    assert {r.doc_id: r.n_entities for r in pii.replace_entities(rows, KEY).collect()} == expected
+    assert expected[-1] == 8 and sum(n > 0 for n in expected.values()) > 3
 
 
 def test_coreference_and_distinctness(spark):
@@ -106,7 +158,7 @@ def test_a_form_of_few_surrogates_grows(spark, values, form):
 
 def test_numbers_grow_after_their_own_form_is_used_up(spark):
     late = F.lit(pii.ROOMY_DRAWS + 2)
-    row = spark.range(1).select(pii.surrogate(KEY, F.lit("phone"), F.lit("5551234"), late).alias("d"), pii.surrogate(KEY, F.lit("ip"), F.lit("10.1.2.3"), late).alias("ip"))
+    row = spark.range(1).select(pii.surrogate(KEY, F.lit("phone"), F.lit("5551234"), late, F.lit(0)).alias("d"), pii.surrogate(KEY, F.lit("ip"), F.lit("10.1.2.3"), late, F.lit(0)).alias("ip"))
     row = row.withColumn("shown", pii.weave(F.lit("555-1234"), F.col("d"))).first()
     assert re.fullmatch(r"\d{3}-\d{6}", row.shown) and re.fullmatch(r"2001:db8(:[0-9a-f]{4}){6}", row.ip)
 
@@ -126,6 +178,7 @@ def test_both_joins_agree(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     before = sorted(pii.replace_entities(docs, KEY).collect(), key=lambda r: r.doc_id)
     monkeypatch.setattr(pii, "MAX_BROADCAST_LISTS", 0)
+    monkeypatch.setattr(pii, "MAX_BROADCAST_VALUES", 0)
     assert sorted(pii.replace_entities(docs, KEY).collect(), key=lambda r: r.doc_id) == before
     assert sum(r.n_entities for r in before) > 0
 
