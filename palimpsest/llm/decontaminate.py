@@ -48,8 +48,10 @@ def with_seeds(rows: DataFrame, masks: list[str], keys: list[str]) -> DataFrame:
     words. Exploding the window starts first keeps the hashing, and the join behind it, in generated
     code; the words themselves don't go on."""
     width = min(map(len, masks))
-    rows = rows.select(*keys, F.transform("words", lambda w: F.xxhash64(w)).alias("_codes")).filter(F.size("_codes") >= width)
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.size("_codes") - width)).alias("at"))
+    rows = rows.select(*keys, F.transform("words", lambda w: F.xxhash64(w)).alias("_codes"))
+    # Not a filter before: it would cut the text into tokens once more.
+    starts = F.when(F.size("_codes") >= width, F.sequence(F.lit(0), F.size("_codes") - width))
+    rows = rows.select("*", F.explode(starts).alias("at"))
     hashes = []
     for mask in masks:
         picked = [F.get("_codes", F.col("at") + k) for k, c in enumerate(mask) if c == "1"]
