@@ -14,7 +14,8 @@ the number of turns and a part is the most that is held. (A digest over a conver
 one conversation stays in one task.)
 
 Edge cases: null text is empty, null role is empty; turns go by (turn, role, text), nulls first,
-and repeated rows are turns of their own. A null conv_id is a conversation of its own. An empty
+and repeated rows are turns of their own. The probe is a private character that the texts don't hold,
+so texts may hold some of them. A null conv_id is a conversation of its own. An empty
 table gives an empty result. Extra columns are ignored.
 """
 
@@ -37,7 +38,8 @@ _CONTROL = re.compile("|".join(re.escape(c) for c in CONTROL))
 _PARTS = re.compile(
     r"\[INST\] (?P<user>.*?) \[/INST\]|<s> (?P<assistant>.*?) </s>|\[ROLE\] (?P<role>.*?) \[/ROLE\] (?P<other>.*?) \[/TURN\]", re.DOTALL
 )
-PROBE = "\ue000"
+#: The probe is the first of these characters that a conversation's texts don't hold.
+PROBES = tuple(map(chr, range(0xE000, 0xF900)))
 PART = "conv_id bigint, part int, formatted string, turns array<struct<role:string,start:int,end:int,text_start:int,text_end:int>>, rewrites boolean"
 
 
@@ -81,16 +83,19 @@ def parse_instruct(formatted: str) -> Turns:
 def locate(render: Callable[[Turns], str], context: Turns, turns: Turns) -> tuple[str, list[tuple], bool]:
     """What `turns` append after `context`: the text, per turn (role, start, end, text start,
     text end) in it (text -1, -1 where it can't be told), and whether history is rewritten."""
+    probe_text = next((c for c in PROBES if not any(c in text or c in role for role, text in (*context, *turns))), None)
+    if probe_text is None:
+        raise ValueError("a conversation that holds every private character has none for a probe")
     before = render(context)
     origin, seen, spans, rewrites = len(before), list(context), [], False
     for role, text in turns:
-        probe = render([*seen, (role, PROBE)])
+        probe = render([*seen, (role, probe_text)])
         seen.append((role, text))
         after = render(seen)
         if not after.startswith(before) or not probe.startswith(before):
             rewrites = True
         added, sample = after[len(before) :], probe[len(before) :]
-        at, where = sample.find(PROBE), (-1, -1)
+        at, where = sample.find(probe_text), (-1, -1)
         tail = sample[at + 1 :]
         if at >= 0 and added.startswith(sample[:at]) and added.endswith(tail) and len(added) >= at + len(tail):
             where = (len(before) - origin + at, len(after) - origin - len(tail))

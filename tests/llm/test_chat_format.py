@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from palimpsest.llm import chat_format as c
 
 SCHEMA = "conv_id bigint, turn int, role string, text string"
-TEXT = st.lists(st.sampled_from([*c.CONTROL, "\\", "[", "<", "]", " ", "x", "🙂", "\n", c.PROBE, "\\[INST]"]), max_size=8).map("".join)
+TEXT = st.lists(st.sampled_from([*c.CONTROL, "\\", "[", "<", "]", " ", "x", "🙂", "\n", c.PROBES[0], c.PROBES[1], "\\[INST]"]), max_size=8).map("".join)
 
 
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "", "[/ROLE] x"]), TEXT), max_size=6))
