@@ -4,8 +4,9 @@ Three patterns find assigned values, access keys and long hex strings. The field
 no pattern covers: it tags tokens as begin, inside or outside of a secret from their shape, the
 words around them and the text as a whole, and is decoded by Viterbi. Only a token with a digit or
 of `LONG` characters may be part of a secret, all others are held outside; two neighbouring tokens
-that are held outside cut the chain, so decoding each stretch around such candidates for itself
-gives the same tags as decoding the whole text.
+that are held outside cut the chain, so each stretch around such candidates is decoded for itself.
+Words count as neighbours within `CONTEXT` characters. So secrets of fewer than `LONG` letters without
+a digit are out of the field's reach.
 
 The field is trained here, by maximum likelihood, on the stretches of a bounded sample of texts
 (`max_sample`, those of the least hash), tagged by the patterns, and on made-up lines of known
@@ -38,7 +39,7 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "crf")
 LONG = 20
-MAX_SAMPLE = 1_500
+MAX_SAMPLE, MAX_STRETCH = 1_500, 200
 CONTEXT = 64
 TRIGGER = re.compile(r"[0-9]+|[A-Za-z+/_.=-]{20,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_.-]+=*|=+|[^\sA-Za-z0-9+/_.=-]")
@@ -255,6 +256,9 @@ def tagged(text: str, secrets: list[tuple[int, int]]) -> list[tuple[list[list[st
 
 
 def learn(docs: DataFrame, text: str = "text", max_sample: int = MAX_SAMPLE) -> Field:
+    """The field, trained in the driver on at most 2 * max_sample stretches of at most MAX_STRETCH tokens (from
+    max_sample texts, both those of the least hash) and on made-up lines. This bounds the fit alone."""
+
     def sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(features, tags) for body in batch.body for features, tags in tagged(body, [(a, b) for _, a, b in base_spans(body)])]
@@ -265,8 +269,8 @@ def learn(docs: DataFrame, text: str = "text", max_sample: int = MAX_SAMPLE) ->
     bound = bodies.select("hash").distinct().orderBy("hash").limit(max_sample).agg(F.max("hash")).first()[0]
     some = bodies.filter(F.col("hash") <= F.lit(bound)).dropDuplicates(["hash"]).select("body")
     schema = "features array<array<string>>, tags array<int>"
-    rows = some.mapInPandas(sequences, schema).orderBy(F.xxhash64("features")).limit(2 * max_sample).collect()
-    found = [([list(f) for f in r["features"]], list(r["tags"])) for r in rows if len(r["tags"]) <= 200]
+    rows = some.mapInPandas(sequences, schema).filter(F.size("tags") <= MAX_STRETCH).orderBy(F.xxhash64("features")).limit(2 * max_sample).collect()
+    found = [([list(f) for f in r["features"]], list(r["tags"])) for r in rows]
     for line, secrets in made_up_lines():
         found += tagged(line, secrets)
     return train(found)
