@@ -118,6 +118,8 @@ def alignments(docs: DataFrame, benchmark: DataFrame, min_match: int) -> DataFra
     length = F.least(F.size("item"), F.size("words") - F.col("shift")) - first
     found = best_stretch(F.col("words"), F.slice("item", first + 1, F.greatest(length, F.lit(0))), F.col("shift") + first)
     aligned = met.select(*ROW_KEY, "item_id", F.size("item").alias("item_size"), "shift", first.alias("first"), found.alias("best"))
+    # Written first: a filter on the stretch would be pushed down to where the text is cut, into every step.
+    aligned = materialize(aligned, "alignments")
     enough = F.least(F.lit(min_match), F.ceil(F.col("item_size") * 0.8).cast("int"))
     moved = F.struct(F.col("best.n").alias("n"), (F.col("best.start") + F.col("first")).alias("start"), (F.col("best.stop") + F.col("first")).alias("stop"))
     return aligned.filter(F.col("best.n") >= enough).select(*ROW_KEY, "item_id", "shift", moved.alias("best"))
