@@ -157,6 +157,43 @@ def user_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("SELECT 'event:' || event_id AS id, row_number() OVER (ORDER BY event_id) - 1 AS global_position FROM events")
+def event_log_positions(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id")
+    return with_positions(e, ["event_id"], "global_position").select(F.concat(F.lit("event:"), F.col("event_id").cast("string")).alias("id"), "global_position")
+
+
+@register(f"{_LOG} SELECT * FROM log WHERE stream_id = 'user:7' AND stream_version > 2")
+def load_stream_after(spark, sf_dir):
+    return user_log(spark, sf_dir).filter("stream_id = 'user:7' AND stream_version > 2").orderBy("stream_version")
+
+
+@register(f"{_LOG} SELECT * FROM log WHERE global_position > 100 ORDER BY global_position LIMIT 50")
+def load_all_after_limit(spark, sf_dir):
+    return user_log(spark, sf_dir).filter("global_position > 100").orderBy("global_position").limit(50)
+
+
+@register(f"{_LOG} SELECT stream_id, max(stream_version) AS stream_version, count(*) AS n FROM log GROUP BY stream_id")
+def stream_versions(spark, sf_dir):
+    return user_log(spark, sf_dir).groupBy("stream_id").agg(F.max("stream_version").alias("stream_version"), F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    f"{_LOG} SELECT stream_id, count(*) AS event_count, min(stream_version) AS first_stream_version, max(stream_version) AS last_stream_version,"
+    " min(global_position) AS first_global_position, max(global_position) AS last_global_position FROM log GROUP BY stream_id"
+)
+def append_receipt(spark, sf_dir):
+    span = [f(c).alias(f"{n}_{c}") for c in ("stream_version", "global_position") for n, f in (("first", F.min), ("last", F.max))]
+    return user_log(spark, sf_dir).groupBy("stream_id").agg(F.count(F.lit(1)).alias("event_count"), *span)
+
+
+@register("SELECT event_id // 64 AS batch, min(event_id) AS first_position, max(event_id) AS last_position, count(*) AS n FROM events GROUP BY 1")
+def subscription_batches(spark, sf_dir):
+    batch = F.expr("global_position div 64").alias("batch")
+    ends = [F.min("global_position").alias("first_position"), F.max("global_position").alias("last_position"), F.count(F.lit(1)).alias("n")]
+    return user_log(spark, sf_dir).groupBy(batch).agg(*ends)
+
+
 #: The corrupted log: one event missing, one id used twice.
 @register(
     _LOG
@@ -262,22 +299,22 @@ def event_store(spark: SparkSession, sf_dir: str) -> tuple[event_log.EventLog, l
 
 
 @register(f"{_STORE} SELECT id, stream_id, stream_version, global_position FROM log")
-def event_log_positions(spark, sf_dir):
+def store_positions(spark, sf_dir):
     return event_store(spark, sf_dir)[0].events().select("id", "stream_id", "stream_version", "global_position")
 
 
 @register(f"{_STORE} SELECT id, stream_version, global_position, recorded_at FROM log WHERE stream_id = 'type:click' AND stream_version > 2")
-def load_stream_after(spark, sf_dir):
+def store_load_stream(spark, sf_dir):
     return event_store(spark, sf_dir)[0].load_stream("type:click", 2).select("id", "stream_version", "global_position", "recorded_at")
 
 
 @register(f"{_STORE} SELECT id, stream_id, global_position FROM log WHERE global_position > 100 ORDER BY global_position LIMIT 50")
-def load_all_after_limit(spark, sf_dir):
+def store_load_all(spark, sf_dir):
     return event_store(spark, sf_dir)[0].load_all(100, 50).select("id", "stream_id", "global_position")
 
 
 @register(f"{_STORE} SELECT stream_id, max(stream_version) AS stream_version, (SELECT count(*) FROM log) AS log_events FROM log GROUP BY stream_id UNION ALL SELECT 'type:none', NULL, (SELECT count(*) FROM log)")
-def stream_versions(spark, sf_dir):
+def store_stream_versions(spark, sf_dir):
     log, receipts = event_store(spark, sf_dir)
     names = sorted({r[0] for r in receipts}) + ["type:none"]
     return spark.createDataFrame([(n, log.stream_version(n), log.count()) for n in names], "stream_id string, stream_version bigint, log_events bigint")
@@ -287,7 +324,7 @@ def stream_versions(spark, sf_dir):
     f"{_STORE} SELECT stream_id, count(*) AS event_count, min(stream_version) AS first_stream_version, max(stream_version) AS last_stream_version,"
     " min(global_position) AS first_global_position, max(global_position) AS last_global_position FROM log GROUP BY stream_id, half"
 )
-def append_receipt(spark, sf_dir):
+def store_append_receipts(spark, sf_dir):
     columns = "stream_id string, event_count bigint, first_stream_version bigint, last_stream_version bigint, first_global_position bigint, last_global_position bigint"
     return spark.createDataFrame(event_store(spark, sf_dir)[1], columns)
 
@@ -352,7 +389,7 @@ _POLLS = "(SELECT (count(*) + 7) // 8 FROM events)"
 
 
 @register(f"{_STORE} SELECT global_position // {_POLLS} AS batch, min(global_position) AS first_position, max(global_position) AS last_position, count(*) AS n FROM log GROUP BY 1")
-def subscription_batches(spark, sf_dir):
+def store_subscription_batches(spark, sf_dir):
     """Polls and acknowledgements until nothing is left; each batch is polled twice before it is acknowledged."""
     log = event_store(spark, sf_dir)[0]
     consumer, found = CatchUpSubscription(None, -(-log.count() // 8)), []
@@ -905,9 +942,10 @@ def request_checks(spark, sf_dir):
 # ---- linking
 
 
-def customer_mentions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """One input a customer with three mentions: its label in its scope, its external id, a stranger."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+def customer_mentions(spark: SparkSession, sf_dir: str, every: bool = True) -> tuple[DataFrame, DataFrame]:
+    """One input a customer (every: or those of branch main alone) with three mentions: its label in its
+    scope, its external id, a stranger."""
+    c = table(spark, sf_dir, "customer").filter(F.lit(True) if every else F.expr("c_custkey % 3 = 0")).select("c_custkey", "c_name", "c_mktsegment")
     k, none = F.col("c_custkey"), F.lit(None).cast("string")
     kind = derived._of(derived.KIND, F.col("c_mktsegment"))
     input_id = F.concat(F.lit("doc:"), k.cast("string"))
@@ -932,7 +970,7 @@ def customer_mentions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     return inputs, mentions
 
 
-_LINKS = f"""{sql.BASE}, {sql.nodes(T98)}, m AS (
+_ALL_LINKS = f"""{sql.BASE}, {sql.nodes(T98)}, m AS (
   SELECT c_custkey AS k, 'doc:' || c_custkey AS input_id, c_mktsegment AS repo, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'decision' WHEN 'BUILDING' THEN 'inference' WHEN 'FURNITURE' THEN 'observation' WHEN 'HOUSEHOLD' THEN 'task' WHEN 'MACHINERY' THEN 'file' END AS kind,
          trim(lower(regexp_replace(c_name, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))) AS key FROM customer
 ), n AS (SELECT id, kind, repository, branch, ck, trim(lower(regexp_replace(label, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))) AS key FROM nodes),
@@ -944,18 +982,18 @@ c AS (
 )"""
 
 
-@register(f"{_LINKS} SELECT * FROM c")
-def link_candidates(spark, sf_dir):
+@register(f"{_ALL_LINKS} SELECT * FROM c")
+def link_candidates_all(spark, sf_dir):
     inputs, mentions = customer_mentions(spark, sf_dir)
     return linking.Catalog.from_view(memory(spark, sf_dir).view(T98, T98)).candidates(mentions, inputs)
 
 
 @register(
-    f"""{_LINKS}, a AS (SELECT input_id, unnest(['m0', 'm1', 'm2']) AS local_id FROM m),
+    f"""{_ALL_LINKS}, a AS (SELECT input_id, unnest(['m0', 'm1', 'm2']) AS local_id FROM m),
 d AS (SELECT a.input_id, a.local_id, c.entity_id, c.score, c.method FROM a LEFT JOIN c USING (input_id, local_id))
 SELECT input_id, local_id, CASE WHEN score >= 8000 THEN entity_id END AS entity_id, CASE WHEN score >= 8000 THEN score ELSE 0 END AS score, CASE WHEN score >= 8000 THEN method ELSE 'unresolved' END AS method FROM d"""
 )
-def link_decisions(spark, sf_dir):
+def link_decisions_all(spark, sf_dir):
     inputs, mentions = customer_mentions(spark, sf_dir)
     catalog = linking.Catalog.from_view(memory(spark, sf_dir).view(T98, T98))
     return catalog.link(mentions, inputs, linking.LinkPolicy(create_unmatched=False))[0].drop("ordinal")
@@ -992,6 +1030,52 @@ class CustomerProvider:
         return self.mentions, relations
 
 
+@register(
+    f"""{_ALL_LINKS}, k AS (SELECT DISTINCT input_id, max(score) AS score FROM c WHERE local_id = 'm0' GROUP BY input_id)
+SELECT input_id, 'node_upserted' AS event_type, 9000 AS confidence, 1 AS n FROM m
+UNION ALL SELECT m.input_id, 'fact_recorded', CASE WHEN k.score >= 8000 THEN least(9000, k.score) ELSE 9000 END, 1 FROM m LEFT JOIN k USING (input_id)
+UNION ALL SELECT m.input_id, 'node_upserted', 10000, 1 FROM m LEFT JOIN k USING (input_id) WHERE coalesce(k.score, 0) < 8000"""
+)
+def extraction_events_all(spark, sf_dir):
+    """Kinds of planned events by input; a node's confidence is that of its mention."""
+    inputs, mentions = customer_mentions(spark, sf_dir)
+    catalog = linking.Catalog.from_view(memory(spark, sf_dir).view(T98, T98))
+    done = linking.plan(CustomerProvider(mentions), inputs, catalog)
+    score = done.links.filter("method = 'created'").select("input_id", F.col("entity_id").alias("node_id"), "score")
+    rows = done.events.withColumn("node_id", F.col("payload.node.id")).join(score, ["input_id", "node_id"], "left")
+    return rows.select("input_id", "event_type", F.coalesce("payload.fact.confidence", "score").alias("confidence"), F.lit(1).alias("n"))
+
+
+#: Three rows as first registered, with their SQL: customers of branch main alone.
+_LINKS = f"""{sql.BASE}, {sql.nodes(T98)}, m AS (
+  SELECT c_custkey AS k, 'doc:' || c_custkey AS input_id, c_mktsegment AS repo, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'decision' WHEN 'BUILDING' THEN 'inference' WHEN 'FURNITURE' THEN 'observation' WHEN 'HOUSEHOLD' THEN 'task' WHEN 'MACHINERY' THEN 'file' END AS kind,
+         trim(lower(regexp_replace(c_name, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))) AS key FROM customer WHERE c_custkey % 3 = 0
+), n AS (SELECT id, kind, repository, branch, ck, trim(lower(regexp_replace(label, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))) AS key FROM nodes),
+c AS (
+  SELECT input_id, 'm0' AS local_id, id AS entity_id, least(10000, greatest(0, 9000 + CASE WHEN repository = repo THEN 400 WHEN repository IS NULL THEN -300 ELSE -2000 END + CASE WHEN branch = 'main' THEN 200 WHEN branch IS NULL THEN -100 ELSE -700 END)) AS score,
+         CASE WHEN repository = repo OR branch = 'main' THEN 'scoped_label' ELSE 'label' END AS method FROM m JOIN n ON n.kind = m.kind AND n.key = m.key
+  UNION ALL
+  SELECT input_id, 'm1', id, least(9900, least(10000, 9700 + CASE WHEN repository = repo THEN 400 WHEN repository IS NULL THEN -300 ELSE -2000 END + CASE WHEN branch = 'main' THEN 200 WHEN branch IS NULL THEN -100 ELSE -700 END)), 'external_id' FROM m JOIN n ON n.kind = m.kind AND n.ck = m.k
+)"""
+
+
+@register(f"{_LINKS} SELECT * FROM c")
+def link_candidates(spark, sf_dir):
+    inputs, mentions = customer_mentions(spark, sf_dir, every=False)
+    return linking.Catalog.from_view(memory(spark, sf_dir).view(T98, T98)).candidates(mentions, inputs)
+
+
+@register(
+    f"""{_LINKS}, a AS (SELECT input_id, unnest(['m0', 'm1', 'm2']) AS local_id FROM m),
+d AS (SELECT a.input_id, a.local_id, c.entity_id, c.score, c.method FROM a LEFT JOIN c USING (input_id, local_id))
+SELECT input_id, local_id, CASE WHEN score >= 8000 THEN entity_id END AS entity_id, CASE WHEN score >= 8000 THEN score ELSE 0 END AS score, CASE WHEN score >= 8000 THEN method ELSE 'unresolved' END AS method FROM d"""
+)
+def link_decisions(spark, sf_dir):
+    inputs, mentions = customer_mentions(spark, sf_dir, every=False)
+    catalog = linking.Catalog.from_view(memory(spark, sf_dir).view(T98, T98))
+    return catalog.link(mentions, inputs, linking.LinkPolicy(create_unmatched=False))[0].drop("ordinal")
+
+
 @register(
     f"""{_LINKS}, k AS (SELECT DISTINCT input_id, max(score) AS score FROM c WHERE local_id = 'm0' GROUP BY input_id)
 SELECT input_id, 'node_upserted' AS event_type, 9000 AS confidence, 1 AS n FROM m
@@ -1000,7 +1084,7 @@ UNION ALL SELECT m.input_id, 'node_upserted', 10000, 1 FROM m LEFT JOIN k USING
 )
 def extraction_events(spark, sf_dir):
     """Kinds of planned events by input; a node's confidence is that of its mention."""
-    inputs, mentions = customer_mentions(spark, sf_dir)
+    inputs, mentions = customer_mentions(spark, sf_dir, every=False)
     catalog = linking.Catalog.from_view(memory(spark, sf_dir).view(T98, T98))
     done = linking.plan(CustomerProvider(mentions), inputs, catalog)
     score = done.links.filter("method = 'created'").select("input_id", F.col("entity_id").alias("node_id"), "score")
@@ -1008,7 +1092,7 @@ def extraction_events(spark, sf_dir):
     return rows.select("input_id", "event_type", F.coalesce("payload.fact.confidence", "score").alias("confidence"), F.lit(1).alias("n"))
 
 
-_PLANNED = f"""{_LINKS}, k AS (SELECT input_id, max(score) AS score FROM c WHERE local_id = 'm0' GROUP BY input_id),
+_PLANNED = f"""{_ALL_LINKS}, k AS (SELECT input_id, max(score) AS score FROM c WHERE local_id = 'm0' GROUP BY input_id),
 p AS (
   SELECT m.*, coalesce(k.score, 0) AS score, 'stranger ' || m.k AS stranger, {sql.stable_hash("c_name || ' wrote'")} AS print
   FROM m LEFT JOIN k USING (input_id) JOIN customer ON c_custkey = m.k
