@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat_format, decontaminate, line_rules, ngram_join, pack, pii, secret_scan, toxicity, url_filter, warc
+from palimpsest.llm import chat_format, collocations, decontaminate, hyperminhash, lexical, line_rules, ngram_join, pack, pii, secret_scan, toxicity, url_filter, warc
 from palimpsest.llm.common import pick, ship, table
 
 BLOCK, ALLOW = ["net/", "example.com/de/"], ["example.net/en/", "org/fr/"]
@@ -69,6 +69,18 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, BLOCK, ALLOW).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 SQL8 = """
 WITH p AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -124,6 +136,84 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL11 = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array({_LOWERED}, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 3 THEN list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])
+                                      WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingle
+  FROM d
+), c AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y FROM p JOIN c a ON a.doc_id = x JOIN c b ON b.doc_id = y WHERE 100 * k >= 85 * (a.n + b.n - k)
+), e AS (
+  SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), walk(x, y) AS (
+  SELECT x, x FROM e UNION SELECT walk.x, e.y FROM walk JOIN e ON e.x = walk.y
+), m AS (
+  SELECT x AS doc_id, min(y) AS least FROM walk GROUP BY x
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(least, doc_id) AS component_id, coalesce(least, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+SQL12 = rf"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all({_LOWERED}, '{lexical.TERM}')) AS term FROM documents
+), p AS (
+  SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL
+), d AS (
+  SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY doc_id
+), g AS (
+  SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM d
+), w AS (
+  SELECT term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM p, g GROUP BY term, docs
+), i AS (
+  SELECT item_id, term, count(*) AS k FROM (SELECT item_id, unnest(regexp_extract_all({_LOWERED}, '{lexical.TERM}')) AS term FROM benchmark) GROUP BY ALL
+), s AS (
+  SELECT item_id, doc_id, sum(k * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // total))))::BIGINT AS score
+  FROM i JOIN w USING (term) JOIN p USING (term) JOIN d USING (doc_id), g GROUP BY item_id, doc_id
+), r AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+SQL13 = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWERED}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), l AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM p
+), o AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM l, (VALUES (1), (2), (3)) AS t(k) WHERE len(ws) >= k
+), f AS (
+  SELECT lang, k, phrase, count(*) AS f FROM o GROUP BY ALL
+), n AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 10
+), u AS (
+  SELECT c.lang, c.phrase, c.k, a, cut, array_to_string(ws[1:cut], ' ') AS head, array_to_string(ws[cut + 1:], ' ') AS rest FROM c, (VALUES (1), (2)) AS t(cut) WHERE cut < k
+), v AS (
+  SELECT u.lang, u.phrase, u.k, u.a, cut, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+  FROM u JOIN f x ON x.lang = u.lang AND x.phrase = head JOIN f y ON y.lang = u.lang AND y.phrase = rest
+), b AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS i FROM v) WHERE i = 1
+), z AS (
+  SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase, a AS longer FROM c WHERE k = 3
+), q AS (
+  SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM z WHERE z.lang = b.lang AND z.phrase = b.phrase AND 100 * longer >= 50 * b.a)
+), r AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score::BIGINT AS score FROM q
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM r JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 
 def _shipped(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,9 +235,12 @@ def queries() -> dict:
         "op6_warc": op6_warc,
         "op7_chat_format": op7_chat_format,
         "op8_url_filter": op8_url_filter,
+        "op11_near_duplicates": op11_near_duplicates,
+        "op12_ranked_search": op12_ranked_search,
+        "op13_collocations": op13_collocations,
     }
     return {name: _shipped(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": SQL6, "op7_chat_format": SQL7, "op8_url_filter": SQL8}
+    return {"op6_warc": SQL6, "op7_chat_format": SQL7, "op8_url_filter": SQL8, "op11_near_duplicates": SQL11, "op12_ranked_search": SQL12, "op13_collocations": SQL13}
