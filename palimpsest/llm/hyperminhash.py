@@ -8,15 +8,16 @@ sets of three-word shingles connect.
    none of the 32 bands with a probability of 6e-11; very small ones differ in so few buckets that they
    always do. Sets of fewer than `SMALLEST` shingles are linked with equal sets alone, so they aren't banded.
 3. Of the nodes that met another, the shingles that some other such node has are counted (in packed blocks).
-   Where those are fewer than 85 in 100 of its own, a node has no link.
+   Where those are fewer than 85 in 100 of its own, a node has no link, and they bound the size of the sets
+   that it may be linked with: its reach.
 4. The nodes of a cell are compared with its pivot, the one with the greatest share of common shingles. Pairs
    are estimated from their registers first, corrected for registers that are equal by chance; a pair goes on
    unless a link would look as unlike with a probability of less than `MISS`. Then the full sets are
    intersected. What the links connect gets one label.
 5. In cells that still have several labels, the registers are compared in blocks: the nodes without the
    pivot's label with all, so a cell whose nodes are linked with their pivot sends nothing. A pair is taken
-   up in the first band that it shares, never within a label, and only pairs that the estimate lets through
-   leave the task; these are confirmed on full sets, too.
+   up in the first band that it shares, never within a label. What the estimate lets through leaves the task as
+   one packed list for a node and a block; lists are confirmed on full sets, too.
 
 A group of copies is one node; a large group of near copies costs a few rows for each node. No cell is held
 whole by a task: both steps deal a cell's rows over blocks, and hot cells and sets are joined by
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import join_by_size, materialize, pick
-from palimpsest.llm.ngram_join import _cuts, _mix, _set_key, dealt, is_small, multiplied, overlaps, relabelled, shared_counts, with_few, word_hashes
+from palimpsest.llm.ngram_join import BLOCK_ENTRIES, _mix, _runs, _set_key, dealt, is_small, multiplied, overlaps, relabelled, shared_counts, with_few, word_hashes
 
 WORDS = 3
 #: A link needs PERCENT * |union| shared shingles of 100.
@@ -54,6 +55,8 @@ EMPTY = 0xFFFF
 MISS = 1e-9
 #: Nodes of a block of a cell, about; rows of a part, about (some 300 bytes each).
 BLOCK, PART_ROWS = 256, 20_000
+#: Cells are broadcast up to so many (some 32 bytes each), else joined by shuffle.
+MAX_BROADCAST_CELLS = 1_000_000
 #: Shingles that are hashed at once.
 PIECE = 1 << 16
 
@@ -183,23 +186,27 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def cells_of(nodes: DataFrame) -> DataFrame:
-    """node, n, band, cell: the cells in which other nodes are, too."""
+    """node, cell: the cells in which other nodes are, too. The lowest bits of a cell are its band."""
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 bands, full = bands_of(_regs(batch["regs"]))
-                keys = _mix(bands ^ _SALT).view(np.int64)
+                keys = (_mix(bands ^ _SALT) // np.uint64(BANDS) * np.uint64(BANDS) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
                 row, band = np.nonzero(full)
-                yield pd.DataFrame({"node": batch["node"].to_numpy()[row], "n": batch["n"].to_numpy()[row], "band": band, "cell": keys[row, band]})
+                yield pd.DataFrame({"node": batch["node"].to_numpy()[row], "cell": keys[row, band]})
 
-    cells = nodes.filter("regs IS NOT NULL").select("node", "n", "regs").mapInPandas(spread, "node bigint, n bigint, band int, cell bigint")
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("low"), F.max("n").alias("high"))
-    return materialize(join_by_size(cells, materialize(sizes.filter("size > 1").select("cell", "size"), "cell-sizes"), ["cell"], "size").drop("size"), "cells")
+    cells = nodes.filter("regs IS NOT NULL").select("node", "regs").mapInPandas(spread, "node bigint, cell bigint")
+    sizes = materialize(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "cell-sizes")
+    if sizes.limit(MAX_BROADCAST_CELLS + 1).count() <= MAX_BROADCAST_CELLS:
+        met = cells.join(F.broadcast(sizes.select("cell")), "cell")
+    else:
+        met = join_by_size(cells, sizes, ["cell"], "size").drop("size")
+    return materialize(met, "cells")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, hashes (sorted, uint64) for the wanted (node, first, k1, k2)."""
+def sets_of(docs: DataFrame, wanted: DataFrame, repeats: bool) -> DataFrame:
+    """node, hashes (sorted, uint64) for the wanted (node, first, k1, k2). repeats: rows may be repeated."""
     rows = pick(docs, "doc_id", "text").join(F.broadcast(wanted) if is_small(wanted) else wanted, F.col("doc_id") == F.col("first"))
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -212,7 +219,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     found.append((node, hashes.tobytes()))
             yield pd.DataFrame(found, columns=["node", "hashes"])
 
-    return rows.select("node", "k1", "k2", "text").mapInPandas(make, "node bigint, hashes binary").dropDuplicates(["node"])
+    sets = rows.select("node", "k1", "k2", "text").mapInPandas(make, "node bigint, hashes binary")
+    return sets.dropDuplicates(["node"]) if repeats else sets
 
 
 # ---- pairs
@@ -240,33 +248,32 @@ def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return materialize(multiplied(held, rows, work, "node bigint, n bigint, pivot bigint, m bigint", F.col("regs")), "estimated")
 
 
+def is_link(pairs: pd.DataFrame, shared: np.ndarray) -> np.ndarray:
+    return 100 * shared >= PERCENT * (pairs["n"].to_numpy() + pairs["m"].to_numpy() - shared)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs that are links by their full sets."""
 
     def work(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
         shared = overlaps(pairs, sets)
-        good = 100 * shared >= PERCENT * (pairs["n"].to_numpy() + pairs["m"].to_numpy() - shared)
-        return pairs.loc[good, ["node", "pivot"]]
+        return pairs.loc[is_link(pairs, shared), ["node", "pivot"]]
 
     held = dealt(pairs)
     return materialize(multiplied(held, by_part(held, sets, "hashes"), work, "node bigint, pivot bigint", F.col("hashes")), "links")
 
 
-def like_sizes(n: str, m: str):
-    return (100 * F.col(n) >= PERCENT * F.col(m)) & (100 * F.col(m) >= PERCENT * F.col(n))
-
-
 def pivot_pairs(cells: DataFrame) -> DataFrame:
-    """node, n, pivot, m: each node of a cell with the cell's pivot, where their sizes allow a link."""
-    row = F.struct("rank", "node", "n")
-    pivots = cells.groupBy("cell").agg(F.max(row).alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    """node, n, pivot, m: each node of a cell with the cell's pivot, where neither is beyond the other's reach."""
+    pivots = cells.groupBy("cell").agg(F.max(F.struct("rank", "node", "n", "reach")).alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     met = join_by_size(cells, materialize(pivots, "pivots"), ["cell"], "size")
-    met = met.select("node", "n", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("m")).filter((F.col("node") != F.col("pivot")) & like_sizes("n", "m"))
-    return materialize(met.distinct(), "pivot-pairs")
+    met = met.filter((F.col("node") != F.col("pivot.node")) & (F.col("pivot.n") <= F.col("reach")) & (F.col("n") <= F.col("pivot.reach")))
+    return materialize(met.select("node", "n", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("m")).distinct(), "pivot-pairs")
 
 
 def open_pairs(cells: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, n, pivot, m: pairs of different labels that share a cell, are of like size and pass the estimate."""
+    """part, node, n and, as packed lists, others, sizes, labels: the nodes of other labels that share a cell with
+    a node, are within its reach and it within theirs, and pass the estimate. A row is a node and a block of a cell."""
     told = materialize(with_few(cells, labels, ["node"]), "labelled-cells")
     groups = told.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("rank", "node", "label")).alias("pivot"), F.count(F.lit(1)).alias("size"))
     groups = materialize(groups.filter("low <> high").select("cell", "size", F.col("pivot.label").alias("main")), "open-cells")
@@ -283,7 +290,7 @@ def open_pairs(cells: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFra
     with_other = F.transform(others, lambda j: F.struct(F.least(F.col("own"), j).alias("i"), (F.col("main_blocks") + F.greatest(F.col("own"), j)).alias("j")))
     of_main = F.transform(others, lambda i: F.struct(i.alias("i"), F.col("own").alias("j")))
     rows = rows.withColumn("own", own).withColumn("group", F.explode(F.when(F.col("is_main"), of_main).otherwise(F.concat(with_main, with_other))))
-    rows = rows.select("node", "n", "label", "is_main", "band", F.xxhash64("cell", "group.i", "group.j").alias("key"), (F.col("group.j") >= F.col("main_blocks")).alias("is_inner"), "own", (F.col("group.i") == F.col("own")).alias("is_left"))
+    rows = rows.select("node", "n", "reach", "label", "is_main", F.pmod("cell", F.lit(BANDS)).cast("int").alias("band"), F.xxhash64("cell", "group.i", "group.j").alias("key"), (F.col("group.j") >= F.col("main_blocks")).alias("is_inner"))
     rows = materialize(rows, "open-rows")
     parts = max(1, math.ceil(rows.count() / PART_ROWS))
     held = with_few(nodes.select("node", "regs"), materialize(rows.select("node").distinct(), "open-nodes"), ["node"])
@@ -291,12 +298,12 @@ def open_pairs(cells: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFra
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("key", kind="stable")
-        key, node, n, label = (frame[c].to_numpy() for c in ("key", "node", "n", "label"))
+        key, node, n, reach, label = (frame[c].to_numpy() for c in ("key", "node", "n", "reach", "label"))
         is_main, is_inner, band = (frame[c].to_numpy() for c in ("is_main", "is_inner", "band"))
         regs = _regs(frame["regs"])
         bands, full = bands_of(regs)
-        cuts, out = _cuts(key), []
-        for a, b in zip(cuts, [*cuts[1:], len(key)], strict=True):
+        out = []
+        for a, b in _runs(key):
             at = np.arange(a, b)
             if is_inner[a]:
                 left = right = at
@@ -305,7 +312,7 @@ def open_pairs(cells: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFra
             step = max(1, 2_000_000 // (BANDS * max(1, len(right))))
             for low in range(0, len(left), step):
                 own = left[low : low + step]
-                allowed = (label[own, None] != label[None, right]) & (100 * n[own, None] >= PERCENT * n[None, right]) & (100 * n[None, right] >= PERCENT * n[own, None])
+                allowed = (label[own, None] != label[None, right]) & (n[own, None] <= reach[None, right]) & (n[None, right] <= reach[own, None])
                 if is_inner[a]:
                     allowed &= node[own, None] < node[None, right]
                 x, y = np.nonzero(allowed)
@@ -315,31 +322,61 @@ def open_pairs(cells: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFra
                 first = same.argmax(axis=1) == band[a]
                 x, y = x[first], y[first]
                 good = may_link(regs[x], regs[y], n[x].astype(np.float64), n[y].astype(np.float64))
-                out.append(np.stack([node[x[good]], n[x[good]], node[y[good]], n[y[good]]], axis=1))
-        found = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
-        return pd.DataFrame(found, columns=["node", "n", "pivot", "m"])
+                x, y = x[good], y[good]
+                for low_, high_ in _runs(x):
+                    own_, met = x[low_], y[low_:high_]
+                    out.append((int(key[a]), int(node[own_]), int(n[own_]), node[met].tobytes(), n[met].tobytes(), label[met].tobytes()))
+        return pd.DataFrame(out, columns=["key", "node", "n", "others", "sizes", "labels"])
+
+    found = materialize(held.groupBy("part").applyInPandas(work, "key bigint, node bigint, n bigint, others binary, sizes binary, labels binary"), "open-pairs")
+    # Rows of a block share most of their sets, so a part may have several times BLOCK_ENTRIES in pairs.
+    entries = found.agg(F.sum(F.col("n") * (1 + F.octet_length("others") / 8))).first()[0] or 0
+    parts = max(1, math.ceil(entries / (4 * BLOCK_ENTRIES)))
+    return found.select(F.pmod("key", F.lit(parts)).alias("part"), "node", "n", "others", "sizes", "labels")
+
+
+def confirmed_open(found: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, pivot: of the pairs of open_pairs() those that are links by their full sets, one for a node, its block
+    and a label."""
+
+    def needs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part, rows in batch.groupby("part"):
+                met = np.concatenate([rows["node"].to_numpy(), *(np.frombuffer(x, np.int64) for x in rows["others"])])
+                yield pd.DataFrame({"part": part, "node": np.unique(met)})
+
+    def work(rows: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        lists = {c: [np.frombuffer(x, np.int64) for x in rows[c]] for c in ("others", "sizes", "labels")}
+        times = [len(x) for x in lists["others"]]
+        pairs = pd.DataFrame({"row": np.repeat(np.arange(len(rows)), times), "node": np.repeat(rows["node"].to_numpy(), times), "n": np.repeat(rows["n"].to_numpy(), times)})
+        pairs = pairs.assign(**{name: np.concatenate(lists[c]) if times else np.zeros(0, np.int64) for name, c in (("pivot", "others"), ("m", "sizes"), ("label", "labels"))})
+        good = is_link(pairs, overlaps(pairs, sets))
+        return pairs[good].drop_duplicates(["row", "label"])[["node", "pivot"]]
 
-    found = held.groupBy("part").applyInPandas(work, "node bigint, n bigint, pivot bigint, m bigint")
-    return materialize(found.distinct(), "open-pairs")
+    need = materialize(found.select("part", "node", "others").mapInPandas(needs, "part bigint, node bigint").distinct(), "need")
+    own = materialize(with_few(sets.select("node", "hashes"), need, ["node"]), "parts")
+    return materialize(multiplied(found, own, work, "node bigint, pivot bigint", F.col("hashes")), "links")
 
 
 # ---- components
 
 
-def labels_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def labels_of(docs: DataFrame, nodes: DataFrame, repeats: bool) -> DataFrame:
     """node, label: nodes that links connect have one label. Nodes without a link may be missing."""
     cells = cells_of(nodes)
     met = with_few(nodes.select("node", "first", "k1", "k2", "n"), materialize(cells.select("node").distinct(), "met"), ["node"])
-    sets = materialize(sets_of(docs, met.select("node", "first", "k1", "k2")), "sets")
+    sets = materialize(sets_of(docs, met.select("node", "first", "k1", "k2"), repeats), "sets")
     entries = met.agg(F.sum("n")).first()[0] or 0
     counts = shared_counts(sets.select(F.col("node").alias("key"), "hashes"), entries, 16)
-    left = met.join(counts.withColumnRenamed("key", "node"), "node").filter(100 * F.col("shared") >= PERCENT * F.col("n"))
-    left = materialize(left.select("node", F.floor(1000 * F.col("shared") / F.col("n")).cast("int").alias("rank")), "left")
+    # Of an overlap of s shingles at most, a link leads to sets of 100 s >= PERCENT (n + m - s) at most.
+    reach = F.floor((100 + PERCENT) * F.col("shared") / PERCENT - F.col("n"))
+    left = met.join(counts.withColumnRenamed("key", "node"), "node").withColumn("reach", reach).filter(100 * F.col("shared") >= PERCENT * F.col("n"))
+    left = materialize(left.select("node", "n", "reach", F.floor(1000 * F.col("shared") / F.col("n")).cast("int").alias("rank")), "left")
     cells = materialize(with_few(cells, left, ["node"]), "left-cells")
     labels = left.select("node", F.col("node").alias("label"))
     links = confirmed(estimated(pivot_pairs(cells), nodes), sets)
     labels = relabelled(labels, links)
-    return relabelled(labels, confirmed(open_pairs(cells, labels, nodes), sets))
+    return relabelled(labels, confirmed_open(open_pairs(cells, labels, nodes), sets))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -348,7 +385,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = rows.filter("doc_id IS NOT NULL AND k1 IS NOT NULL")
     nodes = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.max("regs").alias("regs"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    grouped = nodes.join(labels_of(docs, nodes), "node", "left").select("k1", "k2", "size", "first", "label")
+    repeats = not known.groupBy("doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").isEmpty()
+    grouped = nodes.join(labels_of(docs, nodes, repeats), "node", "left").select("k1", "k2", "size", "first", "label")
     grouped = materialize(grouped.filter("size > 1 OR label IS NOT NULL"), "groups")
     least = grouped.groupBy("label").agg(F.min("first").alias("least")).filter("label IS NOT NULL")
     of_set = grouped.join(least, "label", "left").select("k1", "k2", "size", F.coalesce("least", "first").alias("component"))
