@@ -10,6 +10,8 @@ from palimpsest.functions.text import lower_ascii
 from palimpsest.operators.graph import bfs_out, orphans, reachable_counts
 from palimpsest.operators.view import Clock, Projection, View
 from palimpsest.schema import ACTION_KINDS, GAP_KINDS
+from palimpsest.sources.ordered import carried, in_order
+from palimpsest.sources.storage import materialize
 
 #: Relations that support their target.
 SUPPORTING = ("supports", "supported_by", "caused_by")
@@ -53,13 +55,14 @@ def belief_revision(projection: Projection, hypothesis: dict, clock: Clock, max_
 
 def drift(projection: Projection, known_at: int, source: str | None = None, relation: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Snapshots and summary of every (source, relation), or of the given one: all known facts in
-    the order (recorded_at, id), whatever their validity."""
+    the order (recorded_at, id), whatever their validity. A pair may hold all facts: each is compared
+    with the one before it within a range of the order, and ranges hand on their last fact."""
     rows = projection.known_facts(known_at)
     rows = rows if source is None else rows.filter(F.col("source") == source)
     rows = rows if relation is None else rows.filter(F.col("relation") == relation)
-    pair = Window.partitionBy("source", "relation").orderBy("recorded_at", "id")
-    before = F.lag(F.struct("id", "target", "confidence")).over(pair)
-    rows = rows.select("source", "relation", "id", "target", "recorded_at", "confidence", "supersedes", before.alias("p"))
+    pair, order = ["source", "relation"], ["recorded_at", "id"]
+    ordered = in_order(rows.select(*pair, "id", "target", "recorded_at", "confidence", "supersedes"), pair, order)
+    rows = carried(ordered, pair, F.struct("id", "target", "confidence")).withColumnRenamed("_carried", "p")
     corrected = F.coalesce(F.col("supersedes") == F.col("p.id"), F.lit(False)) | (F.col("target") != F.col("p.target"))
     change = (
         F.when(F.col("p").isNull(), "initial")
@@ -124,7 +127,7 @@ def unstable_gaps(projection: Projection, known_at: int, revision_count: int) ->
 def all_gaps(projection: Projection, clock: Clock, minimum_supports: int, low_confidence_bps: int, unstable_revision_count: int, stale_after_micros: int) -> tuple[View, DataFrame]:
     if minimum_supports < 1 or not 0 <= low_confidence_bps <= 10_000 or unstable_revision_count < 2 or stale_after_micros < 0:
         raise InvalidValue("reasoning_gap: thresholds must be in their ranges")
-    view = projection.view(clock.valid_at, clock.known_at)
+    view = projection.view(clock.valid_at, clock.known_at).kept()
     found = node_gaps(view, minimum_supports).unionByName(fact_gaps(view, clock, low_confidence_bps, stale_after_micros))
     return view, found.unionByName(unstable_gaps(projection, clock.known_at, unstable_revision_count))
 
@@ -133,19 +136,30 @@ def reasoning_gaps(
     projection: Projection, clock: Clock, minimum_supports: int, low_confidence_bps: int, unstable_revision_count: int, stale_after_micros: int, max_results: int
 ) -> tuple[DataFrame, DataFrame]:
     """The first max_results gaps, and one row (health_bps, analyzed_entities, analyzed_facts,
-    total_gaps) by the count before the cut. Reach is counted only for entities that have a gap."""
+    total_gaps) by the count before the cut. Reach is counted only for entities of gaps that may be among them."""
     if max_results < 1:
         raise InvalidValue("reasoning_gap: max_results must be positive")
     view, gaps = all_gaps(projection, clock, minimum_supports, low_confidence_bps, unstable_revision_count, stale_after_micros)
+    gaps = materialize(gaps, "gaps")
+    found = contenders(gaps, max_results)
     known = view.nodes.select(F.col("id").alias("entity"))
-    roots = gaps.select("entity").distinct().join(known, "entity", "left_semi")
+    roots = found.select("entity").distinct().join(known, "entity", "left_semi")
     reach = reachable_counts(view.facts, roots).select("entity", F.col("n").alias("downstream_entities"))
-    rows = gaps.join(reach, "entity", "left").withColumn("downstream_entities", F.coalesce("downstream_entities", F.lit(0)))
+    rows = found.join(reach, "entity", "left").withColumn("downstream_entities", F.coalesce("downstream_entities", F.lit(0)))
     kind = _ordinal(F.col("kind"), GAP_KINDS)
     top = rows.orderBy(F.desc("severity_bps"), F.desc("downstream_entities"), "entity", kind, F.asc_nulls_first("fact")).limit(max_results)
     return top, gap_health(view, gaps)
 
 
+def contenders(gaps: DataFrame, max_results: int) -> DataFrame:
+    """The gaps that may be among the first max_results: severity comes first in their order, so none below
+    the severity of the max_results-th gap is. Severities are 10,001 values at most; they are counted, not sorted."""
+    counts = gaps.groupBy("severity_bps").agg(F.count(F.lit(1)).alias("n"))
+    above = Window.orderBy(F.desc("severity_bps")).rowsBetween(Window.unboundedPreceding, -1)
+    least = counts.withColumn("above", F.coalesce(F.sum("n").over(above), F.lit(0))).filter(F.col("above") < max_results).agg(F.min("severity_bps")).first()[0]
+    return gaps.filter(F.col("severity_bps") >= (least or 0))
+
+
 def gap_health(view: View, gaps: DataFrame) -> DataFrame:
     counts = (
         gaps.agg(F.count(F.lit(1)).alias("total_gaps"))
@@ -163,9 +177,12 @@ ACTION = ("kind", "keep", "affected_facts", "affected_entities")
 
 
 def duplicate_actions(view: View) -> DataFrame:
-    """Active facts of one (source, relation, target): the strongest, then newest, then least id stays."""
+    """Active facts of one (source, relation, target): the strongest, then newest, then least id stays. Only the
+    facts of groups that have several are listed."""
+    key = ["source", "relation", "target"]
+    several = view.facts.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key)
     ranked = F.sort_array(F.collect_list(F.struct((-F.col("confidence")).alias("c"), (-F.col("recorded_at")).alias("r"), "id")))
-    groups = view.facts.groupBy("source", "relation", "target").agg(F.transform(ranked, lambda x: x["id"]).alias("ids")).filter(F.size("ids") > 1)
+    groups = view.facts.join(several, key, "left_semi").groupBy(*key).agg(F.transform(ranked, lambda x: x["id"]).alias("ids"))
     return groups.select(F.lit(ACTION_KINDS[0]).alias("kind"), F.get("ids", 0).alias("keep"), F.col("ids").alias("affected_facts"), F.array("source", "target").alias("affected_entities"))
 
 
@@ -175,19 +192,20 @@ def orphan_actions(view: View) -> DataFrame:
 
 
 def revision_chain_actions(projection: Projection, known_at: int) -> DataFrame:
-    """(source, relation) with three or more superseding facts: the last by (recorded_at, id) stays."""
+    """(source, relation) with three or more superseding facts: the last by (recorded_at, id) stays. Only the facts
+    of such chains are listed."""
+    known, key = projection.known_facts(known_at), ["source", "relation"]
+    long = known.groupBy(*key).agg(F.count_if(F.col("supersedes").isNotNull()).alias("s")).filter("s >= 3").select(*key)
     ranked = F.sort_array(F.collect_list(F.struct("recorded_at", "id")))
-    groups = projection.known_facts(known_at).groupBy("source", "relation").agg(
-        F.transform(ranked, lambda x: x["id"]).alias("ids"), F.count_if(F.col("supersedes").isNotNull()).alias("s")
-    )
-    return groups.filter("s >= 3").select(F.lit(ACTION_KINDS[2]).alias("kind"), F.element_at("ids", -1).alias("keep"), F.col("ids").alias("affected_facts"), F.array("source").alias("affected_entities"))
+    groups = known.join(long, key, "left_semi").groupBy(*key).agg(F.transform(ranked, lambda x: x["id"]).alias("ids"))
+    return groups.select(F.lit(ACTION_KINDS[2]).alias("kind"), F.element_at("ids", -1).alias("keep"), F.col("ids").alias("affected_facts"), F.array("source").alias("affected_entities"))
 
 
 def consolidation_plan(projection: Projection, clock: Clock, max_actions: int) -> tuple[DataFrame, DataFrame]:
     """The first max_actions actions, and one row (projected_savings, source_position) of those."""
     if max_actions < 1:
         raise InvalidValue("consolidation.max_actions must be greater than zero")
-    view = projection.view(clock.valid_at, clock.known_at)
+    view = projection.view(clock.valid_at, clock.known_at).kept()
     actions = duplicate_actions(view).unionByName(orphan_actions(view)).unionByName(revision_chain_actions(projection, clock.known_at))
     top = actions.orderBy(_ordinal(F.col("kind"), ACTION_KINDS), "affected_entities", "affected_facts").limit(max_actions)
     saved = F.when(F.col("kind") == ACTION_KINDS[1], F.lit(0)).otherwise(F.size("affected_facts") - 1)

@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.sources.ordered import carried, in_order
+from palimpsest.sources.storage import materialize
+
 
 @dataclass(frozen=True)
 class Clock:
@@ -21,6 +24,10 @@ class View:
     nodes: DataFrame
     facts: DataFrame
 
+    def kept(self) -> View:
+        """The same view, written once: several reports or hops read it again."""
+        return View(materialize(self.nodes, "view-nodes"), materialize(self.facts, "view-facts"))
+
 
 @dataclass(frozen=True)
 class Projection:
@@ -40,13 +47,13 @@ class Projection:
         return rows.groupBy("id").agg(latest).select("id", "r.*")
 
     def active_facts(self, clock: Clock, facts: DataFrame | None = None) -> DataFrame:
-        """Known, valid, not superseded and not retracted facts. The cheap tests filter the scan;
-        the two anti-joins see only rows that the clock lets through."""
+        """Known, valid, not superseded and not retracted facts. The cheap tests filter the scan; what is
+        superseded or retracted is one set of ids, whose anti-join sees only rows that the clock lets through."""
         rows = (self.facts if facts is None else facts).filter(is_current(clock.valid_at, clock.known_at))
         applies = (F.col("recorded_at") <= clock.known_at) & (F.col("valid_from") <= clock.valid_at)
         replaced = self.supersessions.filter(applies).select(F.col("prior").alias("id"))
         ended = self.retractions.filter((F.col("recorded_at") <= clock.known_at) & (F.col("valid_until") <= clock.valid_at)).select(F.col("fact_id").alias("id"))
-        return rows.join(replaced, "id", "left_anti").join(ended, "id", "left_anti")
+        return rows.join(replaced.unionByName(ended), "id", "left_anti")
 
     def view(self, valid_at: int, known_at: int) -> View:
         """Visible nodes, and active facts between visible nodes."""
@@ -57,6 +64,11 @@ class Projection:
             facts = facts.join(ids.select(F.col("id").alias(end)), end, "left_semi")
         return View(nodes, facts)
 
+    def kept(self) -> Projection:
+        """The same state, written once: reads of it don't compute what it was made from again."""
+        tables = zip(("node_revisions", "facts", "supersessions", "retractions"), (self.node_revisions, self.facts, self.supersessions, self.retractions), strict=True)
+        return Projection(*(materialize(df, name.replace("_", "-")) for name, df in tables), self.last_position)
+
     def known_facts(self, known_at: int) -> DataFrame:
         return self.facts.filter(F.col("recorded_at") <= known_at)
 
@@ -95,6 +107,26 @@ def is_current(valid_at: int | Column, known_at: int | Column) -> Column:
     return (F.col("recorded_at") <= known_at) & (F.col("valid_from") <= valid_at) & (until.isNull() | (until > valid_at))
 
 
+def visible_as_of(node_revisions: DataFrame, requests: DataFrame) -> DataFrame:
+    """For each row of requests (request, entity, known_at, and no column of a revision) the revision of its entity
+    that was visible then: the one with the greatest (recorded_at, position) known by known_at, nulls where there
+    was none.
+
+    One sorted pass for all clocks, instead of a view for each: requests and revisions are one table in the order of
+    (entity, time), in which a request comes behind the revisions of its instant, and the last revision is carried
+    forward. The order is cut into ranges, so an entity may have any number of revisions and requests."""
+    kept = [c for c in node_revisions.columns if c != "id"]
+    revision = F.struct(*kept)
+    told = node_revisions.select(F.col("id").alias("entity"), F.col("recorded_at").alias("_at"), F.lit(0).alias("_asks"), F.col("position").alias("_order"), revision.alias("_revision"))
+    none = F.lit(None).cast(told.schema["_revision"].dataType)
+    # The hash only keeps apart the requests of one instant, so that they may be dealt over ranges.
+    asked = requests.select("entity", F.col("known_at").alias("_at"), F.lit(1).alias("_asks"), F.xxhash64("request").alias("_order"), none.alias("_revision"), F.struct("request", "known_at").alias("_request"))
+    both = told.withColumn("_request", F.lit(None).cast(asked.schema["_request"].dataType)).unionByName(asked)
+    ordered = in_order(both, ["entity"], ["_at", "_asks", "_order"])
+    rows = carried(ordered, ["entity"], F.col("_revision")).filter("_asks = 1")
+    return rows.select("_request.request", "entity", "_request.known_at", "_carried.*")
+
+
 def bitemporal_matrix(projection: Projection, clocks: DataFrame) -> DataFrame:
     """Active facts for many clocks (name, valid_at, known_at: a handful of rows, broadcast) at once."""
     small = F.broadcast(clocks)

@@ -16,13 +16,18 @@ from palimpsest import schema
 from palimpsest.errors import MemoryError_
 from palimpsest.functions.text import crc32c, fact_tokens, normalized, stable_hash
 from palimpsest.functions.text import node_tokens as node_tokens_of
-from palimpsest.operators import analytics, context, evaluation, graph, linking, replay, retrieval
-from palimpsest.operators.view import Clock, Projection, bitemporal_matrix
+from palimpsest.operators import analytics, context, evaluation, graph, linking, replay, retrieval, table_functions
+from palimpsest.operators.lexical_index import IndexedProvider, LexicalIndex
+from palimpsest.operators.table_functions import ExtractionRules
+from palimpsest.operators.view import Clock, Projection, bitemporal_matrix, visible_as_of
 from palimpsest.plans import memory_sql as sql
 from palimpsest.sources import codec, derived, event_log
+from palimpsest.sources.clustered import ClusteredProjection
 from palimpsest.sources.derived import T96, T97, T98, table
 from palimpsest.sources.snapshot import SnapshotStore
 from palimpsest.sources.storage import materialize, shared_dir, ship, with_positions
+from palimpsest.streaming import folds, log_source
+from palimpsest.streaming.projection_store import ProjectionStore
 from palimpsest.streaming.subscription import CatchUpSubscription, IncrementalProjection, for_each_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,11 +59,12 @@ def oracle_sql() -> dict[str, str]:
 
 
 def memory(spark: SparkSession, sf_dir: str) -> Projection:
-    """The derived projection, straight from its tables (positions by time and revision)."""
-    facts = derived.facts(spark, sf_dir).withColumn("position", F.lit(0).cast("long"))
+    """The derived projection, straight from its tables (positions by time and revision). The facts, which all its
+    tables but the nodes are made from, are written once."""
+    facts = materialize(derived.facts(spark, sf_dir).withColumn("position", F.lit(0).cast("long")), "memory-facts")
     revision = F.when(F.col("label").endswith(" v2"), 1).otherwise(0).cast("long")
     nodes = derived.node_events(spark, sf_dir).withColumn("position", revision)
-    gone = derived.retraction_events(spark, sf_dir).withColumnRenamed("ord", "position")
+    gone = derived.retractions_of(facts).withColumnRenamed("ord", "position")
     return Projection(nodes, facts, replay.supersessions_of(facts), replay.last_retractions(gone), None)
 
 
@@ -95,6 +101,13 @@ def memory_view_facts_past(spark, sf_dir):
     return _fact_columns(memory(spark, sf_dir).view(T96, T96).facts)
 
 
+@register(f"{sql.view(T96, T96)} SELECT {FACT_COLUMNS} FROM view_facts")
+def clustered_view_facts_past(spark, sf_dir):
+    """An early clock on the projection as it is laid out for clocks: of its cells few are read."""
+    laid_out = ClusteredProjection.write(memory(spark, sf_dir), store_path(spark, "clustered"))
+    return _fact_columns(laid_out.view(T96, T96).facts)
+
+
 @register(f"{sql.view(T98, T98)} SELECT id, kind, label, repository, branch, recorded_at FROM nodes")
 def memory_view_nodes(spark, sf_dir):
     return memory(spark, sf_dir).view(T98, T98).nodes.select("id", "kind", "label", "repository", "branch", "recorded_at")
@@ -105,6 +118,20 @@ def node_asof(spark, sf_dir):
     return memory(spark, sf_dir).visible_nodes(T96).select("id", "label", "recorded_at")
 
 
+@register(
+    f"""{sql.BASE}, ranked AS (
+  SELECT o_orderkey AS request, 'customer:' || o_custkey AS entity, epoch_us(o_orderdate) AS known_at, label, recorded_at,
+         row_number() OVER (PARTITION BY o_orderkey ORDER BY recorded_at DESC, rev DESC) AS n
+  FROM orders LEFT JOIN revisions ON id = 'customer:' || o_custkey AND recorded_at <= epoch_us(o_orderdate)
+) SELECT request, entity, known_at, label, recorded_at FROM ranked WHERE n = 1"""
+)
+def customer_as_of_order(spark, sf_dir):
+    """Each order's customer as it was known on the day of the order: as many clocks as there are days."""
+    o = table(spark, sf_dir, "orders")
+    asked = o.select(F.col("o_orderkey").cast("long").alias("request"), F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("entity"), derived.micros(F.col("o_orderdate")).alias("known_at"))
+    return visible_as_of(memory(spark, sf_dir).node_revisions, asked).select("request", "entity", "known_at", "label", "recorded_at")
+
+
 _CLOCKS = {"now": (T98, T98), "past": (T96, T96), "hindsight": (T96, T98), "forecast": (T98, T96)}
 
 
@@ -423,6 +450,91 @@ def incremental_view_facts(spark, sf_dir):
     return _fact_columns(done.projection.view(T98, T98).facts)
 
 
+_EIGHTH = "(SELECT (count(*) + 7) // 8 FROM events)"
+
+
+@register(f"{_STORE} SELECT global_position // {_EIGHTH} AS batch, min(global_position) AS first_position, max(global_position) AS last_position, count(*) AS n, count(DISTINCT id) AS ids FROM log GROUP BY 1")
+def stream_log_batches(spark, sf_dir):
+    """The log as a data source, an eighth of its events a micro-batch, by a query that is stopped on the way and
+    started again: what each micro-batch brought."""
+    log_source.register(spark)
+    log, target, checkpoint = event_store(spark, sf_dir)[0], store_path(spark, "micro-batches"), store_path(spark, "stream-checkpoint")
+    events = spark.readStream.format(log_source.FORMAT).option("path", log.path).option("max_events", -(-log.count() // 8)).load().select("id", "global_position")
+
+    def keep(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    def begun():
+        return events.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).start()
+
+    query = begun()
+    while query.isActive and (query.lastProgress is None or query.lastProgress["batchId"] < 2):
+        query.awaitTermination(0.2)
+    query.stop()
+    query = begun()
+    query.processAllAvailable()
+    query.stop()
+    rows = spark.read.schema("id string, global_position bigint, batch bigint").parquet(target)
+    ends = [F.min("global_position").alias("first_position"), F.max("global_position").alias("last_position")]
+    return rows.groupBy("batch").agg(*ends, F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"))
+
+
+@register(f"{_STORE} SELECT id, stream_id, stream_version, global_position FROM log WHERE global_position > 100 AND global_position <= (SELECT count(*) FROM log) // 2")
+def log_source_range(spark, sf_dir):
+    """A range of positions through the data source as a table."""
+    log_source.register(spark)
+    log = event_store(spark, sf_dir)[0]
+    rows = spark.read.format(log_source.FORMAT).option("path", log.path).option("after", 100).option("upto", log.count() // 2).load()
+    return rows.select("id", "stream_id", "stream_version", "global_position")
+
+
+HOUR = 3_600_000_000
+
+
+@register(
+    f"""{_STORE}, g AS (SELECT *, recorded_at - lag(recorded_at) OVER w AS gap FROM log WINDOW w AS (PARTITION BY stream_id ORDER BY stream_version)),
+r AS (SELECT *, count(*) FILTER (gap IS NULL OR gap > {HOUR}) OVER (PARTITION BY stream_id ORDER BY stream_version) AS run FROM g),
+runs AS (SELECT stream_id, run, count(*) AS events FROM r GROUP BY ALL)
+SELECT stream_id, max(stream_version) AS stream_version, max(global_position) AS global_position, count(*) AS n, greatest(coalesce(max(gap), 0), 0) AS longest_gap,
+       (SELECT max(events) FROM runs WHERE runs.stream_id = r.stream_id) AS longest_run FROM r GROUP BY stream_id"""
+)
+def stream_bursts(spark, sf_dir):
+    """A projection that isn't the memory, folded by a query that is stopped on the way and resumed."""
+    log, target, checkpoint = event_store(spark, sf_dir)[0], store_path(spark, "bursts"), store_path(spark, "stream-checkpoint")
+    fold, size = folds.Bursts(HOUR), -(-log.count() // 4)
+    query = folds.project(spark, fold, log.path, target, checkpoint, size)
+    while query.isActive and (query.lastProgress is None or query.lastProgress["batchId"] < 1):
+        query.awaitTermination(0.2)
+    query.stop()
+    query = folds.project(spark, fold, log.path, target, checkpoint, size)
+    query.processAllAvailable()
+    query.stop()
+    return folds.current(spark, fold, target)
+
+
+def memory_store(spark: SparkSession, sf_dir: str) -> event_log.EventLog:
+    """The derived log in an event log, a stream after the other."""
+    rows = materialize(derived.memory_events(spark, sf_dir), "memory-events")
+    log = event_log.EventLog.open(spark, store_path(spark, "memory-log"))
+    columns = [f.name for f in spark.createDataFrame([], schema.EVENT).schema]
+    # One row for each stream.
+    streams = [r[0] for r in rows.select("stream_id", "phase").distinct().orderBy("phase", "stream_id").collect()]
+    for stream in streams:
+        log.append(stream, event_log.ExpectedVersion.NO_STREAM, rows.filter(F.col("stream_id") == stream).select(*columns))
+    return log
+
+
+@register(f"{sql.view(T98, T98)} SELECT {FACT_COLUMNS} FROM view_facts")
+def streamed_view_facts(spark, sf_dir):
+    """The projection as ten micro-batches of a stream leave it in its buckets."""
+    log = memory_store(spark, sf_dir)
+    store = ProjectionStore(spark, store_path(spark, "projection"))
+    query = store.follow(log.path, store_path(spark, "stream-checkpoint"), -(-log.count() // 10))
+    query.processAllAvailable()
+    query.stop()
+    return _fact_columns(store.view(T98, T98).facts)
+
+
 @register(f"SELECT c_custkey, {sql.crc32c('encode(c_name)')} AS crc FROM customer")
 def checksums(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", crc32c(F.col("c_name").cast("binary")).alias("crc"))
@@ -540,8 +652,7 @@ def orphans(spark, sf_dir):
 
 def _kept_view(spark, sf_dir):
     """The view of now, written once: traversals read it again for each hop."""
-    view = memory(spark, sf_dir).view(T98, T98)
-    return type(view)(materialize(view.nodes, "view-nodes"), materialize(view.facts, "view-facts"))
+    return memory(spark, sf_dir).view(T98, T98).kept()
 
 
 @register(
@@ -864,6 +975,56 @@ def literal_hits(spark, sf_dir):
     return hits.select("entity", "channel", "score")
 
 
+_WORDS = "list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+'), lambda t: strlen(t) > 1)"
+
+
+@register(
+    f"""WITH d AS (SELECT 'd' || doc_id AS entity, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents), z AS (SELECT count(*) AS docs, avg(len(ws)) AS mean FROM d),
+q AS (SELECT unnest({_TOKENS.format(_ASKED)}) AS term), t AS (SELECT entity, len(ws) AS n, unnest(ws) AS term FROM d),
+c AS (SELECT entity, n, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM c GROUP BY term),
+s AS (SELECT entity, round(sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean))) * 1000000)::BIGINT AS score FROM c JOIN f USING (term), z GROUP BY entity)
+SELECT entity, 'lexical' AS channel, score FROM s ORDER BY score DESC, entity LIMIT 10"""
+)
+def lexical_hits(spark, sf_dir):
+    """The best documents for the first benchmark item's first words, by a stored index of which only the query's
+    terms are read."""
+    texts = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("entity"), "text")
+    index = LexicalIndex.build(texts, store_path(spark, "lexical-index"))
+    return retrieval.collect_hits([IndexedProvider(index)], first_words(spark, sf_dir)).select("entity", "channel", "score")
+
+
+PLACES = ExtractionRules(mentions=(("person", r"Customer#\d+"), ("place", r"(?<= lives in )[^,]+")), relations=(("lives_in", r"(Customer#\d+) lives in ([^,]+)"),), confidence=9000)
+_LIVES = "SELECT c_custkey, c_name, n_name, c_name || ' lives in ' || n_name || ', says ' || c_name AS content FROM customer JOIN nation ON c_nationkey = n_nationkey"
+
+
+def _lives(spark: SparkSession, sf_dir: str) -> None:
+    """The view extraction_inputs (input_id, content) and the table functions of PLACES."""
+    table_functions.register(spark, PLACES)
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows.selectExpr("concat('doc:', c_custkey) AS input_id", "concat(c_name, ' lives in ', n_name, ', says ', c_name) AS content").createOrReplaceTempView("extraction_inputs")
+
+
+@register(
+    f"""WITH t AS ({_LIVES}) SELECT 'doc:' || c_custkey AS input_id, 'm0' AS local_id, 'person' AS kind, c_name AS label, 0::BIGINT AS low, strlen(c_name)::BIGINT AS high FROM t
+UNION ALL SELECT 'doc:' || c_custkey, 'm1', 'place', n_name, strlen(c_name) + 10, strlen(c_name) + 10 + strlen(n_name) FROM t"""
+)
+def sql_extracted_mentions(spark, sf_dir):
+    """Extraction written in Spark SQL, by a table function over a view."""
+    _lives(spark, sf_dir)
+    return spark.sql("SELECT input_id, local_id, kind, label, span.start AS low, span.end AS high FROM extract_mentions(TABLE(extraction_inputs) PARTITION BY input_id)")
+
+
+@register(f"WITH t AS ({_LIVES}) SELECT n_name AS place, count(*) AS people, min(c_name) AS first FROM t GROUP BY n_name")
+def sql_extracted_relations(spark, sf_dir):
+    _lives(spark, sf_dir)
+    return spark.sql(
+        """SELECT p.label AS place, count(*) AS people, min(s.label) AS first FROM extract_relations(TABLE(extraction_inputs) PARTITION BY input_id) r
+        JOIN extract_mentions(TABLE(extraction_inputs) PARTITION BY input_id) p ON p.input_id = r.input_id AND p.local_id = r.target
+        JOIN extract_mentions(TABLE(extraction_inputs) PARTITION BY input_id) s ON s.input_id = r.input_id AND s.local_id = r.source
+        WHERE r.relation = 'lives_in' GROUP BY p.label"""
+    )
+
+
 _DOT = "list_dot_product({}::DOUBLE[], {}::DOUBLE[])"
 
 

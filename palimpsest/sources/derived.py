@@ -123,7 +123,12 @@ def node_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retraction_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fact_id, valid_until, recorded_at, ord; of two for a fact the second overwrites the first."""
-    f = order_facts(spark, sf_dir).select("id", "valid_from", "recorded_at").withColumn("k", F.substring("id", 8, 20).cast("long"))
+    return retractions_of(order_facts(spark, sf_dir))
+
+
+def retractions_of(facts: DataFrame) -> DataFrame:
+    """The retraction events of the facts of orders."""
+    f = facts.filter("id LIKE 'fact:o:%'").select("id", "valid_from", "recorded_at").withColumn("k", F.substring("id", 8, 20).cast("long"))
     one = f.filter("k % 11 = 0").select(F.col("id").alias("fact_id"), (F.col("valid_from") + 30 * DAY).alias("valid_until"), (F.col("recorded_at") + 60 * DAY).alias("recorded_at"), F.lit(0).alias("ord"))
     two = f.filter("k % 22 = 0").select(F.col("id").alias("fact_id"), (F.col("valid_from") + 90 * DAY).alias("valid_until"), (F.col("recorded_at") + 120 * DAY).alias("recorded_at"), F.lit(1).alias("ord"))
     return one.unionByName(two)

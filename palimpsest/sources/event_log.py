@@ -154,14 +154,23 @@ class EventLog:
         return self._batches([m for m in self._manifests() if first <= m["number"] <= last])
 
     def load_stream(self, stream: str, after: int | None = None) -> DataFrame:
-        """Events of one stream behind version `after`, in version order."""
-        rows = self.events().filter(F.col("stream_id") == stream)
+        """Events of one stream behind version `after`, in version order. Manifests name the batches that hold them."""
+        own = [m for m in self._manifests() if m["stream"] == stream and (after is None or m["last_stream_version"] > after)]
+        rows = self._batches(own)
         return (rows if after is None else rows.filter(F.col("stream_version") > after)).orderBy("stream_version")
 
     def load_all(self, after: int | None = None, limit: int | None = None) -> DataFrame:
-        rows = self.events()
-        rows = (rows if after is None else rows.filter(F.col("global_position") > after)).orderBy("global_position")
-        return rows if limit is None else rows.limit(limit)
+        """Events behind position `after`, at most limit, in order. Positions have no gaps, so a limit is a range of
+        them: it is filtered and not counted, and only batches that reach into it are read."""
+        first = 0 if after is None else after + 1
+        last = None if limit is None else first + limit - 1
+        near = [m for m in self._manifests() if m["last_global_position"] >= first and (last is None or m["last_global_position"] - m["rows"] < last)]
+        rows = self._batches(near).filter(F.col("global_position") >= first)
+        return (rows if last is None else rows.filter(F.col("global_position") <= last)).orderBy("global_position")
+
+    def last_position(self) -> int | None:
+        manifests = self._manifests()
+        return manifests[-1]["last_global_position"] if manifests else None
 
     def stream_version(self, stream: str) -> int | None:
         versions = [m["last_stream_version"] for m in self._manifests() if m["stream"] == stream and m["rows"]]

@@ -30,9 +30,11 @@ class CatchUpSubscription:
             raise InvalidValue("subscription.batch_size must be positive")
 
     def poll(self, log: EventLog) -> DataFrame:
-        rows = log.load_all(self.checkpoint, self.batch_size)
-        self.delivered = rows.agg(F.max("global_position")).first()[0]
-        return rows
+        """The next batch_size events at most, a lazy table; where they end is known from the log's manifests."""
+        first = 0 if self.checkpoint is None else self.checkpoint + 1
+        last = log.last_position()
+        self.delivered = None if last is None or last < first else min(last, first + self.batch_size - 1)
+        return log.load_all(self.checkpoint, self.batch_size)
 
     def acknowledge(self, position: int) -> None:
         if self.delivered is None:
