@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import materialize, pick
 
 #: Words of one language that one suffix array holds, about.
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 250_000
 #: Keys of a block in the first pass, about (9 to 12 bytes each, some copies of them in a task).
-BLOCK_KEYS = 2_000_000
+BLOCK_KEYS = 1_000_000
 MAX_FILTER_BITS = 27
 #: The phrases of a language that the report has.
 TOP = 2_000
@@ -140,9 +140,9 @@ def _texts(docs: DataFrame) -> DataFrame:
     return pick(docs, "text", "lang").select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
 
 
-def frequent_filter(docs: DataFrame, longest: int, min_count: int) -> tuple[int, np.ndarray, DataFrame]:
-    """(bits, filter, totals): a bit for each value of the first `bits` bits of a phrase key, set where a key
-    reaches min_count; and (lang, n), the words of each language."""
+def frequent_filter(docs: DataFrame, longest: int, min_count: int) -> tuple[int, np.ndarray]:
+    """(bits, filter): a bit for each value of the first `bits` bits of a phrase key, set where a key reaches
+    min_count."""
     texts = _texts(docs)
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     # Words have some six characters; each place begins a phrase of each length.
@@ -152,11 +152,10 @@ def frequent_filter(docs: DataFrame, longest: int, min_count: int) -> tuple[int,
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lang, words in _shards(batches, longest):
-            parts, sizes, n = [], [], 0
+            parts, sizes = [], []
             for k, starts, counts, ids, vocabulary in intervals(words, longest):
                 if k == 1:
                     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, vocabulary), np.uint64, len(vocabulary))
-                    n = int(counts.sum())
                 parts.append(phrase_keys(starts, k, ids, hashes, lang))
                 sizes.append(counts)
             key, count = np.concatenate(parts), np.minimum(np.concatenate(sizes), min_count).astype(np.uint16)
@@ -165,8 +164,8 @@ def frequent_filter(docs: DataFrame, longest: int, min_count: int) -> tuple[int,
             block = (key >> np.uint64(32) >> np.uint64(32 - block_bits)).astype(np.int64)
             at = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, np.int64)
             runs = zip(at.tolist(), [*at[1:].tolist(), len(block)], strict=True) if len(at) else ()
-            rows = [(lang, 0, int(block[a]), key[a:b].tobytes(), count[a:b].tobytes()) for a, b in runs]
-            yield pd.DataFrame([*rows, (lang, n, -1, b"", b"")], columns=["lang", "n", "block", "keys", "counts"])
+            rows = [(int(block[a]), key[a:b].tobytes(), count[a:b].tobytes()) for a, b in runs]
+            yield pd.DataFrame(rows, columns=["block", "keys", "counts"])
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
         key = np.concatenate([np.frombuffer(x, np.uint64) for x in frame["keys"]])
@@ -180,21 +179,20 @@ def frequent_filter(docs: DataFrame, longest: int, min_count: int) -> tuple[int,
         own[((good >> np.uint64(64 - bits)) & np.uint64((1 << (bits - block_bits)) - 1)).astype(np.int64)] = True
         return pd.DataFrame({"block": [block], "bits": [np.packbits(own).tobytes()]})
 
-    packed = materialize(texts.select("lang", "text").mapInPandas(local, "lang string, n bigint, block bigint, keys binary, counts binary"), "phrase-keys")
-    totals = packed.filter("block = -1").groupBy("lang").agg(F.sum("n").alias("n"))
-    found = packed.filter("block >= 0").select("block", "keys", "counts").groupBy("block").applyInPandas(merge, "block bigint, bits binary")
+    packed = texts.select("lang", "text").mapInPandas(local, "block bigint, keys binary, counts binary")
+    found = packed.groupBy("block").applyInPandas(merge, "block bigint, bits binary")
     whole = np.zeros(1 << (bits - 3), np.uint8)
     width = 1 << (bits - block_bits - 3)
     # The blocks' bits: 2**MAX_FILTER_BITS in all, at most.
-    for block, own in found.toLocalIterator():
+    for block, own in found.collect():
         whole[block * width : (block + 1) * width] = np.frombuffer(own, np.uint8)
-    return bits, whole, totals
+    return bits, whole
 
 
 def phrase_counts(docs: DataFrame, longest: int, min_count: int) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, f) of each phrase of 1 to longest words that occurs min_count times or more, and
     (lang, n)."""
-    bits, whole, totals = frequent_filter(docs, longest, min_count)
+    bits, whole = frequent_filter(docs, longest, min_count)
     known = docs.sparkSession.sparkContext.broadcast(whole)
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,6 +200,8 @@ def phrase_counts(docs: DataFrame, longest: int, min_count: int) -> tuple[DataFr
             for k, starts, counts, ids, vocabulary in intervals(words, longest):
                 if k == 1:
                     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, vocabulary), np.uint64, len(vocabulary))
+                    # All words of the shard, as a phrase of none.
+                    yield pd.DataFrame({"lang": [lang], "phrase": [""], "size": [0], "f": [int(counts.sum())]})
                 place = phrase_keys(starts, k, ids, hashes, lang) >> np.uint64(64 - bits)
                 good = (known.value[(place >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (place & np.uint64(7)).astype(np.uint8))) & 1 > 0
                 starts, counts = starts[good], counts[good]
@@ -211,8 +211,9 @@ def phrase_counts(docs: DataFrame, longest: int, min_count: int) -> tuple[DataFr
                     yield pd.DataFrame({"lang": lang, "phrase": phrases, "size": k, "f": counts[a : a + 50_000]})
 
     found = _texts(docs).select("lang", "text").mapInPandas(local, "lang string, phrase string, size int, f bigint")
-    merged = found.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).filter(F.col("f") >= min_count)
-    return materialize(merged, "phrases"), materialize(totals, "phrase-totals")
+    merged = found.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).filter((F.col("f") >= min_count) | (F.col("size") == 0))
+    merged = materialize(merged, "phrases")
+    return merged.filter("size > 0"), merged.filter("size = 0").select("lang", F.col("f").alias("n"))
 
 
 def _part(low: Column, high: Column) -> Column:
