@@ -526,10 +526,11 @@ def memory_store(spark: SparkSession, sf_dir: str) -> event_log.EventLog:
 
 @register(f"{sql.view(T98, T98)} SELECT {FACT_COLUMNS} FROM view_facts")
 def streamed_view_facts(spark, sf_dir):
-    """The projection as ten micro-batches of a stream leave it in its buckets."""
+    """The projection as ten micro-batches of a stream leave it in its buckets. (The log is sound; what the checks of
+    a batch find is the matter of replay_violations and of the tests.)"""
     log = memory_store(spark, sf_dir)
     store = ProjectionStore(spark, store_path(spark, "projection"))
-    query = store.follow(log.path, store_path(spark, "stream-checkpoint"), -(-log.count() // 10))
+    query = store.follow(log.path, store_path(spark, "stream-checkpoint"), -(-log.count() // 10), strict=False)
     query.processAllAvailable()
     query.stop()
     return _fact_columns(store.view(T98, T98).facts)
