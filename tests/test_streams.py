@@ -102,16 +102,16 @@ def test_store_equals_replay(spark, tmp_path):
     store = ProjectionStore(spark, f"file://{tmp_path}/state", buckets=4)
     assert store.position() is None and store.projection().facts.isEmpty()
     for low, high in ((0, 6), (6, 9), (9, 12)):
-        assert store.apply(rows.filter(f"global_position >= {low} AND global_position < {high}")) == high - 1
-        whole = replay.replay(rows.filter(f"global_position < {high}"), strict=False).projection
-        assert store.projection().equals(whole)
+        assert store.apply(rows.filter(f"global_position >= {low} AND global_position < {high}"), strict=high == 9) == high - 1
+    whole = replay.replay(rows, strict=False).projection
+    assert store.projection().equals(whole)
     for clock in ((0, 5), (30, 9), (100, 100)):
         ours, theirs = store.view(*clock), whole.view(*clock)
         assert sorted(r["id"] for r in ours.facts.collect()) == sorted(r["id"] for r in theirs.facts.collect())
         assert sorted((r["id"], r["label"]) for r in ours.nodes.collect()) == sorted((r["id"], r["label"]) for r in theirs.nodes.collect())
     # A batch that comes again, alone or with newer events, changes nothing more.
     assert store.apply(rows.filter("global_position > 3")) == 11
-    assert store.projection().equals(replay.replay(rows, strict=False).projection)
+    assert store.projection().equals(whole)
     assert {r["stream_id"]: r["stream_version"] for r in store.table("streams").collect() if r["position"] == 11} == {"s": 11}
 
 
@@ -173,7 +173,7 @@ def test_store_follows_a_stream(spark, tmp_path):
     log = stored(spark, tmp_path)
     store = ProjectionStore(spark, f"file://{tmp_path}/state", buckets=4)
     for _ in range(2):
-        query = store.follow(log.path, f"file://{tmp_path}/check", 4)
+        query = store.follow(log.path, f"file://{tmp_path}/check", 4, strict=False)
         query.processAllAvailable()
         query.stop()
     assert store.position() == 11 and store.projection().equals(replay.replay(log.events(), strict=False).projection)
