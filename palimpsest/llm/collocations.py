@@ -42,6 +42,8 @@ BLOCK_KEYS = 1_000_000
 MAX_FILTER_BITS = 27
 #: The phrases of a language that the report has.
 TOP = 2_000
+#: Shares of a language that are ranked on their own first.
+SHARES = 16
 
 _TABLE = bytearray(range(256))
 for _c in range(ord("A"), ord("Z") + 1):
@@ -250,7 +252,10 @@ def mine(docs: DataFrame, longest: int = 3, min_count: int = 10, top: int = TOP)
     """lang, rank, phrase, a, l, r, n, score: each language's `top` phrases of 2 to `longest` words."""
     phrases, totals = phrase_counts(docs, longest, min_count)
     candidates = materialize(scored(phrases), "collocations")
-    # Ranks need no whole language in a task: Spark keeps the first `top` of each task before the shuffle.
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = without_contained(candidates).select("lang", "phrase", "a", "l", "r", "score").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    kept = without_contained(candidates).select("lang", "phrase", "a", "l", "r", "score")
+    # A language is ranked in shares first, so the last window holds `top` phrases of each share at most.
+    best_first = [F.desc("score"), F.desc("a"), "phrase"]
+    share = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SHARES))).orderBy(*best_first)
+    kept = kept.withColumn("rank", F.row_number().over(share)).filter(F.col("rank") <= top)
+    best = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best_first))).filter(F.col("rank") <= top)
     return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
