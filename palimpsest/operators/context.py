@@ -1,7 +1,7 @@
 """Context compilation: the neighbourhood of seeds, ranked and packed into a token budget.
 
-Requests are batched: a request id travels through the traversal, so many requests share each hop,
-and the sequential packing runs once a request, spread over the cluster.
+Requests are batched: a request id travels through the traversal, so many requests share each hop
+and each round of packing.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.errors import BudgetTooSmall, InvalidValue, MissingEntity
@@ -88,50 +88,93 @@ def neighbourhood(view: View, seeds: DataFrame, request: ContextRequest) -> Neig
     return Neighbourhood(reach, candidates, excluded)
 
 
-PICKED = "request bigint, kind string, id string"
+CHUNK = 1000  # facts of a request that are packed at once; Spark cuts ranks up to this number before it shuffles
+SHARES = 64
+TRIED = "request bigint, kind string, id string, tokens bigint"
 
 
 def pack(candidates: DataFrame, tokens: DataFrame, seeds: DataFrame, budgets: DataFrame, bytes_per_token: int = 4) -> DataFrame:
     """Greedy packing for each request, rows (request, kind, id): kind `node` and `fact` for what is
-    taken, `omitted` for each fact that did not fit, and `used` with the tokens as id.
+    taken, `omitted` for each fact that did not fit, and `used` with the tokens as id; `required` alone,
+    with their tokens, where the seeds don't fit.
 
     Facts come in the order (distance, confidence down, recorded_at down, id). A fact costs its own
     tokens and those of its ends not yet taken (a self-loop on a new node pays the node twice); one
-    that does not fit is passed over and the next is tried. This is a chain, so a request is one
-    task's work; its candidates are the bound on what that task holds."""
-    ship(candidates.sparkSession)
-    ends = candidates.select("request", F.col("source").alias("id")).union(candidates.select("request", "target")).union(seeds.select("request", F.col("entity").alias("id"))).distinct()
-    costs = ends.join(tokens, "id").select(
-        "request", F.lit("node").alias("kind"), "id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("target"), F.lit(0).alias("distance"),
-        F.lit(0).alias("confidence"), F.lit(0).cast("long").alias("recorded_at"), "tokens",
-    )
-    facts = candidates.withColumn("tokens", fact_tokens(bytes_per_token)).select("request", F.lit("fact").alias("kind"), "id", "source", "target", "distance", "confidence", "recorded_at", "tokens")
-    start = seeds.select(
-        "request", F.lit("seed").alias("kind"), F.col("entity").alias("id"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("target"), F.lit(0).alias("distance"),
-        F.lit(0).alias("confidence"), F.lit(0).cast("long").alias("recorded_at"), F.lit(0).cast("long").alias("tokens"),
-    ).distinct()
-    rows = costs.unionByName(facts).unionByName(start).join(F.broadcast(budgets), "request")
-
-    def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        request, budget = int(frame.request.iloc[0]), int(frame.budget.iloc[0])
-        cost = dict(zip(*(frame.loc[frame.kind == "node", c] for c in ("id", "tokens")), strict=True))
-        taken = set(frame.loc[frame.kind == "seed", "id"])
-        used, out = sum(int(cost[i]) for i in taken), []
-        if used > budget:
-            return pd.DataFrame([(request, "required", str(used))], columns=["request", "kind", "id"])
-        order = frame[frame.kind == "fact"].sort_values(["distance", "confidence", "recorded_at", "id"], ascending=[True, False, False, True])
-        for id_, source, target, tokens_ in zip(order.id, order.source, order.target, order.tokens, strict=True):
-            price = int(tokens_) + sum(int(cost[end]) for end in (source, target) if end not in taken)
-            if used + price > budget:
-                out.append((request, "omitted", id_))
-                continue
-            used += price
-            taken.update((source, target))
-            out.append((request, "fact", id_))
-        out += [(request, "node", i) for i in sorted(taken)] + [(request, "used", str(used))]
-        return pd.DataFrame(out, columns=["request", "kind", "id"])
-
-    return rows.groupBy("request").applyInPandas(choose, PICKED)
+    that does not fit is passed over and the next is tried. An end without a cost never fits.
+
+    The chain is followed in rounds. What a fact costs now, it and the facts that pay for its ends will
+    cost in any case; if that is beyond what is left, it is omitted. Of the others the first CHUNK
+    are packed by one task, and what they leave decides on the rest. The first of a chunk fits (but
+    for self-loops, which a chunk passes over), so rounds end with the budget; one or two is usual."""
+    spark = candidates.sparkSession
+    ship(spark)
+    facts = materialize(candidates.withColumn("tokens", fact_tokens(bytes_per_token)).select("request", "id", "source", "target", "distance", "confidence", "recorded_at", "tokens"), "candidates")
+    start = seeds.select("request", F.col("entity").alias("id")).distinct()
+    spent = start.join(tokens, "id").groupBy("request").agg(F.sum("tokens").alias("spent"))
+    state = materialize(budgets.join(spent, "request").select("request", "spent", (F.col("budget") - F.col("spent")).alias("left")), "budgets")
+    open_ = state.filter("left >= 0")
+
+    live = facts
+    for end in ("source", "target"):
+        live = live.join(tokens.select(F.col("id").alias(end), F.col("tokens").alias(f"{end}_cost")), end)
+    left, taken, rounds = open_.select("request", "left"), start, []
+    while True:
+        live = materialize(_affordable(live, taken, left), "affordable")
+        if live.isEmpty():
+            break
+        tried = materialize(_first(live).groupBy("request").applyInPandas(_try_in_order, TRIED), "tried")
+        rounds.append(tried)
+        left = tried.filter("kind = 'left'").select("request", F.col("tokens").alias("left"))
+        taken = tried.filter("kind = 'node'").select("request", "id")
+        live = live.drop("left").join(tried.filter("kind IN ('fact', 'passed')").select("request", "id"), ["request", "id"], "left_anti")
+
+    tried = spark.createDataFrame([], TRIED)
+    for rows in rounds:
+        tried = tried.unionByName(rows)
+    chosen = tried.filter("kind = 'fact'").select("request", "kind", "id", "tokens")
+    omitted = facts.join(open_, "request", "left_semi").join(chosen, ["request", "id"], "left_anti").select("request", F.lit("omitted").alias("kind"), "id")
+    nodes = start.join(open_, "request", "left_semi").union(tried.filter("kind = 'node'").select("request", "id")).select("request", F.lit("node").alias("kind"), "id")
+    paid = open_.select("request", F.col("spent").alias("tokens")).union(chosen.select("request", "tokens")).groupBy("request").agg(F.sum("tokens").alias("tokens"))
+    used = paid.select("request", F.lit("used").alias("kind"), F.col("tokens").cast("string").alias("id"))
+    required = state.filter("left < 0").select("request", F.lit("required").alias("kind"), F.col("spent").cast("string").alias("id"))
+    return chosen.drop("tokens").union(omitted).union(nodes).union(used).union(required)
+
+
+def _affordable(live: DataFrame, taken: DataFrame, left: DataFrame) -> DataFrame:
+    """Facts that may still fit; ends just taken are free."""
+    for end in ("source", "target"):
+        free = taken.select("request", F.col("id").alias(end), F.lit(True).alias("free"))
+        live = live.join(free, ["request", end], "left").withColumn(f"{end}_cost", F.when(F.col("free"), F.lit(0)).otherwise(F.col(f"{end}_cost"))).drop("free")
+    # A self-loop's node may be paid once by another fact.
+    least = F.col("tokens") + F.col("source_cost") + F.when(F.col("source") == F.col("target"), F.lit(0)).otherwise(F.col("target_cost"))
+    return live.join(left, "request").filter(least <= F.col("left"))
+
+
+def _first(live: DataFrame) -> DataFrame:
+    """The first CHUNK facts of each request. They are ranked in shares first, so that the last window
+    of a request holds SHARES * CHUNK rows at most."""
+    order = ["distance", F.desc("confidence"), F.desc("recorded_at"), "id"]
+    rows = live.withColumn("share", F.pmod(F.xxhash64("id"), F.lit(SHARES)))
+    for keys in (["request", "share"], ["request"]):
+        rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("place") <= CHUNK)
+    return rows.drop("share")
+
+
+def _try_in_order(chunk: pd.DataFrame) -> pd.DataFrame:
+    """Rows (request, kind, id, tokens): `fact` with what it cost, `passed`, `node` newly taken, and `left`."""
+    request, left = int(chunk.request.iloc[0]), int(chunk.left.iloc[0])
+    taken, out = set(), []
+    for row in chunk.sort_values("place").itertuples(index=False):
+        ends = ((row.source, row.source_cost), (row.target, row.target_cost))
+        price = int(row.tokens + sum(cost for end, cost in ends if end not in taken))
+        if price > left:
+            out.append((request, "passed", row.id, 0))
+            continue
+        left -= price
+        out += [(request, "node", end, 0) for end in dict.fromkeys(end for end, cost in ends if cost and end not in taken)]
+        taken.update((row.source, row.target))
+        out.append((request, "fact", row.id, price))
+    return pd.DataFrame([*out, (request, "left", "", left)], columns=["request", "kind", "id", "tokens"])
 
 
 def compile_many(projection: Projection, requests: list[ContextRequest], bytes_per_token: int = 4) -> tuple[View, Neighbourhood, DataFrame]:

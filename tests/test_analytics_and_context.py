@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from builders import Log, ids
 from pyspark.sql import functions as F
@@ -93,6 +95,59 @@ def test_budgets_and_scope(spark):
     assert small.receipt.first()["omitted_by_budget"] == 2 and ids(small.nodes) == ["t"]
 
 
+def greedy(facts, costs, seeds, budget):
+    taken, used = set(seeds), sum(costs[s] for s in seeds)
+    if used > budget:
+        return {("required", str(used))}
+    out = set()
+    for id_, source, target, _, _, _, tokens in sorted(facts, key=lambda f: (f[3], -f[4], -f[5], f[0])):
+        price = tokens + sum(costs[e] for e in (source, target) if e not in taken)
+        out.add(("fact" if used + price <= budget else "omitted", id_))
+        if used + price <= budget:
+            used += price
+            taken |= {source, target}
+    return out | {("node", e) for e in taken} | {("used", str(used))}
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 1000])
+def test_packing_in_rounds_equals_the_chain(spark, monkeypatch, chunk):
+    """A hub that all facts touch, self-loops, facts too dear at once or later, many requests."""
+    monkeypatch.setattr(context, "CHUNK", chunk)
+    monkeypatch.setattr(context, "SHARES", 2)
+    monkeypatch.setattr(context, "fact_tokens", lambda n: F.col("tokens"))
+    pick = random.Random(7)
+    costs = {f"n{i}": pick.choice((1, 2, 5, 9, 40)) for i in range(30)}
+    facts, seeds, budgets = {}, {}, {}
+    for request, budget in enumerate((0, 12, 25, 60, 200)):
+        ends = [("n0", f"n{pick.randrange(30)}") if i % 3 else (f"n{pick.randrange(30)}",) * 2 for i in range(40)]
+        facts[request] = [(f"f{i}", s, t, pick.randrange(3), pick.randrange(2), pick.randrange(3), pick.choice((1, 3, 4, 30))) for i, (s, t) in enumerate(ends)]
+        seeds[request], budgets[request] = ["n0", "n1"], budget
+    rows = [(r, *f) for r, fs in facts.items() for f in fs]
+    candidates = spark.createDataFrame(rows, "request bigint, id string, source string, target string, distance int, confidence int, recorded_at bigint, tokens bigint")
+    tokens = spark.createDataFrame(list(costs.items()), "id string, tokens bigint")
+    starts = spark.createDataFrame([(r, s) for r, ss in seeds.items() for s in (*ss, ss[0])], "request bigint, entity string")
+    found = context.pack(candidates, tokens, starts, spark.createDataFrame(list(budgets.items()), "request bigint, budget bigint")).collect()
+    assert len(found) == len(set(found))
+    for request in facts:
+        assert {(r["kind"], r["id"]) for r in found if r["request"] == request} == greedy(facts[request], costs, seeds[request], budgets[request])
+
+
+def test_no_task_of_a_hub_holds_all_its_facts(spark, monkeypatch):
+    monkeypatch.setattr(context, "CHUNK", 50)
+    hub = spark.range(5000).select(
+        F.lit(0).cast("long").alias("request"), F.concat(F.lit("f"), "id").alias("id"), F.lit("hub").alias("source"), F.concat(F.lit("n"), "id").alias("target"),
+        F.lit(1).alias("distance"), F.lit(1).alias("confidence"), F.lit(0).cast("long").alias("recorded_at"),
+    )
+    monkeypatch.setattr(context, "fact_tokens", lambda n: F.lit(20).cast("long"))
+    tokens = hub.select(F.col("target").alias("id"), F.lit(10).cast("long").alias("tokens")).union(spark.createDataFrame([("hub", 10)], "id string, tokens bigint"))
+    held = []
+    first = context._first
+    monkeypatch.setattr(context, "_first", lambda live: held.append(first(live).count()) or first(live))
+    found = context.pack(hub, tokens, spark.createDataFrame([(0, "hub")], "request bigint, entity string"), spark.createDataFrame([(0, 3100)], "request bigint, budget bigint"))
+    counts = {r["kind"]: r["count"] for r in found.groupBy("kind").count().collect()}
+    assert counts == {"fact": 103, "omitted": 4897, "node": 104, "used": 1} and max(held) <= 50
+
+
 def test_fusion(spark):
     hits = spark.createDataFrame(
         [("lex", "task", "lexical", 900), ("lex", "file", "lexical", 800), ("lex", "task", "literal", 700), ("sem", "file", "semantic", 9), ("sem", "task", "semantic", 8)],
