@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.errors import InvalidValue
 from palimpsest.functions.text import token_set
+from palimpsest.sources.json_arrays import BLOCK_BYTES, read_array
 
 
 def validate(cases: DataFrame, predictions: DataFrame, cutoffs: list[int]) -> None:
@@ -89,9 +90,9 @@ SESSION = (
 )
 
 
-def read_dialogs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Dialog JSON: conversation.session_N holds turns (speaker, dia_id, text)."""
-    return dialogs(spark.read.json(path, schema=DIALOG, multiLine=True))
+def read_dialogs(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Dialog JSON: conversation.session_N holds turns (speaker, dia_id, text). A file is divided into blocks."""
+    return dialogs(read_array(spark, path, DIALOG, block_bytes))
 
 
 def dialogs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -108,8 +109,8 @@ def dialogs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return documents, cases
 
 
-def read_sessions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return sessions(spark.read.json(path, schema=SESSION, multiLine=True))
+def read_sessions(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
+    return sessions(read_array(spark, path, SESSION, block_bytes))
 
 
 def sessions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -145,5 +146,5 @@ def prepared_problems(documents: DataFrame, cases: DataFrame) -> DataFrame:
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """(case_id, ranked_ids) from a JSON array or from JSON lines."""
     schema = "case_id string, ranked_ids array<string>"
-    head = spark.read.text(path).filter("trim(value) <> ''").limit(1).collect()
-    return spark.read.json(path, schema=schema, multiLine=bool(head) and head[0][0].lstrip().startswith("["))
+    head = spark.read.text(path).filter("trim(value) <> ''").select(F.substring(F.ltrim("value"), 1, 1)).limit(1).collect()
+    return read_array(spark, path, schema) if head and head[0][0] == "[" else spark.read.json(path, schema=schema)

@@ -21,7 +21,7 @@ from palimpsest.operators.lexical_index import IndexedProvider, LexicalIndex
 from palimpsest.operators.table_functions import ExtractionRules
 from palimpsest.operators.view import Clock, Projection, bitemporal_matrix, visible_as_of
 from palimpsest.plans import memory_sql as sql
-from palimpsest.sources import codec, derived, event_log
+from palimpsest.sources import codec, derived, event_log, json_arrays
 from palimpsest.sources.clustered import ClusteredProjection
 from palimpsest.sources.derived import T96, T97, T98, table
 from palimpsest.sources.snapshot import SnapshotStore
@@ -1340,19 +1340,33 @@ def retrieval_metrics(spark, sf_dir):
     return metrics.select("category", "cutoff", "cases", *[F.round(c, 9).alias(c) for c in ("hit", "recall", "ndcg", "mrr")])
 
 
-@register(
-    """SELECT conv_id::VARCHAR AS group_id, conv_id || '::session::s0' AS id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id"""
-)
-def dialog_documents(spark, sf_dir):
+def session_rows(spark, sf_dir):
+    """Each conversation as a question about its one session."""
     c = table(spark, sf_dir, "conversations")
     turns = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
     none = F.lit(None).cast("string")
     rows = c.groupBy("conv_id").agg(F.array(turns).alias("haystack_sessions"))
-    rows = rows.select(
+    return rows.select(
         F.col("conv_id").cast("string").alias("question_id"), F.lit("single").alias("question_type"), none.alias("question"), F.array(F.lit("s0")).alias("haystack_session_ids"), "haystack_sessions",
         F.array(F.lit("s0")).alias("answer_session_ids"),
     )
-    return evaluation.sessions(rows)[0]
+
+
+@register(
+    """SELECT conv_id::VARCHAR AS group_id, conv_id || '::session::s0' AS id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id"""
+)
+def dialog_documents(spark, sf_dir):
+    return evaluation.sessions(session_rows(spark, sf_dir))[0]
+
+
+@register(
+    """SELECT conv_id::VARCHAR AS group_id, conv_id || '::session::s0' AS id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id"""
+)
+def split_array_documents(spark, sf_dir):
+    """The same by way of JSON array files, each read in several blocks."""
+    path = f"{shared_dir(spark)}/sessions-{uuid.uuid4().hex}"
+    json_arrays.write_array(session_rows(spark, sf_dir), path)
+    return evaluation.read_sessions(spark, path, block_bytes=1 << 16)[0]
 
 
 @register(

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path in a task, and the path there."""
+    if re.match(r"^\w+://", path):
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path.removeprefix("file:")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and return it reread."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -29,7 +29,7 @@ from pyspark.sql.types import StructType
 
 from palimpsest import schema as schemas
 from palimpsest.errors import Corruption, InvalidValue
-from palimpsest.sources.storage import ship
+from palimpsest.sources.storage import opened, ship
 
 FORMAT = "event_log"
 POSITION = "global_position"
@@ -45,17 +45,11 @@ class Slice(InputPartition):
     upto: int
 
 
-def _opened(path: str) -> tuple[fs.FileSystem, str]:
-    if re.match(r"^\w+://", path):
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), path.removeprefix("file:")
-
-
 class LogFiles:
     """What a range of positions lies in. Manifests and footers are immutable, so both are read once."""
 
     def __init__(self, path: str):
-        self.store, self.path = _opened(path.rstrip("/"))
+        self.store, self.path = opened(path.rstrip("/"))
         self.manifests: list[dict] = []
         self.spans: dict[str, list[tuple[str, int, int]]] = {}
 
@@ -110,7 +104,7 @@ def _group_spans(metadata: pq.FileMetaData) -> Iterator[tuple[int, int, int]]:
 
 
 def read_slice(path: str, part: Slice, columns: list[str]) -> Iterator[pa.RecordBatch]:
-    store, _ = _opened(path)
+    store, _ = opened(path)
     with store.open_input_file(part.file) as handle:
         file = pq.ParquetFile(handle)
         groups = [g for g, low, high in _group_spans(file.metadata) if high > part.after and low <= part.upto]
