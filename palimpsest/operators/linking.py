@@ -183,9 +183,19 @@ class Plan:
         return self.events.agg(F.count_if(F.col("event_type") == "node_upserted").alias("node_event_count"), F.count_if(F.col("event_type") == "fact_recorded").alias("fact_event_count"))
 
 
+def merge_problems(nodes: DataFrame) -> DataFrame:
+    """(input_id, id, error) of generated ids whose mentions can't be one entity."""
+    several = lambda *columns: F.countDistinct(F.struct(*columns)) > 1
+    bare = nodes.groupBy("input_id", "id").agg(several("kind", "label", "repository", "branch").alias("bad")).filter("bad")
+    pairs = nodes.select("input_id", "id", F.explode("attributes").alias("key", "value")).filter("NOT startswith(key, 'alias.')")
+    values = pairs.groupBy("input_id", "id", "key").agg(several("value").alias("bad")).filter("bad").select("input_id", "id").distinct()
+    row = lambda df, text: df.select("input_id", "id", F.lit(f"mentions of one new entity differ in {text}").alias("error"))
+    return row(bare, "kind, label or scope").unionByName(row(values, "an attribute"))
+
+
 def _merged(nodes: DataFrame) -> DataFrame:
-    """One node of each generated id of an input. A later mention adds aliases that are not there
-    yet, numbered from the count of attributes on; anything else must agree."""
+    """One node of each generated id of an input, whose mentions agree (merge_problems). A later mention adds
+    aliases that are not there yet, numbered from the count of attributes on, and attributes of other names."""
 
     def merge(frame):
         import pandas as pd
@@ -193,19 +203,15 @@ def _merged(nodes: DataFrame) -> DataFrame:
         frame = frame.sort_values("ordinal")
         first = frame.iloc[0]
         attributes = dict(first["attributes"])
-        for row in frame.iloc[1:].to_dict("records"):
-            if any(row[c] != first[c] for c in ("kind", "label", "repository", "branch")):
-                raise ValueError("mentions of one new entity differ in kind, label or scope")
-            for key, value in sorted(dict(row["attributes"]).items()):
-                if key.startswith("alias."):
-                    if value in [v for k, v in attributes.items() if k.startswith("alias.")]:
-                        continue
+        for more in frame["attributes"].iloc[1:]:
+            for key, value in sorted(dict(more).items()):
+                if not key.startswith("alias."):
+                    attributes.setdefault(key, value)
+                elif value not in [v for k, v in attributes.items() if k.startswith("alias.")]:
                     n = len(attributes)
                     while f"alias.{n}" in attributes:
                         n += 1
                     attributes[f"alias.{n}"] = value
-                elif attributes.setdefault(key, value) != value:
-                    raise ValueError("mentions of one new entity differ in an attribute")
         merged = first.to_dict() | {"attributes": attributes}
         return pd.DataFrame([merged])[["input_id", "id", "kind", "label", "repository", "branch", "attributes"]]
 
@@ -235,6 +241,10 @@ def plan(provider: ExtractionProvider, inputs: DataFrame, catalog: Catalog, poli
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
     nodes = mentions.join(made, ["input_id", "local_id"]).join(about.select("input_id", F.col("source"), "repository", "branch"), "input_id")
     nodes = nodes.select("input_id", "ordinal", "id", "kind", "label", "repository", "branch", F.map_from_entries(last).alias("attributes"))
+    nodes = materialize(nodes, "created-mentions")
+    bad = merge_problems(nodes).orderBy("input_id", "id").limit(1).collect()
+    if bad:
+        raise ExtractionFailure(f"{bad[0]['id']} of {bad[0]['input_id']}: {bad[0]['error']}")
     nodes = materialize(_merged(nodes), "created-nodes")
     none = lambda kind: F.lit(None).cast(kind)
     from palimpsest import schema

@@ -1293,6 +1293,52 @@ def extraction_facts(spark, sf_dir):
     return rows.select(f["id"].alias("id"), F.col("id").alias("event_id"), f["source"].alias("source"), f["relation"].alias("relation"), f["target"].alias("target"), f["confidence"].alias("confidence"), f["valid_from"].alias("valid_from"), shown.alias("evidence"))
 
 
+@register(
+    f"""{_PLANNED} SELECT new_id AS id, 'alias.0=S' || k || ',alias.3=N' || c_nationkey || ',extracted_by=customers,extraction_source=crm' AS attributes FROM i JOIN customer ON c_custkey = k"""
+)
+def extraction_merged_nodes(spark, sf_dir):
+    """Each stranger named twice, the second time with one alias more: one node, which has both."""
+    inputs, mentions = customer_mentions(spark, sf_dir)
+    nations = table(spark, sf_dir, "customer").select(F.concat(F.lit("doc:"), F.col("c_custkey").cast("string")).alias("input_id"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("nation"))
+    again = mentions.filter("local_id = 'm2'").join(nations, "input_id").withColumns({"ordinal": F.lit(3), "local_id": F.lit("m3"), "aliases": F.concat("aliases", F.array("nation"))}).drop("nation")
+    done = linking.plan(CustomerProvider(mentions.unionByName(again)), inputs, linking.Catalog.from_view(memory(spark, sf_dir).view(T98, T98)))
+    n = F.col("payload.node")
+    shown = F.array_join(F.sort_array(F.transform(F.map_entries(n["attributes"]), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")
+    return done.events.filter("event_type = 'node_upserted' AND payload.node.label LIKE 'Stranger %'").select(n["id"].alias("id"), shown.alias("attributes"))
+
+
+@register(
+    f"""{sql.BASE}, {sql.nodes(T98)}, m AS (SELECT 'doc:' || c_custkey AS input_id, CASE WHEN c_acctbal < 0 THEN 'newcomer:' ELSE 'customer:' END || c_custkey AS given FROM customer)
+SELECT input_id, 'm0' AS local_id, given AS entity_id, 10000 AS score, CASE WHEN nodes.id IS NULL THEN 'created' ELSE 'stable_id' END AS method FROM m LEFT JOIN nodes ON nodes.id = given"""
+)
+def stable_id_decisions(spark, sf_dir):
+    """Mentions that bring an id: the known entity, or a new one of this id, whatever else would match."""
+    inputs, mentions = customer_mentions(spark, sf_dir)
+    owing = table(spark, sf_dir, "customer").select(F.concat(F.lit("doc:"), F.col("c_custkey").cast("string")).alias("input_id"), F.when(F.col("c_acctbal") < 0, "newcomer:").otherwise("customer:").alias("of"), "c_custkey")
+    given = mentions.filter("local_id = 'm0'").join(owing, "input_id").withColumn("stable_id", F.concat("of", F.col("c_custkey").cast("string"))).drop("of", "c_custkey")
+    return linking.Catalog.from_view(memory(spark, sf_dir).view(T98, T98)).link(given, inputs)[0].drop("ordinal")
+
+
+@register(
+    """WITH c AS (SELECT *, 'doc:' || c_custkey AS input_id, c_nationkey = 0 OR 2 * c_nationkey > octet_length(encode(c_name || ' wrote')) AS bad_span FROM customer)
+SELECT input_id, 'mention id twice' AS error FROM c WHERE c_mktsegment = 'MACHINERY' UNION ALL SELECT input_id, 'unknown endpoint' FROM c WHERE c_mktsegment = 'BUILDING'
+UNION ALL SELECT input_id, 'mention span' FROM c WHERE bad_span UNION ALL SELECT input_id, 'relation span' FROM c WHERE bad_span UNION ALL SELECT input_id, 'relation valid_until' FROM c WHERE floor(c_acctbal) <= 0"""
+)
+def extraction_problems(spark, sf_dir):
+    """Output whose spans, ends and times follow from the customers, most of them wrong in some way."""
+    inputs, mentions = customer_mentions(spark, sf_dir)
+    c = table(spark, sf_dir, "customer").withColumn("input_id", F.concat(F.lit("doc:"), F.col("c_custkey").cast("string")))
+    span = F.struct(F.col("c_nationkey").cast("int").alias("start"), (2 * F.col("c_nationkey")).cast("int").alias("end"))
+    first = mentions.filter("local_id = 'm0'").drop("span").join(c.select("input_id", span.alias("span")), "input_id")
+    twice = mentions.filter("local_id = 'm1'").join(c.filter("c_mktsegment = 'MACHINERY'").select("input_id"), "input_id", "left_semi")
+    all_ = mentions.filter("local_id <> 'm0'").unionByName(first).unionByName(twice)
+    relations = c.join(inputs.select("input_id", "occurred_at"), "input_id").select(
+        "input_id", F.lit("r0").alias("local_id"), F.lit("m0").alias("source"), F.when(F.col("c_mktsegment") == "BUILDING", "nobody").otherwise("m2").alias("target"), span.alias("span"),
+        F.lit(None).cast("long").alias("valid_from"), (F.col("occurred_at") + F.floor("c_acctbal").cast("long")).alias("valid_until"),
+    )
+    return linking.output_problems(inputs, all_, relations)
+
+
 @register(f"{_PLANNED} SELECT count(*) + count(*) FILTER (score < 8000) AS node_event_count, count(*) AS fact_event_count FROM p")
 def extraction_counts(spark, sf_dir):
     return planned(spark, sf_dir).counts()

@@ -82,6 +82,16 @@ def test_plan_is_idempotent_and_appends(spark, catalog):
         linking.plan(Fixed(split, relations.limit(0)), one_input(spark), catalog)
 
 
+def test_mentions_of_one_new_entity_must_agree(spark, catalog):
+    none = spark.createDataFrame([], RELATION)
+    two = spark.createDataFrame([mention(0, "New Name"), mention(1, "new name")], MENTION)
+    with pytest.raises(ExtractionFailure, match="kind, label or scope"):
+        linking.plan(Fixed(two, none), one_input(spark), catalog)
+    two = spark.createDataFrame([mention(0, "New Name"), mention(1, "New Name")], MENTION).withColumn("attributes", F.create_map(F.lit("size"), F.col("ordinal").cast("string")))
+    with pytest.raises(ExtractionFailure, match="an attribute"):
+        linking.plan(Fixed(two, none), one_input(spark), catalog)
+
+
 def test_text_functions(spark):
     row = spark.range(1).select(
         text.normalized(F.lit(" Ab--c ΣΣ! ")).alias("n"),
