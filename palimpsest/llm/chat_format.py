@@ -145,8 +145,10 @@ def format_conversations(turns: DataFrame, render: Callable[[Turns], str] = inst
 
 
 def read_back(parts: DataFrame, parse: Callable[[str], Turns] = parse_instruct) -> DataFrame:
-    """One row a conversation from the output of format_conversations: digests of what the
-    formatted text says, and of the text under the loss mask (none where any part has rewrites)."""
+    """One row a conversation from the output of format_conversations, as it comes or stored and reread in
+    any order: digests of what the formatted text says, and of the text under the loss mask (none where any
+    part has rewrites)."""
+    rows = pick(parts, "conv_id", "part", "formatted", "turns", "rewrites").repartition("conv_id").sortWithinPartitions("conv_id", "part")
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         conv, state, done = None, None, []
@@ -180,7 +182,7 @@ def read_back(parts: DataFrame, parse: Callable[[str], Turns] = parse_instruct)
         frame = pd.DataFrame(done, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewrites"])
         yield frame.astype({"conv_id": "Int64"})
 
-    return parts.mapInPandas(
+    return rows.mapInPandas(
         digests,
         "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, rewrites boolean",
     )

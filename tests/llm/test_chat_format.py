@@ -68,6 +68,14 @@ def test_read_back(spark, window):
     assert not any(r.rewrites for r in found) and len(found) == 5
 
 
+def test_stored_parts_are_read_back_in_any_order(spark, tmp_path):
+    said = [(n, i, "assistant" if i % 2 else "user", f"turn {i} of {n} </s>") for n in (1, 2, None) for i in range(9)]
+    parts = c.format_conversations(spark.createDataFrame(said, SCHEMA), window=2)
+    parts.repartition(7, "part").orderBy("part", ascending=False).withColumn("more", parts.part).write.parquet(str(tmp_path / "parts"))
+    found = c.read_back(spark.read.parquet(str(tmp_path / "parts"))).collect()
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) for r in found} == expected(said) and len(found) == 3
+
+
 def test_empty_table(spark):
     assert c.read_back(c.format_conversations(spark.createDataFrame([], SCHEMA))).collect() == []
 
