@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.sources.ordered import carried, in_order
-from palimpsest.sources.storage import materialize
+from palimpsest.sources.storage import materialize, with_positions
 
 
 @dataclass(frozen=True)
@@ -127,10 +128,22 @@ def visible_as_of(node_revisions: DataFrame, requests: DataFrame) -> DataFrame:
     return rows.select("_request.request", "entity", "_request.known_at", "_carried.*")
 
 
+MAX_CLOCKS = 10_000  # clocks that are broadcast at once
+
+
 def bitemporal_matrix(projection: Projection, clocks: DataFrame) -> DataFrame:
-    """Active facts for many clocks (name, valid_at, known_at: a handful of rows, broadcast) at once."""
-    small = F.broadcast(clocks)
-    rows = projection.facts.join(small, is_current(F.col("valid_at"), F.col("known_at")))
+    """Active facts for many clocks (valid_at, known_at, and a name) at once; clocks beyond MAX_CLOCKS are taken in blocks
+    of so many, one after the other."""
+    n = clocks.count()
+    if n <= MAX_CLOCKS:
+        return _at_clocks(projection, clocks)
+    placed = with_positions(clocks, ["valid_at", "known_at"], "_clock")
+    block = lambda at: placed.filter(F.col("_clock").between(at, at + MAX_CLOCKS - 1)).drop("_clock")
+    return reduce(DataFrame.unionByName, [_at_clocks(projection, block(at)) for at in range(0, n, MAX_CLOCKS)])
+
+
+def _at_clocks(projection: Projection, clocks: DataFrame) -> DataFrame:
+    rows = projection.facts.join(F.broadcast(clocks), is_current(F.col("valid_at"), F.col("known_at")))
     s = projection.supersessions.select(F.col("prior").alias("id"), F.col("recorded_at").alias("s_known"), F.col("valid_from").alias("s_from"))
     r = projection.retractions.select(F.col("fact_id").alias("id"), F.col("recorded_at").alias("r_known"), F.col("valid_until").alias("r_until"))
     rows = rows.join(s, "id", "left").join(r, "id", "left")

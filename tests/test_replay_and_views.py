@@ -7,7 +7,7 @@ from fold import view as fold_view
 
 from palimpsest import schema
 from palimpsest.errors import ConflictingFact, InvalidReplay, MissingEntity
-from palimpsest.operators import replay
+from palimpsest.operators import replay, view
 from palimpsest.operators.view import Clock
 
 
@@ -97,3 +97,14 @@ def test_random_logs_agree_with_a_fold(spark):
         seen, live = fold_view(state, clock.valid_at, clock.known_at)
         assert {x["id"]: x["label"] for x in view.nodes.collect()} == seen
         assert set(ids(view.facts)) == live
+
+
+def test_clocks_beyond_the_bound_are_taken_in_blocks(spark, monkeypatch):
+    log = Log().node(1, "a").node(1, "b").fact(2, "f1", "a", "r", "b", valid_from=2).fact(4, "f2", "a", "r", "b", valid_from=3, supersedes="f1").retract(6, "f2", 5)
+    p = replay.replay(log.frame(spark)).projection
+    clocks = spark.createDataFrame([(f"{v}.{k}", v, k) for v in range(1, 7) for k in range(1, 8)] + [("again", 3, 3)], "name string, valid_at long, known_at long")
+    shown = lambda: sorted((r["name"], r["id"]) for r in view.bitemporal_matrix(p, clocks).collect())
+    whole = shown()
+    assert ("again", "f1") in whole
+    monkeypatch.setattr(view, "MAX_CLOCKS", 5)
+    assert shown() == whole
