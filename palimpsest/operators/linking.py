@@ -196,29 +196,23 @@ def merge_problems(nodes: DataFrame) -> DataFrame:
 def _merged(nodes: DataFrame) -> DataFrame:
     """One node of each generated id of an input, whose mentions agree (merge_problems). A later mention adds
     aliases that are not there yet, numbered from the count of attributes on, and attributes of other names."""
-
-    def merge(frame):
-        import pandas as pd
-
-        frame = frame.sort_values("ordinal")
-        first = frame.iloc[0]
-        attributes = dict(first["attributes"])
-        for more in frame["attributes"].iloc[1:]:
-            for key, value in sorted(dict(more).items()):
-                if not key.startswith("alias."):
-                    attributes.setdefault(key, value)
-                elif value not in [v for k, v in attributes.items() if k.startswith("alias.")]:
-                    n = len(attributes)
-                    while f"alias.{n}" in attributes:
-                        n += 1
-                    attributes[f"alias.{n}"] = value
-        merged = first.to_dict() | {"attributes": attributes}
-        return pd.DataFrame([merged])[["input_id", "id", "kind", "label", "repository", "branch", "attributes"]]
-
-    schema = "input_id string, id string, kind string, label string, repository string, branch string, attributes map<string,string>"
-    several = nodes.groupBy("input_id", "id").count().filter("count > 1").select("input_id", "id")
-    single = nodes.join(several, ["input_id", "id"], "left_anti").select("input_id", "id", "kind", "label", "repository", "branch", "attributes")
-    return single.unionByName(nodes.join(several, ["input_id", "id"]).groupBy("input_id", "id").applyInPandas(merge, schema))
+    entry = F.struct(F.col("ordinal"), F.array_sort(F.map_entries("attributes")).alias("more"), F.struct("kind", "label", "repository", "branch").alias("node"))
+    told = nodes.groupBy("input_id", "id").agg(F.array_sort(F.collect_list(entry)).alias("told"))
+
+    def add(found: Column, e: Column) -> Column:
+        is_alias = e["key"].startswith("alias.")
+        known = F.when(is_alias, F.exists(found, lambda x: x["key"].startswith("alias.") & x["value"].eqNullSafe(e["value"]))).otherwise(F.exists(found, lambda x: x["key"] == e["key"]))
+        # Of one number more than there are attributes, one is free.
+        names = F.transform(F.sequence(F.size(found), 2 * F.size(found)), lambda n: F.concat(F.lit("alias."), n.cast("string")))
+        free = F.array_except(names, F.transform(found, lambda x: x["key"]))
+        named = F.struct(F.when(is_alias, F.element_at(free, 1)).otherwise(e["key"]).alias("key"), e["value"].alias("value"))
+        return F.when(known, found).otherwise(F.concat(found, F.array(named)))
+
+    later = F.flatten(F.transform(F.slice("told", 2, F.greatest(F.size("told") - 1, F.lit(0))), lambda t: t["more"]))
+    first = F.element_at("told", 1)
+    start = first["more"].cast("array<struct<key:string,value:string>>")
+    attributes = F.map_from_entries(F.aggregate(later, start, add))
+    return told.select("input_id", "id", first["node"]["kind"].alias("kind"), first["node"]["label"].alias("label"), first["node"]["repository"].alias("repository"), first["node"]["branch"].alias("branch"), attributes.alias("attributes"))
 
 
 def plan(provider: ExtractionProvider, inputs: DataFrame, catalog: Catalog, policy: LinkPolicy = LinkPolicy()) -> Plan:
