@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
+import pandas as pd
+import pyarrow.dataset
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.errors import InvalidValue, RetrievalFailure
 from palimpsest.functions.text import token_set
 from palimpsest.schema import CHANNELS
+from palimpsest.sources.storage import opened, shared_dir, ship
 
 #: Reciprocal rank fusion in integers.
 SCALE, RANK_CONSTANT = 1_000_000_000, 60
@@ -129,6 +135,62 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+#: Queries and vectors of a block whose products are in a task at once.
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
+#: Products that differ by less than this may be equal scores of millionths.
+CLOSE = 2e-6
+
+
+def _directions(vectors: pd.Series, size: int) -> np.ndarray:
+    """Rows of unit length; NaN for a vector that is null, holds a null or a NaN, is zero, or is of another size."""
+    out = np.full((len(vectors), size), np.nan)
+    for n, v in enumerate(vectors):
+        if v is not None and len(v) == size:
+            out[n] = np.asarray(v, np.float64)
+    with np.errstate(all="ignore"):
+        return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+
+def nearest(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score) of the k nearest of vectors (id, vector) for each of asked (query_id, asked): greatest
+    cosine in millionths, equal scores by id.
+
+    All pairs are compared, in blocks of queries by vectors that tasks multiply; the queries are read from the
+    shared folder a block at a time. A task passes on what is not surely worse than k others that it has met; these
+    pairs, with the vectors themselves, get the exact score and meet in windows."""
+    spark = vectors.sparkSession
+    ship(spark)
+    path = f"{shared_dir(spark)}/queries-{uuid.uuid4().hex}"
+    asked.select("query_id", "asked").write.parquet(path)
+    size = spark.read.parquet(path).select(F.max(F.size("asked"))).first()[0] or 1
+
+    def blocks() -> Iterator[pd.DataFrame]:
+        store, name = opened(path)
+        for batch in pyarrow.dataset.dataset(name, filesystem=store, format="parquet").to_batches(batch_size=QUERY_BLOCK):
+            if batch.num_rows:
+                yield batch.to_pandas()
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, np.ndarray] = {}  # of each query the k greatest products so far
+        for frame in batches:
+            for at in range(0, len(frame), VECTOR_BLOCK):
+                part = frame.iloc[at : at + VECTOR_BLOCK]
+                own = _directions(part.vector, size)
+                for n, queries in enumerate(blocks()):
+                    products = _directions(queries.asked, size) @ own.T
+                    odd = np.isnan(products)
+                    known = np.concatenate([best.get(n, np.full((len(queries), k), -np.inf)), np.where(odd, -np.inf, products)], axis=1)
+                    best[n] = np.partition(known, known.shape[1] - k, axis=1)[:, -k:]
+                    q, v = np.nonzero(odd | (products >= best[n].min(axis=1, keepdims=True) - CLOSE))
+                    yield pd.DataFrame({"query_id": queries.query_id.to_numpy()[q], "id": part.id.to_numpy()[v], "asked": queries.asked.to_numpy()[q], "vector": part.vector.to_numpy()[v]})
+
+    types = dict(vectors.dtypes) | dict(asked.dtypes)
+    found = vectors.select("id", "vector").mapInPandas(near, ", ".join(f"{c} {types[c]}" for c in ("query_id", "id", "asked", "vector")))
+    scored = found.select("query_id", "id", F.round(cosine(F.col("asked"), F.col("vector")) * 1_000_000).cast("long").alias("score"))
+    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return scored.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= k).drop("_n")
+
+
 class CosineProvider:
     """Cosine of a query vector with vectors (entity, vector), scores in millionths."""
 

@@ -936,24 +936,7 @@ def rrf_fusion(spark, sf_dir):
 def semantic_topk(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     asked = e.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("asked"))
-    # A fixed query set against all rows, in blocks of bounded bytes: no more of them is in a task at once.
-    dimensions = e.select(F.max(F.size("vector"))).first()[0] or 1
-    blocks = max(1, -(-asked.count() * dimensions * 8 // MAX_QUERY_BYTES))
-    parts = [scored_by(e, asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)) for n in range(blocks)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-MAX_QUERY_BYTES = 64 << 20
-
-
-def scored_by(e: DataFrame, asked: DataFrame) -> DataFrame:
-    """The five nearest of e for each query; queries are few enough to broadcast."""
-    scored = e.join(F.broadcast(asked)).select("query_id", "id", F.round(retrieval.cosine(F.col("asked"), F.col("vector")) * 1_000_000).cast("long").alias("score"))
-    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("n", F.row_number().over(place)).filter("n <= 5").drop("n")
+    return retrieval.nearest(e, asked, 5)
 
 
 _TOKENS = "list_distinct(list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+'), lambda t: strlen(t) > 1))"

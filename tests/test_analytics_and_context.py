@@ -168,3 +168,17 @@ def test_retrieval_seeds_a_context(spark):
         assert ids(bundle.nodes) == ["n1", "n2"] and [r["entity"] for r in bundle.retrieval.collect()] == ["n1"]
     with pytest.raises(InvalidValue):
         retrieval.fuse_retrieval([retrieval.LiteralProvider(texts), retrieval.LiteralProvider(texts)], query)
+
+
+def test_nearest_vectors_equal_all_pairs_without_a_row_for_each_pair(spark):
+    r = random.Random(5)
+    vectors = [(n, [r.choice((-1.0, 0.5, 1.0, 2.0)) for _ in range(3)]) for n in range(300)] + [(300, None), (301, [1.0, None, 2.0]), (302, [1.0])]
+    e = spark.createDataFrame(vectors, "id bigint, vector array<double>").repartition(3)
+    asked = e.filter("id % 50 = 0 AND id < 300").select(F.col("id").alias("query_id"), F.col("vector").alias("asked"))
+    found = retrieval.nearest(e, asked, 4)
+    pairs = e.join(asked).select("query_id", "id", F.round(retrieval.cosine(F.col("asked"), F.col("vector")) * 1_000_000).cast("long").alias("score"))
+    want = {}
+    for q, i, s in sorted(map(tuple, pairs.filter("score IS NOT NULL").collect()), key=lambda t: (t[0], -t[2], t[1])):
+        want.setdefault(q, []).append((q, i, s))
+    assert sorted(map(tuple, found.collect())) == sorted(t for own in want.values() for t in own[:4])
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
