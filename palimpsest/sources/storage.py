@@ -48,12 +48,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a task that sorts, joins or groups.
+TASK_ROWS = 100_000
+
+
+def tasks_for(df: DataFrame) -> int:
+    """So many tasks that each holds about TASK_ROWS rows of df. Spark sizes tasks by compressed bytes, in which rows
+    of ids and repeated texts shrink to a thirtieth of what they take when they are sorted or hashed."""
+    return max(1, -(-df.count() // TASK_ROWS))
+
+
 def with_positions(df: DataFrame, order: list[str], name: str = "position", base: int = 0, group: str | None = None, group_name: str = "group_position") -> DataFrame:
     """Contiguous positions in a total order, without one task for all rows: rows are range
     partitioned and sorted, and each partition starts where the ones before it end. With a group
     column, also positions within each group, in the same order: a group may hold all rows."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = df.repartitionByRange(tasks_for(df), *order).sortWithinPartitions(*order)
+    ranged = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_row", row)
+    if group:
+        # Sorted again where they are, a group's rows of a partition stand together, still in order.
+        ranged = ranged.sortWithinPartitions(group, "_row").withColumn("_place", row)
     held = materialize(ranged, "ordered")
     counts = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     # One row for each partition: a few thousand at most.
@@ -62,12 +76,11 @@ def with_positions(df: DataFrame, order: list[str], name: str = "position", base
     starts = counts.crossJoin(F.broadcast(lists)).select("_part", before.alias("_before"))
     rows = held.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + F.col("_row") + base)
     if group:
-        # A window holds one partition's rows of a group, or a group's counts, one a partition.
-        own = Window.partitionBy("_part", group).orderBy("_row")
+        # A window holds a group's counts, one a partition.
         earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-        sums = held.groupBy("_part", group).agg(F.count(F.lit(1)).alias("_n")).withColumn("_ahead", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-        rows = rows.withColumn("_own", F.row_number().over(own) - 1).join(sums, ["_part", group])
-        rows = rows.withColumn(group_name, F.col("_ahead") + F.col("_own")).drop("_own", "_ahead")
+        sums = held.groupBy("_part", group).agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+        sums = sums.select("_part", group, (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_ahead"))
+        rows = rows.join(sums, ["_part", group]).withColumn(group_name, F.col("_ahead") + F.col("_place")).drop("_ahead", "_place")
     return rows.drop("_part", "_row", "_before")
 
 
