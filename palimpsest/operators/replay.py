@@ -16,6 +16,7 @@ from palimpsest.errors import BY_KIND, ConflictingFact, InvalidValue, MemoryErro
 from palimpsest.functions.text import is_bad_optional, is_bad_text
 from palimpsest.operators.view import Projection
 from palimpsest.schema import CERTAIN
+from palimpsest.sources.storage import tasks_for
 
 
 @dataclass(frozen=True)
@@ -57,30 +58,38 @@ def order_violations(events: DataFrame, cursor: Cursor = Cursor()) -> DataFrame:
     """Duplicate ids within the call, gaps in the global order, gaps in a stream's versions.
 
     A position is sound when the one before it exists, a version when its stream has the one before it
-    at an earlier position, and has it once (equi-joins, no windows: one stream may hold all rows)."""
+    at an earlier position, and has it once (counts by key, no windows: one stream may hold all rows). Counts
+    name the keys that are broken, and events are joined with these alone."""
+    tasks = tasks_for(events)
     e = events.select("id", "stream_id", "stream_version", "global_position")
     first = 0 if cursor.global_position is None else cursor.global_position + 1
-    ids = e.groupBy("id").agg(F.min("global_position").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", "first")
+    own, ahead = F.count_if("_own"), F.count_if(~F.col("_own"))
+    told = lambda is_own, *keys: e.select(*keys, F.lit(is_own).alias("_own"), F.col("global_position").alias("_at"))
+    ids = e.repartition(tasks, "id").groupBy("id").agg(F.min("global_position").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", "first")
     repeated = e.join(ids, "id").filter("global_position > first")
-    before = e.select((F.col("global_position") + 1).alias("global_position")).distinct()
-    alone = e.filter(F.col("global_position") != first).join(before, "global_position", "left_anti")
-    twice = e.groupBy("global_position").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    earlier = e.select("stream_id", (F.col("stream_version") + 1).alias("stream_version"), F.col("global_position").alias("_before"))
-    earlier = earlier.groupBy("stream_id", "stream_version").agg(F.min("_before").alias("_before"))
-    base = e.withColumn("_last", F.lit(-1).cast("long"))
+    places = told(True, "global_position").unionByName(told(False, (F.col("global_position") + 1).alias("global_position")))
+    places = places.repartition(tasks, "global_position").groupBy("global_position").agg(own.alias("n"), ahead.alias("ahead"))
+    places = places.filter((F.col("n") > 1) | ((F.col("n") > 0) & (F.col("ahead") == 0) & (F.col("global_position") != first)))
+    lone = places.filter((F.col("ahead") == 0) & (F.col("global_position") != first))
+    alone = lone.select("global_position", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    versions = told(True, "stream_id", "stream_version").unionByName(told(False, "stream_id", (F.col("stream_version") + 1).alias("stream_version")))
+    versions = versions.repartition(tasks, "stream_id", "stream_version").groupBy("stream_id", "stream_version")
+    versions = versions.agg(own.alias("n"), F.min(F.when(F.col("_own"), F.col("_at"))).alias("first"), F.min(F.when(~F.col("_own"), F.col("_at"))).alias("_before"))
+    starts = F.col("stream_version") == 0
     if cursor.stream_versions is not None:
-        base = e.join(cursor.stream_versions.select("stream_id", F.col("stream_version").alias("_last")), "stream_id", "left").withColumn("_last", F.coalesce("_last", F.lit(-1)))
-    follows = F.coalesce(F.col("_before") < F.col("global_position"), F.lit(False)) | (F.col("stream_version") == F.col("_last") + 1)
-    versions = base.join(earlier, ["stream_id", "stream_version"], "left").filter(~follows)
-    same = e.groupBy("stream_id", "stream_version").agg(F.min("global_position").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    same = e.join(same, ["stream_id", "stream_version"]).filter("global_position > first")
+        versions = versions.join(cursor.stream_versions.select("stream_id", F.col("stream_version").alias("_last")), "stream_id", "left")
+        starts = F.col("stream_version") == F.coalesce("_last", F.lit(-1)) + 1
+    loose = ~F.coalesce(F.col("_before") < F.col("first"), F.lit(False)) & ~starts
+    versions = versions.filter((F.col("n") > 1) | ((F.col("n") > 0) & loose)).select(F.col("stream_id").alias("_stream"), F.col("stream_version").alias("_version"), "first", "_before", starts.alias("_starts"))
+    odd = e.join(versions, F.col("stream_id").eqNullSafe(F.col("_stream")) & F.col("stream_version").eqNullSafe(F.col("_version")))
+    follows = F.coalesce(F.col("_before") < F.col("global_position"), F.lit(False)) | F.col("_starts")
     return _all(
         [
             _broken(repeated, F.lit(True), 1, "DuplicateEvent", F.col("id")),
             _broken(alone, F.lit(True), 2, "InvalidReplay", F.concat(F.lit("global position after "), (F.col("global_position") - 1).cast("string"))),
-            _broken(twice, F.lit(True), 2, "InvalidReplay", F.lit("global position twice")),
-            _broken(versions, F.lit(True), 3, "InvalidReplay", F.concat(F.lit("stream version "), F.col("stream_version").cast("string"), F.lit(" follows no other"))),
-            _broken(same, F.lit(True), 3, "InvalidReplay", F.concat(F.lit("stream version "), F.col("stream_version").cast("string"), F.lit(" twice"))),
+            _broken(places, F.col("n") > 1, 2, "InvalidReplay", F.lit("global position twice")),
+            _broken(odd, ~follows, 3, "InvalidReplay", F.concat(F.lit("stream version "), F.col("stream_version").cast("string"), F.lit(" follows no other"))),
+            _broken(odd, F.col("global_position") > F.col("first"), 3, "InvalidReplay", F.concat(F.lit("stream version "), F.col("stream_version").cast("string"), F.lit(" twice"))),
         ]
     )
 
@@ -119,44 +128,69 @@ def fact_problem(f: Column) -> Column:
 def payload_violations(events: DataFrame, known: Projection | None = None) -> DataFrame:
     """Envelope and payload rules, and references to entities and facts that come too late or never.
     `known` is the state before the events (a resumed snapshot)."""
-    e = events
+    e, tasks = events, tasks_for(events) + (tasks_for(known.facts) if known is not None else 0)
     kind, n, f = F.col("payload.type"), F.col("payload.node"), F.col("payload.fact")
+    is_node, is_fact, is_end = kind == "node_upserted", kind == "fact_recorded", kind == "fact_retracted"
     envelope = (f["recorded_at"] != F.col("recorded_at")) | (f["agent_id"] != F.col("agent_id")) | (f["session_id"] != F.col("session_id"))
-    nodes = e.filter(kind == "node_upserted").withColumn("_bad", node_problem(n))
-    facts = e.filter(kind == "fact_recorded").withColumn("_bad", fact_problem(f))
-    gone = e.filter(kind == "fact_retracted")
-    seen = nodes.groupBy(F.col("payload.node.id").alias("entity")).agg(F.min("global_position").alias("since"))
-    recorded = facts.select(F.col("payload.fact.id").alias("fact"), F.col("global_position").alias("since"), F.col("payload.fact.valid_from").alias("from"))
-    replaced = facts.filter("payload.fact.supersedes IS NOT NULL").select(F.col("payload.fact.supersedes").alias("prior"), F.col("global_position"))
+    # What an event breaks by itself, in one pass.
+    rule = lambda condition, priority, error, detail: F.when(condition, F.struct(F.lit(priority).alias("priority"), F.lit(error).alias("error"), detail.cast("string").alias("detail")))
+    bad_node, bad_fact = F.when(is_node, node_problem(n)), F.when(is_fact, fact_problem(f))
+    rules = [
+        rule(F.col("event_type") != kind, 4, "InvalidReplay", F.col("event_type")),
+        rule(bad_node.isNotNull(), 5, "InvalidValue", bad_node),
+        rule(is_fact & envelope, 5, "InvalidReplay", F.lit("fact envelope")),
+        rule(bad_fact.isNotNull(), 6, "InvalidValue", bad_fact),
+    ]
+    alone = e.select("global_position", F.explode(F.array_compact(F.array(*rules))).alias("r")).select("global_position", "r.*")
+    seen = e.filter(is_node).select(n["id"].alias("entity"), F.col("global_position").alias("since"))
+    facts = e.filter(is_fact).select("global_position", f["source"].alias("source"), f["target"].alias("target"), f["id"].alias("fact"), f["supersedes"].alias("prior"), f["valid_from"].alias("from"))
+    gone = e.filter(is_end)
+    recorded = facts.select("fact", F.col("global_position").alias("since"), "from")
+    superseding = facts.filter("prior IS NOT NULL").select("prior", "global_position")
+    replaced = superseding
     if known is not None:
-        seen = seen.unionByName(known.node_revisions.select(F.col("id").alias("entity"), F.lit(-1).cast("long").alias("since")).distinct()).groupBy("entity").agg(F.min("since").alias("since"))
+        seen = seen.unionByName(known.node_revisions.select(F.col("id").alias("entity"), F.lit(-1).cast("long").alias("since")))
         recorded = recorded.unionByName(known.facts.select(F.col("id").alias("fact"), F.lit(-1).cast("long").alias("since"), F.col("valid_from").alias("from")))
         replaced = replaced.unionByName(known.supersessions.select("prior", F.lit(-1).cast("long").alias("global_position")))
-    first_fact = recorded.groupBy("fact").agg(F.min("since").alias("since"), F.min_by("from", "since").alias("from"))
-    first_replacement = replaced.groupBy("prior").agg(F.min("global_position").alias("since"))
-    flat = facts.select("global_position", F.col("payload.fact.source").alias("source"), F.col("payload.fact.target").alias("target"), F.col("payload.fact.id").alias("fact"), F.col("payload.fact.supersedes").alias("prior"))
+    # Joins with tables that grow with the log are merged: by the compressed size of its columns Spark would
+    # broadcast a million ids through the driver. Many facts may share an end: entities whose first reference comes too soon are found first, one row for
+    # each entity, and facts are joined with these alone.
+    seen = seen.groupBy("entity").agg(F.min("since").alias("since"))
+    ends = facts.select("global_position", F.explode(F.array(F.struct(F.lit(7).alias("priority"), F.col("source").alias("entity")), F.struct(F.lit(8).alias("priority"), F.col("target").alias("entity")))).alias("end")).select("global_position", "end.*")
+    asked = ends.groupBy("entity").agg(F.min("global_position").alias("asked"))
+    early = asked.repartition(tasks, "entity").join(seen.repartition(tasks, "entity").hint("merge"), "entity", "left").filter("since IS NULL OR since >= asked").select(F.col("entity").alias("_entity"), "since")
     late = F.col("since").isNull() | (F.col("since") >= F.col("global_position"))
-    parts = [
-        _broken(e, F.col("event_type") != kind, 4, "InvalidReplay", F.col("event_type")),
-        _broken(nodes, F.col("_bad").isNotNull(), 5, "InvalidValue", F.col("_bad")),
-        _broken(facts, envelope, 5, "InvalidReplay", F.lit("fact envelope")),
-        _broken(facts, F.col("_bad").isNotNull(), 6, "InvalidValue", F.col("_bad")),
-    ]
-    for priority, end in ((7, "source"), (8, "target")):
-        joined = flat.join(seen.withColumnRenamed("entity", end), end, "left")
-        parts.append(_broken(joined, late, priority, "MissingEntity", F.col(end)))
-    parts.append(_broken(flat.join(first_fact, "fact"), F.col("since") < F.col("global_position"), 9, "ConflictingFact", F.col("fact")))
-    superseding = flat.filter("prior IS NOT NULL")
-    parts.append(_broken(superseding.join(first_fact.withColumnRenamed("fact", "prior"), "prior", "left"), late, 10, "MissingFact", F.col("prior")))
-    parts.append(_broken(superseding.join(first_replacement, "prior"), F.col("since") < F.col("global_position"), 11, "ConflictingFact", F.col("prior")))
-    targets = gone.select("global_position", F.col("payload.fact_id").alias("fact"), F.col("payload.valid_until").alias("until"), F.col("payload.evidence").alias("evidence")).join(first_fact, "fact", "left")
-    parts += [
-        _broken(targets, late, 7, "MissingFact", F.col("fact")),
-        _broken(targets, F.col("until") <= F.col("from"), 8, "InvalidValue", F.lit("retraction.valid_until")),
-        _broken(targets, F.coalesce(F.size("evidence"), F.lit(0)) < 1, 9, "InvalidValue", F.lit("retraction.evidence")),
-        _broken(targets, bad_evidence(F.col("evidence")), 10, "InvalidValue", F.lit("retraction.evidence")),
+    missing = ends.join(early, F.col("entity").eqNullSafe(F.col("_entity"))).filter(late)
+    # References to facts: a fact's own record, what it replaces, what a retraction ends.
+    first_fact = recorded.repartition(tasks, "fact").groupBy("fact").agg(F.min("since").alias("since"), F.min_by("from", "since").alias("from"))
+    blank = [F.lit(None).cast("long").alias("until"), F.lit(False).alias("none"), F.lit(False).alias("bad")]
+    evidence = F.col("payload.evidence")
+    told = [(F.coalesce(F.size(evidence), F.lit(0)) < 1).alias("none"), F.coalesce(bad_evidence(evidence), F.lit(False)).alias("bad")]
+    references = (
+        facts.select("fact", F.lit("own").alias("role"), "global_position", *blank)
+        .unionByName(superseding.select(F.col("prior").alias("fact"), F.lit("prior").alias("role"), "global_position", *blank))
+        .unionByName(gone.select(F.col("payload.fact_id").alias("fact"), F.lit("gone").alias("role"), "global_position", F.col("payload.valid_until").alias("until"), *told))
+    )
+    found = references.repartition(tasks, "fact").join(first_fact.hint("merge"), "fact", "left")
+    of = lambda role: F.col("role") == role
+    rules = [
+        rule(of("own") & (F.col("since") < F.col("global_position")), 9, "ConflictingFact", F.col("fact")),
+        rule(of("prior") & late, 10, "MissingFact", F.col("fact")),
+        rule(of("gone") & late, 7, "MissingFact", F.col("fact")),
+        rule(of("gone") & (F.col("until") <= F.col("from")), 8, "InvalidValue", F.lit("retraction.valid_until")),
+        rule(of("gone") & F.col("none"), 9, "InvalidValue", F.lit("retraction.evidence")),
+        rule(of("gone") & F.col("bad"), 10, "InvalidValue", F.lit("retraction.evidence")),
     ]
-    return _all(parts)
+    found = found.select("global_position", F.explode(F.array_compact(F.array(*rules))).alias("r")).select("global_position", "r.*")
+    several = replaced.repartition(tasks, "prior").groupBy("prior").agg(F.min("global_position").alias("since"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("prior", "since")
+    return _all(
+        [
+            alone,
+            missing.select("global_position", "priority", F.lit("MissingEntity").alias("error"), F.col("entity").alias("detail")),
+            found,
+            _broken(superseding.join(several, "prior"), F.col("since") < F.col("global_position"), 11, "ConflictingFact", F.col("prior")),
+        ]
+    )
 
 
 def violations(events: DataFrame, cursor: Cursor = Cursor(), known: Projection | None = None) -> DataFrame:
@@ -247,16 +281,19 @@ def from_parts(nodes: DataFrame, facts: DataFrame, known_at: int, source_positio
 
 def state_problems(p: Projection) -> DataFrame:
     """What a loaded projection breaks: (error, detail). Empty for a sound one."""
-    ids = p.node_revisions.select("id").distinct()
+    tasks = tasks_for(p.facts)
+    dealt = lambda df, key: df.repartition(tasks, key)
     row = lambda df, error, detail: df.select(F.lit(error).alias("error"), F.col(detail).cast("string").alias("detail"))
-    ends = p.facts.select(F.col("source").alias("id")).union(p.facts.select("target"))
-    s = p.supersessions.join(p.facts.select(F.col("id").alias("replacement"), F.col("supersedes"), F.col("valid_from").alias("vf"), F.col("recorded_at").alias("ra")), "replacement", "left")
-    r = p.retractions.join(p.facts.select(F.col("id").alias("fact_id"), "valid_from"), "fact_id", "left")
+    # Many facts may share an end, so ends are made distinct where they are read, before they are dealt.
+    ends = p.facts.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    of_replacement = p.facts.select(F.col("id").alias("replacement"), F.col("supersedes"), F.col("valid_from").alias("vf"), F.col("recorded_at").alias("ra"))
+    s = dealt(p.supersessions, "replacement").join(dealt(of_replacement, "replacement").hint("merge"), "replacement", "left")
+    r = dealt(p.retractions, "fact_id").join(dealt(p.facts.select(F.col("id").alias("fact_id"), "valid_from"), "fact_id").hint("merge"), "fact_id", "left")
     agree = (F.col("supersedes") == F.col("prior")) & (F.col("vf") == F.col("valid_from")) & (F.col("ra") == F.col("recorded_at"))
     return _all(
         [
-            row(p.facts.groupBy("id").count().filter("count > 1"), "ConflictingFact", "id"),
-            row(ends.join(ids, "id", "left_anti").distinct(), "MissingEntity", "id"),
+            row(dealt(p.facts.select("id"), "id").groupBy("id").count().filter("count > 1"), "ConflictingFact", "id"),
+            row(dealt(ends, "id").join(dealt(p.node_revisions.select("id"), "id").hint("merge"), "id", "left_anti"), "MissingEntity", "id"),
             row(s.filter(~F.coalesce(agree, F.lit(False))), "ConflictingFact", "prior"),
             row(r.filter(F.col("valid_from").isNull() | (F.col("valid_until") <= F.col("valid_from"))), "InvalidValue", "fact_id"),
         ]

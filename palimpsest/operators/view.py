@@ -49,12 +49,13 @@ class Projection:
 
     def active_facts(self, clock: Clock, facts: DataFrame | None = None) -> DataFrame:
         """Known, valid, not superseded and not retracted facts. The cheap tests filter the scan; what is
-        superseded or retracted is one set of ids, whose anti-join sees only rows that the clock lets through."""
+        superseded or retracted is one set of ids, whose anti-join sees only rows that the clock lets through. It is
+        merged: the set grows with the facts, and its compressed size would have it broadcast."""
         rows = (self.facts if facts is None else facts).filter(is_current(clock.valid_at, clock.known_at))
         applies = (F.col("recorded_at") <= clock.known_at) & (F.col("valid_from") <= clock.valid_at)
         replaced = self.supersessions.filter(applies).select(F.col("prior").alias("id"))
         ended = self.retractions.filter((F.col("recorded_at") <= clock.known_at) & (F.col("valid_until") <= clock.valid_at)).select(F.col("fact_id").alias("id"))
-        return rows.join(replaced.unionByName(ended), "id", "left_anti")
+        return rows.join(replaced.unionByName(ended).hint("merge"), "id", "left_anti")
 
     def view(self, valid_at: int, known_at: int) -> View:
         """Visible nodes, and active facts between visible nodes."""

@@ -25,7 +25,7 @@ from palimpsest.sources import codec, derived, event_log, json_arrays
 from palimpsest.sources.clustered import ClusteredProjection
 from palimpsest.sources.derived import T96, T97, T98, table
 from palimpsest.sources.snapshot import SnapshotStore
-from palimpsest.sources.storage import materialize, shared_dir, ship, with_positions
+from palimpsest.sources.storage import materialize, shared_dir, ship, tasks_for, with_positions
 from palimpsest.streaming import folds, log_source
 from palimpsest.streaming.projection_store import ProjectionStore
 from palimpsest.streaming.subscription import CatchUpSubscription, IncrementalProjection, for_each_batch
@@ -173,6 +173,7 @@ _LOG = """WITH log AS (
 
 def user_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
+    e = e.repartition(tasks_for(e), "user_id")
     version = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
     return e.select(
         F.col("event_id").cast("long").alias("global_position"),

@@ -5,10 +5,13 @@ from builders import Log, fact, ids, node
 from fold import replay as fold_replay
 from fold import view as fold_view
 
+from pyspark.sql import functions as F
+
 from palimpsest import schema
 from palimpsest.errors import ConflictingFact, InvalidReplay, MissingEntity
 from palimpsest.operators import replay, view
-from palimpsest.operators.view import Clock
+from palimpsest.operators.view import Clock, Projection
+from palimpsest.sources import storage
 
 
 def test_late_supersession(spark):
@@ -108,3 +111,22 @@ def test_clocks_beyond_the_bound_are_taken_in_blocks(spark, monkeypatch):
     assert ("again", "f1") in whole
     monkeypatch.setattr(view, "MAX_CLOCKS", 5)
     assert shown() == whole
+
+
+def test_tasks_of_checks_and_positions_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    """However well rows compress: AQE would put all of these into one task."""
+    monkeypatch.setattr(storage, "TASK_ROWS", 500)
+    rows = spark.range(4000).select(F.col("id").cast("string").alias("key"), (F.col("id") % 3 == 0).alias("odd"), F.lit("x" * 200).alias("text"))
+    placed = storage.with_positions(rows, ["key"], "at", group="odd", group_name="own")
+    out = placed.orderBy("at").collect()
+    assert [r.at for r in out] == list(range(4000)) and [r.key for r in out] == sorted(str(n) for n in range(4000))
+    for value in (True, False):
+        own = [r.own for r in out if r.odd == value]
+        assert own == list(range(len(own)))
+    facts = spark.range(4000).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("id"), F.lit("hub").alias("source"), F.lit("hub").alias("target"), F.lit(0).cast("long").alias("valid_from"), F.lit(0).cast("long").alias("recorded_at"), F.lit(None).cast("string").alias("supersedes"))
+    nodes = spark.createDataFrame([("other",)], "id string")
+    gone = facts.select(F.col("id").alias("fact_id"), F.lit(5).cast("long").alias("valid_until"), "recorded_at")
+    found = replay.state_problems(Projection(nodes, facts, replay.supersessions_of(facts), gone, None))
+    assert [tuple(r) for r in found.collect()] == [("MissingEntity", "hub")]
+    plan = found._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan and ", 8)" in plan
