@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from palimpsest.errors import InvalidValue
 from palimpsest.sources.storage import opened, ship
 
 BLOCK_BYTES = 8 << 20
+TASK_BYTES = 4 << 20  # smaller blocks share a task
 MAX_TASKS = 10_000  # a task takes several blocks beyond this
 BATCH_BYTES = 8 << 20
 
@@ -109,13 +111,13 @@ def read_elements(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES
     ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "length").filter("length > 0")
     blocks = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {block_bytes}"))).alias("block"))
-    tasks = max(1, min(MAX_TASKS, blocks.count()))
+    tasks = max(1, min(MAX_TASKS, blocks.count() // max(1, TASK_BYTES // block_bytes)))
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = lru_cache(64)(_reader)
         for batch in batches:
-            for path_, block in zip(batch.path, batch.block, strict=True):
-                found = summary(_reader(path_)(int(block) * block_bytes, block_bytes))
-                yield pd.DataFrame({"path": [path_], "block": [block], "ends": [[e for e, _ in found]], "depths": [[d for _, d in found]]})
+            found = [summary(read(path_)(int(block) * block_bytes, block_bytes)) for path_, block in zip(batch.path, batch.block, strict=True)]
+            yield pd.DataFrame({"path": batch.path, "block": batch.block, "ends": [[e for e, _ in f] for f in found], "depths": [[d for _, d in f] for f in found]})
 
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
         state, depth, out = OUTSIDE, 0, []
@@ -125,16 +127,17 @@ def read_elements(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES
         return pd.DataFrame(out, columns=["path", "block", "state", "depth"])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = lru_cache(64)(_reader)
         for batch in batches:
+            rows, held = [], 0
             for row in batch.itertuples(index=False):
-                rows, held = [], 0
-                for at, value in elements(_reader(row.path), int(row.block) * block_bytes, block_bytes, block_bytes, row.state, row.depth):
+                for at, value in elements(read(row.path), int(row.block) * block_bytes, block_bytes, block_bytes, row.state, row.depth):
                     rows.append((row.path, at, value.decode()))
                     held += len(value)
                     if held >= BATCH_BYTES:
                         yield pd.DataFrame(rows, columns=["path", "offset", "value"])
                         rows, held = [], 0
-                yield pd.DataFrame(rows, columns=["path", "offset", "value"])
+            yield pd.DataFrame(rows, columns=["path", "offset", "value"])
 
     spread = blocks.repartition(tasks, "path", "block")
     starts = spread.mapInPandas(summarise, "path string, block long, ends array<int>, depths array<long>").groupBy("path").applyInPandas(settle, "path string, block long, state int, depth long")

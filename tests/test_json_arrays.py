@@ -77,3 +77,9 @@ def test_written_arrays_and_damaged_elements(spark, tmp_path):
 def test_predictions_as_an_array(spark, tmp_path):
     (tmp_path / "p.json").write_text(' \n[{"case_id": "q", "ranked_ids": ["a"]},\n{"case_id": "r", "ranked_ids": []}]')
     assert sorted((r[0], r[1]) for r in evaluation.read_predictions(spark, str(tmp_path / "p.json")).collect()) == [("q", ["a"]), ("r", [])]
+
+
+def test_small_blocks_share_tasks(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"n": n, "text": "x" * 90} for n in range(3000)]))
+    found = json_arrays.read_elements(spark, str(tmp_path), block_bytes=1 << 10)
+    assert found.count() == 3000 and found.rdd.getNumPartitions() < 10
