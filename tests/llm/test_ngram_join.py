@@ -106,6 +106,20 @@ def test_many_texts_around_one_passage(spark):
     assert {tuple(x) for x in ngram_join.join(spark.createDataFrame(rows, SCHEMA)).collect()} == brute_force(rows)
 
 
+def test_counts_of_shared_columns_leave_a_block_as_lists(spark, monkeypatch):
+    """A table of more blocks has no more rows of counts: each key has one, whatever the blocks that count it."""
+    import numpy as np
+
+    monkeypatch.setattr(ngram_join, "BLOCK_ENTRIES", 20)
+    r = np.random.default_rng(8)
+    sets = {k: np.unique(r.integers(0, 64, 16, dtype=np.uint64) << np.uint64(58)) for k in range(50)}
+    rows = spark.createDataFrame([(k, bytes(h.tobytes())) for k, h in sets.items()], "key bigint, hashes binary").repartition(3)
+    counts = ngram_join.shared_counts(rows, 800, 16)
+    assert "place#" in counts._jdf.queryExecution().analyzed().toString()
+    found = [(x.key, x.shared) for x in counts.collect()]
+    assert len(found) == len(sets) and all(n >= len(sets[k]) for k, n in found)
+
+
 def test_nulls_repeats_and_clashing_columns(spark):
     text = "one two three four five six"
     rows = [(5, text, 0), (5, text, 1), (3, text, 2), (None, text, 3), (7, None, 4), (8, "  \n", 5), (9, "Only FOUR words here", 6), (2, "only four words here", 7), (4, "x y é 你好 z 🙂 w", 8)]
