@@ -106,6 +106,22 @@ def test_many_texts_around_one_passage(spark):
     assert {tuple(x) for x in ngram_join.join(spark.createDataFrame(rows, SCHEMA)).collect()} == brute_force(rows)
 
 
+@pytest.mark.parametrize("sizes, most", [({}, 1), ({"SIDE": 7, "WIDTH": 5}, 1), ({"LEFT_ENTRIES": 0}, 40)])
+def test_near_texts_that_are_not_linked_are_settled_at_once(spark, monkeypatch, sizes, most):
+    """Texts around one frame of which few are linked: a round, and not one for every few pivots; also by
+    differences alone, as larger groups are."""
+    for name, value in sizes.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    turns, pairs_of = [], ngram_join.pairs_of
+    monkeypatch.setattr(ngram_join, "pairs_of", lambda cells, turn: turns.append(turn) or pairs_of(cells, turn))
+    r = random.Random(5)
+    frame = [f"f{i}" for i in range(60)]
+    rows = [(i, " ".join(frame[: r.choice((52, 60))] + [f"x{r.randrange(12)}_{k}" for k in range(12)])) for i in range(120)]
+    rows += [(200 + i, rows[i][1] + " tail") for i in range(0, 120, 9)]
+    assert {tuple(x) for x in ngram_join.join(spark.createDataFrame(rows, SCHEMA)).collect()} == brute_force(rows)
+    assert len(turns) <= most
+
+
 def test_counts_of_shared_columns_leave_a_block_as_lists(spark, monkeypatch):
     """A table of more blocks has no more rows of counts: each key has one, whatever the blocks that count it."""
     import numpy as np
