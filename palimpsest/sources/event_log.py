@@ -13,6 +13,7 @@ import json
 import uuid
 from dataclasses import dataclass
 from enum import Enum
+from itertools import accumulate
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +22,11 @@ from pyspark.sql import functions as F
 from palimpsest import schema
 from palimpsest.errors import Corruption, DuplicateEvent, ExternalModification, InvalidValue, VersionConflict
 from palimpsest.functions.text import is_bad_text
-from palimpsest.sources.storage import content_digest, materialize, with_positions
+from palimpsest.sources.storage import TASK_ROWS, content_digest, in_ranges, materialize, write_digested
 
 CHECKPOINT_EVERY = 32
+#: Row groups of a batch are small, so that a range of positions is read by the groups that hold it.
+BLOCK_BYTES = 8 << 20
 
 
 class ExpectedVersion:
@@ -184,6 +187,19 @@ class EventLog:
 
     # ---- append
 
+    def _repeated_id(self, rows: DataFrame, n: int, near: list[dict]) -> str | None:
+        """An id that the n rows hold twice, or that they share with the batches near. Only their ids are read, and meet as
+        64-bit hashes; the ids themselves are compared where two hashes are equal."""
+        hashed = lambda df, own: df.select(F.xxhash64("id").alias("h"), F.lit(own).alias("own"))
+        both = hashed(rows, True).unionByName(hashed(self._batches(near), False)) if near else hashed(rows, True)
+        tasks = -(-(n + sum(m["rows"] for m in near)) // TASK_ROWS)
+        met = both.repartition(tasks, "h").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("own")).filter("n > 1 AND own > 0")
+        if met.agg(F.min("h")).first()[0] is None:
+            return None
+        twice = rows.groupBy("id").count().filter("count > 1").select("id").limit(1).collect()
+        known = self._batches(near).select("id").join(rows.select("id"), "id", "left_semi").limit(1).collect() if near else []
+        return (twice or known)[0]["id"] if twice or known else None
+
     def append(self, stream: str, expected: str | int, events: DataFrame, order: tuple[str, ...] = ("recorded_at", "id")) -> AppendReceipt:
         """Append a batch (schema.EVENT) to one stream, all of it or nothing. The order columns give
         the batch's order. An empty batch checks the version and creates nothing."""
@@ -195,36 +211,40 @@ class EventLog:
             raise VersionConflict(stream, None, last)
         if isinstance(expected, int) and last != expected:
             raise VersionConflict(stream, expected, last)
-        # Written once: what is checked is what is stored, whatever the plan of events reads.
-        draft = materialize(events.select(*[c.strip().split(" ")[0] for c in _columns(schema.EVENT)]), "append-draft")
-        span = draft.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).first()
-        n = span["n"]
+        # Written once, in order: what is checked is what is stored, whatever the plan of events reads.
+        names = [c.strip().split(" ")[0] for c in _columns(schema.EVENT)]
+        held = materialize(in_ranges(events.select(*names), list(order)), "append-draft")
+        bad = is_bad_text(F.col("id")) | is_bad_text(F.col("event_type")) | (F.col("occurred_at") > F.col("recorded_at"))
+        spans = [F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.min(F.when(bad, F.struct("id"))).alias("bad")]
+        # One row for each range of TASK_ROWS rows.
+        parts = sorted(held.groupBy("_part").agg(*spans).collect())
+        n = sum(p["n"] for p in parts)
         if not n:
             return AppendReceipt()
         if n > self.options.max_batch_rows:
             raise InvalidValue(f"a batch of {n} rows is larger than max_batch_rows")
-        bad = draft.filter(is_bad_text(F.col("id")) | is_bad_text(F.col("event_type")) | (F.col("occurred_at") > F.col("recorded_at"))).limit(1).collect()
-        if bad:
-            raise InvalidValue(f"event {bad[0]['id']}: text or times")
-        # Only batches whose ids may overlap with these are read, and of them the ids.
-        near = [m for m in manifests if m["first_id"] <= span["high"] and m["last_id"] >= span["low"]]
-        twice = draft.groupBy("id").count().filter("count > 1").select("id").limit(1).collect()
-        known = self._batches(near).select("id").join(draft.select("id"), "id", "left_semi").limit(1).collect() if near else []
-        if twice or known:
-            raise DuplicateEvent((twice or known)[0]["id"])
+        wrong = [p["bad"]["id"] for p in parts if p["bad"] is not None]
+        if wrong:
+            raise InvalidValue(f"event {wrong[0]}: text or times")
+        low, high = min(p["low"] for p in parts), max(p["high"] for p in parts)
+        repeated = self._repeated_id(held, n, [m for m in manifests if m["first_id"] <= high and m["last_id"] >= low])
+        if repeated is not None:
+            raise DuplicateEvent(repeated)
         base, version = sum(m["rows"] for m in manifests), -1 if last is None else last
-        rows = with_positions(draft, list(order), "_at").withColumns(
-            {"stream_id": F.lit(stream), "stream_version": F.col("_at") + (version + 1), "global_position": F.col("_at") + base}
-        )
+        sizes = {p["_part"]: p["n"] for p in parts}
+        before = [0, *accumulate(sizes.get(i, 0) for i in range(max(sizes)))]
+        at = F.get(F.lit(before), F.col("_part")) + F.col("_row")
+        rows = held.withColumns({"stream_id": F.lit(stream), "stream_version": at + (version + 1), "global_position": at + base})
+        rows = rows.select(*names, "stream_id", "stream_version", "global_position")
         number = len(manifests)
         batch = f"{number:08d}-{uuid.uuid4().hex}"
-        rows.select(*[c.strip().split(" ")[0] for c in _columns(schema.STORED_EVENT)]).write.parquet(f"{self.path}/_tmp-{batch}")
+        digest = write_digested(rows, f"{self.path}/_tmp-{batch}", BLOCK_BYTES)
         if not self._fs.rename(self._fs_path(f"{self.path}/_tmp-{batch}"), self._fs_path(f"{self.path}/batches/{batch}")):
             self._fs.delete(self._fs_path(f"{self.path}/_tmp-{batch}"), True)
             raise ExternalModification(f"batch {batch} could not be put in place")
         manifest = {
             "number": number, "stream": stream, "batch": batch, "rows": n, "last_stream_version": version + n, "last_global_position": base + n - 1,
-            "first_id": span["low"], "last_id": span["high"], "digest": content_digest(self._batches([{"batch": batch}])),
+            "first_id": low, "last_id": high, "digest": digest if _stored_as(rows) else content_digest(self._batches([{"batch": batch}])),
         }
         try:
             self._place(f"manifests/{number:08d}.json", json.dumps(manifest))
@@ -236,6 +256,11 @@ class EventLog:
         return AppendReceipt(n, version + 1, version + n, base, base + n - 1)
 
 
+def _stored_as(rows: DataFrame) -> bool:
+    """Rows of just the types in which a batch is read again; others (an int for a bigint, other fields of a struct) may read differently."""
+    return rows.dtypes == rows.sparkSession.createDataFrame([], schema.STORED_EVENT).dtypes
+
+
 def _columns(ddl: str) -> list[str]:
     out, depth = [], 0
     for piece in ddl.split(","):

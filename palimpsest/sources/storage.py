@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.errors import InvalidValue
@@ -58,16 +58,25 @@ def tasks_for(df: DataFrame) -> int:
     return max(1, -(-df.count() // TASK_ROWS))
 
 
+def _place() -> Column:
+    """A row's place in its partition."""
+    return F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+
+
+def in_ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """df with _part and _row: a range of the order, and the place in it. Both stay as they are once this is written."""
+    ranged = df.repartitionByRange(tasks_for(df), *order).sortWithinPartitions(*order)
+    return ranged.withColumn("_part", F.spark_partition_id()).withColumn("_row", _place())
+
+
 def with_positions(df: DataFrame, order: list[str], name: str = "position", base: int = 0, group: str | None = None, group_name: str = "group_position") -> DataFrame:
     """Contiguous positions in a total order, without one task for all rows: rows are range
     partitioned and sorted, and each partition starts where the ones before it end. With a group
     column, also positions within each group, in the same order: a group may hold all rows."""
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    ranged = df.repartitionByRange(tasks_for(df), *order).sortWithinPartitions(*order)
-    ranged = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_row", row)
+    ranged = in_ranges(df, order)
     if group:
         # Sorted again where they are, a group's rows of a partition stand together, still in order.
-        ranged = ranged.sortWithinPartitions(group, "_row").withColumn("_place", row)
+        ranged = ranged.sortWithinPartitions(group, "_row").withColumn("_place", _place())
     held = materialize(ranged, "ordered")
     counts = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     # One row for each partition: a few thousand at most.
@@ -84,9 +93,25 @@ def with_positions(df: DataFrame, order: list[str], name: str = "position", base
     return rows.drop("_part", "_row", "_before")
 
 
+def _digest_sums(df: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """df with two hashes of each row (maps by sorted entries), and what a digest holds of them."""
+    flat = [F.array_sort(F.map_entries(c)).alias(c) if kind.startswith("map") else F.col(c) for c, kind in sorted(df.dtypes)]
+    row = F.to_json(F.struct(*flat))
+    # Bound by a lambda, a row's text is made once for both hashes.
+    both = F.transform(F.array(row), lambda text: F.struct(*[F.xxhash64(F.lit(seed), text).alias(f"h{seed}") for seed in (1, 2)]))[0]
+    hashed = df.withColumn("_digest", both)
+    return hashed, [F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"_digest.h{seed}").cast("decimal(38,0)")).alias(f"h{seed}") for seed in (1, 2)]]
+
+
 def content_digest(df: DataFrame) -> str:
-    """Independent of the order of rows: count, and the sum of two row hashes (maps by sorted entries)."""
-    flat = df.select(*[F.array_sort(F.map_entries(c)).alias(c) if kind.startswith("map") else F.col(c) for c, kind in sorted(df.dtypes)])
-    row = F.to_json(F.struct(*flat.columns))
-    sums = [F.sum(F.xxhash64(F.lit(seed), row).cast("decimal(38,0)")).alias(f"h{seed}") for seed in (1, 2)]
-    return ":".join(str(x) for x in flat.agg(F.count(F.lit(1)), *sums).first())
+    """Independent of the order of rows: count, and the sums of two row hashes."""
+    hashed, sums = _digest_sums(df)
+    return ":".join(str(x) for x in hashed.agg(*sums).first())
+
+
+def write_digested(df: DataFrame, path: str, block: int) -> str:
+    """Write df with row groups of block bytes, and return the digest of its content, taken in the same pass."""
+    hashed, sums = _digest_sums(df)
+    told = Observation()
+    hashed.observe(told, *sums).drop("_digest").write.option("parquet.block.size", block).parquet(path)
+    return ":".join(str(told.get[c]) for c in ("n", "h1", "h2"))

@@ -10,6 +10,7 @@ from palimpsest.operators import replay
 from palimpsest.sources import codec, event_log
 from palimpsest.sources.event_log import EventLog, ExpectedVersion, LogOptions, RecoveryPolicy, position_problems
 from palimpsest.sources.snapshot import SnapshotStore
+from palimpsest.sources.storage import content_digest
 from palimpsest.streaming.subscription import WRITE_EVERY, CatchUpSubscription, IncrementalProjection, for_each_batch
 
 
@@ -169,3 +170,45 @@ def test_codecs(spark):
         rows.select(small.encode(F.col("v"))).collect()
     with pytest.raises(InvalidValue):
         codec.StaticKey("", b"k" * 32)
+
+
+def plain_events(spark, name, n):
+    at = F.col("id").cast("long")
+    none = F.lit(None).cast("string")
+    names = [F.format_string(f"{name}%05d", "id").alias("id"), F.lit("seen").alias("event_type"), at.alias("occurred_at"), at.alias("recorded_at"), F.lit("a").alias("agent_id"), F.lit("s").alias("session_id")]
+    return spark.range(n).select(*names, none.alias("correlation_id"), none.alias("causation_id"), F.lit(None).cast(schema.PAYLOAD).alias("payload"))
+
+
+def test_append_makes_few_passes(spark, tmp_path):
+    """A batch is written in order, checked in two passes and stored in one, whatever the log holds."""
+    log = EventLog.open(spark, f"file://{tmp_path}/log")
+    log.append("s", ExpectedVersion.NO_STREAM, plain_events(spark, "a", 500))
+    spark.sparkContext.setJobGroup("append", "one append")
+    try:
+        log.append("t", ExpectedVersion.NO_STREAM, plain_events(spark, "a001x", 500))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("append")) <= 14
+    log.verify()
+    rows = log.load_all(499).collect()
+    assert [(r["id"], r["stream_version"], r["global_position"]) for r in rows] == [(f"a001x{i:05d}", i, 500 + i) for i in range(500)]
+
+
+def test_ids_are_compared_where_hashes_are_equal(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(event_log.F, "xxhash64", lambda *c: F.lit(7).cast("long"))
+    log = EventLog.open(spark, f"file://{tmp_path}/log")
+    log.append("s", ExpectedVersion.NO_STREAM, plain_events(spark, "a", 20))
+    log.append("s", 19, plain_events(spark, "b", 20))
+    for events in (plain_events(spark, "b", 21), plain_events(spark, "c", 3).unionByName(plain_events(spark, "c", 1))):
+        with pytest.raises(DuplicateEvent):
+            log.append("s", 39, events)
+    assert log.count() == 40
+
+
+def test_digest_is_of_what_is_read_again(spark, tmp_path):
+    """Also where the events come with other types than the log's."""
+    log = EventLog.open(spark, f"file://{tmp_path}/log")
+    log.append("s", ExpectedVersion.NO_STREAM, plain_events(spark, "a", 20))
+    log.append("s", 19, plain_events(spark, "b", 20).withColumn("recorded_at", F.col("recorded_at").cast("int")))
+    log.verify()
+    assert [m["digest"] for m in log._manifests()] == [content_digest(log.batch_rows(n, n)) for n in (0, 1)]
