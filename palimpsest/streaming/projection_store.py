@@ -1,19 +1,24 @@
-"""A projection that is kept up to date in place: tables bucketed by entity and by fact, of which a batch of
-events rewrites only the buckets that it touches.
+"""A projection that is kept up to date in place: a batch of events is written once, as it comes, and now and then what
+came in is merged into tables bucketed by entity and by fact.
 
+pending   events that the tables don't hold yet, a folder for each batch, named by the position at which it starts
 nodes     revisions, bucketed by entity
 facts     facts with what came after them: the fact that replaces a fact and its last retraction stand on the
           fact's own row, so a read at a clock is a filter and needs no anti-join; bucketed by fact
 streams   the last version of each stream
-cursor    the global position up to which the tables hold everything, written last
+cursor    the global position up to which a read sees everything, written last
+folded    the global position up to which nodes and facts hold everything
 
-A batch is an upsert: rows of its buckets are read, merged with it and written back by Spark's dynamic partition
-overwrite, which replaces whole buckets at its commit. A batch that failed half-way, or is delivered again by a
-stream, is merged again: what the tables hold beyond the cursor is left out when it is read, and events up to the
-cursor are skipped. Checks run against the touched buckets alone.
+So what a batch writes grows with the batch, not with the state. A read merges what is pending with the buckets.
+Pending events are folded into the buckets that they touch, by Spark's dynamic partition overwrite, once they are as
+many as the events folded before: over any number of batches a row is rewritten about as often as the state doubled.
+
+A batch that failed half-way, or is delivered again by a stream, is merged again: its folder is the same and replaced,
+what lies beyond the cursor is left out when it is read, and events up to the cursor are skipped. A fold that failed
+half-way is left out likewise, as its events are still pending. Checks run against the touched buckets alone.
 
 A bucket that outgrows a task is written as several files by several tasks. The number of buckets is fixed when
-the store is made and should fit the state that is expected: a batch rewrites a bucket for each entity and fact
+the store is made and should fit the state that is expected: a fold rewrites a bucket for each entity and fact
 that it touches, at most.
 """
 
@@ -29,7 +34,6 @@ from palimpsest import schema
 from palimpsest.errors import InvalidValue
 from palimpsest.operators import replay
 from palimpsest.operators.view import Projection, View, is_current
-from palimpsest.sources.storage import materialize
 from palimpsest.streaming import log_source
 
 #: What a fact's row has beside the fact: its replacement, and its last retraction.
@@ -42,6 +46,11 @@ TABLES = {
 }
 
 
+#: The first batch, often a load of all there is, is folded at once; later ones from so many on, if they hold as many events as
+#: the buckets, and in any case at the second number.
+FOLD_FROM, FOLD_AT = 16, 256
+
+
 class ProjectionStore:
     """The tables below a folder that Spark reads and writes."""
 
@@ -60,33 +69,64 @@ class ProjectionStore:
         ddl = f"{TABLES[name]}, bucket int"
         return self.spark.read.schema(ddl).parquet(f"{self.path}/{name}") if self._exists(name) else self.spark.createDataFrame([], ddl)
 
+    def _marked(self, name: str) -> int | None:
+        return self.spark.read.schema("position bigint").parquet(f"{self.path}/{name}").agg(F.max("position")).first()[0] if self._exists(name) else None
+
+    def _mark(self, name: str, position: int) -> None:
+        self.spark.range(1).select(F.lit(position).cast("long").alias("position")).coalesce(1).write.mode("append").parquet(f"{self.path}/{name}")
+
     def position(self) -> int | None:
-        """The last position that the tables hold, None for an empty store."""
-        return self.spark.read.schema("position bigint").parquet(f"{self.path}/cursor").agg(F.max("position")).first()[0] if self._exists("cursor") else None
+        """The last position that a read sees, None for an empty store."""
+        return self._marked("cursor")
+
+    def _folded(self) -> int | None:
+        """The last position that the buckets hold: of a store that never had pending events, the cursor."""
+        return self._marked("folded") if self._exists("folded") or self._exists("pending") else self.position()
+
+    def _starts(self) -> list[int]:
+        """The positions at which pending batches start."""
+        if not self._exists("pending"):
+            return []
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/pending")
+        found = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+        return sorted(int(s.getPath().getName().removeprefix("since=")) for s in found if s.getPath().getName().startswith("since="))
+
+    def _pending(self, folded: int | None, upto: int | None) -> DataFrame:
+        """Events behind the buckets, as of a position."""
+        first = 0 if folded is None else folded + 1
+        paths = [f"{self.path}/pending/since={s}" for s in self._starts() if first <= s and upto is not None and s <= upto]
+        if not paths:
+            return self.spark.createDataFrame([], schema.STORED_EVENT)
+        return self.spark.read.schema(schema.STORED_EVENT).parquet(*paths).filter(F.col("global_position").between(first, upto))
 
     def table(self, name: str, buckets: list[int] | None = None, upto: int | None = None) -> DataFrame:
         """A table as of the cursor (given, or the store's own), in the given buckets or all."""
         upto = self.position() if upto is None else upto
+        folded = upto if name == "streams" else self._folded()
         rows = self._raw(name)
         rows = rows if buckets is None else rows.filter(F.col("bucket").isin(buckets))
-        rows = rows.filter(F.col("position") <= (-1 if upto is None else upto))
-        if name != "facts":
+        rows = rows.filter(F.col("position") <= (-1 if folded is None else folded)).drop("bucket")
+        if name == "streams":
             return rows
-        blank = {c: F.when(F.col("replaced_position") <= upto, F.col(c)) for c in ("replacement", "replaced_from", "replaced_at", "replaced_position")}
-        blank |= {c: F.when(F.col("ended_position") <= upto, F.col(c)) for c in ("ended_until", "ended_at", "ended_position")}
-        return rows.withColumns(blank)
+        near = lambda df, *keys: df if buckets is None else df.filter(functools.reduce(Column.__or__, [F.coalesce(self._bucket(k).isin(buckets), F.lit(False)) for k in keys]))
+        nodes, facts, gone = replay._tables(self._pending(folded, upto))
+        if name == "nodes":
+            return rows.unionByName(near(nodes, "id"))
+        blank = {c: F.when(F.col("replaced_position") <= folded, F.col(c)) for c in ("replacement", "replaced_from", "replaced_at", "replaced_position")}
+        blank |= {c: F.when(F.col("ended_position") <= folded, F.col(c)) for c in ("ended_until", "ended_at", "ended_position")}
+        return near(merge_facts(rows.withColumns(blank), near(facts, "id", "supersedes"), near(gone, "fact_id")), "id")
 
     def _projection(self, nodes: DataFrame, facts: DataFrame, position: int | None) -> Projection:
         replaced = facts.filter("replacement IS NOT NULL").select(F.col("id").alias("prior"), "replacement", F.col("replaced_from").alias("valid_from"), F.col("replaced_at").alias("recorded_at"))
         ended = facts.filter("ended_position IS NOT NULL").select(F.col("id").alias("fact_id"), F.col("ended_until").alias("valid_until"), F.col("ended_at").alias("recorded_at"))
-        return Projection(nodes.drop("bucket"), facts.drop("bucket", *LATER_NAMES), replaced, ended, position)
+        return Projection(nodes, facts.drop(*LATER_NAMES), replaced, ended, position)
 
     def projection(self) -> Projection:
         at = self.position()
         return self._projection(self.table("nodes", upto=at), self.table("facts", upto=at), at)
 
     def view(self, valid_at: int, known_at: int) -> View:
-        """As Projection.view, from the facts' own rows: no anti-join."""
+        """As Projection.view, from the facts' own rows."""
         at = self.position()
         nodes = self._projection(self.table("nodes", upto=at), self.table("facts", upto=at), at).visible_nodes(known_at)
         replaced = (F.col("replaced_at") <= known_at) & (F.col("replaced_from") <= valid_at)
@@ -95,7 +135,7 @@ class ProjectionStore:
         ids = nodes.select("id")
         for end in ("source", "target"):
             facts = facts.join(ids.select(F.col("id").alias(end)), end, "left_semi")
-        return View(nodes, facts.drop("bucket", *LATER_NAMES))
+        return View(nodes, facts.drop(*LATER_NAMES))
 
     # ---- writes
 
@@ -115,33 +155,53 @@ class ProjectionStore:
         """Merge a batch (schema.STORED_EVENT) and return the new position. strict raises its first error and
         leaves the store as it was."""
         at = self.position()
-        batch = materialize(events.filter(F.col("global_position") > (-1 if at is None else at)), "batch")
+        if at is not None and not self._exists("pending") and not self._exists("folded"):
+            self._mark("folded", at)
+        path = f"{self.path}/pending/since={0 if at is None else at + 1}"
+        events.filter(F.col("global_position") > (-1 if at is None else at)).write.mode("overwrite").parquet(path)
+        batch = self.spark.read.schema(schema.STORED_EVENT).parquet(path)
         last = batch.agg(F.max("global_position")).first()[0]
         if last is None:
             return at
-        nodes, facts, gone = replay._tables(batch)
-        own_nodes, own_facts = nodes.select("id"), facts.select("id")
-        ends = [facts.select("source"), facts.select("target")]
-        changed = [facts.select("supersedes"), gone.select("fact_id")]
-        node_buckets, fact_buckets = self._touched([own_nodes]), self._touched([own_facts, *changed])
-        old_facts = self.table("facts", fact_buckets, at)
+        newest = batch.groupBy("stream_id").agg(F.max("stream_version").alias("stream_version"), F.max("global_position").alias("position"))
+        stream_buckets = self._touched([newest.select("stream_id")])
         # A stream keeps the version before as well, for a batch that is merged again: the greatest up to the cursor counts.
-        old_streams = self.table("streams", None, at).groupBy("stream_id").agg(F.max(F.struct("stream_version", "position")).alias("s")).select("stream_id", "s.*")
+        old_streams = self.table("streams", stream_buckets, -1 if at is None else at).groupBy("stream_id").agg(F.max(F.struct("stream_version", "position")).alias("s")).select("stream_id", "s.*")
         if strict:
-            near_nodes = self.table("nodes", self._touched([own_nodes, *ends]), at)
-            known = self._projection(near_nodes, old_facts, at)
-            replay.raise_first(replay.violations(batch, replay.Cursor(at, old_streams.select("stream_id", "stream_version")), known))
-        merged = merge_facts(old_facts.drop("bucket"), facts, gone)
+            self._check(batch, at, old_streams)
+        self._overwrite(old_streams.unionByName(newest), "streams", "stream_id")
+        self._mark("cursor", last)
+        folded, waiting = self._folded(), len(self._starts())
+        if folded is None or waiting >= FOLD_AT or waiting >= FOLD_FROM and last - folded >= folded + 1:
+            self.fold()
+        return last
+
+    def _check(self, batch: DataFrame, at: int | None, old_streams: DataFrame) -> None:
+        nodes, facts, gone = replay._tables(batch)
+        node_buckets = self._touched([nodes.select("id"), facts.select("source"), facts.select("target")])
+        fact_buckets = self._touched([facts.select("id"), facts.select("supersedes"), gone.select("fact_id")])
+        before = -1 if at is None else at
+        known = self._projection(self.table("nodes", node_buckets, before), self.table("facts", fact_buckets, before), at)
+        replay.raise_first(replay.violations(batch, replay.Cursor(at, old_streams.select("stream_id", "stream_version")), known))
+
+    def fold(self) -> None:
+        """Merge what is pending into the buckets that it touches. The mark is written last, then what was pending goes."""
+        at, folded = self.position(), self._folded()
+        if at is None or at == folded:
+            return
+        nodes, facts, gone = replay._tables(self._pending(folded, at))
+        node_buckets = self._touched([nodes.select("id")])
+        fact_buckets = self._touched([facts.select("id"), facts.select("supersedes"), gone.select("fact_id")])
         if fact_buckets:
-            self._overwrite(merged, "facts", "id")
+            self._overwrite(self.table("facts", fact_buckets, at), "facts", "id")
         if node_buckets:
-            self._overwrite(self.table("nodes", node_buckets, at).drop("bucket").unionByName(nodes), "nodes", "id")
-        newest = batch.groupBy("stream_id").agg(F.max("stream_version").alias("stream_version"), F.max("global_position").alias("position"))
-        stream_buckets = self._touched([newest.select("stream_id")])
-        kept = old_streams.filter(self._bucket("stream_id").isin(stream_buckets))
-        self._overwrite(kept.unionByName(newest), "streams", "stream_id")
-        self.spark.range(1).select(F.lit(last).cast("long").alias("position")).coalesce(1).write.mode("append").parquet(f"{self.path}/cursor")
-        return last
+            self._overwrite(self.table("nodes", node_buckets, at), "nodes", "id")
+        self._mark("folded", at)
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for start in self._starts():
+            if start <= at:
+                old = path(f"{self.path}/pending/since={start}")
+                old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     def follow(self, log_path: str, checkpoint: str, max_events: int, strict: bool = True) -> StreamingQuery:
         """A running query that applies the log in micro-batches of max_events, and goes on where it stopped."""

@@ -9,7 +9,7 @@ from palimpsest.operators import replay
 from palimpsest.operators.view import _same
 from palimpsest.sources.event_log import EventLog, ExpectedVersion
 from palimpsest.sources.storage import ship
-from palimpsest.streaming import folds, log_source
+from palimpsest.streaming import folds, log_source, projection_store
 from palimpsest.streaming.projection_store import ProjectionStore
 
 COLUMNS = ["id", "event_type", "occurred_at", "recorded_at", "agent_id", "session_id", "correlation_id", "causation_id", "payload"]
@@ -169,6 +169,51 @@ def test_bytes_grow_with_the_batch(spark, tmp_path):
     assert store.projection().equals(replay.replay(log.frame(spark), strict=False).projection)
 
 
+def test_batches_write_what_they_bring(spark, tmp_path):
+    """Batches that touch all buckets don't rewrite what the store holds."""
+    log, store, written = Log(), ProjectionStore(spark, f"file://{tmp_path}/state", buckets=4), []
+    for batch in range(6):
+        for i in range(400):
+            log.node(batch, f"n{batch}-{i}", attributes={"text": f"{i * 7919}"})
+        before = set((tmp_path / "state").rglob("*.parquet"))
+        store.apply(log.frame(spark).filter(f"global_position >= {400 * batch}"), strict=False)
+        written.append(sum(p.stat().st_size for p in set((tmp_path / "state").rglob("*.parquet")) - before))
+    assert written[5] < 1.5 * written[1]
+    assert store.table("nodes").count() == 2400
+
+
+def test_pending_batches_are_folded(spark, tmp_path, monkeypatch):
+    """A read is the same before a fold, after one and after one that stopped half-way."""
+    monkeypatch.setattr(projection_store, "FOLD_FROM", 2)
+    rows = small_log().frame(spark)
+    store = ProjectionStore(spark, f"file://{tmp_path}/state", buckets=4)
+    pending, real, fails = [], store._overwrite, []
+
+    def lost(df, name, key):
+        real(df, name, key)
+        if name in fails:
+            raise OSError("lost")
+
+    monkeypatch.setattr(store, "_overwrite", lost)
+    for low, high in ((0, 4), (4, 6), (6, 8), (8, 10), (10, 12)):
+        part = rows.filter(f"global_position >= {low} AND global_position < {high}")
+        store.apply(part)
+        pending.append(store._starts())
+        whole = replay.replay(rows.filter(f"global_position < {high}"), strict=False).projection
+        assert store.projection().equals(whole)
+        ours, theirs = store.view(30, 9), whole.view(30, 9)
+        assert sorted(r["id"] for r in ours.facts.collect()) == sorted(r["id"] for r in theirs.facts.collect())
+    # The first batch is folded at once, four events then with the next four; two more wait.
+    assert pending == [[], [4], [], [8], [8, 10]]
+    fails[:] = ["facts"]
+    with pytest.raises(OSError):
+        store.fold()
+    assert store._folded() == 7 and store.projection().equals(whole)
+    fails.clear()
+    store.fold()
+    assert store._starts() == [] and store._folded() == 11 and store.projection().equals(whole)
+
+
 def test_store_follows_a_stream(spark, tmp_path):
     log = stored(spark, tmp_path)
     store = ProjectionStore(spark, f"file://{tmp_path}/state", buckets=4)
