@@ -13,7 +13,7 @@ left badly filled in the best packings are then packed again across blocks, in g
 `BLOCK` pieces, starting from what they were, so no pass can make it worse.
 
 Tokens come from the given tokenizer file. Its normalisation (NFC, white space, lower case) is
-applied here, and each distinct word between white space is encoded once per worker (its pieces
+applied here, and each distinct word between white space is encoded once per worker and stage (its pieces
 never cross white space); texts in which that could differ (control characters that only Python
 takes for white space, a capital sigma, the file's special tokens) are encoded whole.
 
@@ -31,6 +31,7 @@ import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -39,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import materialize, pick
+from palimpsest.llm.common import drop_kept, giving_back, kept, materialize, pick
 
 CAPACITY = 4096
 END_ID = 1
@@ -74,13 +75,11 @@ class _Words(dict):
 class WordEncoder:
     """Token ids of texts, equal to those of the tokenizer file."""
 
-    _cached: dict[str, WordEncoder] = {}
-
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
         self.special = [t["content"].lower() for t in parts["added_tokens"]]
@@ -89,10 +88,15 @@ class WordEncoder:
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
-        """One for each worker process: what it has learned serves later tasks too."""
-        if path not in cls._cached:
-            cls._cached[path] = cls(path)
-        return cls._cached[path]
+        """One for each worker process and stage: what it has learned serves later tasks of the stage."""
+        return kept((cls, path), lambda: cls(path))
+
+    @cached_property
+    def whole(self):
+        """The tokenizer as it is, for the few texts that need it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def reset(self) -> None:
         """Forget all words. A word is a stem and a mark behind it, both numbered among the stems;
@@ -163,7 +167,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
                         uid += 1
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECE.split(", ")]).astype({"doc_id": "Int64"})
 
-    return pick(docs, "doc_id", "text").mapInPandas(cut, PIECE)
+    return pick(docs, "doc_id", "text").mapInPandas(giving_back(cut), PIECE)
 
 
 Bins = list[list[int]]
@@ -239,6 +243,7 @@ def _bins_of(numbers: pd.Series) -> Bins:
 
 
 def _evolved(frame: pd.DataFrame, start: list[Bins], seed: int, capacity: int) -> pd.DataFrame:
+    drop_kept()
     sizes = frame.length.tolist()
     best = evolve(sizes, capacity, start, seed)
     bins, fill, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)

@@ -32,6 +32,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import giving_back
+
 #: The base patterns; group 2 of the first is the value.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -269,7 +271,7 @@ def learn(docs: DataFrame, text: str = "text", max_sample: int = MAX_SAMPLE) ->
     bound = bodies.select("hash").distinct().orderBy("hash").limit(max_sample).agg(F.max("hash")).first()[0]
     some = bodies.filter(F.col("hash") <= F.lit(bound)).dropDuplicates(["hash"]).select("body")
     schema = "features array<array<string>>, tags array<int>"
-    rows = some.mapInPandas(sequences, schema).filter(F.size("tags") <= MAX_STRETCH).orderBy(F.xxhash64("features")).limit(2 * max_sample).collect()
+    rows = some.mapInPandas(giving_back(sequences), schema).filter(F.size("tags") <= MAX_STRETCH).orderBy(F.xxhash64("features")).limit(2 * max_sample).collect()
     found = [([list(f) for f in r["features"]], list(r["tags"])) for r in rows]
     for line, secrets in made_up_lines():
         found += tagged(line, secrets)

@@ -29,7 +29,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import materialize, pick
+from palimpsest.llm.common import giving_back, materialize, pick
 
 MAX_SAMPLE = 12_000
 MAX_LEARNED_WORDS = 400
@@ -126,7 +126,7 @@ def with_features(docs: DataFrame, lexicon: dict[str, float], carry: tuple[str,
             made = {"doc_id": batch.doc_id.astype("Int64"), "features": [features(t or "", matcher) for t in batch.text]}
             yield pd.DataFrame(made | {c: batch[c].astype("Int64") for c in carry})
 
-    return pick(docs, "doc_id", "text", *carry).mapInPandas(score, ", ".join(["doc_id bigint, features array<double>", *(f"{c} bigint" for c in carry)]))
+    return pick(docs, "doc_id", "text", *carry).mapInPandas(giving_back(score), ", ".join(["doc_id bigint, features array<double>", *(f"{c} bigint" for c in carry)]))
 
 
 def held_out() -> F.Column:
