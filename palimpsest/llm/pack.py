@@ -51,8 +51,10 @@ EPOCHS = 2
 POPULATION, GENERATIONS = 4, 8
 #: Bins with more free tokens than this share of the capacity are packed again across blocks.
 SLACK = 1 / 64
-#: A worker forgets what it has learned beyond so many words (about 400 bytes each).
-MAX_CACHED_WORDS = 600_000
+#: A worker forgets what it has learned beyond so many words (about 300 bytes each), but for those met again.
+MAX_CACHED_WORDS = 400_000
+#: Words that are encoded at once.
+WORDS_AT_ONCE = 8_192
 #: Marks that end a word.
 MARKS = ".,;:!?"
 #: In texts with these the parts of a text could depend on each other.
@@ -99,35 +101,49 @@ class WordEncoder:
         return Tokenizer.from_file(self.path)
 
     def reset(self) -> None:
-        """Forget all words. A word is a stem and a mark behind it, both numbered among the stems;
+        """Forget all words. A word is a stem and a mark behind it, both numbered among the words;
         number 0 is the empty one."""
-        self.words, self.stems = _Words(), _Words()
-        self.word_parts = np.zeros((0, 2), np.int32)
-        self.sizes, self.starts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.words = _Words()
+        self.met, self.word_parts = np.zeros(0, np.int32), np.zeros((0, 2), np.int32)
+        self.sizes, self.starts, self.flat = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint32)
         for mark in ("", *MARKS):
-            self.stems[mark]
-        self._learn_stems()
-
-    def _learn_stems(self) -> None:
-        new, self.stems.new = self.stems.new, []
-        ids = [e.ids for e in self.bare.encode_batch_fast(new, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
+            self.words[mark]
+        self.learn()
+
+    def forget(self) -> None:
+        """Forget the words met once since the last time, and the rarest so that half of the room is free."""
+        often = np.flatnonzero(self.met > 1)
+        often = often[np.argsort(-self.met[often], kind="stable")[: MAX_CACHED_WORDS // 2]]
+        names = list(self.words)
+        self.reset()
+        for k in often.tolist():
+            self.words[names[k]]
+        self.learn()
 
     def learn(self) -> None:
         """Encode what was seen since the last call. A mark behind letters is a piece of its own."""
         new, self.words.new = self.words.new, []
-        if new:
-            number, none = self.stems.__getitem__, 0
-            parts = [(number(w[:-1]), number(w[-1])) if w[-1] in MARKS and w[:-1].isalpha() else (number(w), none) for w in new]
-            self._learn_stems()
-            self.word_parts = np.concatenate([self.word_parts, np.array(parts, np.int32)])
+        if not new:
+            return
+        number = self.words.__getitem__
+        parts = [(number(w[:-1]), number(w[-1])) if w[-1:] in MARKS and w[:-1].isalpha() else (number(w), 0) for w in new]
+        stems, self.words.new = self.words.new, []
+        parts = np.array(parts + [(number(w), 0) for w in stems], np.int32)
+        plain = [w for w, mark in zip(new + stems, parts[:, 1].tolist(), strict=True) if not mark]
+        ids = []
+        for at in range(0, len(plain), WORDS_AT_ONCE):
+            ids += [e.ids for e in self.bare.encode_batch_fast(plain[at : at + WORDS_AT_ONCE], add_special_tokens=False)]
+        sizes = np.zeros(len(parts), np.int32)
+        sizes[parts[:, 1] == 0] = np.fromiter(map(len, ids), np.int32, len(ids))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes, dtype=np.int64) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
+        self.word_parts = np.concatenate([self.word_parts, parts])
+        self.met = np.concatenate([self.met, np.zeros(len(parts), np.int32)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.words) > MAX_CACHED_WORDS:
-            self.reset()
+            self.forget()
         number, coded = self.words.__getitem__, []
         for text in texts:
             lowered = (text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)).lower()
@@ -137,6 +153,9 @@ class WordEncoder:
                 words = lowered.split()
                 coded.append(np.fromiter(map(number, words), np.int32, len(words)))
         self.learn()
+        for code in coded:
+            if not isinstance(code, list):
+                np.add.at(self.met, code, 1)
         out = []
         for code in coded:
             if isinstance(code, list):
