@@ -205,3 +205,50 @@ def test_prefixes_of_linked_sets_meet():
         b = {x for x in a if r.random() < r.choice((0.7, 0.9, 0.95))} | set(r.sample(range(120), r.randrange(4)))
         if b and 9 * len(a & b) >= 4 * (len(a) + len(b)):
             assert set(sorted(a)[: ngram_join.prefix_length(len(a))]) & set(sorted(b)[: ngram_join.prefix_length(len(b))])
+
+
+def test_words_of_texts_are_hashed_together(monkeypatch):
+    """Not word by word, but for very long ones; and whatever stands beside a word, before and after it."""
+    import numpy as np
+
+    calls, one = [], ngram_join.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(ngram_join.xxhash, "xxh3_64_intdigest", lambda word: calls.append(word) or one(word))
+    r = random.Random(6)
+    words = ["".join(r.choice("abé\0") for _ in range(1 + k % 40)) for k in range(400)] + ["z" * 64, "z" * 65, "a", "a\0", "a\0\0"]
+    words = list(dict.fromkeys(w for w in words if w.strip()))
+    hashes = {w: int(ngram_join.word_hashes(f"{r.choice(('', ' ', chr(9)))}{w}{r.choice(('', chr(10)))}")[0]) for w in words}
+    assert len(set(hashes.values())) == len(words) and set(calls) <= {w.encode() for w in words if len(w.encode()) > ngram_join.LONG_WORD}
+    texts = [None, "", " \n ", *(" ".join(r.choices(words, k=r.randrange(12))).upper() for _ in range(300)), "tail "]
+    for limit in (1, 500, 1 << 16):
+        monkeypatch.setattr(ngram_join, "TOGETHER", limit)
+        assert all(np.array_equal(a, ngram_join.shingle_set(t)) for a, t in zip(ngram_join.shingle_sets(texts), texts, strict=True))
+    text = " ".join(words)
+    assert ngram_join.word_hashes(text).tolist() == [hashes[w] for w in text.split(" ")]
+
+
+def test_commonness_leaves_a_block_as_lists(spark, monkeypatch):
+    """A table of more blocks has no more rows of counts; frequent columns and others are counted."""
+    import numpy as np
+
+    monkeypatch.setattr(ngram_join, "BLOCK_ENTRIES", 20)
+    monkeypatch.setattr(ngram_join, "FREQUENT_ROWS", 12)
+    r = np.random.default_rng(8)
+    sets = {k << 33 | k: np.unique(r.choice(40, 16) * np.uint64(2**64 // 41)) for k in range(50)}
+    rows = spark.createDataFrame([(k, len(h), bytes(h.tobytes())) for k, h in sets.items()], "node bigint, n bigint, hashes binary").repartition(3)
+    found = ngram_join.with_commonness(rows)
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "place#" in plan and "collect_list" not in plan
+    values, counts = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+    often = {x.id: np.frombuffer(x.often, np.uint32).tolist() for x in found.collect()}
+    assert often == {k: counts[np.searchsorted(values, h)].tolist() for k, h in sets.items()}
+
+
+def test_blocks_are_found_without_sorting_cells(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    plans, write = {}, ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().sparkPlan().toString()) and write(df, name))
+    rows = spark.range(12).select(F.col("id").alias("node"), F.lit(20).cast("long").alias("n"), F.lit(22).cast("long").alias("reach"), F.array(F.col("id") % 3).alias("columns"))
+    pairs = ngram_join.pairs_of(ngram_join.size_cells(rows), 0)
+    assert sorted((x.node, x.pivot) for x in pairs.collect()) == [(k, 9 + k % 3) for k in range(9)]
+    assert "SortAggregate" not in plans["blocks"]
