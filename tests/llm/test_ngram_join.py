@@ -252,3 +252,24 @@ def test_blocks_are_found_without_sorting_cells(spark, monkeypatch):
     pairs = ngram_join.pairs_of(ngram_join.size_cells(rows), 0)
     assert sorted((x.node, x.pivot) for x in pairs.collect()) == [(k, 9 + k % 3) for k in range(9)]
     assert "SortAggregate" not in plans["blocks"]
+
+
+@pytest.mark.parametrize("most, moves", [(1_000, False), (3, True)])
+def test_texts_are_chosen_where_they_are(spark, monkeypatch, most, moves):
+    """Many ids, of which some are negative or null, are told to the tasks as bits; only those far apart shuffle texts."""
+    monkeypatch.setattr(ngram_join, "MAX_BROADCAST_IDS", 2)
+    monkeypatch.setattr(ngram_join, "MAX_BROADCAST_BITS", most)
+    r = random.Random(3)
+    ids = [*range(-70, 130), 2**62, -(2**63), None]
+    some = [*r.sample(ids[:-1], 90), 2**61]
+    docs = spark.createDataFrame([(i, f"text {i}", "x") for i in ids], "doc_id bigint, text string, n string")
+    chosen = spark.createDataFrame([(i,) for i in some], "doc_id bigint")
+    for how, wanted in (("left_semi", set(some) - {2**61}), ("left_anti", set(ids) - set(some))):
+        found = ngram_join.among(docs, chosen, how)
+        assert {(x.doc_id, x.text, x.n) for x in found.collect()} == {(i, f"text {i}", "x") for i in wanted}
+        assert ("Exchange hashpartitioning(doc_id" in found._jdf.queryExecution().executedPlan().toString()) == moves
+    joined = []
+    monkeypatch.setattr(ngram_join, "among", lambda *a, among=ngram_join.among: joined.append(a[2]) or among(*a))
+    rows = corpus(7, 80)
+    kept = [x.doc_id for x in ngram_join.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(kept) == sorted({c for *_, c in brute_force(rows)}) and joined == ["left_semi", "left_anti"]
